@@ -5,14 +5,22 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import fingerprints
+from . import fingerprints, packing, simhash
 from .common import table
 
 
+def op5_simhash_components(spark, sf_dir):
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return found | {"pipeline": run_pipeline}
