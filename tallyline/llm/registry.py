@@ -5,10 +5,14 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import fingerprints, packing, simhash
+from . import fingerprints, packing, simhash, toxicity
 from .common import table
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_components(spark, sf_dir):
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
