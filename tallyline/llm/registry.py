@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import fingerprints, packing, simhash, toxicity
+from . import fingerprints, licenses, packing, simhash, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op5_simhash_components(spark, sf_dir):
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 

@@ -28,7 +28,7 @@ TRAIN_ROWS = 16_000
 #: A bucket is learned if it occurs in so many sampled documents.
 MIN_DOCUMENTS = 5
 DEVIATIONS = 4
-STEPS, BATCH, RATE, SHRINK, L1 = 1200, 128, 0.03, 1e-5, 1e-3
+STEPS, BATCH, RATE, SHRINK, L1 = 1200, 128, 0.03, 1e-4, 1e-3
 _SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
