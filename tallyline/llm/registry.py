@@ -5,10 +5,18 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import fingerprints, licenses, packing, simhash, toxicity, urls
+from . import ann, fingerprints, licenses, mixing, packing, simhash, toxicity, urls
 from .common import table
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op2_neighbours(spark, sf_dir):
+    return ann.search_hundredths(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
