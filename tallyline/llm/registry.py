@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import ann, fingerprints, licenses, mixing, packing, simhash, toxicity, urls
+from . import ann, fingerprints, licenses, lm, mixing, packing, simhash, toxicity, urls
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_licenses(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_pseudo_likelihood(spark, sf_dir):
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op8_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
