@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import ann, fingerprints, licenses, lm, mixing, packing, simhash, toxicity, urls
+from . import ann, fingerprints, licenses, lm, mixing, packing, simhash, substrings, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_neighbours(spark, sf_dir):
     return ann.search_hundredths(table(spark, sf_dir, "embeddings"))
 
 
+def op3_substrings(spark, sf_dir):
+    return substrings.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
