@@ -27,7 +27,7 @@ def _load() -> None:
         import_module(f"tallyline.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("ledger_queries",)
 
 
 def queries() -> dict:
