@@ -153,6 +153,7 @@ BOWLING_SQL = (
 
 
 def sql(query: str, *, batting: bool = False, bowling: bool = False, expectation: bool = False) -> str:
+    """The query behind the tables it needs; a query that begins with a comma adds tables of its own."""
     parts = [BALLS_SQL.strip()]
     if batting or bowling or expectation:
         parts.append(EXPECTATION_SQL)
@@ -160,7 +161,7 @@ def sql(query: str, *, batting: bool = False, bowling: bool = False, expectation
         parts.append(BATTING_SQL)
     if bowling:
         parts.append(BOWLING_SQL)
-    return "WITH " + ",\n".join(parts) + "\n" + query
+    return "WITH " + ",\n".join(parts) + ("" if query.startswith(",") else "\n") + query
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
