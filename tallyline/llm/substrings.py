@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ GRAM = 4
 HOT = 2000
 #: Words in one shard's index, about.
 SHARD = 400_000
-_SEARCH = 1 << 17
+_SEARCH = 1 << 15
+_MASK = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletTree:
@@ -47,17 +49,28 @@ class WaveletTree:
             bits = (values >> level & 1).astype(np.uint8)
             packed = np.packbits(np.append(bits, np.zeros(-len(bits) % 64 + 64, np.uint8)), bitorder="little").view(np.uint64)
             self.words.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
+            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)]).astype(np.int32))
             self.zeros.append(len(bits) - int(bits.sum()))
             values = np.concatenate([values[bits == 0], values[bits == 1]])
 
     def walk(self, number: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where the first `place` entries' occurrences of `number` end in the last level's order."""
+        return self._walk(number, place, None)
+
+    def step(self, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """walk(number, place), and whether the entry at `place` is `number`."""
+        same = np.ones(len(place), bool)
+        return self._walk(number, place, same), same
+
+    def _walk(self, number, place, same):
         for k in range(self.levels):
-            at = place >> 6
-            low = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][at] + np.bitwise_count(self.words[k][at] & low)
-            place = np.where(number >> (self.levels - 1 - k) & 1, self.zeros[k] + ones, place - ones)
+            at, low = place >> 6, (place & 63).astype(np.uint64)
+            word = self.words[k][at]
+            ones = self.counts[k][at] + np.bitwise_count(word & _MASK[low])
+            bit = (number >> (self.levels - 1 - k) & 1).astype(bool)
+            if same is not None:
+                same &= (word >> low & np.uint64(1)).astype(bool) == bit
+            place = np.where(bit, ones + self.zeros[k], place - ones)
         return place
 
 
@@ -71,61 +84,109 @@ class FMIndex:
         inside[ends if len(ends) else 0] = False
         self.text = np.zeros(n, np.int64)
         self.text[inside] = sequences
-        order = self.text
-        for step in (1, 2, 4, 8):  # ranks of the suffixes by their first 2, 4, 8, 16 numbers
-            after = np.concatenate([order[step:], np.zeros(min(step, n), np.int64)])[:n]
-            order = np.unique(order * (int(order.max(initial=0)) + 1) + after, return_inverse=True)[1]
-        suffixes = np.argsort(order, kind="stable")
+        base = int(self.text.max(initial=0)) + 1
+        key = self.text
+        for k in (1, 2) if base**3 < 1 << 62 else (1,):  # as many numbers as fit one key
+            key = key * base + self._after(self.text, k)
+            depth = k + 1
+        while depth < WINDOW:  # ranks of the suffixes by their first `depth` numbers, until WINDOW are compared
+            order = np.unique(key, return_inverse=True)[1]
+            reach = min(depth, WINDOW - depth)
+            tail = order if reach == depth else np.unique(self._leading(reach, base), return_inverse=True)[1]
+            key = order * (int(tail.max(initial=0)) + 1) + self._after(tail, depth)
+            depth += reach
+        suffixes = np.argsort(key, kind="stable")
+        key = key[suffixes]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
         self.size = n
         self.tree = WaveletTree(self.text[suffixes - 1])
-        numbers = np.arange(int(self.text.max(initial=0)) + 2)
-        start = np.searchsorted(np.sort(self.text), numbers)
-        self.shift = start - self.tree.walk(numbers, np.zeros(len(numbers), np.int64))
+        numbers = np.arange(base + 1)
+        self.start = np.searchsorted(np.sort(self.text), numbers).astype(np.int32)
+        self.shift = (self.start - self.tree.walk(numbers, np.zeros(len(numbers), np.int32))).astype(np.int32)
         self.owner = np.repeat(owners, lengths + 1)[suffixes] if len(ends) else np.zeros(1, np.int64)
+        # Classes: suffixes with the same first WINDOW numbers, their bounds and smallest owner.
+        self.bounds = np.append(starts, np.int32(n))
+        self.of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.bounds))
+        self.least = np.minimum.reduceat(self.owner, starts)
+
+    def _leading(self, depth: int, base: int) -> np.ndarray:
+        key = self.text
+        for k in range(1, depth):
+            if (int(key.max(initial=0)) + 1) * base >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * base + self._after(self.text, k)
+        return key
+
+    @staticmethod
+    def _after(values: np.ndarray, k: int) -> np.ndarray:
+        return np.concatenate([values[k:], np.zeros(min(k, len(values)), values.dtype)])[: len(values)]
 
     def matching(self, numbers: np.ndarray, last: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics: for each place in `last`, the length (up to most) of the longest match
         that ends there, and its suffix interval. 0 in numbers, or a number unknown to the index, ends it."""
-        low, high = np.zeros(len(last), np.int64), np.full(len(last), self.size, np.int64)
+        low, high = np.zeros(len(last), np.int32), np.full(len(last), self.size, np.int32)
         length, alive = np.zeros(len(last), np.int64), np.arange(len(last))
         for k in range(most):
             at = last[alive] - k
             own = np.where(at >= 0, numbers[np.maximum(at, 0)], 0)
-            alive, own = alive[(own > 0) & (own < len(self.shift) - 1)], own[(own > 0) & (own < len(self.shift) - 1)]
-            a = self.shift[own] + self.tree.walk(own, low[alive])
-            b = self.shift[own] + self.tree.walk(own, high[alive])
+            known = (own > 0) & (own < len(self.shift) - 1)
+            alive, own = alive[known], own[known].astype(np.int32)
+            if k == 0:
+                a, b = self.start[own], self.start[own + 1]
+            else:
+                a, same = self.tree.step(own, low[alive])
+                a += self.shift[own]
+                b = a + same  # an interval of one suffix needs one walk
+                wide = np.flatnonzero(high[alive] - low[alive] > 1)
+                b[wide] = self.shift[own[wide]] + self.tree.walk(own[wide], high[alive[wide]])
             found = a < b
             alive = alive[found]
             low[alive], high[alive] = a[found], b[found]
             length[alive] = k + 1
         return length, low, high
 
-    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The smallest owner within each suffix interval."""
-        distinct, where = np.unique(low, return_inverse=True)
-        end = np.zeros(len(distinct), np.int64)
-        end[where] = high
-        owner = np.append(self.owner, np.iinfo(np.int64).max)
-        return np.minimum.reduceat(owner, np.stack([distinct, end], axis=1).ravel())[::2][where]
-
-
-def first_documents(runs: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each run the smallest owner of each of its windows among all runs."""
-    split = [r.split(b" ") for r in runs]
-    lengths = np.array([len(s) for s in split])
-    known: dict[bytes, int] = {}
-    numbers = np.fromiter((known.setdefault(w, len(known) + 1) for s in split for w in s), np.int64, int(lengths.sum()))
+    def slide(self, numbers: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Matching statistics of whole sequences, each searched backward once: the class of the
+        WINDOW numbers from each place on, -1 where the index does not hold them.
+
+        A match that has grown to WINDOW numbers is cut back to them before the next step: its
+        interval widens to its class's (the parent of the suffix interval at that depth).
+        """
+        out = np.full(len(numbers), -1, np.int32)
+        low, high, place = np.zeros(len(last), np.int32), np.full(len(last), self.size, np.int32), last.astype(np.int64)
+        for k in range(int((last - first).max(initial=-1)) + 1):
+            own = numbers[place].astype(np.int32)
+            a, same = (self.start[own], True) if k == 0 else self.tree.step(own, low)
+            if k == 0:
+                b = self.start[own + 1]
+            else:
+                a = a + self.shift[own]
+                b = a + same
+                wide = np.flatnonzero(high - low > 1)
+                b[wide] = self.shift[own[wide]] + self.tree.walk(own[wide], high[wide])
+            if k >= WINDOW - 1:
+                a = np.where(a < b, a, 0)
+                own = np.where(a < b, self.of[a], -1)
+                out[place] = own
+                a, b = np.where(own >= 0, self.bounds[own], a), np.where(own >= 0, self.bounds[own + 1], b)
+            on = (a < b) & (place > first)
+            low, high, place, first = a[on], b[on], place[on] - 1, first[on]
+        return out
+
+
+def first_documents(runs: pa.Array, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each run the smallest owner among all runs that hold it; and the number of
+    windows of each run. Words are told apart exactly, by a dictionary of the shard."""
+    split = pc.split_pattern(runs.cast(pa.large_binary()), b" ")
+    lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
+    numbers = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     index = FMIndex(numbers, lengths, owners)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    found = np.concatenate([index.slide(index.text, first[k : k + _SEARCH], (first + lengths)[k : k + _SEARCH] - 1)[None] for k in range(0, len(first), _SEARCH)]).max(0)
     windows = lengths - WINDOW + 1
-    offset = np.repeat(np.cumsum(lengths + 1) - lengths - 1, windows)
-    last = offset + np.arange(len(offset)) - np.repeat(np.cumsum(windows) - windows, windows) + WINDOW - 1
-    least = np.empty(len(last), np.int64)
-    for at in range(0, len(last), _SEARCH):
-        part = slice(at, at + _SEARCH)
-        length, low, high = index.matching(index.text, last[part], WINDOW)
-        assert (length == WINDOW).all()  # every run is in the index itself
-        least[part] = index.least_owner(low, high)
-    return np.split(least, np.cumsum(windows)[:-1])
+    at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    assert (found[at] >= 0).all()  # every run is in the index itself
+    return index.least[found[at]], windows
 
 
 _STEP = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -146,8 +207,9 @@ def anchors(words: list[bytes]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _runs(doc_id, words: list[bytes], shared: np.ndarray, hot: np.ndarray):
-    """(start, run) of the windows whose anchor is shared, those of hot anchors one by one."""
+def _runs(words: list[bytes], shared: np.ndarray, hot: np.ndarray):
+    """First and last window, anchor, hot and content of each run of windows whose anchor is shared,
+    those of hot anchors one by one."""
     own = anchors(words)
     known = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
     candidate = shared[known] == own
@@ -156,8 +218,10 @@ def _runs(doc_id, words: list[bytes], shared: np.ndarray, hot: np.ndarray):
     begins[1:] &= ~candidate[:-1] | (own[1:] != own[:-1]) | alone[1:]
     start = np.flatnonzero(begins)
     stop = np.flatnonzero(candidate & np.append(begins[1:] | ~candidate[1:], True))
-    for i, j in zip(start.tolist(), stop.tolist()):
-        yield i, j - i + 1, int(own[i]), bool(alone[i]), b" ".join(words[i : j + WINDOW])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    joined = b" ".join(words)
+    first, after = (np.append(0, ends)[start]).tolist(), (ends[stop + WINDOW - 1] - 1).tolist()
+    return start, stop, own[start], alone[start], [joined[a:b] for a, b in zip(first, after)]
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -173,23 +237,24 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     occurring = marked.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = occurring.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = shared.filter("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot"))
-    wanted = occurring.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared"))
+    wanted = occurring.join(shared.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared"))
     wanted = materialize(wanted, "shared-anchors")
     discard(marked)
 
     def extract(batch):
-        out = {k: [] for k in ("doc_id", "text_hash", "start", "windows", "k1", "k2", "shard_key", "run")}
-        for doc_id, own, text, held in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts(batch), batch.column("shared").to_pylist()):
+        rows, content = [], []
+        for k, (text, held) in enumerate(zip(texts(batch), batch.column("shared").to_pylist())):
             held.sort(key=lambda s: s["anchor"])
             known, hot = np.array([s["anchor"] for s in held], np.int64), np.array([s["hot"] for s in held], bool)
-            for start, n, anchor, alone, run in _runs(doc_id, text.split(), known, hot):
-                digest = xxhash.xxh3_128_digest(run)
-                k1, k2 = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                for name, value in zip(out, (doc_id, own, start, n, k1, k2, k1 if alone else anchor, run)):
-                    out[name].append(value)
-        return out
-
-    runs = map_arrow(plain.join(wanted, "doc_id"), extract, "doc_id long, text_hash long, start int, windows int, k1 long, k2 long, shard_key long, run binary")
+            start, stop, anchor, alone, run = _runs(text.split(), known, hot)
+            rows.append(np.stack([np.full(len(start), k), start, stop - start + 1, anchor, alone]))
+            content += run
+        row, start, windows, anchor, alone = np.concatenate(rows, axis=1)
+        k1, k2 = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), ">i8").reshape(-1, 2).T.astype(np.int64)
+        names = {"doc_id": batch.column("doc_id").take(pa.array(row)), "text_hash": batch.column("text_hash").take(pa.array(row))}
+        return names | {"start": start, "windows": windows, "k1": k1, "k2": k2, "shard_key": np.where(alone == 1, k1, anchor), "run": content}
+
+    runs = map_arrow(plain.join(wanted, "doc_id"), extract, "doc_id long, text_hash long, start long, windows long, k1 long, k2 long, shard_key long, run binary")
     runs = materialize(runs, "runs")
     distinct = runs.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("shard_key").alias("shard_key"), F.first("run").alias("run"), F.first("windows").alias("windows"))
     distinct = materialize(distinct, "distinct-runs")
@@ -198,10 +263,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     distinct = distinct.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
 
     def search(table: pa.Table) -> pa.Table:
-        last = table.column("last").to_numpy()
-        least = first_documents(table.column("run").to_pylist(), table.column("owner").to_numpy())
-        keep = [i for i, x in enumerate(least) if x.min() < last[i]]
-        return pa.table({"k1": table.column("k1").take(keep), "k2": table.column("k2").take(keep), "first": pa.array([least[i] for i in keep], pa.list_(pa.int64()))})
+        least, windows = first_documents(table.column("run").combine_chunks(), table.column("owner").to_numpy())
+        ends = np.cumsum(windows)
+        keep = np.minimum.reduceat(least, ends - windows) < table.column("last").to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(windows[keep])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(least[np.repeat(keep, windows)]))
+        return pa.table({"k1": table.column("k1").filter(pa.array(keep)), "k2": table.column("k2").filter(pa.array(keep)), "first": lists})
 
     found = materialize(distinct.groupBy("shard").applyInArrow(search, "k1 long, k2 long, first array<long>"), "first-documents")
     hits = runs.select("doc_id", "text_hash", "start", "k1", "k2").join(found, ["k1", "k2"])
