@@ -54,5 +54,17 @@ def queries() -> dict:
     return found | {"pipeline": run_pipeline}
 
 
+_OP3_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) t(i) WHERE len(ws) >= 13),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) < doc_id AS rep FROM g),
+p AS (SELECT doc_id, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) t(i)),
+c AS (SELECT p.doc_id, p.i, word, coalesce(bool_or(rep) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.i = m.i),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
+    found = {"op3_substrings": _OP3_SQL}
+    return found | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
