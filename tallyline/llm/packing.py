@@ -2,7 +2,8 @@
 
 Every document is cut into full pieces of MAX tokens, each a sequence of its own, and a tail. The
 histogram of tail lengths (at most MAX - 1 bins, whatever the corpus) is packed on the driver:
-lengths go longest first into the shortest open pack that has room, packing patterns carry counts,
+lengths go longest first into the shortest open pack that has room (else into new packs of as many
+of that length as they hold), packing patterns carry counts,
 and a pattern splits when only a part of its count takes the next length. Patterns left with room
 for at least GRID tokens are then filled from the emptiest ones, whose tails are cut on a grid of
 GRID tokens. The patterns become a table of slots (length, ranks from .. to, part, sequence,
@@ -124,8 +125,13 @@ def pack_histogram(histogram: dict[int, int], most: int = MAX, grid: int = GRID)
         while left:
             while heap and not open_.get(heap[0]):
                 heapq.heappop(heap)
-            if not heap or heap[0] + length > most:
-                keep(_Pattern(left, [(length, first, 0, length)], length))
+            if not heap or heap[0] + length > most:  # new packs, each with as many of this length as it holds
+                per = most // length
+                full, rest = divmod(left, per)
+                if full:
+                    keep(_Pattern(full, [(length, first + k * full, 0, length) for k in range(per)], per * length))
+                if rest:
+                    keep(_Pattern(1, [(length, first + full * per + k, 0, length) for k in range(rest)], rest * length))
                 break
             shortest = open_[heap[0]][-1]
             n = min(left, shortest.count)
@@ -145,8 +151,13 @@ def _fill(packs: list[_Pattern], most: int, grid: int) -> list[_Pattern]:
     heap = [(p.used, k, p) for k, p in enumerate(packs)]
     heapq.heapify(heap)
     done, tick = [], len(packs)
-    while len(heap) > 1:
+    while heap:
         _, _, donor = heapq.heappop(heap)
+        if not heap and donor.count == 1:
+            return [*done, donor]
+        if not heap:
+            half = donor.take(donor.count // 2)
+            heapq.heappush(heap, (half.used, tick := tick + 1, half))
         parts = [(donor.count, *slot) for slot in sorted(donor.slots, key=lambda s: -s[3])]
         while parts and heap:
             n, length, first, start, size = parts.pop()
@@ -166,14 +177,34 @@ def _fill(packs: list[_Pattern], most: int, grid: int) -> list[_Pattern]:
                 heapq.heappush(heap, (target.used, tick := tick + 1, target))
             else:
                 done.append(target)
-        while parts:  # nothing is left to fill: the last parts stay together where they fit
-            n, length, first, start, size = parts.pop()
-            mate = next((p for p in done if p.count == n and p.used + size <= most), None)
-            if mate:
-                mate.put(length, first, start, size)
+        # Nothing is left to fill: what remains of the donor is packed anew, and goes on if it shrank.
+        again = _whole(parts, most)
+        shrank = sum(p.count * p.used for p in again) < donor.count * donor.used
+        for p in again:
+            if shrank and most - p.used >= grid:
+                heapq.heappush(heap, (p.used, tick := tick + 1, p))
             else:
-                done.append(_Pattern(n, [(length, first, start, size)], size))
-    return done + [p for _, _, p in heap]
+                done.append(p)
+    return done
+
+
+def _whole(parts: list[tuple], most: int) -> list[_Pattern]:
+    """Parts (count, length, first, start, size), longest first, into the shortest pack with room."""
+    packs: list[_Pattern] = []
+    for n, length, first, start, size in sorted(parts, key=lambda q: -q[4]):
+        while n:
+            into = min((p for p in packs if p.used + size <= most), key=lambda p: p.used, default=None)
+            if into is None:
+                packs.append(_Pattern(n, [(length, first, start, size)], size))
+                break
+            m = min(n, into.count)
+            target = into.take(m)
+            if not into.count:
+                packs.remove(into)
+            target.put(length, first, start, size)
+            packs.append(target)
+            n, first = n - m, first + m
+    return packs
 
 
 def slots(patterns: list[_Pattern]) -> tuple[list[tuple[int, ...]], int]:
