@@ -151,7 +151,7 @@ def train_win_model(rows: DataFrame, features: Sequence[str], label: str = "y"):
     filled = [f"_{f}" for f in features]
     prepare = [Imputer(inputCols=list(features), outputCols=filled, strategy="mean"), VectorAssembler(inputCols=filled, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)]
     linear = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_pl", rawPredictionCol="_rl", predictionCol="_yl")
-    trees = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=20, maxDepth=4, seed=1, probabilityCol="_pt", rawPredictionCol="_rt", predictionCol="_yt")
+    trees = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=20, maxDepth=4, seed=1, predictionCol="_yt").setProbabilityCol("_pt").setRawPredictionCol("_rt")
     return Pipeline(stages=[*prepare, linear, trees]).fit(rows)
 
 
