@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import flags
 from tallyline.operators import derive
+from tallyline.sources.stored import Stored
 
 PHASE_ENDS = {"T20": (2, 5), "ODI": (3, 5)}
 #: A cell of so few balls is thin: the driver's tables have few balls in each state.
@@ -168,20 +169,20 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.state(balls(spark, sf_dir))
 
 
-def full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = states(spark, sf_dir)
-    return derive.expected(s, derive.expectation(s, THIN))
+K = 200.0
+_DERIVED = {
+    "states": lambda t: derive.expected(t["balls"], derive.expectation(t["balls"], THIN)),
+    "batting_innings": lambda t: derive.constant_k(derive.with_era(derive.match_context(derive.batting_innings(t["states"]), "batting")), "batting", K),
+    "batting_phase": lambda t: derive.batting_phases(t["states"]),
+    "bowling_innings": lambda t: derive.constant_k(derive.match_context(derive.bowling_innings(t["states"]), "bowling"), "bowling", K),
+    "bowling_phase": lambda t: derive.bowling_phases(t["states"]),
+}
 
 
-K = 200.0
+def tables(spark: SparkSession, sf_dir: str) -> Stored:
+    """The derived tables of a data set, each built on first use and stored."""
+    return Stored(spark, f"{sf_dir} thin={THIN} k={K}", {"balls": lambda _: states(spark, sf_dir)} | _DERIVED)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    f = full(spark, sf_dir)
-    return {
-        "states": f,
-        "batting_innings": derive.constant_k(derive.with_era(derive.match_context(derive.batting_innings(f), "batting")), "batting", K),
-        "batting_phase": derive.batting_phases(f),
-        "bowling_innings": derive.constant_k(derive.match_context(derive.bowling_innings(f), "bowling"), "bowling", K),
-        "bowling_phase": derive.bowling_phases(f),
-    }
+def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir)["states"]
