@@ -119,7 +119,9 @@ def scatter_zscore(spark, sf_dir):
     return rows.select("player", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("z", 3).alias("z"))
 
 
-@register("similar_topk", ledger.sql(f", z AS (SELECT player, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS zx, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS zy, balls FROM (SELECT player, 100.0 * sum(dots) / nullif(sum(balls), 0) AS x, 6.0 * sum(runs) / nullif(sum(balls), 0) AS y, sum(balls) AS balls FROM bowling GROUP BY player))\nSELECT a.player, a.balls::BIGINT AS sample, round(sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2), 4) AS distance, round(100 / (1 + sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2)), 4) AS score FROM z a, z b WHERE b.player = 'Brand#11' AND a.player <> b.player ORDER BY distance, a.player LIMIT 10", bowling=True))
+@register("similar_topk", ledger.sql(""", q AS (SELECT player, 100.0 * sum(dots) / nullif(sum(balls), 0) AS x, 6.0 * sum(runs) / nullif(sum(balls), 0) AS y, sum(balls) AS balls FROM bowling GROUP BY player), pool AS (SELECT * FROM q WHERE player = 'Brand#11' OR balls >= greatest(120, 0.25 * (SELECT balls FROM q WHERE player = 'Brand#11'))),
+z AS (SELECT player, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS zx, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS zy, balls FROM pool)
+SELECT a.player, a.balls::BIGINT AS sample, round(sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2), 4) AS distance, round(100 / (1 + sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2)), 4) AS score FROM z a, z b WHERE b.player = 'Brand#11' AND a.player <> b.player ORDER BY distance, a.player LIMIT 10""", bowling=True))
 def similar_topk(spark, sf_dir):
     return rounded(engine.similar_players(ledger.tables(spark, sf_dir)["bowling_innings"], "bowling", "Brand#11", ["dot_pct", "economy"]))
 
