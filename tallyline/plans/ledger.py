@@ -170,6 +170,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 K = 200.0
+_INPUTS = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
 _DERIVED = {
     "states": lambda t: derive.expected(t["balls"], derive.expectation(t["balls"], THIN)),
     "batting_innings": lambda t: derive.constant_k(derive.with_era(derive.match_context(derive.batting_innings(t["states"]), "batting")), "batting", K),
@@ -181,7 +182,7 @@ _DERIVED = {
 
 def tables(spark: SparkSession, sf_dir: str) -> Stored:
     """The derived tables of a data set, each built on first use and stored."""
-    return Stored(spark, f"{sf_dir} thin={THIN} k={K}", {"balls": lambda _: states(spark, sf_dir)} | _DERIVED)
+    return Stored(spark, f"{sf_dir} thin={THIN} k={K}", {"balls": lambda _: states(spark, sf_dir)} | _DERIVED, [f"{sf_dir}/{t}.parquet" for t in _INPUTS])
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:

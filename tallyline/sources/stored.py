@@ -3,31 +3,45 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Mapping
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = "/tmp/checkpoints"
+_BUILDING = threading.RLock()
 
 
 class Stored(Mapping):
     """Tables by name, built from one another on first use, as Parquet in the shared folder of
-    spark.checkpoint.dir. A table counts once its write is complete; key names the inputs and their
-    version, and another application builds its own."""
+    spark.checkpoint.dir. key names the parameters and inputs the paths read: a folder that was
+    rewritten since is another version with tables of its own, and so is another application's.
 
-    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]]):
+    Each build writes a folder of its own, which counts once its write is complete: two builders at
+    the same time, or one that failed half-way, leave no rows in each other's table.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = ()):
         shared = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
         self.spark, self.builders = spark, builders
-        self.path = f"{shared}/tallyline-derived/{spark.sparkContext.applicationId}/{hashlib.md5(key.encode()).hexdigest()}"
+        version = [key, *(f"{x}@{self._fs(x)[0].getFileStatus(self._fs(x)[1]).getModificationTime()}" for x in inputs)]
+        self.path = f"{shared}/tallyline-derived/{spark.sparkContext.applicationId}/{hashlib.md5(chr(10).join(version).encode()).hexdigest()}"
+
+    def _fs(self, where: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _written(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _written(self, name: str) -> str | None:
+        fs, marks = self._fs(f"{self.path}/{name}-*/_SUCCESS")
+        return min((s.getPath().getParent().toString() for s in fs.globStatus(marks) or ()), default=None)
 
     def __getitem__(self, name: str) -> DataFrame:
-        where = f"{self.path}/{name}"
-        if not self._written(name):
-            self.builders[name](self).write.mode("overwrite").option("compression", "zstd").parquet(where)
+        with _BUILDING:
+            where = self._written(name)
+            if where is None:
+                where = f"{self.path}/{name}-{uuid.uuid4().hex}"
+                self.builders[name](self).write.option("compression", "zstd").parquet(where)
         return self.spark.read.parquet(where)
 
     def __iter__(self):
