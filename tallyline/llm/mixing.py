@@ -24,6 +24,8 @@ ENTROPY = 0.97
 REPEATS = 4.0
 #: Documents in one block, about.
 BLOCK = 256
+#: Blocks in one band of a source's key range, about.
+BAND = 1024
 #: Most sources: the bound of what comes to the driver.
 SOURCES = 100_000
 SEED = 17
@@ -109,9 +111,15 @@ def schedule(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
     whole = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     # The part of an epoch: blocks in the order of their keys until the budget is met, then within the last block.
     part = rows.filter("rest >= 1").withColumn("epoch", F.col("whole"))
-    sums = part.groupBy("_source", "epoch", "block").agg(F.sum("_tokens").alias("held"))
-    before = Window.partitionBy("_source").orderBy(_hash(F.lit(SEED), "_source", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("held").over(before), F.lit(0))).select("_source", "block", "ahead")
+    # A source's blocks lie in bands of its key range: sums over the bands before, then within the band.
+    sums = part.groupBy("_source", "epoch", "block", "blocks").agg(F.sum("_tokens").alias("held")).withColumn("key", _hash(F.lit(SEED), "_source", "epoch", "block"))
+    bands = F.ceil(F.col("blocks") / BAND)
+    sums = sums.withColumn("band", F.least(bands - 1, F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * bands)))
+    ahead = lambda w: F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = sums.groupBy("_source", "band").agg(F.sum("held").alias("held"))
+    earlier = earlier.select("_source", "band", ahead(Window.partitionBy("_source").orderBy("band")).alias("earlier"))
+    sums = sums.join(earlier, ["_source", "band"]).withColumn("ahead", F.col("earlier") + ahead(Window.partitionBy("_source", "band").orderBy("key", "block")))
+    sums = sums.select("_source", "block", "ahead")
     part = part.join(sums, ["_source", "block"]).filter("ahead < rest")
     inside = Window.partitionBy("_source", "block").orderBy(_hash(F.lit(SEED), "epoch", "doc_id", "_row"), "doc_id", "_row").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).filter("ahead < rest").drop("ahead")
