@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -260,16 +261,20 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = materialize(tokenized(docs, vocabulary or default_vocabulary()), "tokens")
     rows = rows.withColumn("tail", (F.col("n") % MAX).cast("int"))
-    sizes = rows.groupBy("tail").agg(F.count("*").alias("c")).collect()
+    sizes = rows.groupBy("tail").agg(F.count("*").alias("c"), F.sum(F.size("full")).alias("f")).orderBy("tail").collect()
     patterns = pack_histogram({r["tail"]: r["c"] for r in sizes if r["tail"]})
     table, packed = slots(patterns)
-    salts = max([1, *(-(-r["c"] // RANKED) for r in sizes)])
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)).cast("int"))
-    # Ranks within a tail length and the numbers of the full pieces: sums over the (at most MAX * salts)
-    # groups before, then within the group.
+    # For each tail length its number of groups and the full pieces of the lengths before it.
+    fulls = accumulate((r["f"] for r in sizes), initial=0)
+    lengths = [(r["tail"], -(-r["c"] // RANKED), f) for r, f in zip(sizes, fulls)]
+    lengths = F.broadcast(spark.createDataFrame(lengths, "tail int, salts long, earlier long"))  # at most MAX rows
+    rows = rows.join(lengths, "tail").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.col("salts")))
+    # Ranks within a tail length and the numbers of the full pieces: sums over the length's groups
+    # before, then within the group.
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = rows.groupBy("tail", "salt").agg(F.count("*").alias("c"), F.sum(F.size("full")).alias("f"))
-    groups = groups.select("tail", "salt", before(Window.partitionBy("tail").orderBy("salt"), "c").alias("ranks"), before(Window.orderBy("tail", "salt"), "f").alias("fulls"))
+    groups = rows.groupBy("tail", "salt").agg(F.count("*").alias("c"), F.sum(F.size("full")).alias("f"), F.min("earlier").alias("earlier"))
+    in_order = Window.partitionBy("tail").orderBy("salt")
+    groups = groups.select("tail", "salt", before(in_order, "c").alias("ranks"), (F.col("earlier") + before(in_order, "f")).alias("fulls"))
     within = Window.partitionBy("tail", "salt").orderBy("doc_id", "n", "marks", "full")
     numbered = rows.withColumn("r", F.row_number().over(within) - 1).withColumn("g", before(within, F.size("full"))).join(groups, ["tail", "salt"])
     numbered = numbered.select("doc_id", "n", "tail", "full", "marks", (F.col("ranks") + F.col("r")).alias("rank"), (F.col("fulls") + F.col("g")).alias("number"))
