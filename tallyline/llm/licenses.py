@@ -108,10 +108,12 @@ def scan(text: bytes, index: Index) -> tuple:
     joined = b" " + b" ".join(every) + b" "
     places, base = [], set()
     for phrase, label in PHRASES:
-        phrase, at = b" " + phrase + b" ", -1
-        while (at := joined.find(phrase, at + 1)) >= 0:
-            places.append(joined.count(b" ", 0, at))
+        phrase, seen, word = b" " + phrase + b" ", 0, 0
+        while (at := joined.find(phrase, seen)) >= 0:
+            word += joined.count(b" ", seen, at + 1)
+            places.append(word - 1)
             base.add(label)
+            seen = at + 1
     labels, score = set(base), 1.0 if base else 0.0
     if not index.prefix.keys().isdisjoint(every):
         for block in blocks(text):
