@@ -68,6 +68,27 @@ def test_mixing_reaches_the_target_and_the_weights(spark):
     assert not plan.duplicated(["doc_id", "epoch"]).any()
 
 
+@pytest.mark.parametrize("band", [1024, 2])
+def test_last_epoch_takes_blocks_in_key_order(spark, monkeypatch, band):
+    monkeypatch.setattr(mixing, "BAND", band)
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rows = [(i, "a b c d " * (1 + i % 5), "en", "big" if i < 500 else "small", 1) for i in range(700)]
+    d = spark.createDataFrame(rows, EMPTY)
+    plan = run(mixing.mix_plan(d, budget=0.6))
+    tokens = {i: 4 * (1 + i % 5) for i in range(700)}
+    for source, g in plan.groupby("source"):
+        last = g[g.epoch == g.epoch.max()].sort_values(["block_key", "block", "doc_key", "doc_id"])
+        budget = g.weight.iloc[0] * 0.6 * sum(tokens.values())
+        spent = g.n_tokens.sum()
+        assert budget - 1e-6 <= spent < budget + max(tokens.values())
+        assert spent - last.n_tokens.iloc[-1] < budget  # it ends with the document that fills it
+        ends = last.groupby("block_key").size()
+        full = run(mixing.mix_plan(d, budget=50.0))
+        whole = full[(full.source == source) & (full.epoch == 0)].groupby("block").size()
+        names = last.drop_duplicates("block_key").set_index("block_key").block
+        assert all(ends[k] == whole[names[k]] for k in ends.index[:-1])  # whole blocks but for the last
+
+
 def test_mixing_repetition_limit():
     tokens = {"a": 1000, "b": 10, "c": 10}
     free = mixing.temperature(tokens, 0.99, 1e9)
@@ -350,6 +371,12 @@ def test_filters_lose_no_match(block, contained):
     assert index.matches(block) == want
 
 
+def test_every_place_of_a_phrase_counts():
+    text = ("mit license mit license " * 3000 + "x general public license").encode()
+    n_words, n_base, first, last, base, *_ = licenses.scan(text, licenses.Index(licenses.TEMPLATES, {}))
+    assert (n_words, n_base, first, last, base) == (12004, 6001, 0, 12001, "gpl,mit")
+
+
 # --- 7 masked pseudo-likelihood --------------------------------------------------------------------------
 
 
@@ -494,6 +521,13 @@ def test_packing_round_trip(docs, texts):
     assert total / (2048 * n) > 0.93 and n <= total // 2048 + 2
 
 
+def test_packing_in_small_groups(docs, texts, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 3)
+    q = run(packing.pack(docs))
+    assert set(q.doc_id) == set(texts)
+    check_pieces(q, texts)
+
+
 @given(st.dictionaries(st.integers(1, 2047), st.integers(1, 300), min_size=1, max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_patterns_place_every_token_once(histogram):
