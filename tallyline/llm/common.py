@@ -57,8 +57,13 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow for a function from one record batch to a dict of column lists or arrays."""
+#: Rows that a function sees at a time: bounds the Python objects a task makes of a batch.
+SLICE = 1024
+
+
+def map_arrow(df: DataFrame, f, schema: str, rows: int | None = SLICE) -> DataFrame:
+    """mapInArrow for a function from one record batch to a dict of column lists or arrays. Batches go
+    to f in slices of at most `rows` rows; None: as Spark sends them."""
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -67,9 +72,9 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     arrow = to_arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows or max(whole.num_rows, 1)):
+                out = f(whole.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

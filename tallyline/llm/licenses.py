@@ -136,7 +136,7 @@ def frequencies(docs: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
                 n[w] = n.get(w, 0) + 1
         return {"word": list(n), "n": list(n.values())}
 
-    rows = map_arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = map_arrow(docs.select("text"), run, "word binary, n long", rows=None).groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in rows.collect()}
 
 

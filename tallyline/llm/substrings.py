@@ -242,11 +242,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     discard(marked)
 
     def extract(batch):
-        rows, content = [], []
-        for k, (text, held) in enumerate(zip(texts(batch), batch.column("shared").to_pylist())):
-            held.sort(key=lambda s: s["anchor"])
-            known, hot = np.array([s["anchor"] for s in held], np.int64), np.array([s["hot"] for s in held], bool)
-            start, stop, anchor, alone, run = _runs(text.split(), known, hot)
+        rows, content, shared = [], [], batch.column("shared")
+        ends, held, frequent = shared.offsets.to_numpy(), shared.values.field("anchor").to_numpy(), shared.values.field("hot").to_numpy(zero_copy_only=False)
+        for k, text in enumerate(texts(batch)):
+            known, hot = held[ends[k] : ends[k + 1]], frequent[ends[k] : ends[k + 1]]
+            order = np.argsort(known)
+            start, stop, anchor, alone, run = _runs(text.split(), known[order], hot[order])
             rows.append(np.stack([np.full(len(start), k), start, stop - start + 1, anchor, alone]))
             content += run
         row, start, windows, anchor, alone = np.concatenate(rows, axis=1)
