@@ -94,6 +94,6 @@ def tool_choice(rows: DataFrame) -> DataFrame:
 
 def answers(rows: DataFrame) -> DataFrame:
     """One row from expected (array of tokens), answer, calls, seconds: share right, mean calls, median seconds."""
-    words = F.split(F.lower("answer"), r"[^a-z0-9.]+")
+    words = F.transform(F.split(F.lower("answer"), r"[^a-z0-9.]+"), lambda w: F.regexp_replace(w, r"\.+$", ""))
     right = F.size(F.array_except(F.transform("expected", lambda t: F.lower(t)), words)) == 0
     return rows.agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("right"), F.avg("calls").alias("calls"), F.median("seconds").alias("seconds"))

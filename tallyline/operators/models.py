@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.functions.flags import dismissal
+
 CLIP = (0.001, 0.999)
 ELO_K, ELO_START, ELO_SCALE = 24.0, 1500.0, 400.0
 
@@ -36,6 +38,23 @@ def form_before(innings: DataFrame, values: Sequence[str]) -> DataFrame:
     return per_match.select(*key, "date", "match_id", *(F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}_before") for v in values))
 
 
+def next_ball_rows(balls: DataFrame) -> DataFrame:
+    """Each ball's outcome ('W' for a dismissal, else the striker's runs) with what was known before it:
+    score and wickets of the innings, balls and runs of the striker's, and the bowler's, stay so far."""
+
+    def before(*keys: str):
+        return Window.partitionBy("match_id", "innings", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    faced, legal = F.col("faced").cast("int"), F.col("legal").cast("int")
+    outcome = F.when(dismissal(), "W").otherwise(F.col("runs_batter").cast("string"))
+    return balls.select(
+        "match_id", "innings", "seq", total("runs_total", before()).alias("score"), total(dismissal().cast("int"), before()).alias("wickets"),
+        total(faced, before("batter")).alias("striker_balls"), total("runs_batter", before("batter")).alias("striker_runs"),
+        total(legal, before("bowler")).alias("bowler_balls"), total("bowler_runs", before("bowler")).alias("bowler_conceded"), outcome.alias("outcome"),
+    )
+
+
 def shrunk_form(x: str, n: str, mean: float, pseudo: float = 120.0) -> Column:
     return (F.col(x) + pseudo * mean) / (F.col(n) + pseudo)
 

@@ -12,6 +12,7 @@ from tallyline.operators import ballstats, curation, derive, engine, insights, m
 from tallyline.plans import ledger
 from tallyline.sources import matches as sources
 from tallyline.sources import pages, sqlguard
+from tallyline.sources.stored import Stored
 from tallyline.streaming import feeds
 
 
@@ -209,6 +210,8 @@ def test_curation(spark):
     calls = spark.createDataFrame([("f", "f", '{"a":"1"}', '{"a":"1"}'), ("f", "g", '{"a":"1"}', "{oops")], "expected_tool string, tool string, expected_args string, args string")
     r = curation.tool_choice(calls).first()
     assert (r.n, r.tool, r.valid, r.exact) == (2, 0.5, 0.5, 0.5)
+    said = spark.createDataFrame([(["Oak", "4.5"], "It was Oak, with 4.5.", 1, 2.0), (["Elm"], "It was Oak.", 3, 4.0)], "expected array<string>, answer string, calls int, seconds double")
+    assert tuple(curation.answers(said).first()) == (2, 0.5, 2.0, 3.0)
 
 
 def test_streams_equal_their_batch_twins(spark, tmp_path):
@@ -234,6 +237,37 @@ def test_stream_upserts(spark, tmp_path):
     assert sorted(tuple(r) for r in feeds.latest(spark, path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_stored_tables_are_built_once_for_each_version(spark, tmp_path):
+    import threading
+    import time
+
+    source, built = str(tmp_path / "in.parquet"), []
+    spark.range(5).write.parquet(source)
+
+    def build(tables):
+        built.append(1)
+        return spark.read.parquet(source)
+
+    make = lambda: Stored(spark, str(tmp_path), {"a": build, "b": lambda tables: tables["a"].filter("id > 1")}, [source])
+    counts = []
+    threads = [threading.Thread(target=lambda: counts.append(make()["b"].count())) for _ in range(3)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert counts == [3, 3, 3] and len(built) == 1
+    time.sleep(1.1)
+    spark.range(9).write.mode("overwrite").parquet(source)
+    assert make()["b"].count() == 7 and len(built) == 2
+
+
+def test_next_ball_rows_know_nothing_of_the_ball(tables):
+    got = {(r.innings, r.seq): r for r in models.next_ball_rows(tables["balls"]).collect()}
+    first, fourth = got[1, 1], got[1, 4]
+    assert (first.score, first.wickets, first.striker_balls, first.bowler_balls) == (0, 0, 0, 0)
+    assert (fourth.score, fourth.striker_balls, fourth.striker_runs, fourth.bowler_balls, fourth.outcome) == (9, 2, 5, 1, "6")
+
+
 def test_plans_push_down_and_prune(spark):
     plan = ledger.balls(spark, "/root/testdata/sf0.001").filter("gender = 'BUILDING'").groupBy("bowler").agg(F.sum("bowler_runs"))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "s_acctbal" not in plan.split("== Physical Plan ==")[1]
