@@ -11,6 +11,7 @@ and Spark's shuffle carries each shard to the one task that builds and searches
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -203,8 +204,9 @@ def fingerprint_components(docs: DataFrame, width: int = SHINGLE, radius: int =
 #: Near-duplicate documents: width of the word shingles, least Jaccard similarity of their sets,
 #: smallest-shingle keys of each document (two documents of similarity s miss each other in all
 #: with probability (1 - s) ** KEYS: 0.0064 % at 0.8), and radius of the trees (at similarity 0.8 the
-#: 64 bits differ in about 10, in over 22 with probability below 0.01 %).
-NEAR_WIDTH, NEAR_SIMILARITY, KEYS, NEAR_RADIUS = 5, 0.8, 6, 22
+#: 64 bits of sets of FEW or more shingles differ in about 10, in over 22 with probability below 0.01 %).
+#: Smaller sets may lie further apart: they are found by their shingles.
+NEAR_WIDTH, NEAR_SIMILARITY, KEYS, NEAR_RADIUS, FEW = 5, 0.8, 6, 22, 32
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -219,8 +221,11 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
     doc_id of the group. Documents are linked if the Jaccard similarity of their sets of five-word
     shingles is at least `similarity`; texts without words are linked with each other.
 
-    Candidates share a smallest shingle and lie within the trees' radius; each is then checked on
-    the whole shingle sets, as 64-bit hashes. Rows with null doc_id take no part.
+    Candidates share a smallest shingle and lie within the trees' radius, by a fingerprint that counts
+    every distinct shingle once, as the similarity does; where one of them has fewer than FEW
+    shingles they share one of the first that either set must have in common with the other (prefix
+    filter, exact). Each is then checked on the whole shingle sets, as 64-bit hashes. Rows with null
+    doc_id take no part.
     """
 
     def marks(batch):
@@ -241,9 +246,9 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
     def sets(batch):
         out = {"doc_id": batch.column("doc_id"), "fp": [], "own": []}
         for text in texts(batch):
-            every = hashes(shingles(text, NEAR_WIDTH))
-            out["fp"].append(_signed(majority(every)))
-            out["own"].append(np.unique(every).tobytes())
+            own = np.unique(hashes(shingles(text, NEAR_WIDTH)))
+            out["fp"].append(_signed(majority(own)))
+            out["own"].append(own.tobytes())
         return out
 
     wanted = plain.join(shards.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -251,10 +256,15 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
 
     def link(held):
         ids, own = [h[0] for h in held], [np.frombuffer(h[2], np.uint64) for h in held]
-        forest, tree = Forest(len(held)), BKTree()
+        forest, tree, short = Forest(len(held)), BKTree(), {}
         for i, (_, fp, _) in enumerate(held):
             mine, fp = own[i], fp & 0xFFFFFFFFFFFFFFFF
-            maybe = [j for j, _ in tree.search(fp, NEAR_RADIUS) if min(len(mine), len(own[j])) >= similarity * max(len(mine), len(own[j]))]
+            near = {j for j, _ in tree.search(fp, NEAR_RADIUS)} if len(mine) >= FEW else set()
+            if len(mine) * similarity < FEW:
+                for x in mine[: len(mine) - ceil(similarity * len(mine) - 1e-9) + 1].tolist():
+                    near.update(short.get(x, ()))
+                    short.setdefault(x, []).append(i)
+            maybe = [j for j in sorted(near) if min(len(mine), len(own[j])) >= similarity * max(len(mine), len(own[j]))]
             for at in range(0, len(maybe), 256):
                 part = [j for j in maybe[at : at + 256] if forest.find(j) != forest.find(i)]
                 if part:

@@ -333,6 +333,28 @@ def test_large_shards_are_dealt_in_chunks(docs, texts, monkeypatch, chunk):
     assert sorted(kept.doc_id) == sorted(i for i in texts if want[i] == i) and list(kept.columns) == docs.columns
 
 
+def test_near_duplicates_with_lines_repeated_differently_often(spark):
+    rng = np.random.default_rng(21)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 20_000, n))
+    rows = []
+    for k in range(40):
+        body, line = word(400), word(20)
+        rows += [(2 * k, f"{body}\n{line}"), (2 * k + 1, "\n".join([body, *[line] * 40]))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2 * k for k in range(40)]
+
+
+def test_near_duplicates_of_few_shingles_need_no_radius(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAR_RADIUS", -1)  # the trees find nothing
+    rng = np.random.default_rng(22)
+    rows = []
+    for k in range(30):  # 10 to 31 shingles, and two words more
+        words = [f"w{x}" for x in rng.integers(0, 20_000, int(rng.integers(14, 36)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "a", "b"]))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2 * k for k in range(30)]
+
+
 def test_simhash_edges(spark):
     assert simhash.fingerprint_components(spark.createDataFrame([], EMPTY)).count() == 0
     odd = spark.createDataFrame([(3, "a b"), (3, "a b"), (None, "a b"), (1, None)], "doc_id long, text string")
