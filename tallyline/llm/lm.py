@@ -2,13 +2,16 @@
 tokens on both its sides, and the sum of their conditional log-probabilities scores a document.
 
 Tokens are words between ASCII white space with A-Z lower-cased, hashed into BUCKETS. Their counts
-over the whole corpus divide the buckets into CLASSES of about equal mass, commonest first, so that a
-token's probability is P(class | window) * P(bucket | class): the first factor is the network's, the
-second the counts'. The network (an embedding for each hashed neighbour, one hidden layer, a softmax
-over the classes) is trained in numpy where the documents lie: every task passes over its own
-documents, taking each STRIDE-th position, and after each round the tasks' parameters are averaged
-block by block through shuffles in which no group has more than FAN members. What is gathered thus
-grows with the corpus, while only the averaged parameters, of fixed size, reach the driver.
+over the whole corpus divide the buckets into CLASSES of about equal mass, commonest first, and a
+token's probability is P(class | window) * P(bucket | class, window), both from the network: an
+embedding for each hashed neighbour, one hidden layer, a softmax over the classes, and below each
+class a binary tree with its buckets as leaves, at whose every fork the hidden layer moves the odds
+that the counts give (a hierarchical softmax: over all buckets the probabilities sum to 1). The
+network is trained in numpy where the documents lie: every task passes over its own documents,
+taking every eighth position, and after each round the tasks'
+parameters are averaged block by block through shuffles in which no group has more than FAN members.
+What is gathered thus grows with the corpus, while only the averaged parameters, of fixed size, reach
+the driver.
 """
 
 from __future__ import annotations
@@ -22,17 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, texts
+from .common import SLICE, discard, map_arrow, materialize, texts
 
 BUCKETS = 1 << 16
 #: Embeddings: one for each of these hashes, and one for the place beyond a document's ends.
 EMBEDDED = 1 << 13
 CLASSES = 64
 SIDE = 2
-WIDTH, HIDDEN = 16, 32
-STRIDE, ROUNDS, BATCH, RATE = 8, 2, 512, 0.05
+#: FORK of the HIDDEN units also steer the trees.
+WIDTH, HIDDEN, FORK = 8, 16, 8
+ROUNDS, BATCH, RATE = 2, 4096, 0.1
+#: Small tables are trained by fewer tasks, so that each has about so many tokens.
+TASK_TOKENS = 1 << 19
 BLOCKS, FAN = 16, 32
-_CHUNK = 1 << 15
+_CHUNK = 1 << 12
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -50,14 +56,49 @@ def class_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.log(mass / np.bincount(of, mass, CLASSES)[of])
 
 
+class Trees:
+    """A complete binary tree over the buckets of each class, in heap order: leaf i of m is node m + i,
+    a node's children are twice its number and one more. Inner nodes are numbered through all classes."""
+
+    def __init__(self, counts: np.ndarray):
+        self.of = of = class_table(counts)[0]
+        mass = counts + 1.0
+        size = np.bincount(of, minlength=CLASSES)
+        first = np.cumsum(np.maximum(size - 1, 0)) - np.maximum(size - 1, 0)
+        ranked = np.lexsort((np.arange(BUCKETS), -mass, of))
+        leaf = np.empty(BUCKETS, np.int64)
+        leaf[ranked] = size[of[ranked]] + np.arange(BUCKETS) - (np.cumsum(size) - size)[of[ranked]]
+        self.depth = np.frexp(leaf)[1] - 1
+        self.start = np.cumsum(self.depth) - self.depth
+        bucket = np.repeat(np.arange(BUCKETS), self.depth)
+        level = np.arange(len(bucket)) - self.start[bucket]
+        self.node = (first[of[bucket]] + (leaf[bucket] >> (level + 1)) - 1).astype(np.int32)
+        self.right = ((leaf[bucket] >> level) & 1).astype(np.float32)
+        right, every = (np.bincount(self.node, w, BUCKETS) for w in (mass[bucket] * self.right, mass[bucket]))
+        #: Log-odds of the right child by the counts.
+        self.odds = np.log(np.where(every > 0, right, 1) / np.where(every > 0, every - right, 1)).astype(np.float32)
+
+    def forks(self, buckets: np.ndarray):
+        """The forks on the way to each bucket: the place in `buckets`, the node, whether it goes right."""
+        depth = self.depth[buckets]
+        at = np.repeat(self.start[buckets] - (np.cumsum(depth) - depth), depth) + np.arange(depth.sum())
+        return np.repeat(np.arange(len(buckets)), depth), self.node[at], self.right[at]
+
+
+def summed(rows: np.ndarray, columns, n: int):
+    """The different rows of 0 .. n-1, ascending, and each column's sums over them."""
+    found = np.flatnonzero(np.bincount(rows, minlength=n))
+    return found, np.stack([np.bincount(rows, c, n)[found].astype(np.float32) for c in columns])
+
+
 class Network:
     def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
-        self.shapes = [(EMBEDDED + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+        self.shapes = [(EMBEDDED + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (FORK + 1, BUCKETS)]
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([rng.normal(0, 0.5 if i == 0 else s[0] ** -0.5, s).ravel() if len(s) == 2 else np.zeros(s) for i, s in enumerate(self.shapes)]).astype(np.float32)
-        self.flat = flat
-        self.e, self.w, self.b, self.u, self.c = self._views(flat)
+            flat = np.concatenate([rng.normal(0, 0.5 if i == 0 else s[0] ** -0.5, s).ravel() if len(s) == 2 and i < 5 else np.zeros(np.prod(s)) for i, s in enumerate(self.shapes)]).astype(np.float32)
+        self.flat, self.seen = flat, None
+        self.e, self.w, self.b, self.u, self.c, self.v = self._views(flat)
 
     def _views(self, flat):
         out, at = [], 0
@@ -74,28 +115,52 @@ class Network:
         z -= z.max(1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def train(self, windows: np.ndarray, classes: np.ndarray) -> None:
+    def turns(self, h: np.ndarray, buckets: np.ndarray, trees: Trees):
+        """The forks to the buckets, as the trees give them, and the log-odds of right; by columns, the
+        trees' weights and the hidden layer there."""
+        which, node, right = trees.forks(buckets)
+        v, x = [c[node] for c in self.v], [c[which] for c in np.ascontiguousarray(h.T[:FORK])]
+        z = trees.odds[node] + v[-1]
+        for p, q in zip(v, x):
+            z += p * q
+        return which, node, right, v, x, z
+
+    def log_within(self, h: np.ndarray, buckets: np.ndarray, trees: Trees) -> np.ndarray:
+        """log P(bucket | class, window)."""
+        which, _, right, _, _, z = self.turns(h, buckets, trees)
+        z *= 1 - 2 * right
+        return -np.bincount(which, np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), len(buckets))
+
+    def train(self, windows: np.ndarray, buckets: np.ndarray, trees: Trees) -> None:
         """One pass of Adagrad over the examples in their order."""
-        seen = Network(np.full_like(self.flat, 1e-2))
+        if self.seen is None:
+            self.seen = Network(np.full_like(self.flat, 1e-2))
+        seen = self.seen
         step = lambda p, a, g: (np.add(a, g * g, out=a), np.subtract(p, RATE * g / np.sqrt(a), out=p))
-        for k in range(0, len(classes), BATCH):
-            window, target = windows[k : k + BATCH], classes[k : k + BATCH]
+
+        def sparse(p, a, rows, columns):
+            rows, g = summed(rows, columns, p.shape[1])
+            a[:, rows] = now = a[:, rows] + g * g
+            p[:, rows] -= RATE * g / np.sqrt(now)
+
+        for k in range(0, len(buckets), BATCH):
+            window, target = windows[k : k + BATCH], buckets[k : k + BATCH]
             x, h, logp = self.log_classes(window)
             z = np.exp(logp)
-            z[np.arange(len(target)), target] -= 1
+            z[np.arange(len(target)), trees.of[target]] -= 1
             z /= len(target) ** 0.5
-            g = (z @ self.u.T) * (1 - h * h)
+            which, node, right, v, turned, odds = self.turns(h, target, trees)
+            off = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - right) / np.float32(len(target) ** 0.5)
+            gh = z @ self.u.T
+            gh[:, :FORK] += np.stack([np.bincount(which, off * c, len(target)) for c in v[:-1]], axis=1).astype(np.float32)
+            sparse(self.v, seen.v, node, [*(off * c for c in turned), off])
+            g = gh * (1 - h * h)
             step(self.u, seen.u, h.T @ z)
             step(self.c, seen.c, z.sum(0))
             gx = (g @ self.w.T).reshape(-1, WIDTH)
             step(self.w, seen.w, x.T @ g)
             step(self.b, seen.b, g.sum(0))
-            rows, where = np.unique(window, return_inverse=True)
-            ge = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(ge, where.ravel(), gx)
-            a = seen.e[rows] + ge * ge
-            seen.e[rows] = a
-            self.e[rows] -= RATE * ge / np.sqrt(a)
+            sparse(self.e.T, seen.e.T, window.ravel(), gx.T)
 
 
 def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -141,52 +206,62 @@ def _averaged(parts: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
     context = docs.sparkSession.sparkContext
     flat = Network().flat
-    of = class_table(counts)[0]
+    plain = docs.select("text").coalesce(max(1, int(counts.sum()) // TASK_TOKENS))
     for r in range(rounds):
-        shared = context.broadcast((flat, of))
+        shared = context.broadcast((flat, counts))
 
         def run(batches, r=r, shared=shared):
-            flat, of = shared.value
-            net, n = Network(flat.copy()), 0
-            for batch in batches:
-                found = [tokens(t) for t in texts(batch)]
-                picked = [np.arange((k * 5 + r * 3) % STRIDE, len(ids), STRIDE) for k, ids in enumerate(found)]
-                if sum(map(len, picked)):
-                    w = np.concatenate([windows(ids, at) for ids, at in zip(found, picked)])
-                    c = of[np.concatenate([ids[at] for ids, at in zip(found, picked)])]
-                    order = np.random.default_rng(r).permutation(len(c))
-                    net.train(w[order], c[order])
-                    n += len(c)
+            flat, counts = shared.value
+            net, n, trees = Network(flat.copy()), 0, Trees(counts)
+            for whole in batches:
+                for k in range(0, whole.num_rows, SLICE):
+                    w, ids = examples([tokens(t) for t in texts(whole.slice(k, SLICE))], r, rounds)
+                    order = np.random.default_rng(r).permutation(len(ids))
+                    net.train(w[order], ids[order], trees)
+                    n += len(ids)
             if n:
                 pid = TaskContext.get().partitionId()
                 blocks = np.array_split(net.flat, BLOCKS)
                 yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pid] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "pid", "n", "x"])
 
-        parts = materialize(docs.select("text").mapInArrow(run, "block int, pid int, n long, x binary"), "lm-round")
+        parts = materialize(plain.mapInArrow(run, "block int, pid int, n long, x binary"), "lm-round")
         mean = _averaged(parts)
+        discard(parts)
         flat = flat if mean is None else mean
     return Network(flat)
 
 
-def likelihoods(found: list[np.ndarray], net: Network, of: np.ndarray, within: np.ndarray) -> np.ndarray:
+def examples(found: list[np.ndarray], r: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and buckets of the places that round r trains."""
+    picked = [np.arange((k * 5 + r * 3) % 8, len(ids), 8) for k, ids in enumerate(found)]
+    none = np.zeros(0, np.int32)
+    return np.concatenate([windows(none, none), *map(windows, found, picked)]), np.concatenate([none, *(ids[at] for ids, at in zip(found, picked))])
+
+
+def likelihoods(found: list[np.ndarray], net: Network, trees: Trees) -> np.ndarray:
     """The summed conditional log-probabilities of each token sequence."""
     out = np.zeros(len(found))
-    for k, ids in enumerate(found):
-        for at in range(0, len(ids), _CHUNK):
-            place = np.arange(at, min(at + _CHUNK, len(ids)))
-            logp = net.log_classes(windows(ids, place))[2]
-            own = ids[place]
-            out[k] += float(logp[np.arange(len(own)), of[own]].sum(dtype=np.float64) + within[own].sum())
+    ids = np.concatenate([np.zeros(0, np.int32), *found])
+    window = np.concatenate([windows(ids[:0], ids[:0]), *(windows(x, np.arange(len(x))) for x in found)])
+    of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    for at in range(0, len(ids), _CHUNK):
+        own = ids[at : at + _CHUNK]
+        _, h, logp = net.log_classes(window[at : at + _CHUNK])
+        each = logp[np.arange(len(own)), trees.of[own]] + net.log_within(h, own, trees)
+        out += np.bincount(of[at : at + _CHUNK], each, len(found))
     return out
 
 
 def score(docs: DataFrame, net: Network, counts: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((net.flat, *class_table(counts)))
+    shared = docs.sparkSession.sparkContext.broadcast((net.flat, counts))
+    trees: list[Trees] = []  # made once by each task
 
     def run(batch):
-        flat, of, within = shared.value
+        flat, counts = shared.value
+        if not trees:
+            trees.append(Trees(counts))
         found = [tokens(t) for t in texts(batch)]
-        n, total = [len(x) for x in found], likelihoods(found, Network(flat), of, within)
+        n, total = [len(x) for x in found], likelihoods(found, Network(flat), trees[0])
         return {"doc_id": batch.column("doc_id"), "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": [t / k if k else None for t, k in zip(total, n)]}
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")

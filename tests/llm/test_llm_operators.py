@@ -429,6 +429,26 @@ def test_likelihood_prefers_order_and_matches_by_hand(spark):
     assert np.exp(within).sum() == pytest.approx(len(set(of)), rel=1e-6)
 
 
+def test_likelihood_tells_words_of_one_class_apart(spark):
+    """Far more words than classes, all equally frequent: in each pair of documents the other half of
+    a fixed pair stands in one place, a word of the same count and class."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"{side}{k}" for k in rng.integers(0, 1000, 60) for side in "ab")) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = lm.bucket_counts(d)
+    net, trees = lm.train(d, counts, rounds=1), lm.Trees(counts)
+    of, within = lm.class_table(counts)
+    assert np.bincount(of[counts > 0]).max() > 20
+    # without the hidden layer the trees give the counts' shares, with any they sum to one in each class
+    every = np.arange(lm.BUCKETS)
+    assert net.log_within(np.zeros((1, lm.HIDDEN), np.float32).repeat(len(every), 0), every, trees).shape == every.shape
+    assert lm.Network().log_within(np.zeros((len(every), lm.HIDDEN), np.float32), every, trees) == pytest.approx(within, abs=1e-4)
+    h = np.tanh(rng.normal(0, 1, (1, lm.HIDDEN))).astype(np.float32).repeat(len(every), 0)
+    p = net.log_within(h, every, trees)
+    assert np.bincount(of, np.exp(p)) == pytest.approx(np.ones(of.max() + 1), abs=1e-3)
+    assert np.abs(p - within)[counts > 0].max() > 0.1
+
+
 def test_likelihood_empty_table(spark):
     assert lm.pseudo_likelihood(spark.createDataFrame([], EMPTY)).count() == 0
 
