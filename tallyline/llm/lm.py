@@ -7,8 +7,8 @@ token's probability is P(class | window) * P(bucket | class, window), both from
 embedding for each hashed neighbour, one hidden layer, a softmax over the classes, and below each
 class a binary tree with its buckets as leaves, at whose every fork the hidden layer moves the odds
 that the counts give (a hierarchical softmax: over all buckets the probabilities sum to 1). The
-network is trained in numpy where the documents lie: every task passes over its own documents,
-taking every eighth position, and after each round the tasks'
+network is trained in numpy where the documents lie, on every position once: every task passes over
+its own documents, each round taking another share of their places, and after each round the tasks'
 parameters are averaged block by block through shuffles in which no group has more than FAN members.
 What is gathered thus grows with the corpus, while only the averaged parameters, of fixed size, reach
 the driver.
@@ -34,6 +34,7 @@ CLASSES = 64
 SIDE = 2
 #: FORK of the HIDDEN units also steer the trees.
 WIDTH, HIDDEN, FORK = 8, 16, 8
+#: Each round trains every ROUNDS-th place, from another one on: after all of them each was used once.
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Small tables are trained by fewer tasks, so that each has about so many tokens.
 TASK_TOKENS = 1 << 19
@@ -233,7 +234,7 @@ def train(docs: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
 
 def examples(found: list[np.ndarray], r: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows and buckets of the places that round r trains."""
-    picked = [np.arange((k * 5 + r * 3) % 8, len(ids), 8) for k, ids in enumerate(found)]
+    picked = [np.arange((k + r) % rounds, len(ids), rounds) for k, ids in enumerate(found)]
     none = np.zeros(0, np.int32)
     return np.concatenate([windows(none, none), *map(windows, found, picked)]), np.concatenate([none, *(ids[at] for ids, at in zip(found, picked))])
 

@@ -449,6 +449,12 @@ def test_likelihood_tells_words_of_one_class_apart(spark):
     assert np.abs(p - within)[counts > 0].max() > 0.1
 
 
+def test_every_position_is_trained_once():
+    found = [np.arange(n, dtype=np.int32) + 100 * n for n in (0, 1, 2, 3, 7, 40)]
+    seen = np.concatenate([lm.examples(found, r, lm.ROUNDS)[1] for r in range(lm.ROUNDS)])
+    assert sorted(seen.tolist()) == sorted(np.concatenate(found).tolist())
+
+
 def test_likelihood_empty_table(spark):
     assert lm.pseudo_likelihood(spark.createDataFrame([], EMPTY)).count() == 0
 
