@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text; a line of more than BLOCK words is read as windows of BLOCK words,
-each starting half a window after the one before. A template is contained in a block if at least
+each starting half a window after the one before. A notice may be wrapped over lines, so such windows
+over the words of the whole text, line ends ignored, are blocks as well; they are wide enough that
+half of one holds the longest template. A template is contained in a block if at least
 CONTAINED of its distinct words occur there. Words are put in one global order, rarest in the
 corpus first. A template of m words that needs o = ceil(CONTAINED * m) of them in common must share
 one of its first m - o + 1 words with the block (prefix filter), the block needs at least o words
@@ -63,6 +65,11 @@ def blocks(text: bytes) -> list[list[bytes]]:
     return [b for b in out if b]
 
 
+def across(every: list[bytes], width: int) -> list[list[bytes]]:
+    """Windows of the whole word sequence; any width // 2 words in a row lie in one of them."""
+    return [every[k : k + width] for k in range(0, max(len(every) - width // 2, 1), width // 2)]
+
+
 class Index:
     """Templates with their words in global order, and where each prefix word occurs."""
 
@@ -71,6 +78,7 @@ class Index:
         self.order = {w: k for k, w in enumerate(sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = [(label, sorted(s, key=self.order.get)) for label, s in sets if s]
         self.sets = [frozenset(t) for _, t in self.templates]
+        self.width = max(BLOCK, 2 * max((len(words(t.encode())) for _, t in templates), default=0))
         self.need = [ceil(contained * len(t) - 1e-9) for _, t in self.templates]
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, t) in enumerate(self.templates):
@@ -116,7 +124,8 @@ def scan(text: bytes, index: Index) -> tuple:
             seen = at + 1
     labels, score = set(base), 1.0 if base else 0.0
     if not index.prefix.keys().isdisjoint(every):
-        for block in blocks(text):
+        lines = blocks(text)
+        for block in lines if len(lines) == 1 and len(every) <= BLOCK else lines + across(every, index.width):
             found = index.matches(block)
             score = max([score, *found.values()])
             labels |= index.named(block, found)

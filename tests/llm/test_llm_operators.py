@@ -3,6 +3,7 @@ texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
 import math
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -393,6 +394,19 @@ def test_filters_lose_no_match(block, contained):
     assert index.matches(block) == want
 
 
+@pytest.mark.parametrize("columns", [30, 70, 80])
+def test_wrapped_notices_are_found(columns):
+    index = licenses.Index(licenses.TEMPLATES, {})
+    for label, notice in licenses.TEMPLATES:
+        for before in range(0, 70, 7):
+            text = "\n".join(textwrap.wrap(" ".join(["blah"] * before + [notice] + ["more"] * 40), columns, break_long_words=False))
+            *_, labels, score = licenses.scan(text.encode(), index)
+            assert label in labels.split(",") and score == 1.0
+    long = " ".join(f"w{k}" for k in range(150))
+    wrapped = "\n".join(textwrap.wrap("x " * 100 + long, 70)).encode()
+    assert licenses.scan(wrapped, licenses.Index((("own", long),), {}))[5:] == ("own", 1.0)
+
+
 def test_every_place_of_a_phrase_counts():
     text = ("mit license mit license " * 3000 + "x general public license").encode()
     n_words, n_base, first, last, base, *_ = licenses.scan(text, licenses.Index(licenses.TEMPLATES, {}))
