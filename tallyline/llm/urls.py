@@ -1,8 +1,8 @@
 """URL filters: rules first, then a path-template tree for each host.
 
 A path's segments become templates level by level: numbers and long hexadecimal words are
-wildcards by their form; a literal segment is one if its parent has more than BRANCHES different
-children. Sibling branches whose labelled block rates do not differ significantly are merged. The
+wildcards by their form; where a parent has more than BRANCHES different children, those literal
+ones are that have neither ENOUGH pages or labels nor a block rate apart from their siblings'. Sibling branches whose labelled block rates do not differ significantly are merged. The
 rules' verdicts label the pages they fit; a template is rejected if its purity, the share of blocked
 among its labelled pages, smoothed towards its parent branch, its host, the same template on all
 hosts and the corpus in turn, exceeds REJECT.
@@ -13,15 +13,17 @@ a row for each of its templates.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Children of one parent beyond which a segment is variable.
+#: Children of one parent beyond which the rare ones are variable.
 BRANCHES = 20
+#: Pages, or labels, with which a child stays literal; with FEW labels it does if its rate stands apart.
+ENOUGH, FEW = 20, 5
 #: Segments that the tree tells apart; those after them count as one.
 LEVELS = 6
 SMOOTH = 4.0
@@ -58,50 +60,76 @@ def _segments():
     return F.when(F.size(parts) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Siblings (at most BRANCHES and the wildcards) by rising block rate: neighbours that do not
-    differ share their counts."""
-    rows = rows.sort_values(["rate", "child"], kind="stable").reset_index(drop=True)
-    group, n, b = [], 0.0, 0.0
-    for k, r in rows.iterrows():
-        if k and r.labelled and n:
-            pooled = (b + r.blocked) / (n + r.labelled)
-            error = (pooled * (1 - pooled) * (1 / n + 1 / r.labelled)) ** 0.5
-            alike = abs(b / n - r.blocked / r.labelled) <= APART * error
-        else:
-            alike = False
-        if alike:
-            n, b = n + r.labelled, b + r.blocked
-            group.append(group[-1])
-        else:
-            n, b = r.labelled, r.blocked
-            group.append(k)
-    rows["branch"] = group
-    sums = rows.groupby("branch")[["labelled", "blocked"]].transform("sum")
-    return rows[["host", "prefix"]].assign(labelled=sums.labelled.astype(float), blocked=sums.blocked.astype(float))
+def _apart(labelled, blocked, other_labelled, other_blocked):
+    """Whether two block rates differ by more than APART standard errors; null without labels."""
+    pooled = (blocked + other_blocked) / F.nullif(labelled + other_labelled, F.lit(0))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(labelled, F.lit(0)) + 1 / F.nullif(other_labelled, F.lit(0))))
+    return F.abs(blocked / F.nullif(labelled, F.lit(0)) - other_blocked / F.nullif(other_labelled, F.lit(0))) > APART * error
+
+
+def templates(counts: DataFrame) -> DataFrame:
+    """Adds to counts (host, form, n, labelled, blocked) the template of each form, level by level. A
+    branch with at most BRANCHES forms has no wide parent below it, so its forms end there as they
+    are; the loop goes on while others have a further level."""
+    level, done, k = counts.withColumn("template", F.array().cast("array<string>")), None, 0
+    at = ["host", "template"]
+    while True:
+        wide = level.groupBy(*at).agg(F.count("*").alias("forms")).filter(F.col("forms") > BRANCHES).select(*at, F.lit(True).alias("wide"))
+        level = level.join(wide, at, "left").withColumn("child", F.get("form", F.lit(k)))
+        children = level.filter("wide and child is not null").groupBy(*at, "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        every = children.groupBy(*at).agg(F.count("*").alias("children"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).filter(F.col("children") > BRANCHES)
+        apart = (F.col("labelled") >= FEW) & F.coalesce(_apart(F.col("labelled"), F.col("blocked"), F.col("l") - F.col("labelled"), F.col("b") - F.col("blocked")), F.lit(False))
+        keeps = (F.col("n") >= ENOUGH) | (F.col("labelled") >= ENOUGH) | apart | F.col("child").startswith("{")
+        rare = children.join(every, at).filter(~keeps).select(*at, "child", F.lit(True).alias("rare"))
+        level = level.join(rare, [*at, "child"], "left")
+        deeper = F.coalesce("wide", F.lit(False)) & (F.size("form") > k + 1)
+        step = F.when(F.col("rare"), F.array(F.lit("*"))).otherwise(F.slice("form", k + 1, 1))
+        rest = F.slice("form", F.lit(k + 1), F.greatest(F.size("form") - k, F.lit(0)))
+        level = level.select("host", "form", "n", "labelled", "blocked", F.concat("template", F.when(F.col("wide"), step).otherwise(rest)).alias("template"), deeper.alias("deeper"))
+        level = materialize(level, "url-tree")
+        ended = level.filter("not deeper").drop("deeper")
+        done, level, k = ended if done is None else done.unionByName(ended), level.filter("deeper").drop("deeper"), k + 1
+        if level.isEmpty():
+            return done
+
+
+_NODES = "host string, parent array<string>, depth int, prefix array<string>, labelled double, blocked double"
+
+
+def _branches(nodes: DataFrame) -> DataFrame:
+    """Adds branch to the nodes: siblings by rising block rate, of which neighbours that do not differ
+    are one branch. They pass in Spark's order, batch by batch, so that a parent may have any number."""
+
+    def run(batches):
+        at, group, n, b = object(), 0, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for host, parent, depth, labelled, blocked in zip(*(batch.column(c).to_pylist() for c in ("host", "parent", "depth", "labelled", "blocked"))):
+                alike = False
+                if at == (host, parent, depth) and labelled and n:
+                    pooled = (b + blocked) / (n + labelled)
+                    alike = abs(b / n - blocked / labelled) <= APART * (pooled * (1 - pooled) * (1 / n + 1 / labelled)) ** 0.5
+                group, n, b = (group, n + labelled, b + blocked) if alike else (group + 1 if at == (host, parent, depth) else 0, labelled, blocked)
+                at = (host, parent, depth)
+                out.append(group)
+            kept = batch.select(["host", "parent", "depth", "prefix", "labelled", "blocked"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int64())], names=[*kept.schema.names, "branch"])
+
+    key = ["host", "parent", "depth"]
+    return nodes.repartition(*key).sortWithinPartitions(*key, "rate", "child").select(*key, "prefix", "labelled", "blocked").mapInArrow(run, _NODES + ", branch long")
 
 
 def template_purity(counts: DataFrame) -> DataFrame:
     """From counts (host, form, n, labelled, blocked) to (host, form, template, purity)."""
-    tree = counts.withColumn("template", F.array().cast("array<string>"))
-    for k in range(LEVELS + 1):
-        child = F.get("form", F.lit(k))
-        many = tree.filter(child.isNotNull()).select("host", "template", child.alias("child")).distinct()
-        many = many.groupBy("host", "template").agg(F.count("*").alias("children")).filter(F.col("children") > BRANCHES)
-        tree = tree.join(many, ["host", "template"], "left").select("host", "form", "n", "labelled", "blocked", "template", "children")
-        wild = child.startswith("{") | (child == "**")
-        step = F.when(child.isNull(), F.array().cast("array<string>")).when(F.col("children").isNotNull() & ~wild, F.array(F.lit("*"))).otherwise(F.array(child))
-        tree = tree.withColumn("template", F.concat("template", step)).drop("children")
-        if k % 3 == 2:
-            tree = materialize(tree, "url-tree")
-    tree = materialize(tree, "url-tree")
+    tree = templates(counts)
     prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", 1, i))
     leaves = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
     paths = leaves.select("host", "template", "labelled", "blocked", F.explode(prefixes).alias("prefix"))
     nodes = paths.groupBy("host", "prefix").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))
     nodes = nodes.withColumn("child", F.coalesce(F.try_element_at("prefix", F.lit(-1)), F.lit(""))).withColumn("parent", F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0)))).withColumn("depth", F.size("prefix"))
     nodes = nodes.withColumn("rate", F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(-1.0))
-    merged = nodes.groupBy("host", "parent", "depth").applyInPandas(_merged, "host string, prefix array<string>, labelled double, blocked double")
+    parted, branch = materialize(_branches(nodes), "url-branches"), ["host", "parent", "depth", "branch"]
+    merged = parted.select(*branch, "prefix").join(parted.groupBy(*branch).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), branch).select("host", "prefix", "labelled", "blocked")
     whole = tree.agg(F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("l"))
     along = paths.select("host", "template", "prefix").join(merged, ["host", "prefix"])
     along = along.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct(F.size("prefix").alias("depth"), "labelled", "blocked"))).alias("steps"))

@@ -512,6 +512,16 @@ def test_unruled_pages_follow_their_template(spark):
     assert got.verdict[60] == "block" and got.verdict[61] == "allow" and got.rule.isna().sum() == 2
 
 
+def test_one_more_section_leaves_the_large_ones_literal(spark):
+    rules = (("block", "com", "/de/"), ("allow", "com", "/fr/"))
+    rows = [f"http://h.com/{x}/{i}" for x in ("de", "fr") for i in range(60)] + [f"http://h.net/{x}/{i}" for x in ("de", "fr") for i in range(60)]
+    rows += [f"http://h.net/section{i}/1" for i in range(30)]
+    d = spark.createDataFrame([*enumerate(rows)], "page_id long, url string")
+    got = run(urls.judge(d, rules)).sort_values("page_id")
+    assert got.verdict.tolist()[:240] == (["block"] * 60 + ["allow"] * 60) * 2
+    assert got.template.tolist() == (["/de/{n}"] * 60 + ["/fr/{n}"] * 60) * 2 + ["/*/{n}"] * 30
+
+
 # --- 9 fingerprints -------------------------------------------------------------------------------------------
 
 
