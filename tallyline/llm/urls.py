@@ -24,8 +24,6 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 BRANCHES = 20
 #: Pages, or labels, with which a child stays literal; with FEW labels it does if its rate stands apart.
 ENOUGH, FEW = 20, 5
-#: Segments that the tree tells apart; those after them count as one.
-LEVELS = 6
 SMOOTH = 4.0
 REJECT = 0.5
 #: Two branches differ if their rates are so many standard errors apart.
@@ -53,11 +51,10 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _segments():
-    """The path's first LEVELS segments, wildcards by form already put in; one more stands for the rest."""
+    """The path's segments, wildcards by form already put in."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     form = lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{x}")).otherwise(s)
-    head = F.transform(F.slice(parts, 1, LEVELS), form)
-    return F.when(F.size(parts) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(parts, form)
 
 
 def _apart(labelled, blocked, other_labelled, other_blocked):

@@ -522,6 +522,14 @@ def test_one_more_section_leaves_the_large_ones_literal(spark):
     assert got.template.tolist() == (["/de/{n}"] * 60 + ["/fr/{n}"] * 60) * 2 + ["/*/{n}"] * 30
 
 
+def test_branches_that_differ_far_down_are_told_apart(spark):
+    rules = (("block", "h.com", "/a/b/c/d/e/f/g/bad/"), ("allow", "h.com", "/a/b/c/d/e/f/g/good/"))
+    rows = [f"http://h.{top}/a/b/c/d/e/f/g/{x}/{i}" for top in ("com", "net") for x in ("bad", "good") for i in range(40)]
+    got = run(urls.judge(spark.createDataFrame([*enumerate(rows)], "page_id long, url string"), rules)).sort_values("page_id")
+    assert got.verdict.tolist() == (["block"] * 40 + ["allow"] * 40) * 2
+    assert set(got.template) == {"/a/b/c/d/e/f/g/bad/{n}", "/a/b/c/d/e/f/g/good/{n}"}
+
+
 # --- 9 fingerprints -------------------------------------------------------------------------------------------
 
 
