@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,24 +71,30 @@ def elo(matches: DataFrame, k: float = ELO_K) -> DataFrame:
     """Ratings before each match: (pool, match_id, before1, before2), from (pool, date, match_id, team1,
     team2, winner, tied). A tie counts half, a match without result changes nothing.
 
-    Each rating depends on all earlier ones, so a pool (here a gender, of bounded fixture lists) is
-    folded in order in one group.
+    Each rating depends on all earlier ones, so a pool is folded in order by one task. Spark sorts its
+    matches (spilling to disk) and they pass batch by batch: only the teams' ratings are held.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "match_id"])
-        rating: dict[str, float] = {}
-        before = []
-        for a, b, winner, tied in zip(pdf.team1, pdf.team2, pdf.winner, pdf.tied):
-            ra, rb = rating.get(a, ELO_START), rating.get(b, ELO_START)
-            before.append((ra, rb))
-            if tied or isinstance(winner, str):
-                gain = k * ((0.5 if tied else float(winner == a)) - 1 / (1 + 10 ** ((rb - ra) / ELO_SCALE)))
-                rating[a], rating[b] = ra + gain, rb - gain
-        return pd.DataFrame({"pool": pdf.pool, "match_id": pdf.match_id, "before1": [x for x, _ in before], "before2": [y for _, y in before]})
+    schema = "pool string, match_id long, before1 double, before2 double"
+
+    def fold(batches):
+        at, rating = object(), {}
+        for batch in batches:
+            c = {name: batch.column(name).to_pylist() for name in columns}
+            before = []
+            for pool, a, b, winner, tied in zip(c["pool"], c["team1"], c["team2"], c["winner"], c["tied"]):
+                if pool != at:
+                    at, rating = pool, {}
+                ra, rb = rating.get(a, ELO_START), rating.get(b, ELO_START)
+                before.append((ra, rb))
+                if tied or winner is not None:
+                    gain = k * ((0.5 if tied else float(winner == a)) - 1 / (1 + 10 ** ((rb - ra) / ELO_SCALE)))
+                    rating[a], rating[b] = ra + gain, rb - gain
+            out = [pa.array(c["pool"], pa.string()), pa.array(c["match_id"], pa.int64()), *(pa.array([x[i] for x in before], pa.float64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(out, names=["pool", "match_id", "before1", "before2"])
 
     columns = ["pool", "date", "match_id", "team1", "team2", "winner", "tied"]
-    return matches.select(*columns).groupBy("pool").applyInPandas(fold, "pool string, match_id long, before1 double, before2 double")
+    ordered = matches.select(*columns).withColumn("match_id", F.col("match_id").cast("long")).repartition("pool")
+    return ordered.sortWithinPartitions("pool", F.asc_nulls_last("date"), F.asc_nulls_last("match_id")).mapInArrow(fold, schema)
 
 
 def logistic(features: Sequence[str], mean: Sequence[float], scale: Sequence[float], weights: Sequence[float], intercept: float) -> Column:

@@ -160,6 +160,26 @@ def test_elo_and_trees(spark):
     assert [r[0] for r in x.select(models.tree_scorer(model, ["a", "b"])).collect()] == [-0.5, 2.5, 3.5, -0.5]
 
 
+def test_elo_holds_no_pool(spark):
+    """Small batches, pools that share a partition and teams: no group is gathered in one call."""
+    given = [(f"p{i % 3}", f"2024-01-{1 + i * 7 % 28:02d}", i, "ABCD"[i % 4], "ABCD"[(i + 1 + i // 4 % 3) % 4], None if i % 9 == 0 else "ABCD"[i % 4], i % 11 == 0) for i in range(200)]
+    m = spark.createDataFrame(given, "pool string, date string, match_id long, team1 string, team2 string, winner string, tied boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = models.elo(m)
+        got = rows(df, "match_id")
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rating = {}
+    for pool, _, i, a, b, winner, tied in sorted(given, key=lambda r: r[:3]):
+        ra, rb = rating.get((pool, a), 1500.0), rating.get((pool, b), 1500.0)
+        assert (got[i].before1, got[i].before2) == pytest.approx((ra, rb))
+        if tied or winner:
+            gain = 24.0 * ((0.5 if tied else float(winner == a)) - 1 / (1 + 10 ** ((rb - ra) / 400.0)))
+            rating[pool, a], rating[pool, b] = ra + gain, rb - gain
+
+
 def test_models_train(spark):
     d = spark.range(400).select((F.rand(1) * 4).alias("a"), F.when(F.rand(2) > 0.1, F.rand(3)).alias("b")).withColumn("y", (F.col("a") > 2).cast("double"))
     scored = models.train_win_model(d, ["a", "b"]).transform(d)
