@@ -126,10 +126,13 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """Learns from at most train_rows labelled documents outside the held-out fold. Null labels and
-    labels without a document teach nothing; of a repeated doc_id the largest label counts."""
+    labels without a document teach nothing and use up nothing of the bound; of a repeated doc_id the
+    largest label counts and, of its documents, the one whose text is smallest."""
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = known.filter(~held_out(F.col("doc_id"))).join(plain.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = plain.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batch):
         return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": [terms(x) for x in texts(batch)]}

@@ -266,6 +266,18 @@ def test_toxicity_held_out_accuracy_and_edges(spark):
     assert set(run(toxicity.toxicity(d, lab.limit(0))).score) == {0.5}
 
 
+def test_training_bound_counts_documents(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(toxicity, "learn", lambda sets, labels: learned.append(labels) or toxicity.Machine(np.zeros(0, np.int32)))
+    d = spark.createDataFrame([(i, "plain words") for i in range(100)] + [(1, f"again {k}") for k in range(50)], "doc_id long, text string")
+    toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int"), 60)
+    assert len(learned[0]) == 60
+    free = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    d = spark.createDataFrame([(free, f"again {k}") for k in range(50)], "doc_id long, text string")
+    toxicity.train(d, spark.createDataFrame([(free, 1)], "doc_id long, toxic int"), 60)
+    assert len(learned[1]) == 1
+
+
 def test_held_out_labels_are_not_learned(spark):
     rows = [(i, "nasty words here" if i % 2 else "plain words here") for i in range(200)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
