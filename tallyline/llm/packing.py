@@ -52,8 +52,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def whole_file(vocabulary: str):
+    """The tokenizers file itself, run by the tokenizers library."""
+    if ("file", vocabulary) not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        _ENCODERS["file", vocabulary] = Tokenizer.from_file(vocabulary)
+    return _ENCODERS["file", vocabulary]
+
+
 def document_ids(text: str | None, vocabulary: str) -> np.ndarray:
-    ids = encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all")
+    """The text's ids and the end's. The rank file's pattern backtracks over runs of white space and
+    gives up on those of about a million (ValueError); the tokenizers file then does the text."""
+    try:
+        ids = encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:
+        ids = whole_file(vocabulary).encode(text, add_special_tokens=False).ids
     return np.append(ids, END).astype("<u4")
 
 

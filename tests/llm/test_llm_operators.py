@@ -655,6 +655,12 @@ def test_rank_file_gives_the_tokenizers_ids(text):
 _CACHE: dict = {}
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "\r\n" * 1_000_000, "ab" * 1_000_000, "word " * 9 + "\t" * 1_500_000 + "x " * 9])
+def test_very_long_runs_and_words_give_the_tokenizers_ids(text):
+    tokenizer = packing.whole_file(packing.default_vocabulary())
+    assert packing.document_ids(text, packing.default_vocabulary()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_edges(spark):
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
     odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], "doc_id long, text string")
