@@ -7,21 +7,22 @@ token's probability is P(class | window) * P(bucket | class, window), both from
 embedding for each hashed neighbour, one hidden layer, a softmax over the classes, and below each
 class a binary tree with its buckets as leaves, at whose every fork the hidden layer moves the odds
 that the counts give (a hierarchical softmax: over all buckets the probabilities sum to 1). The
-network is trained in numpy where the documents lie, on every position once: every task passes over
-its own documents, each round taking another share of their places, and after each round the tasks'
-parameters are averaged block by block through shuffles in which no group has more than FAN members.
-What is gathered thus grows with the corpus, while only the averaged parameters, of fixed size, reach
-the driver.
+network is trained in numpy on every position once. Documents are dealt by their hashes to shards of
+about SHARD_TOKENS tokens, which a task walks in the order of the hashes, so that the parameters do
+not depend on how the table was partitioned; each round takes another share of the places, and after
+it the shards' parameters are averaged block by block through shuffles in which no group has more
+than FAN members. What is gathered thus grows with the corpus, while only the averaged parameters, of
+fixed size, reach the driver. Texts are read and hashed once; counts, rounds and scores use the tokens.
 """
 
 from __future__ import annotations
 
 import zlib
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,13 @@ from .common import SLICE, discard, map_arrow, materialize, texts
 BUCKETS = 1 << 16
 #: Embeddings: one for each of these hashes, and one for the place beyond a document's ends.
 EMBEDDED = 1 << 13
-CLASSES = 64
+CLASSES = 32
 SIDE = 2
 #: FORK of the HIDDEN units also steer the trees.
-WIDTH, HIDDEN, FORK = 8, 16, 8
+WIDTH, HIDDEN, FORK = 8, 16, 4
 #: Each round trains every ROUNDS-th place, from another one on: after all of them each was used once.
 ROUNDS, BATCH, RATE = 2, 4096, 0.1
-#: Small tables are trained by fewer tasks, so that each has about so many tokens.
-TASK_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 21
 BLOCKS, FAN = 16, 32
 _CHUNK = 1 << 12
 
@@ -170,17 +170,31 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + SIDE + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
+def tokenized(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the row), ids (its tokens as 16-bit numbers) of every row."""
+
+    def run(batch):
+        ids = [tokens(t).astype("<u2").tobytes() for t in texts(batch)]
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "ids": ids}
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return materialize(map_arrow(plain, run, "doc_id long, key long, ids binary"), "lm-tokens")
+
+
+def sequences(column: pa.Array) -> list[np.ndarray]:
+    """The token sequences of a column ids."""
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
+
+
+def bucket_counts(tokens: DataFrame) -> np.ndarray:
     """How often each bucket occurs in the whole corpus."""
 
     def run(batch):
-        n = np.zeros(BUCKETS, np.int64)
-        for text in texts(batch):
-            np.add.at(n, tokens(text), 1)
+        n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=BUCKETS)
         found = np.flatnonzero(n)
         return {"bucket": found, "n": n[found]}
 
-    rows = map_arrow(docs.select("text"), run, "bucket int, n long", rows=None).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_arrow(tokens.select("ids"), run, "bucket int, n long", rows=None).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -190,9 +204,10 @@ def _averaged(parts: DataFrame) -> np.ndarray:
     """The mean of the tasks' parameters, weighted by their examples, in a tree of groups of FAN."""
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pid")
         total = sum(n * np.frombuffer(x, np.float32).astype(np.float64) for n, x in zip(pdf.n, pdf.x))
         n = pdf.n.sum()
-        return pd.DataFrame({"block": pdf.block[:1], "pid": pdf.pid[:1] // FAN, "n": [n], "x": [(total / max(n, 1)).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"block": [pdf.block.iloc[0]], "pid": [pdf.pid.iloc[0] // FAN], "n": [n], "x": [(total / max(n, 1)).astype(np.float32).tobytes()]})
 
     schema = "block int, pid int, n long, x binary"
     while True:
@@ -204,28 +219,45 @@ def _averaged(parts: DataFrame) -> np.ndarray:
         parts = materialize(level, "lm-level")
 
 
-def train(docs: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
-    context = docs.sparkSession.sparkContext
+def train(tokens: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Network:
+    context = tokens.sparkSession.sparkContext
     flat = Network().flat
-    plain = docs.select("text").coalesce(max(1, int(counts.sum()) // TASK_TOKENS))
+    shards = max(1, ceil(int(counts.sum()) / SHARD_TOKENS))
+    dealt = tokens.filter("length(ids) > 0").select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "ids")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key")
     for r in range(rounds):
         shared = context.broadcast((flat, counts))
 
         def run(batches, r=r, shared=shared):
             flat, counts = shared.value
-            net, n, trees = Network(flat.copy()), 0, Trees(counts)
-            for whole in batches:
-                for k in range(0, whole.num_rows, SLICE):
-                    w, ids = examples([tokens(t) for t in texts(whole.slice(k, SLICE))], r, rounds)
-                    order = np.random.default_rng(r).permutation(len(ids))
-                    net.train(w[order], ids[order], trees)
-                    n += len(ids)
-            if n:
-                pid = TaskContext.get().partitionId()
-                blocks = np.array_split(net.flat, BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pid] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "pid", "n", "x"])
+            at, net, n, held, trees = None, None, 0, [], Trees(counts)
 
-        parts = materialize(plain.mapInArrow(run, "block int, pid int, n long, x binary"), "lm-round")
+            def learn():
+                w, ids = examples(held, r, rounds)
+                order = np.random.default_rng(r).permutation(len(ids))
+                net.train(w[order], ids[order], trees)
+                held.clear()
+                return len(ids)
+
+            def learned():
+                blocks = np.array_split(net.flat, BLOCKS)
+                return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([at] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "pid", "n", "x"])
+
+            for batch in batches:
+                for shard, ids in zip(batch.column("shard").to_pylist(), sequences(batch.column("ids"))):
+                    if shard != at:
+                        if net:
+                            n += learn()
+                            yield learned()
+                        at, net, n = shard, Network(flat.copy()), 0
+                    held.append(ids)
+                    if len(held) == SLICE:
+                        n += learn()
+            if net:
+                n += learn()
+                yield learned()
+
+        parts = materialize(dealt.mapInArrow(run, "block int, pid int, n long, x binary"), "lm-round")
         mean = _averaged(parts)
         discard(parts)
         flat = flat if mean is None else mean
@@ -253,26 +285,28 @@ def likelihoods(found: list[np.ndarray], net: Network, trees: Trees) -> np.ndarr
     return out
 
 
-def score(docs: DataFrame, net: Network, counts: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((net.flat, counts))
+def score(tokens: DataFrame, net: Network, counts: np.ndarray) -> DataFrame:
+    shared = tokens.sparkSession.sparkContext.broadcast((net.flat, counts))
     trees: list[Trees] = []  # made once by each task
 
     def run(batch):
         flat, counts = shared.value
         if not trees:
             trees.append(Trees(counts))
-        found = [tokens(t) for t in texts(batch)]
+        found = sequences(batch.column("ids"))
         n, total = [len(x) for x in found], likelihoods(found, Network(flat), trees[0])
         return {"doc_id": batch.column("doc_id"), "n_tokens": n, "log_likelihood": total, "mean_log_likelihood": [t / k if k else None for t, k in zip(total, n)]}
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return map_arrow(tokens.select("doc_id", "ids"), run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_likelihood of every row.
 
     Null and empty texts have no tokens, sum 0 and null mean; repeated rows each get theirs; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Scores do not depend on the partitioning, but
+    for the last digits of sums in single precision.
     """
-    counts = bucket_counts(docs)
-    return score(docs, train(docs, counts), counts)
+    tokens = tokenized(docs)
+    counts = bucket_counts(tokens)
+    return score(tokens, train(tokens, counts), counts)

@@ -436,7 +436,7 @@ def test_likelihood_prefers_order_and_matches_by_hand(spark):
         at = int(rng.integers(12))
         rows.append((i, " ".join(cycle[(at + k) % 12] for k in range(80))))
     rows += [(1000, " ".join(rng.permutation(rows[0][1].split()))), (1001, None), (1002, ""), (1003, "T0")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    d = lm.tokenized(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     counts = lm.bucket_counts(d)
     assert counts.sum() == sum(len((t or "").split()) for _, t in rows)
     net = lm.train(d, counts)
@@ -444,13 +444,16 @@ def test_likelihood_prefers_order_and_matches_by_hand(spark):
     assert got.mean_log_likelihood[1000] < got.mean_log_likelihood[0] - 0.5
     assert got.n_tokens[1001] == 0 and got.log_likelihood[1001] == 0 and math.isnan(got.mean_log_likelihood[1002])
     of, within = lm.class_table(counts)
-    ids = lm.tokens(rows[7][1].encode())
+    ids, trees = lm.tokens(rows[7][1].encode()), lm.Trees(counts)
     total = 0.0
     for k, own in enumerate(ids):
         window = [int(ids[j]) & (lm.EMBEDDED - 1) if 0 <= j < len(ids) else lm.EMBEDDED for j in (k - 2, k - 1, k + 1, k + 2)]
         h = np.tanh(net.e[window].ravel() @ net.w + net.b)
         z = h @ net.u + net.c
-        total += z[of[own]] - np.log(np.exp(z).sum()) + within[own]
+        total += z[of[own]] - np.log(np.exp(z).sum())
+        for node, right in zip(*(x.tolist() for x in trees.forks(np.array([own]))[1:])):
+            odds = trees.odds[node] + net.v[-1, node] + sum(net.v[f, node] * h[f] for f in range(lm.FORK))
+            total -= np.log1p(np.exp(-odds if right else odds))
     assert got.log_likelihood[7] == pytest.approx(total, rel=1e-4)
     assert np.exp(within).sum() == pytest.approx(len(set(of)), rel=1e-6)
 
@@ -460,7 +463,7 @@ def test_likelihood_tells_words_of_one_class_apart(spark):
     a fixed pair stands in one place, a word of the same count and class."""
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"{side}{k}" for k in rng.integers(0, 1000, 60) for side in "ab")) for i in range(2000)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    d = lm.tokenized(spark.createDataFrame(rows, "doc_id long, text string"))
     counts = lm.bucket_counts(d)
     net, trees = lm.train(d, counts, rounds=1), lm.Trees(counts)
     of, within = lm.class_table(counts)
@@ -481,6 +484,33 @@ def test_every_position_is_trained_once():
     assert sorted(seen.tolist()) == sorted(np.concatenate(found).tolist())
 
 
+def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    """Repeated rows too, and through several shards and levels of averaging."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 700)
+    monkeypatch.setattr(lm, "FAN", 3)
+    rng = np.random.default_rng(12)
+    rows = [(i % 180, words(rng, int(rng.integers(1, 90)))) for i in range(200)] + [(7, "the same row"), (None, "no id")] * 3 + [(9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (run(lm.pseudo_likelihood(d.repartition(n))).sort_values(["doc_id", "n_tokens", "mean_log_likelihood"], ignore_index=True) for n in (2, 13))
+    assert len(a) == len(rows) and a.doc_id.equals(b.doc_id)
+    assert np.abs(a.mean_log_likelihood - b.mean_log_likelihood).max() < 1e-6
+    same = a[(a.doc_id == 7) & (a.n_tokens == 3)]
+    assert len(same) == 3 and same.log_likelihood.nunique() == 1
+
+
+def test_held_out_documents_beat_their_words_counts(spark):
+    """Sentences whose words come in fixed pairs: the window tells the partner, counts do not."""
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 60, 40))) for i in range(700)]
+    d = lm.tokenized(spark.createDataFrame(rows, "doc_id long, text string"))
+    learned, held = d.filter("doc_id < 600"), d.filter("doc_id >= 600")
+    counts = lm.bucket_counts(learned)
+    got = run(lm.score(held, lm.train(learned, counts), counts)).mean_log_likelihood.mean()
+    share = np.log((counts + 1) / (counts + 1).sum())
+    plain = np.mean([share[lm.tokens(t.encode())].mean() for i, t in rows if i >= 600])
+    assert got > plain + 0.3
+
+
 def test_likelihood_empty_table(spark):
     assert lm.pseudo_likelihood(spark.createDataFrame([], EMPTY)).count() == 0
 
