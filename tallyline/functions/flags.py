@@ -1,7 +1,7 @@
 """Row-level rules of the ledger: what a ball counts as, phases, format groups, labels.
 
 A ledger is a table of balls: ordered events inside an innings of a match, each with a striker, a
-partner, a bowler, runs, extras and at most one first dismissal.
+partner, a bowler, runs, extras and any number of wickets.
 """
 
 from __future__ import annotations
@@ -50,6 +50,37 @@ def credited(kind: str = "kind") -> Column:
     return F.coalesce(F.col(kind).isin(*CREDITED), F.lit(False))
 
 
+#: The wickets of one ball, in order.
+WICKETS = "array<struct<kind:string,player_out:string,keeper_catch:boolean>>"
+#: What a ball's wickets are counted as: component -> condition over one of them.
+WICKET_COMPONENTS = {
+    "bowled": lambda w: w["kind"] == "bowled",
+    "lbw": lambda w: w["kind"] == "lbw",
+    "ct_keeper": lambda w: (w["kind"] == "caught") & w["keeper_catch"],
+    "ct_field": lambda w: (w["kind"] == "caught") & ~F.coalesce(w["keeper_catch"], F.lit(False)),
+    "ct_bowler": lambda w: w["kind"] == "caught and bowled",
+    "stumped": lambda w: w["kind"] == "stumped",
+    "hit_wicket": lambda w: w["kind"] == "hit wicket",
+    "run_out": lambda w: w["kind"] == "run out",
+}
+
+
+def wicket_columns() -> dict[str, Column]:
+    """What the wickets of a ball (column wickets, null as none) amount to: outs (dismissals), credited
+    (those that are the bowler's), one w_<component> count each, and the striker's own dismissal as
+    striker_kind and striker_keeper. Balls without wickets, nearly all, skip the work."""
+    some = F.size("wickets") > 0
+    n = lambda of: F.when(some, F.size(F.filter("wickets", of))).otherwise(0)
+    gone = lambda w: w["kind"].isNotNull() & ~w["kind"].isin(*NOT_OUT)
+    own = F.when(some, F.get(F.filter("wickets", lambda w: gone(w) & (w["player_out"] == F.col("batter"))), F.lit(0)))
+    out = {"outs": n(gone), "credited": n(lambda w: w["kind"].isin(*CREDITED)), "striker_kind": own["kind"], "striker_keeper": F.coalesce(own["keeper_catch"], F.lit(False))}
+    return out | {f"w_{k}": n(of) for k, of in WICKET_COMPONENTS.items()}
+
+
+def striker_out() -> Column:
+    return F.col("striker_kind").isNotNull()
+
+
 def in_play() -> Column:
     """A faced ball that was scored off without a boundary."""
     return F.col("faced") & (F.col("runs_batter") > 0) & ~F.col("four") & ~F.col("six")
@@ -99,25 +130,12 @@ def overs_text(balls: Column) -> Column:
     return F.concat((balls / 6).cast("long").cast("string"), F.lit("."), (balls % 6).cast("long").cast("string"))
 
 
-# Components of a ball's outcome: name -> condition over a flagged ball.
-def _kind(name: str) -> Column:
-    return F.coalesce(F.col("kind") == name, F.lit(False))
-
-
-def _caught(by_keeper: bool) -> Column:
-    keeper = F.coalesce(F.col("keeper_catch"), F.lit(False))
-    return _kind("caught") & (keeper if by_keeper else ~keeper)
-
-
 def components(role: str) -> dict[str, Column]:
-    """Outcome components: 14 of a delivery (bowling), 11 of a faced ball and its striker (batting)."""
-    own = F.lit(True) if role == "bowling" else F.col("faced") & F.coalesce(F.col("player_out") == F.col("batter"), F.lit(True))
+    """Outcome components of a flagged ball: 14 of a delivery (bowling; wickets are counts, as one ball
+    may have several), 11 of a faced ball and its striker (batting)."""
     out = {"dot": F.col("dot"), "four": F.col("four"), "six": F.col("six"), "inplay": in_play()}
     if role == "bowling":
-        out |= {"wide": F.col("wide"), "noball": F.col("noball")}
-    out |= {"bowled": _kind("bowled"), "lbw": _kind("lbw"), "ct_keeper": _caught(True), "ct_field": _caught(False), "ct_bowler": _kind("caught and bowled"), "stumped": _kind("stumped")}
-    if role == "bowling":
-        out["hit_wicket"] = _kind("hit wicket")
-    out["run_out"] = _kind("run out")
-    scoring = ("dot", "four", "six", "inplay", "wide", "noball")
-    return {k: (F.col("faced") & v if role == "batting" and k in scoring else v & own if k not in scoring else v) for k, v in out.items()}
+        return out | {"wide": F.col("wide"), "noball": F.col("noball")} | {k: F.col(f"w_{k}") for k in WICKET_COMPONENTS}
+    kind, keeper = F.col("striker_kind"), F.col("striker_keeper")
+    own = {"bowled": kind == "bowled", "lbw": kind == "lbw", "ct_keeper": (kind == "caught") & keeper, "ct_field": (kind == "caught") & ~keeper, "ct_bowler": kind == "caught and bowled", "stumped": kind == "stumped", "run_out": kind == "run out"}
+    return {k: F.col("faced") & F.coalesce(c, F.lit(False)) for k, c in (out | own).items()}

@@ -133,7 +133,7 @@ def _batting() -> list[Metric]:
     m("avg_position", "Mean position", lambda: F.avg("position"), up=False)
     m("avg_entry_over", "Mean over of arrival", lambda: F.avg("entry_over") + 1, up=False)
     m("avg_entry_wickets", "Mean wickets at arrival", lambda: F.avg("entry_wkts"), up=False)
-    m("team_win_pct", "Team wins %", lambda: ratio(n_if(F.col("result") == "won"), n_if(F.col("result") != "no result"), 100))
+    m("team_win_pct", "Team wins %", lambda: ratio(n_if(F.col("result") == "won"), n_if(F.col("result").isin("won", "lost")), 100))
     return out
 
 
@@ -195,7 +195,7 @@ def _bowling() -> list[Metric]:
     m("regressed_dot_pct", "Regressed dot %", lambda: 100 * shrunk("n_dot", "x_dot", "deliveries", "k_dot"), **R)
     m("regressed_boundary_pct", "Regressed boundary %", lambda: 100 * shrunk(("n_four", "n_six"), ("x_four", "x_six"), "deliveries", "k_boundary"), up=False, **R)
     family = "role"
-    m("team_win_pct", "Team wins %", lambda: ratio(n_if(F.col("result") == "won"), n_if(F.col("result") != "no result"), 100))
+    m("team_win_pct", "Team wins %", lambda: ratio(n_if(F.col("result") == "won"), n_if(F.col("result").isin("won", "lost")), 100))
     return out
 
 

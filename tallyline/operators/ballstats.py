@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import flags
+from tallyline.operators.derive import dismissals
 
 
 def _n(c: Column) -> Column:
@@ -23,7 +24,7 @@ def batting(balls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     who = F.explode(F.array_distinct(F.array("batter", "non_striker"))).alias("player")
     there = balls.select("match_id", "innings", *keys, who).filter("player is not null").distinct()
     faced = balls.groupBy("match_id", "innings", *keys, F.col("batter").alias("player")).agg(F.sum("runs_batter").alias("runs"), _n(F.col("faced")).alias("balls"), _n(F.col("four")).alias("fours"), _n(F.col("six")).alias("sixes"))
-    outs = balls.filter(flags.dismissal()).select("match_id", "innings", *keys, F.col("player_out").alias("player")).distinct().withColumn("out", F.lit(1))
+    outs = dismissals(balls, keys).drop("n", "kind").distinct().withColumn("out", F.lit(1))
     key = ["match_id", "innings", *keys, "player"]
     rows = there.join(faced, key, "left").join(outs, key, "left").fillna(0)
     agg = rows.groupBy("player", *keys).agg(F.count("*").alias("innings"), (F.count("*") - F.sum("out")).alias("not_outs"), *(F.sum(c).alias(c) for c in ("runs", "balls", "fours", "sixes")), F.max("runs").alias("highest"))
@@ -33,7 +34,7 @@ def batting(balls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def bowling(balls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """player, innings, balls, runs, wickets, maidens, best_wickets, best_runs, average, economy."""
-    overs = balls.groupBy("match_id", "innings", *keys, F.col("bowler").alias("player"), "over").agg(_n(F.col("legal")).alias("balls"), F.sum("bowler_runs").alias("runs"), _n(flags.credited()).alias("wickets"))
+    overs = balls.groupBy("match_id", "innings", *keys, F.col("bowler").alias("player"), "over").agg(_n(F.col("legal")).alias("balls"), F.sum("bowler_runs").alias("runs"), F.sum("credited").alias("wickets"))
     rows = overs.groupBy("match_id", "innings", *keys, "player").agg(F.sum("balls").alias("balls"), F.sum("runs").alias("runs"), F.sum("wickets").alias("wickets"), _n((F.col("balls") >= 6) & (F.col("runs") == 0)).alias("maidens"))
     best = F.max(F.struct("wickets", (-F.col("runs")).alias("r")))
     agg = rows.groupBy("player", *keys).agg(F.count("*").alias("innings"), *(F.sum(c).alias(c) for c in ("balls", "runs", "wickets", "maidens")), best.alias("b"))
@@ -98,7 +99,7 @@ def head_to_head(sides: DataFrame) -> DataFrame:
 
 
 def innings_totals(balls: DataFrame) -> DataFrame:
-    return balls.groupBy("match_id", "innings", "venue", "format", "date").agg(F.sum("runs_total").alias("total"), _n(flags.dismissal()).alias("wickets"), _n(F.col("legal")).alias("balls"))
+    return balls.groupBy("match_id", "innings", "venue", "format", "date").agg(F.sum("runs_total").alias("total"), F.sum("outs").alias("wickets"), _n(F.col("legal")).alias("balls"))
 
 
 def venue_stats(totals: DataFrame, first_wins: DataFrame | None = None) -> DataFrame:
@@ -114,7 +115,7 @@ def lean(share: Column) -> Column:
 
 def matchups(balls: DataFrame, least: int = 12) -> DataFrame:
     """batter, bowler: balls, runs, outs, dots, boundaries, strike_rate; pairs of at least `least` balls."""
-    out = flags.credited() & (F.col("player_out") == F.col("batter"))
+    out = F.col("striker_kind").isin(*flags.CREDITED)
     agg = balls.groupBy("batter", "bowler").agg(_n(F.col("faced")).alias("balls"), F.sum("runs_batter").alias("runs"), _n(out).alias("outs"), _n(F.col("faced") & F.col("dot")).alias("dots"), _n(F.col("four") | F.col("six")).alias("boundaries"))
     return agg.filter(F.col("balls") >= least).withColumn("strike_rate", _ratio(F.col("runs"), F.col("balls"), 100.0))
 
@@ -126,14 +127,10 @@ def top_performances(balls: DataFrame, kind: str, limit: int = 10) -> DataFrame:
         rows = balls.groupBy("match_id", "innings", F.col("batter").alias("who")).agg(F.sum("runs_batter").alias("a"), _n(F.col("faced")).alias("b"))
         order = [F.desc("a"), F.asc("b")]
     elif kind == "bowling":
-        rows = balls.groupBy("match_id", "innings", F.col("bowler").alias("who")).agg(_n(flags.credited()).alias("a"), F.sum("bowler_runs").alias("b"))
+        rows = balls.groupBy("match_id", "innings", F.col("bowler").alias("who")).agg(F.sum("credited").alias("a"), F.sum("bowler_runs").alias("b"))
         order = [F.desc("a"), F.asc("b")]
     else:
-        rows = balls.groupBy("match_id", "innings").agg(F.max("team").alias("who"), F.sum("runs_total").alias("a"), _n(flags.dismissal()).alias("b"))
+        rows = balls.groupBy("match_id", "innings").agg(F.max("team").alias("who"), F.sum("runs_total").alias("a"), F.sum("outs").alias("b"))
         rows = rows.filter("b >= 10") if kind == "lowest" else rows
         order = [F.asc("a") if kind == "lowest" else F.desc("a"), F.asc("b")]
     return rows.orderBy(*order, "match_id", "innings", "who").limit(max(1, min(limit, 50)))
-
-
-def all_matches(winner: str = "winner") -> Column:
-    return F.coalesce(F.col(winner), F.lit("no result"))

@@ -3,7 +3,7 @@
 balls, the flagged ledger, has: match_id, innings, seq (total order within the innings), over, batter,
 non_striker, bowler, team, opposition, venue, event, gender, fgroup, format, season, yr, date, result,
 faced, legal, wide, noball, four, six, dot (booleans), runs_batter, runs_total, bowler_runs,
-kind, player_out, keeper_catch, phase.
+wickets (an array, see flags), what flags.wicket_columns() makes of it, phase.
 
 All windows of one innings share one exchange on (match_id, innings).
 """
@@ -27,15 +27,23 @@ ERA_YEARS, ERA_POSITIONS, CONTEXT_POSITIONS, FIRST = 2, 11, 7, 5
 
 def flag(deliveries: DataFrame, matches: DataFrame, phase_ends: dict | None = None) -> DataFrame:
     """Deliveries with their match's data and the row flags; super overs (marked, or innings over 2 of
-    limited-overs games where there is no mark) are left out."""
+    limited-overs games where there is no mark) are left out. Old tables without the array wickets have
+    the one wicket of kind and player_out. Draws and ties are told from matches without a result by
+    the match's result_type, where there is one."""
     m = matches.withColumn("fgroup", flags.format_group()).withColumn("format", flags.format_label()).withColumn("yr", F.year(F.to_date("date")))
     keep = [c for c in m.columns if c not in deliveries.columns or c == "match_id"]
+    if "wickets" not in deliveries.columns:
+        one = F.struct(F.col("kind"), F.col("player_out"), F.col("fielders") if "fielders" in deliveries.columns else F.lit(None).cast("array<string>").alias("fielders"))
+        deliveries = deliveries.withColumn("wickets", F.when(F.col("kind").isNotNull(), F.array(one)))
     d = deliveries.join(m.select(*keep), "match_id")
+    d = d.withColumn("wickets", F.transform("wickets", lambda w: F.struct(w["kind"].alias("kind"), w["player_out"].alias("player_out"), w["fielders"].alias("fielders"), F.lit(False).alias("keeper_catch"))))
     over = F.coalesce(F.col("super_over"), F.lit(False)) if "super_over" in deliveries.columns else (F.col("fgroup") != "MULTI") & (F.col("innings") > 2)
     d = d.filter(~over)
     teams = {"team": F.col("batting_team"), "opposition": F.when(F.col("batting_team") == F.col("team1"), F.col("team2")).otherwise(F.col("team1"))}
-    result = F.when(F.col("winner").isNull(), "no result").when(F.col("winner") == F.col("batting_team"), "won").otherwise("lost")
-    d = d.withColumns(teams | {"result": result, "faced": flags.faced(), "legal": flags.legal(), "wide": flags.count("wides") > 0, "noball": flags.count("noballs") > 0, "bowler_runs": flags.bowler_runs(), "four": flags.boundary(4), "six": flags.boundary(6), "phase": flags.phase(phase_ends)})
+    kind = F.col("result_type") if "result_type" in matches.columns else F.lit(None).cast("string")
+    undecided = F.when(kind == "draw", "drawn").when(kind == "tie", "tied").otherwise("no result")
+    result = F.when(F.col("winner").isNull(), undecided).when(F.col("winner") == F.col("batting_team"), "won").otherwise("lost")
+    d = d.withColumns(teams | {"result": result, "faced": flags.faced(), "legal": flags.legal(), "wide": flags.count("wides") > 0, "noball": flags.count("noballs") > 0, "bowler_runs": flags.bowler_runs(), "four": flags.boundary(4), "six": flags.boundary(6), "phase": flags.phase(phase_ends)} | flags.wicket_columns())
     d = d.withColumn("dot", F.col("legal") & (F.col("bowler_runs") == 0))
     order = Window.partitionBy("match_id", "innings").orderBy("over", "ball")
     return d.withColumn("seq", F.row_number().over(order))
@@ -60,14 +68,16 @@ def keepers(players: DataFrame, wickets: DataFrame) -> DataFrame:
 
 def with_keeper_catches(balls: DataFrame, keepers: DataFrame) -> DataFrame:
     side = keepers.select("match_id", F.col("team").alias("opposition"), "keeper")
-    return balls.join(side, ["match_id", "opposition"], "left").withColumn("keeper_catch", F.coalesce((F.col("kind") == "caught") & F.array_contains("fielders", F.col("keeper")), F.lit(False)))
+    caught = lambda w: F.coalesce((w["kind"] == "caught") & F.array_contains(w["fielders"], F.col("keeper")), F.lit(False))
+    marked = F.transform("wickets", lambda w: F.struct(w["kind"].alias("kind"), w["player_out"].alias("player_out"), w["fielders"].alias("fielders"), caught(w).alias("keeper_catch")))
+    return balls.join(side, ["match_id", "opposition"], "left").withColumn("wickets", marked).withColumns(flags.wicket_columns())
 
 
 def state(balls: DataFrame) -> DataFrame:
     """Adds score and wkts before the ball and ball_no, the striker's balls faced so far, this one included."""
     innings = Window.partitionBy("match_id", "innings").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("match_id", "innings", "batter").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    wicket = flags.dismissal().cast("int")
+    wicket = F.col("outs")
     return balls.withColumns({
         "score": F.coalesce(F.sum("runs_total").over(innings), F.lit(0)),
         "wkts": F.least(F.coalesce(F.sum(wicket).over(innings), F.lit(0)), F.lit(flags.STATE_WICKETS)),
@@ -86,13 +96,12 @@ FACED = {"e_runs", "e_outs", "x_inplay_runs", *(f"x_bat_{k}" for k in ("dot", "f
 
 def _measures() -> dict[str, tuple[Column, Column]]:
     """Expected value -> (condition under which a ball counts, its value)."""
-    striker_out = flags.dismissal() & (F.col("player_out") == F.col("batter"))
     every = F.lit(True)
     out = {
         "e_runs": (F.col("faced"), F.col("runs_batter")),
-        "e_outs": (F.col("faced"), striker_out),
+        "e_outs": (F.col("faced"), flags.striker_out()),
         "e_bowl_runs": (every, F.col("bowler_runs")),
-        "e_bowl_wkts": (every, flags.credited()),
+        "e_bowl_wkts": (every, F.col("credited")),
         "x_inplay_runs": (F.col("faced"), F.when(flags.in_play(), F.col("runs_batter")).otherwise(0)),
     }
     for name, c in flags.components("batting").items():
@@ -153,9 +162,15 @@ def _faced(balls: DataFrame, keys: Sequence[str]) -> DataFrame:
     return balls.groupBy("match_id", "innings", F.col("batter").alias("player"), *keys).agg(*(c.alias(k) for k, c in sums.items()))
 
 
+def dismissals(balls: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """match_id, innings, *keep, n, kind, player: a row for each dismissal, the second on a ball too."""
+    rows = balls.filter("outs > 0").select("match_id", "innings", *keep, F.posexplode("wickets").alias("n", "w"))
+    return rows.select("match_id", "innings", *keep, "n", "w.kind", F.col("w.player_out").alias("player")).filter(flags.dismissal() & F.col("player").isNotNull())
+
+
 def _outs(balls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    outs = balls.filter(flags.dismissal() & F.col("player_out").isNotNull())
-    return outs.groupBy("match_id", "innings", F.col("player_out").alias("player"), *keys).agg(F.lit(1).cast("long").alias("out"), F.min_by("kind", "seq").alias("kind"))
+    outs = dismissals(balls, ("seq", *keys))
+    return outs.groupBy("match_id", "innings", "player", *keys).agg(F.lit(1).cast("long").alias("out"), F.min_by("kind", F.struct("seq", "n")).alias("kind"))
 
 
 def batting_innings(balls: DataFrame) -> DataFrame:
@@ -183,7 +198,7 @@ def maidens(balls: DataFrame) -> DataFrame:
 
 
 def _bowled(balls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    sums = {"deliveries": F.count("*"), "balls": _sum(F.col("legal")), "runs": _sum(F.col("bowler_runs")), "wickets": _sum(flags.credited()), "fours": _sum(F.col("four")), "sixes": _sum(F.col("six")), "dots": _sum(F.col("dot")), "e_runs": _sum(F.col("e_bowl_runs"), "double"), "e_wkts": _sum(F.col("e_bowl_wkts"), "double")}
+    sums = {"deliveries": F.count("*"), "balls": _sum(F.col("legal")), "runs": _sum(F.col("bowler_runs")), "wickets": _sum(F.col("credited")), "fours": _sum(F.col("four")), "sixes": _sum(F.col("six")), "dots": _sum(F.col("dot")), "e_runs": _sum(F.col("e_bowl_runs"), "double"), "e_wkts": _sum(F.col("e_bowl_wkts"), "double")}
     sums |= {"inplay_runs": _sum(F.when(flags.in_play(), F.col("runs_batter"))), "x_inplay_runs": _sum(F.when(F.col("faced"), F.col("x_inplay_runs")), "double")}
     for name, c in flags.components("bowling").items():
         sums |= {f"n_{name}": _sum(c), f"x_{name}": _sum(F.col(f"x_bowl_{name}"), "double")}

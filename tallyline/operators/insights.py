@@ -100,13 +100,16 @@ def checks(one_row: DataFrame, *found: Column) -> DataFrame:
 
 
 def conserved(balls: DataFrame, innings: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """Runs and dismissals of the innings table against the balls'."""
-    from tallyline.functions.flags import dismissal
+    """Runs, balls and dismissals of the innings table against the balls'; a player is out once in an
+    innings."""
+    from tallyline.operators.derive import dismissals
 
-    a = balls.agg(F.sum("runs_batter").alias("b_runs"), F.count_if(dismissal()).alias("b_outs"), F.count_if("faced").alias("b_balls"))
+    a = balls.agg(F.sum("runs_batter").alias("b_runs"), F.count_if("faced").alias("b_balls"))
+    gone = dismissals(balls).select("match_id", "innings", "player").distinct().agg(F.count("*").alias("b_outs"))
+    a = a.crossJoin(F.broadcast(gone))  # one row each
     b = innings.agg(F.sum("runs").alias("i_runs"), F.sum("out").alias("i_outs"), F.sum("balls").alias("i_balls"))
     c = F.col
-    return checks(a.crossJoin(F.broadcast(b)), check("runs", c("i_runs"), c("b_runs"), tolerance), check("balls", c("i_balls"), c("b_balls"), tolerance), check("outs", c("i_outs"), c("b_outs"), max(tolerance, 0.05)))
+    return checks(a.crossJoin(F.broadcast(b)), check("runs", c("i_runs"), c("b_runs"), tolerance), check("balls", c("i_balls"), c("b_balls"), tolerance), check("outs", c("i_outs"), c("b_outs"), tolerance))
 
 
 def zero_sum(innings: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.functions.flags import dismissal
-
 CLIP = (0.001, 0.999)
 ELO_K, ELO_START, ELO_SCALE = 24.0, 1500.0, 400.0
 
@@ -28,7 +26,7 @@ def venue_par(totals: DataFrame, ground: int = 20, least: int = 3, recent: int =
 def ball_states(balls: DataFrame) -> DataFrame:
     """Adds the running score, legal balls and wickets after each ball and its number."""
     w = Window.partitionBy("match_id", "innings").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return balls.withColumns({"score_after": F.sum("runs_total").over(w), "legal_after": F.sum(F.col("legal").cast("int")).over(w), "wickets_after": F.sum(F.col("kind").isNotNull().cast("int")).over(w)})
+    return balls.withColumns({"score_after": F.sum("runs_total").over(w), "legal_after": F.sum(F.col("legal").cast("int")).over(w), "wickets_after": F.sum("outs").over(w)})
 
 
 def form_before(innings: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -48,9 +46,9 @@ def next_ball_rows(balls: DataFrame) -> DataFrame:
 
     total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
     faced, legal = F.col("faced").cast("int"), F.col("legal").cast("int")
-    outcome = F.when(dismissal(), "W").otherwise(F.col("runs_batter").cast("string"))
+    outcome = F.when(F.col("outs") > 0, "W").otherwise(F.col("runs_batter").cast("string"))
     return balls.select(
-        "match_id", "innings", "seq", total("runs_total", before()).alias("score"), total(dismissal().cast("int"), before()).alias("wickets"),
+        "match_id", "innings", "seq", total("runs_total", before()).alias("score"), total("outs", before()).alias("wickets"),
         total(faced, before("batter")).alias("striker_balls"), total("runs_batter", before("batter")).alias("striker_runs"),
         total(legal, before("bowler")).alias("bowler_balls"), total("bowler_runs", before("bowler")).alias("bowler_conceded"), outcome.alias("outcome"),
     )

@@ -3,7 +3,7 @@
 A match is a customer's orders up to 1997 or from 1998 on; its balls are the order lines in date
 order, odd line numbers the second innings. The striker is the supplier, the partner another one,
 the bowler the part's brand; runs come from the quantity, extras from tax and discount, dismissals
-from the return flag.
+from the return flag. With some catches the partner is run out on the same ball.
 """
 
 from __future__ import annotations
@@ -51,16 +51,20 @@ def balls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "keeper_catch": F.coalesce((F.col("kind") == "caught") & (F.col("l_partkey") % 40 < 4), F.lit(False)),
         "gender": F.col("c_mktsegment"),
         "fgroup": F.element_at(F.array(F.lit("T20"), F.lit("ODI"), F.lit("MULTI")), (F.col("o_custkey") % 3 + 1).cast("int")),
-        "result": F.when(F.col("o_custkey") % 5 == 0, "no result").when(F.col("o_custkey") % 5 <= 2, "won").otherwise("lost"),
+        "result": F.when(F.col("o_custkey") % 15 == 0, "drawn").when(F.col("o_custkey") % 15 == 5, "tied").when(F.col("o_custkey") % 5 == 0, "no result").when(F.col("o_custkey") % 5 <= 2, "won").otherwise("lost"),
     })
+    wicket = lambda kind, player, keeper: F.struct(kind.alias("kind"), player.alias("player_out"), keeper.alias("keeper_catch"))
+    first, second = wicket(F.col("kind"), F.col("player_out"), F.col("keeper_catch")), wicket(F.lit("run out"), F.col("non_striker"), F.lit(False))
+    both = (F.col("kind") == "caught") & (F.col("l_partkey") % 3 == 0)
+    j = j.withColumn("wickets", F.when(both, F.array(first, second)).when(F.col("kind").isNotNull(), F.array(first)).otherwise(F.array().cast(flags.WICKETS)))
     match, innings = Window.partitionBy("match_id"), Window.partitionBy("match_id", "innings")
     j = j.withColumns({"date": F.to_date(F.min("o_orderdate").over(match)), "seq": F.row_number().over(innings.orderBy(*_ORDER))})
     return j.select(
         "match_id", "innings", "seq", (F.col("l_linenumber") - 1).alias("over"), "batter", "non_striker", "bowler", "team", "opposition", "venue", "event", "gender", "fgroup",
         F.col("fgroup").alias("format"), F.year("date").cast("string").alias("season"), F.year("date").alias("yr"), "date", "result",
         (~F.col("wide")).alias("faced"), (~F.col("wide") & ~F.col("noball")).alias("legal"), "wide", "noball", (F.col("runs_batter") == 4).alias("four"), (F.col("runs_batter") == 6).alias("six"),
-        "runs_batter", "runs_total", (F.col("runs_total") - F.col("byes") - F.col("legbyes")).alias("bowler_runs"), "kind", "player_out", "fielder", "keeper_catch",
-    ).withColumns({"dot": F.col("legal") & (F.col("bowler_runs") == 0), "phase": flags.phase(PHASE_ENDS)})
+        "runs_batter", "runs_total", (F.col("runs_total") - F.col("byes") - F.col("legbyes")).alias("bowler_runs"), "kind", "fielder", "wickets",
+    ).withColumns({"dot": F.col("legal") & (F.col("bowler_runs") == 0), "phase": flags.phase(PHASE_ENDS)} | flags.wicket_columns())
 
 
 BALLS_SQL = """
@@ -69,7 +73,7 @@ raw AS (
     (l_linenumber - 1)::BIGINT AS over_, 's' || l_suppkey AS batter, 's' || ((l_suppkey * 7 + l_linenumber) % 50 + 1) AS non_striker, p_brand AS bowler,
     sn.n_name AS team, cn.n_name AS opposition, cn.n_name AS venue, r_name AS event, c_mktsegment AS gender,
     CASE o_custkey % 3 WHEN 0 THEN 'T20' WHEN 1 THEN 'ODI' ELSE 'MULTI' END AS fgroup,
-    CASE WHEN o_custkey % 5 = 0 THEN 'no result' WHEN o_custkey % 5 <= 2 THEN 'won' ELSE 'lost' END AS result,
+    CASE WHEN o_custkey % 15 = 0 THEN 'drawn' WHEN o_custkey % 15 = 5 THEN 'tied' WHEN o_custkey % 5 = 0 THEN 'no result' WHEN o_custkey % 5 <= 2 THEN 'won' ELSE 'lost' END AS result,
     CAST(round(l_tax * 100) AS INT) = 8 AS wide, CAST(round(l_discount * 100) AS INT) AS disc, CAST(l_quantity AS INT) AS q, l_partkey, l_returnflag,
     o_orderdate, l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_linestatus
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey
@@ -87,10 +91,11 @@ balls AS (
     NOT wide AND NOT noball AND runs_batter = 0 AS dot,
     CASE fgroup WHEN 'T20' THEN CASE WHEN over_ < 2 THEN 'powerplay' WHEN over_ < 5 THEN 'middle' ELSE 'death' END WHEN 'ODI' THEN CASE WHEN over_ < 3 THEN 'powerplay' WHEN over_ < 5 THEN 'middle' ELSE 'death' END END AS phase,
     row_number() OVER (PARTITION BY match_id, innings ORDER BY o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
-    coalesce(kind IN ('bowled','caught','caught and bowled','lbw','stumped','hit wicket'), false) AS credited, coalesce(kind NOT IN ('retired hurt','retired not out'), false) AS is_out,
+    coalesce(kind IN ('bowled','caught','caught and bowled','lbw','stumped','hit wicket'), false)::INT AS credited, coalesce(kind = 'caught' AND l_partkey % 3 = 0, false) AS second_out,
+    coalesce(kind NOT IN ('retired hurt','retired not out'), false) AS is_out, coalesce(kind NOT IN ('retired hurt','retired not out'), false)::INT + coalesce(kind = 'caught' AND l_partkey % 3 = 0, false)::INT AS outs,
     NOT wide AND runs_batter > 0 AND runs_batter NOT IN (4, 6) AS in_play FROM flagged),
 states AS (
-  SELECT *, coalesce(sum(runs_total) OVER w, 0)::BIGINT AS score, least(coalesce(sum(is_out::INT) OVER w, 0), 9)::BIGINT AS wkts,
+  SELECT *, coalesce(sum(runs_total) OVER w, 0)::BIGINT AS score, least(coalesce(sum(outs) OVER w, 0), 9)::BIGINT AS wkts,
     sum(faced::INT) OVER (PARTITION BY match_id, innings, batter ORDER BY seq)::BIGINT AS ball_no, CASE WHEN fgroup = 'MULTI' THEN least(ovr // 10, 15) ELSE least(ovr, 49) END AS state_over
   FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
@@ -101,8 +106,8 @@ _BAT = {"dot": "faced AND dot", "four": "faced AND four", "six": "faced AND six"
     "bowled": "coalesce(kind = 'bowled', false)", "lbw": "coalesce(kind = 'lbw', false)", "ct_keeper": "coalesce(kind = 'caught', false) AND keeper_catch", "ct_field": "coalesce(kind = 'caught', false) AND NOT keeper_catch",
     "ct_bowler": "coalesce(kind = 'caught and bowled', false)", "stumped": "coalesce(kind = 'stumped', false)", "run_out": "coalesce(kind = 'run out', false)"}.items()}
 _BOWL = {"dot": "dot", "four": "four", "six": "six", "inplay": "in_play", "wide": "wide", "noball": "noball", "bowled": "coalesce(kind = 'bowled', false)", "lbw": "coalesce(kind = 'lbw', false)", "ct_keeper": "coalesce(kind = 'caught', false) AND keeper_catch",
-         "ct_field": "coalesce(kind = 'caught', false) AND NOT keeper_catch", "ct_bowler": "coalesce(kind = 'caught and bowled', false)", "stumped": "coalesce(kind = 'stumped', false)", "hit_wicket": "coalesce(kind = 'hit wicket', false)", "run_out": "coalesce(kind = 'run out', false)"}
-_MEASURES = {"e_runs": ("faced", "runs_batter"), "e_outs": ("faced", "(is_out AND coalesce(player_out = batter, false))::INT"), "e_bowl_runs": ("true", "bowler_runs"), "e_bowl_wkts": ("true", "credited::INT"), "x_inplay_runs": ("faced", "CASE WHEN in_play THEN runs_batter ELSE 0 END")}
+         "ct_field": "coalesce(kind = 'caught', false) AND NOT keeper_catch", "ct_bowler": "coalesce(kind = 'caught and bowled', false)", "stumped": "coalesce(kind = 'stumped', false)", "hit_wicket": "coalesce(kind = 'hit wicket', false)", "run_out": "coalesce(kind = 'run out', false)::INT + second_out::INT"}
+_MEASURES = {"e_runs": ("faced", "runs_batter"), "e_outs": ("faced", "(is_out AND coalesce(player_out = batter, false))::INT"), "e_bowl_runs": ("true", "bowler_runs"), "e_bowl_wkts": ("true", "credited"), "x_inplay_runs": ("faced", "CASE WHEN in_play THEN runs_batter ELSE 0 END")}
 _MEASURES |= {f"x_bat_{k}": ("faced", f"({c})::INT") for k, c in _BAT.items()} | {f"x_bowl_{k}": ("true", f"({c})::INT") for k, c in _BOWL.items()}
 EXPECTATION_SQL = (
     "yearly AS (SELECT " + _CELL + ", yr, count(*) AS n, sum(faced::INT) AS n_faced, " + ", ".join(f"sum(CASE WHEN {on} THEN ({v})::DOUBLE ELSE 0 END) AS {k}" for k, (on, v) in _MEASURES.items()) + f" FROM states GROUP BY {_CELL}, yr),\n"
@@ -128,7 +133,8 @@ BATTING_SQL = (
     "arrive AS (SELECT match_id, innings, batter AS player, seq * 2 AS came, ovr, score, wkts, " + ", ".join(_ATTRS) + " FROM states UNION ALL SELECT match_id, innings, non_striker, seq * 2 + 1, ovr, score, wkts, " + ", ".join(_ATTRS) + " FROM states),\n"
     "firsts AS (SELECT match_id, innings, player, came AS arrived, ovr AS entry_over, score AS entry_score, wkts AS entry_wkts, " + ", ".join(_ATTRS) + " FROM arrive QUALIFY row_number() OVER (PARTITION BY match_id, innings, player ORDER BY came) = 1),\n"
     "app AS (SELECT *, row_number() OVER (PARTITION BY match_id, innings ORDER BY arrived, player) AS position FROM firsts),\n"
-    "outs AS (SELECT match_id, innings, player_out AS player, 1 AS out, arg_min(kind, seq) AS kind FROM fullballs WHERE is_out AND player_out IS NOT NULL GROUP BY match_id, innings, player_out),\n"
+    "gone AS (SELECT match_id, innings, seq, phase, 0 AS n, kind, player_out FROM fullballs WHERE is_out AND player_out IS NOT NULL UNION ALL SELECT match_id, innings, seq, phase, 1, 'run out', non_striker FROM fullballs WHERE second_out),\n"
+    "outs AS (SELECT match_id, innings, player_out AS player, 1 AS out, arg_min(kind, seq * 2 + n) AS kind FROM gone GROUP BY match_id, innings, player_out),\n"
     f"facing AS ({_facing('')}),\n"
     "bat0 AS (SELECT a.*, " + ", ".join(f"coalesce(f.{c}, 0) AS {c}" for c in _NUMBERS) + ", coalesce(o.out, 0) AS out, o.kind FROM app a LEFT JOIN facing f USING (match_id, innings, player) LEFT JOIN outs o USING (match_id, innings, player)),\n"
     "bat1 AS (SELECT *, (sum(CASE WHEN position <= 7 THEN runs ELSE 0 END) OVER m - sum(CASE WHEN position <= 7 THEN runs ELSE 0 END) OVER p) / (count(*) OVER p)::DOUBLE AS mc_runs, (sum(CASE WHEN position <= 7 THEN out ELSE 0 END) OVER m - sum(CASE WHEN position <= 7 THEN out ELSE 0 END) OVER p) / (count(*) OVER p)::DOUBLE AS mc_outs FROM bat0 WINDOW m AS (PARTITION BY match_id), p AS (PARTITION BY match_id, player)),\n"
@@ -139,7 +145,7 @@ BATTING_SQL = (
 
 
 def _bowling(key: str) -> str:
-    parts = ["count(*) AS deliveries", "sum(legal::INT) AS balls", "sum(bowler_runs) AS runs", "sum(credited::INT) AS wickets", "sum(four::INT) AS fours", "sum(six::INT) AS sixes", "sum(dot::INT) AS dots", "coalesce(sum(e_bowl_runs), 0) AS e_runs", "coalesce(sum(e_bowl_wkts), 0) AS e_wkts", "coalesce(sum(CASE WHEN in_play THEN runs_batter END), 0) AS inplay_runs", "coalesce(sum(CASE WHEN faced THEN x_inplay_runs END), 0) AS x_inplay_runs"]
+    parts = ["count(*) AS deliveries", "sum(legal::INT) AS balls", "sum(bowler_runs) AS runs", "sum(credited) AS wickets", "sum(four::INT) AS fours", "sum(six::INT) AS sixes", "sum(dot::INT) AS dots", "coalesce(sum(e_bowl_runs), 0) AS e_runs", "coalesce(sum(e_bowl_wkts), 0) AS e_wkts", "coalesce(sum(CASE WHEN in_play THEN runs_batter END), 0) AS inplay_runs", "coalesce(sum(CASE WHEN faced THEN x_inplay_runs END), 0) AS x_inplay_runs"]
     for k, c in _BOWL.items():
         parts += [f"sum(({c})::INT) AS n_{k}", f"coalesce(sum(x_bowl_{k}), 0) AS x_{k}"]
     parts += ["min(opposition) AS team", "min(team) AS opposition", "min(CASE result WHEN 'won' THEN 'lost' WHEN 'lost' THEN 'won' ELSE result END) AS result"] + [f"min({a}) AS {a}" for a in _ATTRS if a not in ("team", "opposition", "result")]

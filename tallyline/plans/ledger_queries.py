@@ -51,11 +51,11 @@ def running_state(spark, sf_dir):
     return rounded(ledger.states(spark, sf_dir).select("match_id", "innings", "seq", "score", "wkts", "ball_no", "state_over"))
 
 
-@register("ball_flags", ledger.sql("SELECT fgroup, phase, sum(faced::INT)::BIGINT AS faced, sum(legal::INT)::BIGINT AS legal, sum(wide::INT)::BIGINT AS wides, sum(noball::INT)::BIGINT AS noballs, sum(four::INT)::BIGINT AS fours, sum(six::INT)::BIGINT AS sixes, sum(dot::INT)::BIGINT AS dots, sum(bowler_runs)::BIGINT AS bowler_runs, sum(credited::INT)::BIGINT AS credited, sum(is_out::INT)::BIGINT AS outs, sum(in_play::INT)::BIGINT AS inplay FROM balls GROUP BY ALL"))
+@register("ball_flags", ledger.sql("SELECT fgroup, phase, sum(faced::INT)::BIGINT AS faced, sum(legal::INT)::BIGINT AS legal, sum(wide::INT)::BIGINT AS wides, sum(noball::INT)::BIGINT AS noballs, sum(four::INT)::BIGINT AS fours, sum(six::INT)::BIGINT AS sixes, sum(dot::INT)::BIGINT AS dots, sum(bowler_runs)::BIGINT AS bowler_runs, sum(credited)::BIGINT AS credited, sum(outs)::BIGINT AS outs, sum(in_play::INT)::BIGINT AS inplay FROM balls GROUP BY ALL"))
 def ball_flags(spark, sf_dir):
     n = lambda c, name: F.count_if(c).alias(name)
     c = F.col
-    return ledger.balls(spark, sf_dir).groupBy("fgroup", "phase").agg(n(c("faced"), "faced"), n(c("legal"), "legal"), n(c("wide"), "wides"), n(c("noball"), "noballs"), n(c("four"), "fours"), n(c("six"), "sixes"), n(c("dot"), "dots"), F.sum("bowler_runs").alias("bowler_runs"), n(flags.credited(), "credited"), n(flags.dismissal(), "outs"), n(flags.in_play(), "inplay"))
+    return ledger.balls(spark, sf_dir).groupBy("fgroup", "phase").agg(n(c("faced"), "faced"), n(c("legal"), "legal"), n(c("wide"), "wides"), n(c("noball"), "noballs"), n(c("four"), "fours"), n(c("six"), "sixes"), n(c("dot"), "dots"), F.sum("bowler_runs").alias("bowler_runs"), F.sum("credited").alias("credited"), F.sum("outs").alias("outs"), n(flags.in_play(), "inplay"))
 
 
 @register("expectation_fallback", ledger.sql(f"SELECT fgroup, gender, innings, state_over, wkts, yr, n::BIGINT AS n, {_r('e_runs', 'e_runs')}, {_r('e_outs', 'e_outs')}, {_r('e_bowl_runs', 'e_bowl_runs')}, {_r('e_bowl_wkts', 'e_bowl_wkts')}, {_r('x_bat_ct_field', 'x_bat_ct_field')}, {_r('x_bowl_dot', 'x_bowl_dot')} FROM expectation", expectation=True))
@@ -94,7 +94,7 @@ def bowling_innings(spark, sf_dir):
 
 
 @register("batting_phase", ledger.sql(f"""SELECT coalesce(f.match_id, o.match_id) AS match_id, coalesce(f.innings, o.innings)::BIGINT AS innings, coalesce(f.player, o.player) AS player, coalesce(f.phase, o.phase) AS phase, coalesce(f.balls, 0)::BIGINT AS balls, coalesce(f.runs, 0)::BIGINT AS runs, coalesce(o.out, 0)::BIGINT AS out, {_r('coalesce(f.e_runs, 0)', 'e_runs')}
-    FROM (SELECT * FROM ({ledger._facing(', phase')}) WHERE phase IS NOT NULL AND balls > 0) f FULL JOIN (SELECT match_id, innings, player_out AS player, phase, 1 AS out FROM fullballs WHERE is_out AND phase IS NOT NULL GROUP BY ALL) o ON f.match_id = o.match_id AND f.innings = o.innings AND f.player = o.player AND f.phase = o.phase""", batting=True))
+    FROM (SELECT * FROM ({ledger._facing(', phase')}) WHERE phase IS NOT NULL AND balls > 0) f FULL JOIN (SELECT match_id, innings, player_out AS player, phase, 1 AS out FROM gone WHERE phase IS NOT NULL GROUP BY ALL) o ON f.match_id = o.match_id AND f.innings = o.innings AND f.player = o.player AND f.phase = o.phase""", batting=True))
 def batting_phase(spark, sf_dir):
     return rounded(ledger.tables(spark, sf_dir)["batting_phase"].select("match_id", "innings", "player", "phase", "balls", "runs", "out", "e_runs"))
 
@@ -123,7 +123,7 @@ _LUCKY = f"(sum(deliveries) * {_reg('n_ct_field', 'x_ct_field', 'deliveries', 'k
 _FW = f"(sum(wickets) - sum(n_ct_field) + {_LUCKY})"
 _AVG, _EDGE = "(sum(runs)::DOUBLE / nullif(sum(out), 0))", "(sum(fours) + sum(sixes))"
 _BAVG = "(sum(runs)::DOUBLE / nullif(sum(wickets), 0))"
-_WIN = "100.0 * sum((result = 'won')::INT) / nullif(sum((result <> 'no result')::INT), 0)"
+_WIN = "100.0 * sum((result = 'won')::INT) / nullif(sum((result IN ('won', 'lost'))::INT), 0)"
 METRIC_SQL = {
     "batting": {
         "matches": "count(DISTINCT match_id)", "innings": "count(*)", "not_outs": "count(*) - sum(out)", "dismissals": "sum(out)", "runs": "sum(runs)", "balls": "sum(balls)", "average": _AVG, "strike_rate": "100.0 * sum(runs) / nullif(sum(balls), 0)",

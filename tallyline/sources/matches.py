@@ -63,11 +63,11 @@ def _balls(docs: DataFrame) -> DataFrame:
 
 def deliveries(docs: DataFrame) -> DataFrame:
     """One row for each ball; ball counts from 1 within the over. Extras by kind, the kinds as text, the
-    first wicket's kind and player, and whether the four or six was run."""
+    wickets in their order (kind, player_out, fielders), and whether the four or six was run."""
     extra = lambda k: F.coalesce(F.col("d.extras")[k], F.lit(0)).alias(k)
     kinds = F.array_join(F.array_sort(F.map_keys("d.extras")), "+").alias("extra_type")
-    first = F.get("d.wickets", F.lit(0))
-    return _balls(docs).select("match_id", "innings", "batting_team", "super_over", "target_runs", "target_overs", "over", "ball", F.col("d.batter").alias("batter"), F.col("d.bowler").alias("bowler"), F.col("d.non_striker").alias("non_striker"), F.col("d.runs.batter").alias("runs_batter"), F.col("d.runs.extras").alias("runs_extras"), F.col("d.runs.total").alias("runs_total"), F.coalesce("d.runs.non_boundary", F.lit(False)).alias("non_boundary"), *map(extra, EXTRAS), kinds, first["kind"].alias("kind"), first["player_out"].alias("player_out"), F.transform(first["fielders"], lambda f: f["name"]).alias("fielders"))
+    fallen = F.transform("d.wickets", lambda w: F.struct(w["kind"].alias("kind"), w["player_out"].alias("player_out"), F.transform(w["fielders"], lambda f: f["name"]).alias("fielders")))
+    return _balls(docs).select("match_id", "innings", "batting_team", "super_over", "target_runs", "target_overs", "over", "ball", F.col("d.batter").alias("batter"), F.col("d.bowler").alias("bowler"), F.col("d.non_striker").alias("non_striker"), F.col("d.runs.batter").alias("runs_batter"), F.col("d.runs.extras").alias("runs_extras"), F.col("d.runs.total").alias("runs_total"), F.coalesce("d.runs.non_boundary", F.lit(False)).alias("non_boundary"), *map(extra, EXTRAS), kinds, F.coalesce(fallen, F.array().cast("array<struct<kind:string,player_out:string,fielders:array<string>>>")).alias("wickets"))
 
 
 def wickets(docs: DataFrame) -> DataFrame:

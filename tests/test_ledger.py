@@ -83,11 +83,31 @@ def test_scoring_rules(tables):
     assert (bowl["Elm"].deliveries, bowl["Elm"].balls, bowl["Elm"].runs, bowl["Elm"].wickets) == (8, 6, 13, 1)
     assert (bowl["Yew"].maidens, bowl["Yew"].wickets, bowl["Yew"].team, bowl["Yew"].result) == (1, 1, "Shrubs", "lost")
     reply = rows(tables["bowling_innings"].filter("innings = 2"), "player")
-    assert reply["Ash"].runs == 1
+    assert (reply["Ash"].runs, reply["Ash"].wickets, reply["Ash"].n_run_out) == (1, 1, 1)
+    out = rows(tables["batting_innings"].filter("innings = 2"), "player")  # two wickets on one ball
+    assert {p: (out[p].out, out[p].kind) for p in ("Yew", "Elm")} == {"Yew": (1, "caught"), "Elm": (1, "run out")}
+    assert rows(tables["batting_phase"].filter("innings = 2"), "player")["Elm"].out == 1
+    assert tables["states"].filter("innings = 2").agg(F.sum("outs"), F.max("wkts")).first() == (2, 0)
+    assert insights.conserved(tables["balls"], tables["batting_innings"]).filter("not ok").count() == 0
     assert tables["balls"].filter("innings = 3").count() == 0
     assert rows(tables["keepers"], "team")["Shrubs"].keeper == "Elm"
 
 
+def test_drawn_tied_and_no_result_are_told_apart(docs):
+    m, d = sources.matches(docs[0]), sources.deliveries(docs[0])
+    for kind, word in (("draw", "drawn"), ("tie", "tied"), ("no result", "no result"), (None, "no result")):
+        open_ = m.withColumns({"winner": F.lit(None).cast("string"), "result_type": F.lit(kind)})
+        assert {r.result for r in derive.flag(d, open_).select("result").distinct().collect()} == {word}
+        assert scope.build("batting", result=word).apply(derive.flag(d, open_)).count() == 17
+
+
+def test_old_tables_have_one_wicket_on_a_ball(docs):
+    d = sources.deliveries(docs[0])
+    old = d.withColumns({"kind": F.get("wickets", F.lit(0))["kind"], "player_out": F.get("wickets", F.lit(0))["player_out"]}).drop("wickets")
+    got = derive.flag(old, sources.matches(docs[0])).agg(F.sum("outs"), F.sum("credited")).first()
+    assert tuple(got) == (4, 3)
+
+
 def test_expected_adds_up(tables):
     s = tables["states"].filter("faced").agg(F.sum("runs_batter"), F.sum("e_runs")).first()
     assert s[0] == pytest.approx(s[1])
@@ -97,6 +117,9 @@ def test_expected_adds_up(tables):
 def test_figures_from_balls(tables, docs):
     bat = rows(ballstats.batting(tables["balls"].filter("innings = 1")), "player")
     assert (bat["Ash"].runs, bat["Ash"].not_outs, bat["Gum"].innings) == (11, 1, 1)
+    reply = rows(ballstats.batting(tables["balls"].filter("innings = 2")), "player")
+    assert (reply["Elm"].not_outs, reply["Yew"].not_outs) == (0, 0)
+    assert rows(ballstats.innings_totals(tables["balls"]), "innings")[2].wickets == 2
     field = rows(ballstats.fielding(sources.wickets(docs[0])), "player")
     assert field["Elm"].catches == 1 and field["Elm"].stumpings == 1 and field["Oak"].catches == 1
 
