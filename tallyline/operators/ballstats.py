@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.functions import flags
+from tallyline.functions import dimensions, flags
+from tallyline.functions.scope import Scope, ScopeError
 from tallyline.operators.derive import dismissals
 
 
@@ -65,6 +66,39 @@ def matches_of(balls: DataFrame, player: str) -> DataFrame:
     return balls.join(own, "match_id", "left_semi")
 
 
+#: What a player's figures can be split by: name -> key over flagged balls, for the batting side.
+SPLITS = ("season", "year", "format", "competition", "opposition", "team", "venue", "phase", "innings")
+
+
+def split_key(name: str, role: str) -> Column:
+    """The key of a split; a bowler's team is the side that does not bat."""
+    if name not in SPLITS:
+        raise ScopeError(f"split_by must be one of: {', '.join(SPLITS)}")
+    if role == "bowling" and name in ("team", "opposition"):
+        name = "opposition" if name == "team" else "team"
+    return dimensions.key(name)
+
+
+def player_stats(balls: DataFrame, role: str = "batting", players: Sequence[str] | None = None, split_by: str | None = None, scope: Scope | None = None) -> DataFrame:
+    """batting() or bowling() figures of the balls in scope, of all or the named players, each with the
+    column k where they are split. A named batter counts as striker and as partner."""
+    rows = (scope or Scope({})).balls(balls, role)
+    keys = ()
+    if split_by:
+        rows, keys = rows.withColumn("k", split_key(split_by, role)), ("k",)
+    if players:
+        own = F.col("bowler").isin(*players) if role == "bowling" else F.col("batter").isin(*players) | F.col("non_striker").isin(*players)
+        rows = rows.filter(own)
+    figures = (batting if role == "batting" else bowling)(rows, keys)
+    return figures.filter(F.col("player").isin(*players)) if players else figures
+
+
+def compare(balls: DataFrame, role: str, players: Sequence[str], scope: Scope | None = None) -> DataFrame:
+    """The named players' figures side by side, in the order of their names as given."""
+    place = F.array_position(F.array(*(F.lit(p) for p in players)), F.col("player"))
+    return player_stats(balls, role, players, scope=scope).orderBy(place)
+
+
 def matches_played(players: DataFrame) -> DataFrame:
     return players.groupBy("player").agg(F.countDistinct("match_id").alias("matches"))
 

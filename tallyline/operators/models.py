@@ -65,6 +65,12 @@ def career_snapshot(batting: DataFrame, bowling: DataFrame) -> DataFrame:
     return a.join(b, ["player", "gender"], "full").fillna(0)
 
 
+def elo_shift(lead: float, points: float, k: float) -> float:
+    """What the first side wins, and the other loses, by so many points (1, 0.5, 0) at a rating lead."""
+    forecast = 0.5 + 0.5 * np.tanh(lead * np.log(10) / (2 * ELO_SCALE))
+    return k * (points - float(forecast))
+
+
 def elo(matches: DataFrame, k: float = ELO_K) -> DataFrame:
     """Ratings before each match: (pool, match_id, before1, before2), from (pool, date, match_id, team1,
     team2, winner, tied). A tie counts half, a match without result changes nothing.
@@ -75,18 +81,18 @@ def elo(matches: DataFrame, k: float = ELO_K) -> DataFrame:
     schema = "pool string, match_id long, before1 double, before2 double"
 
     def fold(batches):
-        at, rating = object(), {}
+        at, standing = object(), {}
         for batch in batches:
             c = {name: batch.column(name).to_pylist() for name in columns}
             before = []
-            for pool, a, b, winner, tied in zip(c["pool"], c["team1"], c["team2"], c["winner"], c["tied"]):
+            for pool, sides, winner, tied in zip(c["pool"], zip(c["team1"], c["team2"]), c["winner"], c["tied"]):
                 if pool != at:
-                    at, rating = pool, {}
-                ra, rb = rating.get(a, ELO_START), rating.get(b, ELO_START)
-                before.append((ra, rb))
-                if tied or winner is not None:
-                    gain = k * ((0.5 if tied else float(winner == a)) - 1 / (1 + 10 ** ((rb - ra) / ELO_SCALE)))
-                    rating[a], rating[b] = ra + gain, rb - gain
+                    at, standing = pool, {}
+                before.append(tuple(standing.get(side, ELO_START) for side in sides))
+                points = 0.5 if tied else None if winner is None else float(winner == sides[0])
+                if points is not None:
+                    shift = elo_shift(before[-1][0] - before[-1][1], points, k)
+                    standing |= dict(zip(sides, (before[-1][0] + shift, before[-1][1] - shift)))
             out = [pa.array(c["pool"], pa.string()), pa.array(c["match_id"], pa.int64()), *(pa.array([x[i] for x in before], pa.float64()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(out, names=["pool", "match_id", "before1", "before2"])
 

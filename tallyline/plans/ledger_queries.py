@@ -14,14 +14,18 @@ from . import ledger
 from .registry import register
 
 
+TINY = 1e-9
+
+
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    """Doubles rounded, so that the order of summation does not show; counts as bigint."""
+    """Doubles rounded, so that the order of summation does not show (a little above the exact halves
+    that short decimals often are); counts as bigint."""
     kinds = dict(df.dtypes)
-    return df.select(*(F.round(F.col(c), places).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint") else F.col(c) for c in df.columns))
+    return df.select(*(F.round(F.col(c) + TINY, places).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "smallint") else F.col(c) for c in df.columns))
 
 
 def _r(expression: str, name: str) -> str:
-    return f"round(({expression})::DOUBLE, 4) AS {name}"
+    return f"round(({expression})::DOUBLE + {TINY}, 4) AS {name}"
 
 
 # --- minimum slice -------------------------------------------------------------------------------------

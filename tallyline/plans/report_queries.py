@@ -45,7 +45,7 @@ def season_labels(spark, sf_dir):
 
 @register("highlights", ledger.sql(""", q AS (SELECT player, sum(wickets) AS wickets, 6.0 * sum(runs) / nullif(sum(balls), 0) AS economy, sum(balls) AS sample FROM bowling GROUP BY player), m AS (SELECT list_sort(list(sample))[count(*) // 2 + 1] AS med FROM q),
 l AS (SELECT player, sample, 'wickets' AS metric, wickets::DOUBLE AS value, wickets::DOUBLE AS s, false AS rate FROM q UNION ALL SELECT player, sample, 'economy', economy, -economy, true FROM q)
-SELECT metric, player, round(value, 4) AS value FROM l, m WHERE value IS NOT NULL AND (NOT rate OR sample >= 0.25 * med) QUALIFY row_number() OVER (PARTITION BY metric ORDER BY s DESC, sample DESC, player) = 1""", bowling=True))
+SELECT metric, player, round(value + 1e-9, 4) AS value FROM l, m WHERE value IS NOT NULL AND (NOT rate OR sample >= 0.25 * med) QUALIFY row_number() OVER (PARTITION BY metric ORDER BY s DESC, sample DESC, player) = 1""", bowling=True))
 def highlights(spark, sf_dir):
     chosen = [get("bowling", "wickets"), get("bowling", "economy")]
     rows = ledger.tables(spark, sf_dir)["bowling_innings"].groupBy("player").agg(*(m.column() for m in chosen), F.sum("balls").alias("sample"))

@@ -41,9 +41,9 @@ def scope_anti(spark, sf_dir):
     return t(spark, sf_dir, "customer").join(big, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@register("scope_ilike", "SELECT p_partkey, p_brand FROM part WHERE p_brand ILIKE 'brand%1' AND p_name ILIKE '%7%'")
+@register("scope_ilike", "SELECT p_partkey, p_brand, total FROM (SELECT *, count(*) OVER () AS total FROM part WHERE p_brand ILIKE '%RAND#1%' OR p_type ILIKE '%RAND#1%') ORDER BY p_brand, p_partkey LIMIT 50")
 def scope_ilike(spark, sf_dir):
-    return t(spark, sf_dir, "part").filter(F.col("p_brand").ilike("brand%1") & F.col("p_name").ilike("%7%")).select("p_partkey", "p_brand")
+    return insights.missing_list(t(spark, sf_dir, "part"), "RAND#1", ["p_brand", "p_type"], ["p_brand", "p_partkey"]).select("p_partkey", "p_brand", "total")
 
 
 @register("shifted_self_join", "WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) SELECT a.k, a.y::BIGINT AS y, a.n AS n, b.n AS n2 FROM y a JOIN y b ON a.k = b.k AND b.y = a.y + 1")

@@ -9,7 +9,7 @@ from tallyline.operators import ballstats, engine, models, study
 from tallyline.sources.matches import upsert
 
 from . import ledger
-from .ledger_queries import _r, metric_sql, rounded
+from .ledger_queries import TINY, _r, metric_sql, rounded
 from .registry import register
 
 # --- leaderboards and views ---------------------------------------------------------------------------------
@@ -77,6 +77,38 @@ for _name in _SCOPES:
     _scope_query(_name)
 
 
+@register("scope_positions", ledger.sql("SELECT position::BIGINT AS position, count(*) AS n, sum(runs)::BIGINT AS runs FROM batting WHERE position BETWEEN 4 AND 7 AND result = 'tied' AND entry_wkts BETWEEN 0 AND 2 GROUP BY 1", batting=True))
+def scope_positions(spark, sf_dir):
+    rows = scope_of("batting", order="middle order", match_result="tie", wickets_down="0-2").apply(ledger.tables(spark, sf_dir)["batting_innings"])
+    return rounded(rows.groupBy("position").agg(F.count("*").alias("n"), F.sum("runs").alias("runs")))
+
+
+@register("scope_drawn", ledger.sql("SELECT result, fgroup, count(*) AS n, sum(wickets)::BIGINT AS wickets FROM bowling WHERE result = 'drawn' GROUP BY ALL", bowling=True))
+def scope_drawn(spark, sf_dir):
+    rows = scope_of("bowling", result="draws").apply(ledger.tables(spark, sf_dir)["bowling_innings"])
+    return rounded(rows.groupBy("result", "fgroup").agg(F.count("*").alias("n"), F.sum("wickets").alias("wickets")))
+
+
+@register("ball_scope_bowling", ledger.sql(f", r AS (SELECT match_id, innings, team AS k, bowler AS player, sum(b) AS balls, sum(r) AS runs, sum(w) AS wickets FROM (SELECT match_id, innings, team, bowler, ovr, sum(legal::INT) AS b, sum(bowler_runs) AS r, sum(credited) AS w FROM balls WHERE opposition IN ('NATION_1', 'NATION_2') AND gender = 'BUILDING' AND phase = 'death' AND yr >= 1993 GROUP BY ALL) GROUP BY ALL)\nSELECT player, k, count(*) AS innings, sum(balls)::BIGINT AS balls, sum(runs)::BIGINT AS runs, sum(wickets)::BIGINT AS wickets, {_r('6.0 * sum(runs) / nullif(sum(balls), 0)', 'economy')} FROM r GROUP BY ALL"))
+def ball_scope_bowling(spark, sf_dir):
+    scope = scope_of("bowling", team=["NATION_1", "NATION_2"], gender="BUILDING", phase="death", since=1993)
+    figures = ballstats.player_stats(ledger.balls(spark, sf_dir), "bowling", split_by="opposition", scope=scope)
+    return rounded(figures.select("player", "k", "innings", "balls", "runs", "wickets", "economy"))
+
+
+@register("ball_scope_batting", ledger.sql(f", mine AS (SELECT * FROM balls WHERE team = 'NATION_1' AND season = '1998'), there AS (SELECT DISTINCT match_id, innings, venue AS k, unnest([batter, non_striker]) AS player FROM mine), f AS (SELECT match_id, innings, venue AS k, batter AS player, sum(runs_batter) AS runs, sum(faced::INT) AS balls FROM mine GROUP BY ALL), o AS (SELECT DISTINCT match_id, innings, k, player, 1 AS out FROM (SELECT match_id, innings, venue AS k, player_out AS player FROM mine WHERE is_out UNION ALL SELECT match_id, innings, venue, non_striker FROM mine WHERE second_out))\nSELECT player, k, count(*) AS innings, (count(*) - coalesce(sum(out), 0))::BIGINT AS not_outs, coalesce(sum(runs), 0)::BIGINT AS runs, {_r('coalesce(sum(runs), 0)::DOUBLE / nullif(sum(out), 0)', 'average')} FROM there LEFT JOIN f USING (match_id, innings, k, player) LEFT JOIN o USING (match_id, innings, k, player) GROUP BY ALL"))
+def ball_scope_batting(spark, sf_dir):
+    scope = scope_of("batting", team="NATION_1", year="1998")
+    figures = ballstats.player_stats(ledger.balls(spark, sf_dir), "batting", split_by="venue", scope=scope)
+    return rounded(figures.select("player", "k", "innings", "not_outs", "runs", "average"))
+
+
+@register("ball_compare", ledger.sql(f"SELECT bowler AS player, sum(legal::INT)::BIGINT AS balls, sum(bowler_runs)::BIGINT AS runs, sum(credited)::BIGINT AS wickets FROM balls WHERE bowler IN ('Brand#22', 'Brand#11') AND innings = 2 GROUP BY 1"))
+def ball_compare(spark, sf_dir):
+    rows = ballstats.compare(ledger.balls(spark, sf_dir), "bowling", ["Brand#22", "Brand#11"], scope_of("bowling", innings=2))
+    return rounded(rows.select("player", "balls", "runs", "wickets"))
+
+
 @register("scope_latest_season", ledger.sql("SELECT season, count(*) AS n, sum(runs)::BIGINT AS runs FROM bowling WHERE gender = 'BUILDING' AND season = (SELECT season FROM bowling WHERE gender = 'BUILDING' ORDER BY date DESC NULLS LAST, season DESC LIMIT 1) GROUP BY 1", bowling=True))
 def scope_latest(spark, sf_dir):
     rows = ledger.tables(spark, sf_dir)["bowling_innings"]
@@ -120,7 +152,7 @@ def scatter_zscore(spark, sf_dir):
 
 @register("similar_topk", ledger.sql(""", q AS (SELECT player, 100.0 * sum(dots) / nullif(sum(balls), 0) AS x, 6.0 * sum(runs) / nullif(sum(balls), 0) AS y, sum(balls) AS balls FROM bowling GROUP BY player), pool AS (SELECT * FROM q WHERE player = 'Brand#11' OR balls >= greatest(120, 0.25 * (SELECT balls FROM q WHERE player = 'Brand#11'))),
 z AS (SELECT player, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS zx, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS zy, balls FROM pool)
-SELECT a.player, a.balls::BIGINT AS sample, round(sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2), 4) AS distance, round(100 / (1 + sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2)), 4) AS score FROM z a, z b WHERE b.player = 'Brand#11' AND a.player <> b.player ORDER BY distance, a.player LIMIT 10""", bowling=True))
+SELECT a.player, a.balls::BIGINT AS sample, round(sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2) + 1e-9, 4) AS distance, round(100 / (1 + sqrt((a.zx - b.zx) ** 2 + (a.zy - b.zy) ** 2)) + 1e-9, 4) AS score FROM z a, z b WHERE b.player = 'Brand#11' AND a.player <> b.player ORDER BY distance, a.player LIMIT 10""", bowling=True))
 def similar_topk(spark, sf_dir):
     return rounded(engine.similar_players(ledger.tables(spark, sf_dir)["bowling_innings"], "bowling", "Brand#11", ["dot_pct", "economy"]))
 
@@ -217,7 +249,7 @@ def venue_bands(spark, sf_dir):
 # --- models ------------------------------------------------------------------------------------------------------
 
 
-@register("par_last20", ledger.sql(f", {_TOTALS}\nSELECT match_id, count(*) OVER g AS earlier, round(CASE WHEN count(*) OVER g >= 3 THEN avg(total) OVER g ELSE avg(total) OVER f END, 4) AS par FROM (SELECT * FROM totals WHERE innings = 1) WINDOW g AS (PARTITION BY venue, format ORDER BY date, match_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY format ORDER BY date, match_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)"))
+@register("par_last20", ledger.sql(f", {_TOTALS}\nSELECT match_id, count(*) OVER g AS earlier, round(CASE WHEN count(*) OVER g >= 3 THEN avg(total) OVER g ELSE avg(total) OVER f END + 1e-9, 4) AS par FROM (SELECT * FROM totals WHERE innings = 1) WINDOW g AS (PARTITION BY venue, format ORDER BY date, match_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY format ORDER BY date, match_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)"))
 def par_last20(spark, sf_dir):
     first = ballstats.innings_totals(ledger.balls(spark, sf_dir)).filter("innings = 1")
     return rounded(models.venue_par(first).select("match_id", "earlier", "par"))
@@ -265,7 +297,7 @@ def _scored(spark, sf_dir):
     return s.withColumn("p", models.probability(F.col("score_after") / 20.0 - F.col("wickets_after") - 0.5))
 
 
-@register("key_swings", ledger.sql("SELECT match_id, innings, seq, round(p - lag(p) OVER (PARTITION BY match_id ORDER BY innings, seq), 4) AS swing FROM (SELECT *, least(greatest(1 / (1 + exp(-(sum(runs_total) OVER w / 20.0 - sum(outs) OVER w - 0.5))), 0.001), 0.999) AS p FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING))"))
+@register("key_swings", ledger.sql("SELECT match_id, innings, seq, round(p - lag(p) OVER (PARTITION BY match_id ORDER BY innings, seq) + 1e-9, 4) AS swing FROM (SELECT *, least(greatest(1 / (1 + exp(-(sum(runs_total) OVER w / 20.0 - sum(outs) OVER w - 0.5))), 0.001), 0.999) AS p FROM balls WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING))"))
 def key_swings(spark, sf_dir):
     return rounded(models.swings(_scored(spark, sf_dir)).select("match_id", "innings", "seq", "swing"))
 
@@ -299,7 +331,7 @@ def _bowl(spark, sf_dir):
 @register("study_halves_k", (ledger.sql(_SEASONS + ", h AS (SELECT fgroup, gender, player, yr, metric, sum(n) FILTER (half = 0) AS na, sum(n) FILTER (half = 1) AS nb, sum(x) FILTER (half = 0) AS xa, sum(x) FILTER (half = 1) AS xb FROM seasons GROUP BY ALL HAVING na >= 4 AND nb >= 4), g AS (SELECT fgroup, gender, metric, count(*) AS seasons, sum(xa + xb) / sum(na + nb) AS p, median(na + nb) AS typical, " + _SUMS("a", "b") + " FROM (SELECT *, xa / na AS a, xb / nb AS b, na * nb / (na + nb) AS w FROM h) GROUP BY ALL)\n" + f"SELECT fgroup, gender, metric, seasons, {_r('p', 'p')}, {_r('p * (1 - p)', 'sigma2')}, round({_COV}, 6) AS tau2, {_r('typical', 'typical')}, {_r(f'CASE WHEN {_VX} * {_VY} > 0 THEN {_COV} / sqrt({_VX} * {_VY}) END', 'r_half')} FROM g", bowling=True)))
 def study_halves_k(spark, sf_dir):
     s = _MINE(study.stability(_bowl(spark, sf_dir), "bowling", 4))
-    return s.select("fgroup", "gender", "metric", "seasons", *(F.round(c, 4).alias(c) for c in ("p", "sigma2", "typical", "r_half")), F.round("tau2", 6).alias("tau2"))
+    return s.select("fgroup", "gender", "metric", "seasons", *(F.round(F.col(c) + TINY, 4).alias(c) for c in ("p", "sigma2", "typical", "r_half")), F.round("tau2", 6).alias("tau2"))
 
 
 @register("study_year_pairs", (ledger.sql(_SEASONS + _YEARS + "\n" + f"SELECT fgroup, gender, metric, pairs, {_r(f'CASE WHEN {_VX} * {_VY} > 0 THEN {_COV} / sqrt({_VX} * {_VY}) END', 'r')} FROM (SELECT fgroup, gender, metric, count(*) AS pairs, {_SUMS('rate', 'rate2')} FROM pairs GROUP BY ALL)", bowling=True)))

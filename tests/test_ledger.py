@@ -143,9 +143,11 @@ def test_shrinkage_limits(tables):
 
 
 def test_scope_reading_and_refusals():
-    assert scope.bounds("4-7") == (4, 7) and scope.bounds("5+") == (5, None) and scope.bounds("openers", scope.POSITION_WORDS) == (1, 2)
-    assert scope.normalise({"Ground": "X", "gender": "all", "vs": None}) == {"venue": "X"}
-    for bad in ({"colour": "red"}, {"innings": 5}, {"result": "maybe"}, {"position": "??"}):
+    spans = {"4-7": (4, 7), "4 to 7": (4, 7), "5+": (5, 11), "3": (3, 3), "openers": (1, 2), "No. 3": (3, 3), "tail": (8, 11)}
+    assert {k: scope.bounds(k, scope.POSITIONS, scope.POSITION_WORDS) for k in spans} == spans and scope.bounds((2, 4), scope.POSITIONS) == (2, 4)
+    assert scope.normalise({"Ground": "X", "gender": "Both", "vs": None, "series": "n/a", "year": 2024}) == {"venue": "X", "gender": "all", "season": 2024}
+    assert scope.normalise({"start_year": 2001, "end_year": 2003, "order": "top", "came_in": "early", "event_name": "A"}) == {"from_year": 2001, "to_year": 2003, "position": "top", "entry_phase": "early", "competition": "A"}
+    for bad in ({"colour": "red"}, {"innings": 5}, {"result": "maybe"}, {"position": "??"}, {"position": "0-3"}, {"position": "12"}, {"position": "5-4"}, {"entry_wickets": "1-2-3"}, {"from_year": "soon"}):
         with pytest.raises(scope.ScopeError):
             scope.build("batting", **bad)
     with pytest.raises(scope.ScopeError):
@@ -158,6 +160,30 @@ def test_scope_reading_and_refusals():
         engine.metrics_for("batting", ["hundreds"], True)
 
 
+def test_gender_and_competition_complete_each_other(spark):
+    eras = {"premier cup": ["Premier Cup", "Old Cup"], "women's premier cup": ["Women's Premier Cup"]}
+    sexes = {"premier cup": "male", "women's premier cup": "female"}
+    of = lambda **f: scope.build("batting", competitions=eras, genders=sexes, default_gender="male", **f)
+    assert of(competition="Premier Cup 2019/20").filters == {"competition": ["Premier Cup", "Old Cup"], "season": "2019/20", "gender": "male"}
+    assert of(competition="premier cup", gender="female").filters["competition"] == ["Women's Premier Cup"]
+    assert of(gender="all").filters == {} and of(competition="Other 2024").filters == {"competition": ["Other"], "season": "2024", "gender": "male"}
+    assert of().filters == {"gender": "male"} and of().notes and not of(competition="Premier Cup").notes
+    df = spark.createDataFrame([("A", "B", "X"), ("C", "A", "X"), ("B", "C", "Y")], "team1 string, team2 string, venue string")
+    assert scope.build("batting", team="A", venue="X").matches(df).count() == 2 and scope.build("batting", team="A", opposition="C").matches(df).count() == 1
+
+
+def test_ball_level_figures_in_scope(tables):
+    b = tables["balls"]
+    got = rows(ballstats.player_stats(b, "bowling", split_by="opposition", scope=scope.build("bowling", team="Shrubs")), "player")
+    assert set(got) == {"Elm", "Yew"} and got["Elm"].k == "Trees" and got["Elm"].wickets == 1
+    assert {r.player for r in ballstats.player_stats(b, "batting", scope=scope.build("batting", team="Shrubs")).collect()} == {"Elm", "Yew"}
+    assert [r.player for r in ballstats.compare(b, "batting", ["Oak", "Ash"]).collect()] == ["Oak", "Ash"]
+    for k in ballstats.SPLITS:
+        assert ballstats.player_stats(b, "batting", ["Ash"], k).count() == 1
+    with pytest.raises(scope.ScopeError):
+        ballstats.player_stats(b, "batting", scope=scope.build("batting", position="1"))
+
+
 def test_split_season_counts_by_calendar_year(spark):
     df = spark.createDataFrame([("2023/24", 2024), ("2023/24", 2023), ("2024", 2024)], "season string, yr int")
     assert scope.build("batting", season="2024").apply(df).count() == 2
@@ -228,10 +254,19 @@ def test_resolution(spark):
 
 def test_guarded_sql(spark):
     spark.range(500).createOrReplaceTempView("guarded_numbers")
-    assert sqlguard.run_sql(spark, "select id from guarded_numbers where 'drop table x' <> ''; ").count() == 200
-    for bad in ("drop table x", "select 1; select 2", "select * from parquet.`/etc`", "with a as (select 1) insert into b select 1", "explain select 1"):
+    run = lambda q: sqlguard.run_sql(spark, q, views=["guarded_numbers"])
+    assert run("select id from guarded_numbers where 'drop table x' <> ''; ").count() == 200
+    assert run("with q as (select id as add from guarded_numbers) select sum(add) as s, 'a--b' as x, 'a/*b*/c' as y, 'it''s; ' as z from q -- ends").first() == (124750, "a--b", "a/*b*/c", "it's; ")
+    assert run("select t.x, count(*) from guarded_numbers lateral view explode(array(1, 2)) t as x where id in (select id from guarded_numbers where id < 3) group by 1 having count(*) > 1 order by 1").count() == 2
+    refused = (
+        "drop table x", "select 1; select 2", "select * from parquet.`/etc`", "with a as (select 1) insert into b select 1", "explain select 1", "set x = 1", "begin select 1; end", "select",
+        "select count(*) from `parquet`.`/etc`", "select reflect('java.lang.System', 'getProperty', 'user.dir')", "select id from guarded_numbers where id = (select count(*) from json.`/etc/x`)",
+        "select java_method('a', 'b')", "select * from other_table", "select * from identifier('parquet.`/etc`')", "execute immediate 'drop table x'", "select input_file_name() from guarded_numbers", "select db.f(1)",
+    )
+    for bad in refused:
         with pytest.raises(sqlguard.SqlRefused):
-            sqlguard.checked(bad)
+            run(bad)
+    assert {(r.table, r.rows, r.column) for r in sqlguard.listing(spark, ["guarded_numbers"]).collect()} == {("guarded_numbers", 500, "id")}
 
 
 def test_pages(spark):
