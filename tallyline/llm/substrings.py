@@ -2,18 +2,20 @@
 
 An index holds word sequences: the Burrows-Wheeler transform of their words' numbers as a wavelet
 tree (in matrix form: one bit vector for each bit of a number, with block counts), the start of each
-number in suffix order, and for each suffix the smallest document it stands in. Streamed sequences
-are searched backward, word by word, for all their places at once: the matching statistics, cut at
-the threshold, and the suffix interval of each match that reaches it.
+number in suffix order, and the smallest document of each interval of suffixes. Streamed sequences
+are searched backward, word by word: the matching statistics, cut at the threshold, and the suffix
+interval of each match that reaches it.
 
 One index over a corpus would have to be searched by all of it, so the corpus is cut into shards by
 content. Of every WINDOW consecutive words, the group of GRAM words with the smallest hash is the
 window's anchor: equal windows have equal anchors. Anchors that occur in one document only are
 dropped after a pre-aggregated count; around the others, runs of windows with one anchor go to the
-shard that the anchor names, each distinct run once, with the smallest document that has it. A run
-of an anchor in more than HOT documents goes window by window, dealt by the windows' own hashes, so
-no shard gathers a frequent passage's surroundings. Hashes only route: equality is decided by the
-words themselves in the index.
+shard that the anchor names, each distinct run once, with the smallest document that has it. The
+index of a shard holds the runs of all but an anchor's last document, which none can repeat, and is
+searched by those of all but its first one, which repeats none: a passage of two documents is indexed
+from the one and looked up from the other. A run of an anchor in more than HOT documents goes window
+by window, dealt by the windows' own hashes, so no shard gathers a frequent passage's surroundings.
+Hashes only route: equality is decided by the words themselves in the index.
 """
 
 from __future__ import annotations
@@ -36,14 +38,15 @@ HOT = 2000
 #: Words in one shard's index, about.
 SHARD = 400_000
 _SEARCH = 1 << 15
+NOWHERE = np.iinfo(np.int64).max
 _MASK = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletTree:
     """rank(number, place) over an array of non-negative numbers, in packed bit vectors."""
 
-    def __init__(self, values: np.ndarray):
-        self.levels = max(1, int(values.max(initial=0)).bit_length())
+    def __init__(self, values: np.ndarray, most: int = 0):
+        self.levels = max(1, most.bit_length(), int(values.max(initial=0)).bit_length())
         self.words, self.counts, self.zeros = [], [], []
         for level in range(self.levels - 1, -1, -1):
             bits = (values >> level & 1).astype(np.uint8)
@@ -75,16 +78,17 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Sequences of numbers from 1 on, with an owner for each sequence; finds matches of up to 16."""
+    """Sequences of numbers from 1 on, with an owner for each sequence; finds matches of up to WINDOW
+    numbers. Those asked for may be as large as `most`, in the index or not."""
 
-    def __init__(self, sequences: np.ndarray, lengths: np.ndarray, owners: np.ndarray):
+    def __init__(self, sequences: np.ndarray, lengths: np.ndarray, owners: np.ndarray, most: int = 0):
         ends = np.cumsum(lengths + 1) - 1
         n = int(ends[-1]) + 1 if len(ends) else 1
         inside = np.ones(n, bool)
         inside[ends if len(ends) else 0] = False
         self.text = np.zeros(n, np.int64)
         self.text[inside] = sequences
-        base = int(self.text.max(initial=0)) + 1
+        base = max(int(self.text.max(initial=0)), most) + 1
         key = self.text
         for k in (1, 2) if base**3 < 1 << 62 else (1,):  # as many numbers as fit one key
             key = key * base + self._after(self.text, k)
@@ -99,7 +103,7 @@ class FMIndex:
         key = key[suffixes]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
         self.size = n
-        self.tree = WaveletTree(self.text[suffixes - 1])
+        self.tree = WaveletTree(self.text[suffixes - 1], base)
         numbers = np.arange(base + 1)
         self.start = np.searchsorted(np.sort(self.text), numbers).astype(np.int32)
         self.shift = (self.start - self.tree.walk(numbers, np.zeros(len(numbers), np.int32))).astype(np.int32)
@@ -108,6 +112,14 @@ class FMIndex:
         self.bounds = np.append(starts, np.int32(n))
         self.of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(self.bounds))
         self.least = np.minimum.reduceat(self.owner, starts)
+        # And the intervals of suffixes with the same first WINDOW - 1 numbers.
+        padded, changes = np.append(self.text, np.zeros(WINDOW, np.int64)), np.zeros(len(starts), bool)
+        one, other = suffixes[starts], suffixes[starts - 1]
+        for k in range(WINDOW - 1):
+            changes |= padded[one + k] != padded[other + k]
+        changes[0] = True
+        self.shorter = np.append(starts[changes], np.int32(n))
+        self.shorter_of = np.repeat(np.arange(len(self.shorter) - 1, dtype=np.int32), np.diff(self.shorter))
 
     def _leading(self, depth: int, base: int) -> np.ndarray:
         key = self.text
@@ -146,47 +158,61 @@ class FMIndex:
         return length, low, high
 
     def slide(self, numbers: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Matching statistics of whole sequences, each searched backward once: the class of the
-        WINDOW numbers from each place on, -1 where the index does not hold them.
+        """Searches streamed sequences (numbers[first] to numbers[last]) backward: for each place the class
+        of the WINDOW numbers from there on, -1 where the index does not hold them.
 
-        A match that has grown to WINDOW numbers is cut back to them before the next step: its
-        interval widens to its class's (the parent of the suffix interval at that depth).
+        A match grows to the left, one number a step, all sequences at once. One that has reached WINDOW
+        numbers gives up its last one: its suffix interval widens to that of the WINDOW - 1 numbers
+        before. One that cannot grow is begun anew a place further left, or left of a number that the
+        index does not know at all.
         """
         out = np.full(len(numbers), -1, np.int32)
-        low, high, place = np.zeros(len(last), np.int32), np.full(len(last), self.size, np.int32), last.astype(np.int64)
-        for k in range(int((last - first).max(initial=-1)) + 1):
+        first, end = first.astype(np.int64), last.astype(np.int64)
+        low, high, place = np.zeros(len(end), np.int32), np.full(len(end), self.size, np.int32), end
+        on = end - first >= WINDOW - 1
+        while True:
+            low, high, place, first, end = low[on], high[on], place[on], first[on], end[on]
+            if not len(place):
+                return out
             own = numbers[place].astype(np.int32)
-            a, same = (self.start[own], True) if k == 0 else self.tree.step(own, low)
-            if k == 0:
-                b = self.start[own + 1]
-            else:
-                a = a + self.shift[own]
-                b = a + same
-                wide = np.flatnonzero(high - low > 1)
-                b[wide] = self.shift[own[wide]] + self.tree.walk(own[wide], high[wide])
-            if k >= WINDOW - 1:
-                a = np.where(a < b, a, 0)
-                own = np.where(a < b, self.of[a], -1)
-                out[place] = own
-                a, b = np.where(own >= 0, self.bounds[own], a), np.where(own >= 0, self.bounds[own + 1], b)
-            on = (a < b) & (place > first)
-            low, high, place, first = a[on], b[on], place[on] - 1, first[on]
-        return out
-
-
-def first_documents(runs: pa.Array, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each run the smallest owner among all runs that hold it; and the number of
-    windows of each run. Words are told apart exactly, by a dictionary of the shard."""
+            a, b = self.start[own], self.start[own + 1]
+            known, grows = a < b, np.flatnonzero((place < end) & (a < b))
+            o, at = own[grows], low[grows]
+            x, same = self.tree.step(o, at)
+            x += self.shift[o]
+            y = x + same  # an interval of one suffix needs one walk
+            wide = np.flatnonzero(high[grows] - at > 1)
+            y[wide] = self.shift[o[wide]] + self.tree.walk(o[wide], high[grows[wide]])
+            a[grows], b[grows] = x, y
+            hit = a < b
+            full = np.flatnonzero(hit & (end - place == WINDOW - 1))
+            out[place[full]] = self.of[a[full]]
+            wider = self.shorter_of[a[full]]
+            a[full], b[full] = self.shorter[wider], self.shorter[wider + 1]
+            again = np.where(hit, end, np.where(known, end - 1, place - 1))
+            again[full] = end[full] - 1
+            low, high, place, end = a, b, np.where(hit, place - 1, again), again
+            on = (end - first >= WINDOW - 1) & (place >= first)
+
+
+def first_documents(runs: pa.Array, owners: np.ndarray, held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes the runs that are held and streams those that are asked for through the index: for each
+    window of these the smallest owner among the held runs with that window, NOWHERE without one; and
+    the number of windows of each asked run. Words are told apart exactly, by a dictionary of the shard."""
     split = pc.split_pattern(runs.cast(pa.large_binary()), b" ")
     lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
-    numbers = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    index = FMIndex(numbers, lengths, owners)
-    first = np.cumsum(lengths + 1) - lengths - 1
-    found = np.concatenate([index.slide(index.text, first[k : k + _SEARCH], (first + lengths)[k : k + _SEARCH] - 1)[None] for k in range(0, len(first), _SEARCH)]).max(0)
-    windows = lengths - WINDOW + 1
+    words = split.flatten().dictionary_encode()
+    numbers = words.indices.to_numpy().astype(np.int64) + 1
+    index = FMIndex(numbers[np.repeat(held, lengths)], lengths[held], owners[held], len(words.dictionary))
+    last = (np.cumsum(lengths) - 1)[asked]
+    first, windows = last - lengths[asked] + 1, lengths[asked] - WINDOW + 1
+    least = np.full(len(numbers), NOWHERE)
+    for k in range(0, len(first), _SEARCH):
+        found = index.slide(numbers, first[k : k + _SEARCH], last[k : k + _SEARCH])
+        at = np.flatnonzero(found >= 0)
+        least[at] = index.least[found[at]]
     at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    assert (found[at] >= 0).all()  # every run is in the index itself
-    return index.least[found[at]], windows
+    return least[at], windows
 
 
 _STEP = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -208,8 +234,8 @@ def anchors(words: list[bytes]) -> np.ndarray:
 
 
 def _runs(words: list[bytes], shared: np.ndarray, hot: np.ndarray):
-    """First and last window, anchor, hot and content of each run of windows whose anchor is shared,
-    those of hot anchors one by one."""
+    """First and last window, place of the anchor in shared, and content of each run of windows whose
+    anchor is shared, those of hot anchors one by one."""
     own = anchors(words)
     known = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
     candidate = shared[known] == own
@@ -221,7 +247,7 @@ def _runs(words: list[bytes], shared: np.ndarray, hot: np.ndarray):
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     joined = b" ".join(words)
     first, after = (np.append(0, ends)[start]).tolist(), (ends[stop + WINDOW - 1] - 1).tolist()
-    return start, stop, own[start], alone[start], [joined[a:b] for a, b in zip(first, after)]
+    return start, stop, known[start], [joined[a:b] for a, b in zip(first, after)]
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -236,37 +262,40 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     marked = materialize(map_arrow(plain, mark, "doc_id long, anchors array<long>"), "anchors")
     occurring = marked.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = occurring.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    shared = shared.filter("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot"))
-    wanted = occurring.join(shared.hint("shuffle_hash"), "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared"))
+    shared = shared.filter("lo < hi").select("anchor", "lo", "hi", (F.col("n") > HOT).alias("hot"))
+    ends = F.struct("anchor", "hot", (F.col("doc_id") > F.col("lo")).alias("asked"), (F.col("doc_id") < F.col("hi")).alias("held"))
+    wanted = occurring.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(ends).alias("shared"))
     wanted = materialize(wanted, "shared-anchors")
     discard(marked)
 
     def extract(batch):
         rows, content, shared = [], [], batch.column("shared")
-        ends, held, frequent = shared.offsets.to_numpy(), shared.values.field("anchor").to_numpy(), shared.values.field("hot").to_numpy(zero_copy_only=False)
+        ends, every = shared.offsets.to_numpy(), shared.values.field("anchor").to_numpy()
+        flags = np.stack([shared.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hot", "asked", "held")])
         for k, text in enumerate(texts(batch)):
-            known, hot = held[ends[k] : ends[k + 1]], frequent[ends[k] : ends[k + 1]]
-            order = np.argsort(known)
-            start, stop, anchor, alone, run = _runs(text.split(), known[order], hot[order])
-            rows.append(np.stack([np.full(len(start), k), start, stop - start + 1, anchor, alone]))
+            order = ends[k] + np.argsort(every[ends[k] : ends[k + 1]])
+            start, stop, which, run = _runs(text.split(), every[order], flags[0, order] == 1)
+            rows.append(np.stack([np.full(len(start), k), start, stop - start + 1, every[order[which]], *flags[:, order[which]]]))
             content += run
-        row, start, windows, anchor, alone = np.concatenate(rows, axis=1)
+        row, start, windows, anchor, alone, asked, held = np.concatenate(rows, axis=1)
         k1, k2 = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), ">i8").reshape(-1, 2).T.astype(np.int64)
         names = {"doc_id": batch.column("doc_id").take(pa.array(row)), "text_hash": batch.column("text_hash").take(pa.array(row))}
-        return names | {"start": start, "windows": windows, "k1": k1, "k2": k2, "shard_key": np.where(alone == 1, k1, anchor), "run": content}
+        return names | {"start": start, "windows": windows, "k1": k1, "k2": k2, "shard_key": np.where(alone == 1, k1, anchor), "asked": asked == 1, "held": held == 1, "run": content}
 
-    runs = map_arrow(plain.join(wanted, "doc_id"), extract, "doc_id long, text_hash long, start long, windows long, k1 long, k2 long, shard_key long, run binary")
+    runs = map_arrow(plain.join(wanted, "doc_id"), extract, "doc_id long, text_hash long, start long, windows long, k1 long, k2 long, shard_key long, asked boolean, held boolean, run binary")
     runs = materialize(runs, "runs")
-    distinct = runs.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("shard_key").alias("shard_key"), F.first("run").alias("run"), F.first("windows").alias("windows"))
+    distinct = runs.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("shard_key").alias("shard_key"), F.bool_or("asked").alias("asked"), F.bool_or("held").alias("held"), F.first("run").alias("run"), F.first("windows").alias("windows"))
     distinct = materialize(distinct, "distinct-runs")
     total = distinct.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     distinct = distinct.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
 
     def search(table: pa.Table) -> pa.Table:
-        least, windows = first_documents(table.column("run").combine_chunks(), table.column("owner").to_numpy())
+        held, asked = (table.column(c).to_numpy() for c in ("held", "asked"))
+        least, windows = first_documents(table.column("run").combine_chunks(), table.column("owner").to_numpy(), held, asked)
+        table = table.filter(pa.array(asked))
         ends = np.cumsum(windows)
-        keep = np.minimum.reduceat(least, ends - windows) < table.column("last").to_numpy()
+        keep = np.minimum.reduceat(least, ends - windows) < table.column("last").to_numpy() if len(windows) else asked[:0]
         offsets = np.concatenate([[0], np.cumsum(windows[keep])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(least[np.repeat(keep, windows)]))
         return pa.table({"k1": table.column("k1").filter(pa.array(keep)), "k2": table.column("k2").filter(pa.array(keep)), "first": lists})

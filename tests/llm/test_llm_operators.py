@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -200,6 +201,15 @@ def test_index_matches_by_counting(sequences):
             window = s[k : k + 13]
             owner = min(j for j, o in enumerate(sequences) if any(o[m : m + 13] == window for m in range(len(o) - 12)))
             assert index.least[classes[f + k]] == owner
+    # sequences that the index does not hold: half of them indexed, all of them asked for
+    held = np.arange(len(sequences)) % 2 == 0
+    words = pa.array([" ".join(map(str, s)).encode() for s in sequences] + [b"9 8 7 6 5 4 3 2 1 0 1 2 3 4"])
+    least, windows = substrings.first_documents(words, np.arange(len(sequences) + 1), np.append(held, False), np.ones(len(sequences) + 1, bool))
+    want = []
+    for s in [*sequences, [9, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1, 2, 3, 4]]:
+        for k in range(len(s) - 12):
+            want.append(min((j for j, o in enumerate(sequences) if held[j] and any(o[m : m + 13] == s[k : k + 13] for m in range(len(o) - 12))), default=substrings.NOWHERE))
+    assert least.tolist() == want and windows.sum() == len(want)
     ends = np.flatnonzero(index.text > 0)
     length, low, high = index.matching(index.text, ends, 6)
     for e, n, a, b in zip(ends, length, low, high):
