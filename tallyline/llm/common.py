@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (single-machine tests).
+#: Used only where a local session names no checkpoint folder (single-machine tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+_CLEARED: set[str] = set()
 #: Frees the shuffle files of a query once its result is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -20,24 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """This application's folder under spark.checkpoint.dir, which driver and executors share. Without
+    that setting a local session takes a local folder; on a cluster, where rows written to one would
+    be lost, it is an error. The folder goes when the driver's Python ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(shared or LOCAL_CHECKPOINTS).rstrip('/')}/tallyline/{spark.sparkContext.applicationId}"
+    if path not in _CLEARED:
+        _CLEARED.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session leaves it
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage so that a
-    lost executor costs a reread, and lets the shuffle files of the work so far go."""
+    lost executor costs a reread, and lets the shuffle files of the work so far go (a setting of the
+    session, made once, unless the user has one)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyline/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if spark.conf.get(CLEANUP, None) is None:
+        spark.conf.set(CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyline_path = path
     return out
@@ -47,9 +59,17 @@ def discard(df: DataFrame) -> None:
     """Deletes the files behind a materialize() result that nothing will read again."""
     path = getattr(df, "_tallyline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

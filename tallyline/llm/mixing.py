@@ -11,12 +11,12 @@ documents in another one, so the part is a random choice of blocks plus one bloc
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 #: Target entropy of the weights as a share of the largest possible, log(number of sources).
 ENTROPY = 0.97
@@ -26,51 +26,50 @@ REPEATS = 4.0
 BLOCK = 256
 #: Blocks in one band of a source's key range, about.
 BAND = 1024
-#: Most sources: the bound of what comes to the driver.
-SOURCES = 100_000
+#: Exponents tried in one pass over the sources.
+TRIED = 31
 SEED = 17
 
 
-def weights(shares: dict, alpha: float) -> dict:
-    powers = {k: v**alpha for k, v in shares.items() if v > 0}
-    total = sum(powers.values())
-    return {k: v / total for k, v in powers.items()}
+def _sums(shares: DataFrame, alphas: list[float]) -> list:
+    """For each exponent a the sums over the sources of share**a (z) and of that times log share (l), and
+    the largest and smallest share**(a - 1) (m, n). Only these come to the driver."""
+    tried = shares.select("share", F.posexplode(F.array(*map(F.lit, alphas))).alias("k", "a"))
+    power = F.exp(F.col("a") * F.log("share"))
+    sums = {"z": F.sum(power), "l": F.sum(power * F.log("share")), "m": F.max(power / F.col("share")), "n": F.min(power / F.col("share"))}
+    return tried.groupBy("k").agg(*(c.alias(n) for n, c in sums.items())).orderBy("k").collect()
 
 
-def entropy(w: dict) -> float:
-    return -sum(v * log(v) for v in w.values() if v > 0)
+def at_exponents(shares: DataFrame, alphas: list[float], budget: float | None) -> list[tuple[float, float]]:
+    """For each exponent the entropy of the weights share**alpha / sum, and the most passes that any
+    source gets. budget: tokens as a multiple of the corpus; None: as many as it takes for every
+    source to be passed through once at least."""
+    return [(log(r["z"]) - a * r["l"] / r["z"], r["m"] / r["n"] if budget is None else r["m"] / r["z"] * budget) for a, r in zip(alphas, _sums(shares, alphas))]
 
 
-def passes(shares: dict, w: dict, budget: float | None) -> dict:
-    """How often each source is passed through. budget: tokens as a multiple of the corpus; None: as
-    many as it takes for every source to be passed through once at least."""
-    ratio = {k: w[k] / shares[k] for k in w}
-    scale = 1 / min(ratio.values()) if budget is None else budget
-    return {k: r * scale for k, r in ratio.items()}
-
-
-def _bisect(ok, steps: int = 60) -> float:
-    """The largest alpha in [0, 1] for which ok holds, ok(0) given and ok falling with alpha."""
+def _bisect(ok) -> float:
+    """The largest alpha in [0, 1] for which ok holds, ok(0) given and ok falling with alpha, to about
+    1e-12. ok takes a list: each pass cuts the interval into TRIED + 1 parts instead of two."""
     low, high = 0.0, 1.0
-    if ok(high):
-        return high
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if ok(mid) else (low, mid)
+    if ok([1.0])[0]:
+        return 1.0
+    while high - low > 1e-12:
+        tried = [low + (high - low) * (k + 1) / (TRIED + 1) for k in range(TRIED)]
+        good = sum(ok(tried))
+        low, high = ([low, *tried][good], [*tried, high][good])
     return low
 
 
-def temperature(tokens: dict, target: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> float:
-    """Alpha for tokens of each source; sources without tokens have no say."""
-    total = sum(tokens.values())
-    shares = {k: v / total for k, v in tokens.items() if v > 0}
-    if len(shares) < 2:
+def temperature(shares: DataFrame, target: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> float:
+    """Alpha for the token shares (source, share over 0) of any number of sources."""
+    n = shares.count()
+    if n < 2:
         return 1.0
-    alpha = _bisect(lambda a: entropy(weights(shares, a)) >= target * log(len(shares)))
-    within = lambda a: max(passes(shares, weights(shares, a), budget).values()) <= repeats + 1e-9
-    if within(alpha) or not within(1.0):
-        return alpha if within(alpha) else 1.0
-    return 1 - _bisect(lambda b: within(1 - b))
+    alpha = _bisect(lambda tried: [h >= target * log(n) - 1e-12 for h, _ in at_exponents(shares, tried, budget)])
+    (_, here), (_, plain) = at_exponents(shares, [alpha, 1.0], budget)
+    if here <= repeats + 1e-9 or plain > repeats + 1e-9:
+        return alpha if here <= repeats + 1e-9 else 1.0
+    return 1 - _bisect(lambda tried: [p <= repeats + 1e-9 for _, p in at_exponents(shares, [1 - b for b in tried], budget)])
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -91,22 +90,18 @@ def schedule(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
     it. Documents without tokens go along in every whole epoch. Sources with no tokens at all are
     passed through once.
     """
-    spark = docs.sparkSession
-    totals = docs.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).limit(SOURCES + 1).collect()
-    if len(totals) > SOURCES:
-        raise ValueError(f"over {SOURCES} sources")
-    tokens = {r["_source"]: r["tokens"] for r in totals}
-    total = sum(tokens.values())
-    shares = {k: v / total for k, v in tokens.items() if v}
-    alpha = temperature(tokens, target, repeats, budget) if shares else 1.0
-    w = weights(shares, alpha)
-    times = passes(shares, w, budget) if shares else {}
-    plan = [
-        (r["_source"], float(w.get(r["_source"], 0.0)), alpha, int(times.get(r["_source"], 1.0) + 1e-9), float((times.get(r["_source"], 1.0) + 1e-9) % 1 * r["tokens"]), max(1, ceil(r["docs"] / BLOCK)))
-        for r in totals
-    ]
-    plan = spark.createDataFrame(plan, "_source string, weight double, alpha double, whole int, rest double, blocks int")
-    rows = docs.join(F.broadcast(plan), "_source")
+    totals = docs.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs"))
+    totals = materialize(totals, "mix-sources")
+    every = totals.agg(F.sum("tokens")).first()[0] or 0
+    shares = totals.filter("tokens > 0").select("_source", (F.col("tokens") / F.lit(max(every, 1))).alias("share"))
+    alpha = temperature(shares, target, repeats, budget) if every else 1.0
+    z, least = next(((r["z"], r["n"]) for r in _sums(shares, [alpha])), (1.0, 1.0))
+    weight = F.coalesce(F.exp(alpha * F.log(F.nullif(F.col("tokens"), F.lit(0)) / every)) / z, F.lit(0.0)) if every else F.lit(0.0)
+    # How often a source is passed through: its weight over its share, times the budget.
+    passes = weight / (F.col("tokens") / F.lit(max(every, 1))) * (z / least if budget is None else budget) if every else F.lit(1.0)
+    times = F.when(F.col("tokens") > 0, passes).otherwise(1.0) + 1e-9
+    plan = totals.select("_source", weight.alias("weight"), F.lit(alpha).alias("alpha"), F.floor(times).cast("int").alias("whole"), ((times % 1) * F.col("tokens")).alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("int").alias("blocks"))
+    rows = docs.join(plan, "_source")
     rows = rows.withColumn("block", F.pmod(_hash(F.lit(SEED), "doc_id", "_row"), F.col("blocks")).cast("int"))
     whole = rows.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     # The part of an epoch: blocks in the order of their keys until the budget is met, then within the last block.
@@ -147,7 +142,8 @@ def mix_plan(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS,
 def mix(docs: DataFrame, target: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> DataFrame:
     """The documents as the mix uses them, with all their columns: a document that is used n times
     has n rows (repeated rows each)."""
-    used = schedule(_units(docs), target, repeats, budget).groupBy("doc_id", "source", "_row").agg(F.count("*").cast("int").alias("_uses"))
-    used = used.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_row").alias("_r"), "_uses")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_s")) & (F.xxhash64("text") == F.col("_r"))
-    return docs.join(used, same).withColumn("_use", F.explode(F.sequence(F.lit(1), "_uses"))).select(*docs.columns)
+    used = schedule(_units(docs), target, repeats, budget).groupBy("doc_id", "source", "_row").agg(F.count("*").cast("int").alias("uses"))
+    i, s, r, uses, use = unused(docs, "_i", "_s", "_r", "_uses", "_use")
+    used = used.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("_row").alias(r), F.col("uses").alias(uses))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.coalesce(F.col("source"), F.lit("")) == F.col(s)) & (F.xxhash64("text") == F.col(r))
+    return docs.join(used, same).withColumn(use, F.explode(F.sequence(F.lit(1), F.col(uses)))).select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize, texts
+from .common import discard, map_arrow, materialize, texts, unused
 
 WINDOW = 13
 GRAM = 4
@@ -319,9 +319,11 @@ def covered(n_words: int, starts) -> np.ndarray:
     return np.cumsum(edge)[:n_words] > 0
 
 
-def _with_starts(docs: DataFrame) -> DataFrame:
-    hits = repeated_windows(docs).select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
-    return docs.join(hits, (F.col("doc_id").cast("long") == F.col("_hit")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_hit", "_hash")
+def _with_starts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a further column, under a name that they do not have: the repeated windows' starts."""
+    hit, own, starts = unused(docs, "_hit", "_hash", "_starts")
+    hits = repeated_windows(docs).select(F.col("doc_id").alias(hit), F.col("text_hash").alias(own), F.col("starts").alias(starts))
+    return docs.join(hits, (F.col("doc_id").cast("long") == F.col(hit)) & (F.xxhash64("text") == F.col(own)), "left").drop(hit, own), starts
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
@@ -345,7 +347,7 @@ def repeats_report(docs: DataFrame) -> DataFrame:
         return out
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(_with_starts(plain), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(_with_starts(plain)[0], run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -361,9 +363,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             out.append(b" ".join(w for w, g in zip(words, covered(len(words), s).tolist()) if not g).decode())
         return pd.Series(out)
 
-    joined = _with_starts(docs)
-    touched = joined.filter("_starts is not null").withColumn("text", kept("text", "_starts"))
-    out = joined.filter("_starts is null").unionByName(touched)
+    joined, starts = _with_starts(docs)
+    touched = joined.filter(F.col(starts).isNotNull()).withColumn("text", kept("text", starts))
+    out = joined.filter(F.col(starts).isNull()).unionByName(touched)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_starts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(starts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)

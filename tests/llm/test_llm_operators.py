@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyline.llm import ann, fingerprints, licenses, lm, mixing, packing, simhash, substrings, toxicity, urls
 
@@ -61,7 +62,7 @@ def test_mixing_reaches_the_target_and_the_weights(spark):
     rows = [(i, "a b c d e f g h", "en", "big" if i < 800 else f"s{i % 4}", 1) for i in range(1000)]
     plan = run(mixing.mix_plan(spark.createDataFrame(rows, EMPTY), repeats=50.0))
     w = plan.groupby("source").weight.first()
-    assert w.sum() == pytest.approx(1) and mixing.entropy(w.to_dict()) == pytest.approx(0.97 * math.log(5), abs=1e-6)
+    assert w.sum() == pytest.approx(1) and -(w * np.log(w)).sum() == pytest.approx(0.97 * math.log(5), abs=1e-6)
     share = plan.groupby("source").n_tokens.sum() / plan.n_tokens.sum()
     assert (abs(share - w) < 0.01).all()
     assert set(plan.doc_id) == set(range(1000))  # every document at least once
@@ -91,14 +92,26 @@ def test_last_epoch_takes_blocks_in_key_order(spark, monkeypatch, band):
         assert all(ends[k] == whole[names[k]] for k in ends.index[:-1])  # whole blocks but for the last
 
 
-def test_mixing_repetition_limit():
-    tokens = {"a": 1000, "b": 10, "c": 10}
-    free = mixing.temperature(tokens, 0.99, 1e9)
-    bound = mixing.temperature(tokens, 0.99, 5.0)
-    total = sum(tokens.values())
-    shares = {k: v / total for k, v in tokens.items()}
-    assert max(mixing.passes(shares, mixing.weights(shares, bound), None).values()) <= 5.0 + 1e-6 < max(mixing.passes(shares, mixing.weights(shares, free), None).values())
-    assert bound > free
+@pytest.mark.parametrize("budget", [None, 2.0])
+def test_mixing_repetition_limit(spark, budget):
+    share = np.array([1000, 10, 10]) / 1020
+    shares = spark.createDataFrame([(f"s{k}", float(x)) for k, x in enumerate(share)], "_source string, share double")
+
+    def passes(alpha):
+        w = share**alpha / (share**alpha).sum()
+        return (w / share).max() * (1 / (w / share).min() if budget is None else budget)
+
+    free, bound = (mixing.temperature(shares, 0.99, most, budget) for most in (1e9, 5.0))
+    assert passes(bound) == pytest.approx(5.0, abs=1e-6) and passes(free) > 5.0 and bound > free
+    w = share**free / (share**free).sum()
+    assert -(w * np.log(w)).sum() == pytest.approx(0.99 * math.log(3), abs=1e-9)
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    """A source for each document: all weights are equal, each is passed through once."""
+    d = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"), F.lit(3).cast("long").alias("n_chars"))
+    got = mixing.mix_plan(d).agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.min("weight").alias("lo"), F.max("weight").alias("hi")).first()
+    assert (got.n, got.s) == (120_000, 120_000) and got.lo == pytest.approx(1 / 120_000) == got.hi
 
 
 def test_mixing_edges(spark, docs, texts):
@@ -107,6 +120,9 @@ def test_mixing_edges(spark, docs, texts):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and Counter(run(mixed).doc_id) == Counter(plan.doc_id)
     assert mixing.mix_plan(spark.createDataFrame([], EMPTY)).count() == 0
+    names = ("_i", "_s", "_r", "_uses", "_use", "_source", "_tokens", "_row", "uses", "epoch", "weight")
+    clashing = docs.select("*", *(F.lit(7).alias(n) for n in names))
+    assert mixing.mix(clashing).columns == clashing.columns and run(mixing.mix(clashing).select(*names)).eq(7).all(axis=None)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "a", None, None, 1), (1, "a", None, None, 1)], EMPTY)
     assert mixing.mix(odd).count() == 3
 
@@ -178,6 +194,9 @@ def test_drop_repeats_keeps_columns_and_untouched_texts(spark, docs, texts):
     split, kept = brute_repeats(texts)
     out = substrings.drop_repeats(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
+    names = ("_hit", "_hash", "_starts", "starts", "text_hash", "anchors", "shared")
+    clashing = substrings.drop_repeats(docs.select("*", *(F.lit(7).alias(n) for n in names)))
+    assert clashing.columns == [*docs.columns, *names] and run(clashing.select(*names)).eq(7).all(axis=None)
     got = run(out).set_index("doc_id")
     for i, t in texts.items():
         want = t if len(kept[i]) == len(split[i]) else b" ".join(kept[i]).decode()
