@@ -219,7 +219,7 @@ _STEP = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 
 
 def anchors(words: list[bytes]) -> np.ndarray:
-    """The anchor of each window."""
+    """The anchor of each window; its last three bits are free for flags."""
     if len(words) < WINDOW:
         return np.zeros(0, np.int64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -230,7 +230,7 @@ def anchors(words: list[bytes]) -> np.ndarray:
     out = g[: len(h) - WINDOW + 1].copy()
     for k in range(1, WINDOW - GRAM + 1):
         np.minimum(out, g[k : k + len(out)], out=out)
-    return out.view(np.int64)
+    return out.view(np.int64) & ~7
 
 
 def _runs(words: list[bytes], shared: np.ndarray, hot: np.ndarray):
@@ -263,24 +263,23 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     occurring = marked.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = occurring.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = shared.filter("lo < hi").select("anchor", "lo", "hi", (F.col("n") > HOT).alias("hot"))
-    ends = F.struct("anchor", "hot", (F.col("doc_id") > F.col("lo")).alias("asked"), (F.col("doc_id") < F.col("hi")).alias("held"))
-    wanted = occurring.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(ends).alias("shared"))
+    flags = sum(F.when(on, bit).otherwise(0) for on, bit in ((F.col("hot"), 4), (F.col("doc_id") > F.col("lo"), 2), (F.col("doc_id") < F.col("hi"), 1)))
+    wanted = occurring.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.col("anchor") + flags).alias("shared"))
     wanted = materialize(wanted, "shared-anchors")
     discard(marked)
 
     def extract(batch):
         rows, content, shared = [], [], batch.column("shared")
-        ends, every = shared.offsets.to_numpy(), shared.values.field("anchor").to_numpy()
-        flags = np.stack([shared.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("hot", "asked", "held")])
+        ends, values = shared.offsets.to_numpy(), shared.values.to_numpy()
         for k, text in enumerate(texts(batch)):
-            order = ends[k] + np.argsort(every[ends[k] : ends[k + 1]])
-            start, stop, which, run = _runs(text.split(), every[order], flags[0, order] == 1)
-            rows.append(np.stack([np.full(len(start), k), start, stop - start + 1, every[order[which]], *flags[:, order[which]]]))
+            own = np.sort(values[ends[k] : ends[k + 1]])
+            start, stop, which, run = _runs(text.split(), own & ~7, own & 4 > 0)
+            rows.append(np.stack([np.full(len(start), k), start, stop - start + 1, own[which]]))
             content += run
-        row, start, windows, anchor, alone, asked, held = np.concatenate(rows, axis=1)
+        row, start, windows, own = np.concatenate(rows, axis=1)
         k1, k2 = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), ">i8").reshape(-1, 2).T.astype(np.int64)
         names = {"doc_id": batch.column("doc_id").take(pa.array(row)), "text_hash": batch.column("text_hash").take(pa.array(row))}
-        return names | {"start": start, "windows": windows, "k1": k1, "k2": k2, "shard_key": np.where(alone == 1, k1, anchor), "asked": asked == 1, "held": held == 1, "run": content}
+        return names | {"start": start, "windows": windows, "k1": k1, "k2": k2, "shard_key": np.where(own & 4 > 0, k1, own & ~7), "asked": own & 2 > 0, "held": own & 1 > 0, "run": content}
 
     runs = map_arrow(plain.join(wanted, "doc_id"), extract, "doc_id long, text_hash long, start long, windows long, k1 long, k2 long, shard_key long, asked boolean, held boolean, run binary")
     runs = materialize(runs, "runs")
