@@ -5,9 +5,10 @@ digit ends a word), each hashed into 2**18 buckets. The machine scores
 
     b + sum_i w_i + sum_{i<j} <v_i, v_j>
 
-over the set's buckets, so a pair of terms can weigh more, or less, than the two add up to. It is
-learned by logistic loss with Adam on a bounded sample of labelled rows (train_rows) and then
-scores every whole text where it lies; the corpus is not shuffled.
+over the set's buckets, so a pair of terms can weigh more, or less, than the two add up to: also one
+whose terms tell nothing alone. It is learned by logistic loss with Adam on a bounded sample of
+labelled rows (train_rows), in which Spark's tasks also count the pairs of terms, and then scores
+every whole text where it lies; the corpus is not shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ TRAIN_ROWS = 16_000
 #: A bucket is learned if it occurs in so many sampled documents.
 MIN_DOCUMENTS = 5
 DEVIATIONS = 4
+#: Pairs beyond chance: the bound's exponent, the hashed counters, and how many of the sampled
+#: documents (a documented bound) pairs of terms that tell nothing alone are looked for in.
+CHANCE, COUNTERS, PAIR_ROWS, PAIR_PARTS = 25.0, 1 << 20, 4_000, 16
+#: The exponent for terms that change what another one tells: copies with a few words changed tempt it.
+PARTNER = 60.0
 STEPS, BATCH, RATE, SHRINK, L1 = 1200, 128, 0.03, 1e-4, 1e-3
 _SPLIT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -75,6 +81,7 @@ class Machine:
         order = np.random.default_rng(seed)
         n = len(self.known)
         first, second, steps = np.zeros((n, 1 + FACTORS)), np.zeros((n, 1 + FACTORS)), 0
+        mean = [np.zeros(n), np.zeros((n, FACTORS)), 0.0, 0]  # of the second half's steps: steadier than the last one
         while steps < STEPS:
             shuffled = order.permutation(len(sets))
             for k in range(0, len(sets), BATCH):
@@ -97,13 +104,23 @@ class Machine:
                 self.w = np.sign(self.w) * np.maximum(np.abs(self.w) - RATE * L1, 0)
                 self.v -= move[:, 1:]
                 self.bias -= RATE * float(off.sum())
+                if steps > STEPS // 2:
+                    mean = [a + b for a, b in zip(mean, (self.w, self.v, self.bias, 1))]
+        self.w, self.v, self.bias = (a / mean[-1] for a in mean[:-1])
         return self
 
 
+def distinct(sets: list[np.ndarray]) -> np.ndarray:
+    """The places of the first of each kind of equal sets: copies of one text are one witness."""
+    first: dict[bytes, int] = {}
+    for k, x in enumerate(sets):
+        first.setdefault(x.tobytes(), k)
+    return np.fromiter(first.values(), np.int64, len(first))
+
+
 def telling(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The buckets in at least MIN_DOCUMENTS documents whose share of label 1 is more than DEVIATIONS
-    standard deviations off the sample's: chance alone lifts few of many thousand that far, and
-    pairs of the others would drown the pairs that mean something."""
+    standard deviations off the sample's."""
     bucket, where, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     ones = np.bincount(where, np.repeat(labels, [len(s) for s in sets]), len(bucket))
     rate = labels.mean()
@@ -111,12 +128,79 @@ def telling(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return bucket[(n >= MIN_DOCUMENTS) & off]
 
 
-def learn(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """A machine for these sets of buckets and labels 0 or 1; without rows it scores 0.5."""
+def unlikely(ones: np.ndarray, n: np.ndarray, rate, chance: float) -> np.ndarray:
+    """Whether chance at this rate gives a share as far off with probability under exp(-chance) (a
+    Chernoff bound, so that small counts are judged rightly among billions of pairs)."""
+    share, rate = ones / np.maximum(n, 1), np.clip(rate, 1e-6, 1 - 1e-6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bits = np.where(share > 0, share * np.log(share / rate), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0)
+    return n * bits > chance
+
+
+def telling_partners(sets: list[np.ndarray], labels: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Buckets that move the label's share of a bucket in `alone` beyond chance where they stand with it."""
+    lengths = np.array([len(s) for s in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+    bucket, place = np.unique(flat, return_inverse=True)
+    start, found = np.cumsum(lengths) - lengths, np.zeros(len(bucket), bool)
+    by_bucket = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[by_bucket], np.arange(len(bucket) + 1))
+    for b in np.searchsorted(bucket, alone):
+        rows = of[by_bucket[ends[b] : ends[b + 1]]]
+        with_it = np.concatenate([place[start[r] : start[r] + lengths[r]] for r in rows])
+        n, ones = np.bincount(with_it, minlength=len(bucket)), np.bincount(with_it, np.repeat(labels[rows], lengths[rows]), len(bucket))
+        found |= unlikely(ones, n, labels[rows].mean(), PARTNER)
+    return bucket[found]
+
+
+def telling_pairs(sets: list[np.ndarray], labels: np.ndarray, alone: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The buckets of pairs that tell of the label together, though neither does alone: all pairs whose
+    first bucket falls to this part. Pairs are counted by hash first; only those that fall to counters
+    whose share is off are then counted one by one."""
+    bucket, n = np.unique(np.concatenate(sets), return_counts=True)
+    plain = np.setdiff1d(bucket[n >= MIN_DOCUMENTS], alone)
+    numbers = [np.searchsorted(plain, s[np.isin(s, plain, assume_unique=True)]).astype(np.int64) for s in sets]
+
+    def pairs():
+        held, ones, size = [], [], 0
+        for s, label in zip(numbers, labels):
+            own = s[s % parts == part][:, None]
+            held.append((own << 20 | s)[own < s])
+            ones.append(np.full(len(held[-1]), label, bool))
+            size += len(held[-1])
+            if size > 1 << 21:
+                yield np.concatenate(held), np.concatenate(ones)
+                held, ones, size = [], [], 0
+        yield np.concatenate([*held, np.zeros(0, np.int64)]), np.concatenate([*ones, np.zeros(0, bool)])
+
+    counter = lambda code: (code * np.int64(0x9E3779B97F4A7C1 | 1)) >> 40 & COUNTERS - 1
+    n, k = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)
+    for code, one in pairs():
+        at = counter(code)
+        n += np.bincount(at, minlength=COUNTERS)
+        k += np.bincount(at[one], minlength=COUNTERS)
+    rate = labels.mean()
+    off = np.abs(k - n * rate) > 3 * np.sqrt(n * rate * (1 - rate))
+    some = [(code[keep], one[keep]) for code, one in pairs() for keep in [off[counter(code)]]]
+    code, where, n = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True, return_counts=True)
+    code = code[unlikely(np.bincount(where, np.concatenate([o for _, o in some]), len(code)), n, rate, CHANCE)]
+    return np.unique(np.append(plain[code >> 20], plain[code & (1 << 20) - 1])).astype(np.int32)
+
+
+def learn(sets: list[np.ndarray], labels: np.ndarray, together=None) -> Machine:
+    """A machine for these sets of buckets and labels 0 or 1; without rows it scores 0.5. It knows the
+    buckets that tell of the label alone, those that change what such a one tells, and those of
+    telling pairs; pairs of all others would only add noise. together(sets, labels, alone): how the
+    pairs are found, here in one go."""
     if not len(sets):
         return Machine(np.zeros(0, np.int32))
     labels = labels.astype(float)
-    return Machine(telling(sets, labels)).fit(sets, labels)
+    one = distinct(sets)
+    witnesses, seen = [sets[k] for k in one], labels[one]
+    alone = telling(witnesses, seen)
+    first = slice(0, PAIR_ROWS)
+    pairs = (together or telling_pairs)(witnesses[first], seen[first], alone)
+    return Machine(np.unique(np.concatenate([alone, telling_partners(witnesses, seen, alone), pairs])).astype(np.int32)).fit(sets, labels)
 
 
 def held_out(doc_id):
@@ -142,7 +226,20 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     values = rows.column("terms").combine_chunks()
     ends = values.offsets.to_numpy()
     flat = values.values.to_numpy()
-    return learn([flat[a:b] for a, b in zip(ends, ends[1:])], rows.column("toxic").to_numpy())
+    spark = docs.sparkSession
+
+    def together(sets, labels, alone):
+        shared = spark.sparkContext.broadcast((sets, labels, alone))  # PAIR_ROWS documents' terms
+
+        def count(batches):
+            for batch in batches:
+                for part in batch.column("id").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(telling_pairs(*shared.value, part, PAIR_PARTS), pa.int32())], names=["bucket"])
+
+        found = spark.range(0, PAIR_PARTS, 1, PAIR_PARTS).mapInArrow(count, "bucket int").distinct().toArrow()
+        return found.column("bucket").to_numpy()
+
+    return learn([flat[a:b] for a, b in zip(ends, ends[1:])], rows.column("toxic").to_numpy(), together)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -269,6 +269,50 @@ def test_machine_learns_pairs_that_weights_cannot():
     assert ((machine.scores(sets[2400:]) >= 0.5) == labels[2400:]).mean() < right.mean()
 
 
+@pytest.mark.parametrize("rule", [lambda a, b: a != b, lambda a, b: a == b, lambda a, b: a and b])
+def test_machine_learns_pairs_that_tell_nothing_alone(rule):
+    """Exclusive or, its opposite and both: alone the two terms say little or nothing of the label."""
+
+    def corpus(n, seed):
+        rng, sets, labels = np.random.default_rng(seed), [], []
+        for _ in range(n):
+            a, b = (rng.random(2) < 0.5).tolist()
+            text = " ".join(["left"] * a + ["right"] * b + [f"w{x}" for x in rng.zipf(1.2, 60) % 3000])
+            sets.append(toxicity.terms(text.encode()))
+            labels.append(int(rule(a, b)))
+        return sets, np.array(labels)
+
+    machine = toxicity.learn(*corpus(2500, 1))
+    sets, labels = corpus(600, 2)
+    assert set(toxicity.terms(b"left right")) <= set(machine.known)
+    assert ((machine.scores(sets) >= 0.5) == labels).mean() > 0.97
+
+
+def test_scores_and_telling_pairs_by_brute_force():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 25, int(rng.integers(0, 24)))).astype(np.int32) for _ in range(700)]
+    labels = np.array([float((3 in s) != (17 in s)) if rng.random() < 0.97 else 0.0 for s in sets])
+    machine = toxicity.Machine(np.arange(0, 25, 2, dtype=np.int32), seed=4)
+    machine.w, machine.bias = rng.normal(size=13), 0.3
+    for s, got in zip(sets, machine.scores(sets)):
+        at = [int(x) // 2 for x in s if x % 2 == 0]
+        raw = 0.3 + sum(machine.w[i] for i in at) + sum(machine.v[i] @ machine.v[j] for n, i in enumerate(at) for j in at[:n])
+        assert got == pytest.approx(1 / (1 + math.exp(-raw)))
+    alone = np.array([1, 2], np.int32)
+    want, rate = set(), labels.mean()
+    for i in range(25):
+        for j in range(i):
+            both = np.array([i in s and j in s for s in sets])
+            n, k = both.sum(), labels[both].sum()
+            if n and not {i, j} & {1, 2}:
+                p = k / n
+                bits = (p * math.log(p / rate) if p else 0) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0)
+                if n * bits > toxicity.CHANCE:
+                    want |= {i, j}
+    got = [toxicity.telling_pairs(sets, labels, alone, part, 3) for part in range(3)]
+    assert want and set(np.concatenate(got).tolist()) == want == set(toxicity.telling_pairs(sets, labels, alone).tolist())
+
+
 def test_toxicity_held_out_accuracy_and_edges(spark):
     rng = np.random.default_rng(2)
     bad = ["nasty", "vile", "rotten"]
