@@ -151,6 +151,36 @@ def test_neighbours_recall_and_order(spark):
     assert set(found[found.query_id == 500].vec_id) == set(range(501, 511))
 
 
+def test_codes_estimate_and_bound_squared_distances():
+    rng = np.random.default_rng(2)
+    for d in (3, 64, 130):
+        x, q = rng.normal(size=(500, d)) + 1, rng.normal(size=(40, d)) + 1
+        c, turn = ann.centres(x[:200]), ann.rotation(d)
+        codes = ann.Codes.of(x, c, turn)
+        true = ((q[:, None] - x[None]) ** 2).sum(2)
+        estimate, bound = codes.lower_bounds(q, c, turn)
+        assert (bound <= true * (1 + 1e-9)).mean() > 0.97
+        if d > 3:
+            assert np.abs(estimate - true).mean() < 0.2 * true.mean() and np.corrcoef(estimate.ravel(), true.ravel())[0, 1] > 0.7
+        bits = np.unpackbits(codes.bits.view(np.uint8), axis=1, count=d, bitorder="little")
+        plain = (q @ turn) @ ((2.0 * bits - 1) / np.sqrt(d)).T
+        inner, step = codes.inner(q, turn)
+        assert (np.abs(inner - plain) <= step[:, None] / 2 * np.sqrt(d) + 1e-6).all()
+
+
+def test_neighbours_in_double_precision_and_of_any_length(spark):
+    rows = [(i, [float(i % 7), 1e39 if i == 51 else 1.0 + i * 1e-9]) for i in range(1, 60)] + [(100, [1.0, 1.0]), (200, [1.0, 1.0, 1.0]), (201, [1.0, 1.0, 2.0]), (300, [1e300, 1e300]), (400, [float("inf"), 1.0]), (7, [9.0, 9.0])]
+    found = run(ann.search_hundredths(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert set(found.query_id) == {100, 200, 300} and np.isfinite(found.score).all()
+    d = {100: [1.0, 1.0], 300: [1e300, 1e300]}
+    for q, own in d.items():
+        want = sorted((math.dist(own, v), i) for i, v in rows if len(v) == 2 and i not in (q, 400))[:10]
+        got = found[found.query_id == q].sort_values("rank")
+        assert got.vec_id.tolist() == [i for _, i in want] and np.allclose(got.score, [s for s, _ in want], rtol=1e-12)
+    only = found[found.query_id == 200]
+    assert only.vec_id.tolist() == [201] and only.score.tolist() == [1.0]
+
+
 def test_neighbours_small_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.search_hundredths(spark.createDataFrame([], schema)).count() == 0
@@ -341,7 +371,7 @@ def test_toxicity_held_out_accuracy_and_edges(spark):
 
 def test_training_bound_counts_documents(spark, monkeypatch):
     learned = []
-    monkeypatch.setattr(toxicity, "learn", lambda sets, labels: learned.append(labels) or toxicity.Machine(np.zeros(0, np.int32)))
+    monkeypatch.setattr(toxicity, "learn", lambda sets, labels, together: learned.append(labels) or toxicity.Machine(np.zeros(0, np.int32)))
     d = spark.createDataFrame([(i, "plain words") for i in range(100)] + [(1, f"again {k}") for k in range(50)], "doc_id long, text string")
     toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int"), 60)
     assert len(learned[0]) == 60
