@@ -26,7 +26,7 @@ RADIUS = 3
 SHINGLE = 3
 #: Blocks of the 64 bits (first bit, width). Within 3 bits at least two of the five blocks are equal.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: A shard above this size is dealt in chunks; every two chunks meet in a task of their own.
+#: A shard above this size is dealt in chunks.
 CHUNK = 2048
 _PART = 1 << 15
 
@@ -118,19 +118,9 @@ def linked(values: list[int], radius: int) -> Forest:
     return forest
 
 
-def dealt(rows: DataFrame, key: list[str], spread: str) -> DataFrame:
-    """Keeps the shards of at least two rows and adds lo, hi: small shards have one group (0, 0);
-    a large one is dealt in chunks of about CHUNK rows by a hash of the column spread, and each
-    pair of chunks is a group, so that every two rows meet in some group of bounded size."""
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(spread), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other", "size", "chunks")
-
-
 def grouped(rows: DataFrame, key: list[str], values: list[str], f, schema: str) -> DataFrame:
     """Runs f(list of value tuples) on each group, streaming over partitions sorted by the key; f
-    returns rows of the schema. The groups are many and small, or bounded by dealt()."""
+    returns rows of the schema. The groups are many and small, or bounded by CHUNK."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -160,6 +150,39 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), x.type) for c, x in zip(cols, arrow)], schema=arrow)
 
 
+def shard_links(shards: DataFrame, key: list[str], node: str, f, attach=lambda rows: rows, values=(), known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) such that any two rows of a shard that f links are connected; f(list of (node,
+    *values)) gives edges between the nodes of a group, attach adds the values to rows.
+
+    A shard above CHUNK rows is dealt in chunks by a hash of node and key, which are linked each for
+    itself. What is connected then needs no further comparison: of each such shard only the rows
+    outside its largest component meet all others, chunk by chunk, so a large group of copies costs
+    its size, not its square. known: edges found before.
+    """
+    sizes = shards.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    rows = materialize(shards.join(sizes, key), "shards")
+    once = rows.withColumn("chunk", F.pmod(F.xxhash64(node, *key), F.col("chunks")).cast("int"))
+    edges = materialize(grouped(attach(once), [*key, "chunk"], [node, *values], f, "a long, b long"), "shard-links")
+    large = rows.filter("chunks > 1")
+    if large.isEmpty():
+        return edges
+    roots = components(edges if known is None else edges.unionByName(known)).select(F.col("node").alias(node), "root")
+    large = large.drop("size", "chunks").join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+    large = materialize(large, "large-shards")
+    counts = large.groupBy(*key, "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("all > most")
+    pieces = lambda n: F.ceil(n / CHUNK).cast("int")
+    rest = large.join(main.select(*key, "main", pieces(F.col("most")).alias("inside"), pieces(F.col("all") - F.col("most")).alias("outside")), key)
+    rest = rest.withColumn("settled", F.col("root") == F.col("main"))
+    piece = F.pmod(F.xxhash64(node), F.when(F.col("settled"), F.col("inside")).otherwise(F.col("outside"))).cast("int")
+    to = lambda n, g: F.transform(F.sequence(F.lit(0), F.col(n) - 1), g)
+    place = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"))
+    outer = F.concat(to("outside", lambda k: place(0, F.least("piece", k), F.greatest("piece", k))), to("inside", lambda k: place(1, F.col("piece"), k)))
+    meets = F.when(F.col("settled"), to("outside", lambda k: place(1, k, F.col("piece")))).otherwise(outer)
+    rest = rest.withColumn("piece", piece).withColumn("m", F.explode(meets)).select(*key, node, "m.kind", "m.lo", "m.hi")
+    return edges.unionByName(grouped(attach(rest), [*key, "kind", "lo", "hi"], [node, *values], f, "a long, b long"))
+
+
 def block_keys(column: str = "fp"):
     """array<struct<t, k>>: the ten pairs of blocks as exact shard keys."""
     part = lambda at, width: F.shiftrightunsigned(column, at).bitwiseAND(F.lit((1 << width) - 1))
@@ -193,8 +216,7 @@ def fingerprint_components(docs: DataFrame, width: int = SHINGLE, radius: int =
         forest = linked([v & 0xFFFFFFFFFFFFFFFF for v in values], radius)
         return [(v, values[forest.find(i)]) for i, v in enumerate(values) if forest.find(i) != i]
 
-    edges = grouped(dealt(shards, ["t", "k"], "fp"), ["t", "k", "lo", "hi"], ["fp"], link, "a long, b long")
-    roots = components(edges)
+    roots = components(shard_links(shards, ["t", "k"], "fp", link))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(smallest, "root").select("fp", "component_id")
@@ -241,7 +263,6 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
     classes = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     same = marked.join(classes, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     shards = classes.select(F.col("rep").alias("doc_id"), F.posexplode("keys").alias("t", "k"))
-    shards = materialize(dealt(shards, ["t", "k"], "doc_id"), "near-shards")
 
     def sets(batch):
         out = {"doc_id": batch.column("doc_id"), "fp": [], "own": []}
@@ -251,8 +272,9 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
             out["own"].append(own.tobytes())
         return out
 
-    wanted = plain.join(shards.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    wanted = map_arrow(wanted, sets, "doc_id long, fp long, own binary")
+    def attach(rows):
+        wanted = plain.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return rows.join(map_arrow(wanted, sets, "doc_id long, fp long, own binary"), "doc_id")
 
     def link(held):
         ids, own = [h[0] for h in held], [np.frombuffer(h[2], np.uint64) for h in held]
@@ -277,7 +299,7 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
             tree.add(fp)
         return [(x, ids[forest.find(i)]) for i, x in enumerate(ids) if forest.find(i) != i]
 
-    edges = grouped(shards.join(wanted, "doc_id"), ["t", "k", "lo", "hi"], ["doc_id", "fp", "own"], link, "a long, b long")
+    edges = shard_links(shards, ["t", "k"], "doc_id", link, attach, ["fp", "own"], same)
     return components(edges.unionByName(same))
 
 
