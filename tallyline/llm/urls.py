@@ -1,14 +1,15 @@
 """URL filters: rules first, then a path-template tree for each host.
 
-A path's segments become templates level by level: numbers and long hexadecimal words are
+A path's segments become templates branch by branch: numbers and long hexadecimal words are
 wildcards by their form; where a parent has more than BRANCHES different children, those literal
-ones are that have neither ENOUGH pages or labels nor a block rate apart from their siblings'. Sibling branches whose labelled block rates do not differ significantly are merged. The
-rules' verdicts label the pages they fit; a template is rejected if its purity, the share of blocked
-among its labelled pages, smoothed towards its parent branch, its host, the same template on all
-hosts and the corpus in turn, exceeds REJECT.
+ones are that have neither ENOUGH pages or labels nor a block rate apart from their siblings'. Sibling
+branches whose labelled block rates do not differ significantly are merged into one, subtrees and
+all. The rules' verdicts label the pages they fit; a template is rejected if its purity, the share of
+blocked among its labelled pages, smoothed towards its parent branch, its host, the same template on
+all hosts and the corpus in turn, exceeds REJECT.
 
 Pages are counted by (host, template) before anything else, so a host with a third of all pages is
-a row for each of its templates.
+a row for each of its templates. Within templates a # marks what is no literal; no path has one.
 """
 
 from __future__ import annotations
@@ -50,13 +51,26 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumn("rule", rule).withColumn("label", label)
 
 
+#: Marks of wildcards: a number, a hexadecimal word, any rare segment. Merged branches have the smallest
+#: one's name, a # and the number of the others.
+NUMBER, HEX, RARE = "#n", "#x", "#*"
+
+
 def _segments():
     """The path's segments, wildcards by form already put in."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    form = lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.regexp_replace(s, "^[0-9]+", "{n}")).when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit("{x}")).otherwise(s)
+    form = lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), F.regexp_replace(s, "^[0-9]+", NUMBER)).when(s.rlike("^[0-9a-fA-F-]{8,}$"), F.lit(HEX)).otherwise(s)
     return F.transform(parts, form)
 
 
+def shown(template):
+    """A template as text."""
+    text = F.concat(F.lit("/"), F.array_join(template, "/"))
+    for mark, plain in (("#n", "{n}"), ("#x", "{x}"), (r"#\*", "*"), (r"#(\d+)", r"|+$1")):
+        text = F.regexp_replace(text, mark, plain)
+    return text
+
+
 def _apart(labelled, blocked, other_labelled, other_blocked):
     """Whether two block rates differ by more than APART standard errors; null without labels."""
     pooled = (blocked + other_blocked) / F.nullif(labelled + other_labelled, F.lit(0))
@@ -64,78 +78,85 @@ def _apart(labelled, blocked, other_labelled, other_blocked):
     return F.abs(blocked / F.nullif(labelled, F.lit(0)) - other_blocked / F.nullif(other_labelled, F.lit(0))) > APART * error
 
 
+_AT = ["host", "template"]
+_COUNTS = ("n", "labelled", "blocked")
+
+
 def templates(counts: DataFrame) -> DataFrame:
-    """Adds to counts (host, form, n, labelled, blocked) the template of each form, level by level. A
-    branch with at most BRANCHES forms has no wide parent below it, so its forms end there as they
-    are; the loop goes on while others have a further level."""
-    level, done, k = counts.withColumn("template", F.array().cast("array<string>")), None, 0
-    at = ["host", "template"]
+    """Adds to counts (host, form, n, labelled, blocked) the template of each form. All branches grow a
+    fork at a time: what the forms of a branch have in common goes on as it is, and at the next
+    segment they part, rare ones as one branch and similar ones as one. A form alone in its branch
+    ends there; the loop goes on while others are left."""
+    level, done = counts.withColumn("template", F.array().cast("array<string>")).withColumn("rest", F.col("form")), None
+    tail = lambda rest, at: F.slice(rest, at + 1, F.greatest(F.size(rest) - at, F.lit(0)))
     while True:
-        wide = level.groupBy(*at).agg(F.count("*").alias("forms")).filter(F.col("forms") > BRANCHES).select(*at, F.lit(True).alias("wide"))
-        level = level.join(wide, at, "left").withColumn("child", F.get("form", F.lit(k)))
-        children = level.filter("wide and child is not null").groupBy(*at, "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        every = children.groupBy(*at).agg(F.count("*").alias("children"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).filter(F.col("children") > BRANCHES)
+        branch = level.groupBy(*_AT).agg(F.count("*").alias("forms"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        # All lie between the smallest and the largest: what these two share, all do.
+        same = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+        branch = branch.select(*_AT, "forms", F.when(same > 0, same.cast("int") - 1).otherwise(F.size("lo")).alias("common"))
+        level = level.join(branch, _AT).withColumns({"template": F.concat("template", F.slice("rest", F.lit(1), F.col("common"))), "rest": tail("rest", F.col("common"))})
+        level = level.withColumn("child", F.get("rest", F.lit(0)))
+        children = level.filter("child is not null").groupBy(*_AT, "child").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+        every = children.groupBy(*_AT).agg(F.count("*").alias("children"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         apart = (F.col("labelled") >= FEW) & F.coalesce(_apart(F.col("labelled"), F.col("blocked"), F.col("l") - F.col("labelled"), F.col("b") - F.col("blocked")), F.lit(False))
-        keeps = (F.col("n") >= ENOUGH) | (F.col("labelled") >= ENOUGH) | apart | F.col("child").startswith("{")
-        rare = children.join(every, at).filter(~keeps).select(*at, "child", F.lit(True).alias("rare"))
-        level = level.join(rare, [*at, "child"], "left")
-        deeper = F.coalesce("wide", F.lit(False)) & (F.size("form") > k + 1)
-        step = F.when(F.col("rare"), F.array(F.lit("*"))).otherwise(F.slice("form", k + 1, 1))
-        rest = F.slice("form", F.lit(k + 1), F.greatest(F.size("form") - k, F.lit(0)))
-        level = level.select("host", "form", "n", "labelled", "blocked", F.concat("template", F.when(F.col("wide"), step).otherwise(rest)).alias("template"), deeper.alias("deeper"))
+        keeps = (F.col("children") <= BRANCHES) | (F.col("n") >= ENOUGH) | (F.col("labelled") >= ENOUGH) | apart | F.col("child").isin(NUMBER, HEX)
+        children = children.join(every, _AT).withColumn("step", F.when(keeps, F.col("child")).otherwise(RARE))
+        parted = materialize(_branches(children.groupBy(*_AT, "step").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))), "url-branches")
+        names = parted.groupBy(*_AT, "branch").agg(F.min("step").alias("least"), (F.count("*") - 1).alias("others"))
+        name = F.when(F.col("others") > 0, F.concat("least", F.lit("#"), F.col("others").cast("string"))).otherwise(F.col("least"))
+        steps = children.select(*_AT, "child", "step").join(parted.select(*_AT, "step", "branch"), [*_AT, "step"]).join(names, [*_AT, "branch"]).select(*_AT, "child", name.alias("name"))
+        level = level.join(steps, [*_AT, "child"], "left")
+        level = level.select("host", "form", *_COUNTS, F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))).alias("template"), tail("rest", F.lit(1)).alias("rest"))
         level = materialize(level, "url-tree")
-        ended = level.filter("not deeper").drop("deeper")
-        done, level, k = ended if done is None else done.unionByName(ended), level.filter("deeper").drop("deeper"), k + 1
+        ended = level.filter("size(rest) = 0").drop("rest")
+        done, level = ended if done is None else done.unionByName(ended), level.filter("size(rest) > 0")
         if level.isEmpty():
             return done
 
 
-_NODES = "host string, parent array<string>, depth int, prefix array<string>, labelled double, blocked double"
+_NODES = "host string, template array<string>, step string"
 
 
 def _branches(nodes: DataFrame) -> DataFrame:
-    """Adds branch to the nodes: siblings by rising block rate, of which neighbours that do not differ
-    are one branch. They pass in Spark's order, batch by batch, so that a parent may have any number."""
+    """Adds branch to the nodes (host, template of the parent, step, labelled, blocked): siblings by
+    rising block rate, of which neighbours that do not differ are one branch. They pass in Spark's
+    order, batch by batch, so that a parent may have any number."""
 
     def run(batches):
         at, group, n, b = object(), 0, 0.0, 0.0
         for batch in batches:
             out = []
-            for host, parent, depth, labelled, blocked in zip(*(batch.column(c).to_pylist() for c in ("host", "parent", "depth", "labelled", "blocked"))):
+            for host, parent, labelled, blocked in zip(*(batch.column(c).to_pylist() for c in (*_AT, "labelled", "blocked"))):
                 alike = False
-                if at == (host, parent, depth) and labelled and n:
+                if at == (host, parent) and labelled and n:
                     pooled = (b + blocked) / (n + labelled)
                     alike = abs(b / n - blocked / labelled) <= APART * (pooled * (1 - pooled) * (1 / n + 1 / labelled)) ** 0.5
-                group, n, b = (group, n + labelled, b + blocked) if alike else (group + 1 if at == (host, parent, depth) else 0, labelled, blocked)
-                at = (host, parent, depth)
+                group, n, b = (group, n + labelled, b + blocked) if alike else (group + 1 if at == (host, parent) else 0, labelled, blocked)
+                at = (host, parent)
                 out.append(group)
-            kept = batch.select(["host", "parent", "depth", "prefix", "labelled", "blocked"])
+            kept = batch.select([*_AT, "step"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int64())], names=[*kept.schema.names, "branch"])
 
-    key = ["host", "parent", "depth"]
-    return nodes.repartition(*key).sortWithinPartitions(*key, "rate", "child").select(*key, "prefix", "labelled", "blocked").mapInArrow(run, _NODES + ", branch long")
+    nodes = nodes.withColumn("rate", F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(-1.0))
+    return nodes.repartition(*_AT).sortWithinPartitions(*_AT, "rate", "step").select(*_AT, "step", "labelled", "blocked").mapInArrow(run, _NODES + ", branch long")
 
 
 def template_purity(counts: DataFrame) -> DataFrame:
     """From counts (host, form, n, labelled, blocked) to (host, form, template, purity)."""
     tree = templates(counts)
     prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", 1, i))
-    leaves = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
-    paths = leaves.select("host", "template", "labelled", "blocked", F.explode(prefixes).alias("prefix"))
+    leaves = tree.groupBy(*_AT).agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
+    paths = leaves.select(*_AT, "labelled", "blocked", F.explode(prefixes).alias("prefix"))
     nodes = paths.groupBy("host", "prefix").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))
-    nodes = nodes.withColumn("child", F.coalesce(F.try_element_at("prefix", F.lit(-1)), F.lit(""))).withColumn("parent", F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0)))).withColumn("depth", F.size("prefix"))
-    nodes = nodes.withColumn("rate", F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(-1.0))
-    parted, branch = materialize(_branches(nodes), "url-branches"), ["host", "parent", "depth", "branch"]
-    merged = parted.select(*branch, "prefix").join(parted.groupBy(*branch).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), branch).select("host", "prefix", "labelled", "blocked")
+    along = paths.select(*_AT, "prefix").join(nodes, ["host", "prefix"])
+    along = along.groupBy(*_AT).agg(F.sort_array(F.collect_list(F.struct(F.size("prefix").alias("depth"), "labelled", "blocked"))).alias("steps"))
     whole = tree.agg(F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("l"))
-    along = paths.select("host", "template", "prefix").join(merged, ["host", "prefix"])
-    along = along.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct(F.size("prefix").alias("depth"), "labelled", "blocked"))).alias("steps"))
     rate = whole.select(((F.coalesce("b", F.lit(0.0)) + 1) / (F.coalesce("l", F.lit(0.0)) + 2)).alias("rate"))
     everywhere = leaves.groupBy("template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).join(F.broadcast(rate))  # rate: one row
     along = along.join(everywhere.select("template", ((F.col("b") + SMOOTH * F.col("rate")) / (F.col("l") + SMOOTH)).alias("prior")), "template")
     purity = F.aggregate("steps", F.col("prior"), lambda p, s: (s["blocked"] + SMOOTH * p) / (s["labelled"] + SMOOTH))
-    purity = along.select("host", "template", purity.alias("purity"))
-    return tree.select("host", "form", "template").join(purity, ["host", "template"])
+    purity = along.select(*_AT, purity.alias("purity"))
+    return tree.select("host", "form", "template").join(purity, _AT)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -150,4 +171,4 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     known = template_purity(counts)
     out = seen.join(known, ["host", "form"])
     blocked = F.coalesce(F.col("label") == 1, F.col("purity") > REJECT)
-    return out.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+    return out.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), shown("template").alias("template"), "purity")

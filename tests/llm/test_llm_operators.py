@@ -675,6 +675,91 @@ def test_branches_that_differ_far_down_are_told_apart(spark):
     assert set(got.template) == {"/a/b/c/d/e/f/g/bad/{n}", "/a/b/c/d/e/f/g/good/{n}"}
 
 
+def brute_tree(counts):
+    """{(host, form): (template, purity)} by plain recursion, from {(host, form): [n, labelled, blocked]}."""
+    out = {}
+
+    def apart(l1, b1, l2, b2):
+        if not l1 or not l2:
+            return None
+        pooled = (b1 + b2) / (l1 + l2)
+        return abs(b1 / l1 - b2 / l2) > 1.96 * math.sqrt(pooled * (1 - pooled) * (1 / l1 + 1 / l2))
+
+    def grow(host, forms, template, k):  # forms: {form: (key, counts)}
+        if len(forms) == 1 or all(len(f) <= k for f in forms):
+            for f in forms:
+                out[host, f] = template + f[k:]
+            return
+        children = defaultdict(dict)
+        for f in forms:
+            children[f[k] if len(f) > k else None][f] = forms[f]
+        total = {c: [sum(x[i] for x in fs.values()) for i in range(3)] for c, fs in children.items()}
+        for f in children.pop(None, {}):
+            out[host, f] = template
+        labelled, blocked = (sum(total[c][i] for c in children) for i in (1, 2))
+        steps = defaultdict(list)
+        for c in children:
+            n, m, b = total[c]
+            rare = len(children) > 20 and n < 20 and m < 20 and not (m >= 5 and apart(m, b, labelled - m, blocked - b)) and c not in ("#n", "#x")
+            steps["#*" if rare else c].append(c)
+        rates = {s: [sum(total[c][i] for c in cs) for i in (1, 2)] for s, cs in steps.items()}
+        groups, n, b = [], 0, 0
+        for s in sorted(steps, key=lambda s: (rates[s][1] / rates[s][0] if rates[s][0] else -1, s)):
+            if groups and apart(n, b, *rates[s]) is False:
+                groups[-1].append(s)
+                n, b = n + rates[s][0], b + rates[s][1]
+            else:
+                groups.append([s])
+                n, b = rates[s]
+        for g in groups:
+            name = min(g) + (f"#{len(g) - 1}" if len(g) > 1 else "")
+            grow(host, {f: x for s in g for c in steps[s] for f, x in children[c].items()}, (*template, name), k + 1)
+
+    for host in {h for h, _ in counts}:
+        grow(host, {f: x for (h, f), x in counts.items() if h == host}, (), 0)
+    nodes, everywhere, whole = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [0, 0]
+    for (host, form), template in out.items():
+        for i in (1, 2):
+            v = counts[host, form][i]
+            everywhere[template][i - 1] += v
+            whole[i - 1] += v
+            for d in range(len(template) + 1):
+                nodes[host, template[:d]][i - 1] += v
+    for (host, form), template in out.items():
+        p = (everywhere[template][1] + 4 * (whole[1] + 1) / (whole[0] + 2)) / (everywhere[template][0] + 4)
+        for d in range(len(template) + 1):
+            m, b = nodes[host, template[:d]]
+            p = (b + 4 * p) / (m + 4)
+        out[host, form] = (template, p)
+    return out
+
+
+def test_templates_and_purity_by_brute_force(spark):
+    rng = np.random.default_rng(14)
+    counts = {}
+    for _ in range(900):
+        host = f"h{rng.integers(3)}"
+        form = tuple(str(x) for x in rng.choice(["a", "b", "c", "#n", "#x", "{x}", "*", *(f"r{k}" for k in range(40))], int(rng.integers(0, 5)), p=[0.15] * 3 + [0.1, 0.05, 0.02, 0.02, *[0.36 / 40] * 40]))
+        m = int(rng.integers(0, 9)) * int(rng.random() < 0.5)
+        old = counts.get((host, form), [0, 0, 0])
+        blocked = int(rng.binomial(m, 0.9 if form[:1] in (("a",), ("b",)) else 0.1))
+        counts[host, form] = [old[0] + m + int(rng.integers(1, 9)), old[1] + m, old[2] + blocked]
+    rows = [(h, list(f), *c) for (h, f), c in counts.items()]
+    d = spark.createDataFrame(rows, "host string, form array<string>, n long, labelled long, blocked long")
+    got = {(r.host, tuple(r.form)): (tuple(r.template), r.purity) for r in urls.template_purity(d).collect()}
+    want = brute_tree(counts)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+    names = {s for t, _ in want.values() for s in t}
+    assert any(s.startswith("#*") for s in names) and any("#" in s[1:] for s in names)
+
+
+def test_braces_and_endings_in_urls_are_no_wildcards(spark):
+    rows = [f"http://h.com/x/{{{i:06d}-abc}}/p" for i in range(300)] + [f"http://h.com/y/{i}.{chr(97 + i % 26) * (1 + i // 26)}" for i in range(300)] + ["http://h.com/*/q", None]
+    got = run(urls.judge(spark.createDataFrame([*enumerate(rows)], "page_id long, url string"))).sort_values("page_id")
+    assert set(got.template[:300]) == {"/x/*/p"} and set(got.template[300:600]) == {"/y/*"} and got.template.tolist()[600] == "/*/q"
+
+
 # --- 9 fingerprints -------------------------------------------------------------------------------------------
 
 
