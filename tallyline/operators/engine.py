@@ -45,6 +45,24 @@ def top_team(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.mode("team", True).alias("team"))
 
 
+def top_teams(df: DataFrame, keys: Sequence[str], most: int = 3) -> DataFrame:
+    """keys, teams: each key's commonest teams by matches, commonest first, smaller names first among equals."""
+    counts = df.groupBy(*keys, "team").agg(F.countDistinct("match_id").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "team"))
+    rows = counts.withColumn("place", place).filter(F.col("place") <= most)
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "team"))), lambda x: x["team"]).alias("teams"))
+
+
+def named_split(result: DataFrame, split_by: str) -> DataFrame:
+    """The column k under its split's name, which gives way to a metric of that name."""
+    return result.withColumnRenamed("k", f"{split_by}_no" if split_by in result.columns else split_by)
+
+
+def upper_median(column: str) -> Column:
+    """The upper of the two middle values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+
+
 def query_stats(tables: dict[str, DataFrame], role: str = "batting", metrics: Sequence[str] | None = None, players: Sequence[str] | None = None, split_by: str | None = None, sort_by: str | None = None, ascending: bool | None = None, min_balls: int | None = None, limit: int = 25, scope: Scope | None = None) -> DataFrame:
     """Metrics by player, by player and split value, or, for one named player with a split, by value.
 
@@ -160,8 +178,7 @@ def scatter(innings: DataFrame, role: str, x: str, y: str, top: int = 5) -> Data
     is higher) and whether it is among the `top` largest."""
     mx, my = get(role, x), get(role, y)
     pool = qualified(innings.groupBy("player").agg(mx.build().alias("x"), my.build().alias("y"), F.sum("balls").alias("_balls")), "_balls", *QUALIFY_POOL).filter("x is not null and y is not null")
-    upper = lambda c: F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
-    stats = pool.agg(upper("x").alias("median_x"), upper("y").alias("median_y"), *(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+    stats = pool.agg(upper_median("x").alias("median_x"), upper_median("y").alias("median_y"), *(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
     sign = lambda m: 1 if m.higher_is_better else -1
     z = sign(mx) * (F.col("x") - F.col("mean_x")) / F.nullif(F.col("sd_x"), F.lit(0.0)) + sign(my) * (F.col("y") - F.col("mean_y")) / F.nullif(F.col("sd_y"), F.lit(0.0))
     rows = pool.crossJoin(F.broadcast(stats)).withColumn("z", z)
@@ -231,14 +248,13 @@ def season_labels(rows: DataFrame) -> DataFrame:
     seasons = rows.groupBy("season").agg(year.alias("year"))
     alone = seasons.groupBy("year").agg(F.count("*").alias("n"))
     named = seasons.join(alone, "year").select("season", F.when(F.col("n") == 1, F.col("year")).otherwise(F.col("season")).alias("label"))
-    return rows.join(F.broadcast(named), "season")
+    return rows.join(named, "season")
 
 
 def highlights(rows: DataFrame, key: str, metrics: Sequence[Metric], sample: str = "sample", thin: float = 0.25) -> DataFrame:
     """metric, key, value: the best row of each metric; rows of a rate whose sample is under a quarter
     of the upper median sample have no say."""
-    upper = F.element_at(F.sort_array(F.collect_list(sample)), (F.floor(F.count(sample) / 2) + 1).cast("int"))
-    median = rows.agg(upper.alias("_median"))
+    median = rows.agg(upper_median(sample).alias("_median"))
     pairs = F.explode(F.array(*(F.struct(F.lit(m.id).alias("metric"), F.lit(m.rate).alias("rate"), F.lit(1.0 if m.higher_is_better else -1.0).alias("sign"), F.col(m.id).cast("double").alias("value")) for m in metrics)))
     long = rows.crossJoin(F.broadcast(median)).select(key, sample, "_median", pairs.alias("p")).select(key, sample, "_median", "p.*")
     fair = long.filter("value is not null").filter(~F.col("rate") | (F.col(sample) >= thin * F.col("_median")))

@@ -123,9 +123,24 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> D
     return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def shrinkage_gate(new: int, old: int, most: float = 0.005) -> bool:
-    """Whether a rebuilt table lost no more than the tolerated share of its rows."""
-    return new >= old * (1 - most)
+def gate(new: DataFrame, old: DataFrame, most: float = 0.005) -> DataFrame:
+    """The checks that a rebuilt table must pass before it takes the old one's place: no column lost,
+    rows at all, and no more than the tolerated share of them lost."""
+    lost = F.lit(float(len(set(old.columns) - set(new.columns))))
+    rows = new.agg(F.count("*").alias("n")).crossJoin(F.broadcast(old.agg(F.count("*").alias("o"))))
+    least = F.ceil(F.col("o") * (1 - most))
+    found = [F.struct(F.lit(n).alias("name"), o.cast("double").alias("observed"), e.cast("double").alias("expected"), ok.alias("ok")) for n, o, e, ok in (("columns lost", lost, F.lit(0), lost == 0), ("rows", F.col("n"), least, (F.col("n") > 0) & (F.col("n") >= least)))]
+    return checks(rows, *found)
+
+
+def best_and_worst(rows: DataFrame, key: str, column: str, higher_is_better: bool = True) -> DataFrame:
+    """One row: the keys with the best and the worst value (smaller keys among equals) and the values."""
+    value = F.col(column).cast("double")
+    order = F.struct((value if higher_is_better else -value).alias("v"), F.col(key).alias("k"))
+    back = F.struct((-value if higher_is_better else value).alias("v"), F.col(key).alias("k"))
+    kept = rows.filter(F.col(column).isNotNull())
+    best, worst = F.min_by(F.struct(F.col(key).alias("k"), value.alias("v")), back), F.min_by(F.struct(F.col(key).alias("k"), value.alias("v")), order)
+    return kept.agg(best.alias("b"), worst.alias("w")).select(F.col("b.k").alias("best"), F.col("b.v").alias("best_value"), F.col("w.k").alias("worst"), F.col("w.v").alias("worst_value"))
 
 
 def frozen(frozen_totals: DataFrame, recomputed: DataFrame, derived: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLIP = (0.001, 0.999)
+FORM_BALLS = 120.0
+#: Bands of scores within which they are ranked.
+BANDS = 1000
 ELO_K, ELO_START, ELO_SCALE = 24.0, 1500.0, 400.0
 
 
@@ -29,6 +32,27 @@ def ball_states(balls: DataFrame) -> DataFrame:
     return balls.withColumns({"score_after": F.sum("runs_total").over(w), "legal_after": F.sum(F.col("legal").cast("int")).over(w), "wickets_after": F.sum("outs").over(w)})
 
 
+#: Overs of an innings by format group.
+OVERS = {"T20": 20, "ODI": 50}
+
+
+def win_rows(balls: DataFrame, par: DataFrame | None = None, overs: dict[str, int] | None = None) -> DataFrame:
+    """The state after every ball of limited-overs innings 1 and 2 with what a forecast may know: balls_left,
+    wickets_left, and in a chase the target, what is needed and at which rate; null where it does not
+    apply. won: whether the batting side did, null without a decision. par (match_id, par) is joined
+    if given."""
+    overs = overs or OVERS
+    states = ball_states(balls.filter(F.col("fgroup").isin(*overs) & F.col("innings").isin(1, 2)))
+    total = F.max(F.when(F.col("innings") == 1, F.col("score_after"))).over(Window.partitionBy("match_id"))
+    target = F.when(F.col("innings") == 2, total + 1)
+    length = 6 * F.coalesce(F.create_map(*(F.lit(x) for kv in overs.items() for x in kv))[F.col("fgroup")], F.lit(0))
+    out = states.withColumns({"target": target, "balls_total": length, "balls_left": F.greatest(length - F.col("legal_after"), F.lit(0)), "wickets_left": 10 - F.least("wickets_after", F.lit(10))})
+    out = out.withColumns({"needed": F.col("target") - F.col("score_after"), "won": F.when(F.col("result") == "won", 1).when(F.col("result") == "lost", 0)})
+    out = out.withColumn("required", 6.0 * F.col("needed") / F.greatest("balls_left", F.lit(1)))
+    columns = ("match_id", "innings", "seq", "score_after", "wickets_left", "balls_total", "balls_left", "target", "needed", "required", "won")
+    return out.select(*columns) if par is None else out.join(par.select("match_id", "par"), "match_id", "left").select(*columns, "par")
+
+
 def form_before(innings: DataFrame, values: Sequence[str]) -> DataFrame:
     """Each player's totals of `values` before the match: nothing of the match itself leaks in."""
     key = ["player", "gender"]
@@ -38,8 +62,9 @@ def form_before(innings: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def next_ball_rows(balls: DataFrame) -> DataFrame:
-    """Each ball's outcome ('W' for a dismissal, else the striker's runs) with what was known before it:
-    score and wickets of the innings, balls and runs of the striker's, and the bowler's, stay so far."""
+    """Each faced ball's outcome ('W' for a dismissal, else the striker's runs) with what was known before
+    it, other balls included: score and wickets of the innings, balls and runs of the striker's, and the
+    bowler's, stay so far."""
 
     def before(*keys: str):
         return Window.partitionBy("match_id", "innings", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,8 +75,19 @@ def next_ball_rows(balls: DataFrame) -> DataFrame:
     return balls.select(
         "match_id", "innings", "seq", total("runs_total", before()).alias("score"), total("outs", before()).alias("wickets"),
         total(faced, before("batter")).alias("striker_balls"), total("runs_batter", before("batter")).alias("striker_runs"),
-        total(legal, before("bowler")).alias("bowler_balls"), total("bowler_runs", before("bowler")).alias("bowler_conceded"), outcome.alias("outcome"),
-    )
+        total(legal, before("bowler")).alias("bowler_balls"), total("bowler_runs", before("bowler")).alias("bowler_conceded"), outcome.alias("outcome"), "faced", "batter", "bowler", "gender",
+    ).filter("faced").drop("faced")
+
+
+def next_ball_form(rows: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+    """next_ball_rows() with the striker's and the bowler's career runs a ball before the match, drawn to the
+    career mean of all by FORM_BALLS balls."""
+    for who, innings in (("batter", batting), ("bowler", bowling)):
+        form = form_before(innings, ["runs", "balls"])
+        mean = innings.agg((F.sum("runs") / F.sum("balls")).alias("mean"))
+        form = form.crossJoin(F.broadcast(mean)).select(F.col("player").alias(who), "gender", "match_id", ((F.col("runs_before") + FORM_BALLS * F.col("mean")) / (F.col("balls_before") + FORM_BALLS)).alias(f"{who}_form"))
+        rows = rows.join(form, [who, "gender", "match_id"], "left")
+    return rows
 
 
 def shrunk_form(x: str, n: str, mean: float, pseudo: float = 120.0) -> Column:
@@ -148,11 +184,12 @@ def evaluation(scored: DataFrame, p: str = "p", label: str = "y", bins: int = 20
     """One row: n, log_loss, brier, auc (by rank sums, ties half) and ece over equal bins."""
     P, Y = F.col(p), F.col(label)
     basic = scored.agg(F.count("*").alias("n"), F.avg(-(Y * F.log(P) + (1 - Y) * F.log(1 - P))).alias("log_loss"), F.avg((P - Y) ** 2).alias("brier"), F.sum(Y).alias("ones"))
-    values = scored.groupBy(P.alias("v")).agg(F.count("*").alias("m"), F.sum(Y).alias("k"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    # distinct scores are the rows here: bounded by rounding the scores to 1e-6
-    values = values.groupBy(F.round("v", 6).alias("v")).agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
-    ranks = values.withColumn("zeros_below", F.coalesce(F.sum(F.col("m") - F.col("k")).over(below), F.lit(0)))
+    # Distinct scores lie in bands: sums over the bands before, then within the band.
+    values = scored.groupBy(P.alias("v")).agg(F.count("*").alias("m"), F.sum(Y).alias("k")).withColumn("band", F.floor(F.col("v") * BANDS))
+    before = lambda w: F.coalesce(F.sum("z").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumn("z", F.col("m") - F.col("k"))
+    bands = values.groupBy("band").agg(F.sum("z").alias("z")).select("band", before(Window.orderBy("band")).alias("earlier"))  # BANDS rows
+    ranks = values.join(F.broadcast(bands), "band").withColumn("zeros_below", F.col("earlier") + before(Window.partitionBy("band").orderBy("v")))
     wins = ranks.agg(F.sum(F.col("k") * (F.col("zeros_below") + (F.col("m") - F.col("k")) / 2)).alias("wins"))
     cal = scored.groupBy(F.least(F.floor(P * bins), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("m"), F.abs(F.avg(P) - F.avg(Y)).alias("gap")).agg((F.sum(F.col("m") * F.col("gap")) / F.sum("m")).alias("ece"))
     auc = F.col("wins") / F.nullif(F.col("ones") * (F.col("n") - F.col("ones")), F.lit(0))

@@ -7,7 +7,7 @@ one aggregation as rows (metric, n, x) instead of one pass each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Metric -> (count column, sample column, whether each sample is 0 or 1).
@@ -115,6 +115,28 @@ def prediction(pairs: DataFrame, predictor: str, target: str = "rate2") -> DataF
     return rows.join(F.broadcast(line), [*key, "fold"]).groupBy(*key).agg(F.count("*").alias("pairs"), F.sqrt(F.sum(F.col("w") * error * error) / F.sum("w")).alias("rmse"))
 
 
+def predictors(pairs: DataFrame, candidates: dict[str, Column], target: str = "rate2") -> DataFrame:
+    """(fgroup, gender, metric, predictor): prediction()'s pairs and rmse, the correlation r with the
+    target, and gain, the share of the error of the league average (no predictor) that is saved. All
+    candidates go through one aggregation as rows."""
+    key = ["fgroup", "gender", "metric", "predictor"]
+    every = F.explode(F.array(*(F.struct(F.lit(n).alias("predictor"), c.cast("double").alias("x")) for n, c in ({"league average": F.lit(0.0)} | candidates).items())))
+    rows = pairs.select(*key[:3], F.pmod("yr", F.lit(2)).alias("fold"), target, "w", every.alias("p")).select(*key[:3], "fold", target, "w", "p.*")
+    sums = rows.groupBy(*key, "fold").agg(*(c.alias(k) for k, c in weighted("w", "x", target).items()))
+    line = sums.select(*key, (1 - F.col("fold")).alias("fold"), F.coalesce(slope(), F.lit(0.0)).alias("b"), (F.col("sx") / F.col("sw")).alias("mx"), (F.col("sy") / F.col("sw")).alias("my"))
+    error = F.col(target) - (F.col("my") + F.col("b") * (F.col("x") - F.col("mx")))
+    sums = {"pairs": F.count("*"), "rmse": F.sqrt(F.sum(F.col("w") * error * error) / F.sum("w"))} | weighted("w", "x", target)
+    out = rows.join(line, [*key, "fold"]).groupBy(*key).agg(*(c.alias(k) for k, c in sums.items()))
+    base = F.max(F.when(F.col("predictor") == "league average", F.col("rmse"))).over(Window.partitionBy("fgroup", "gender", "metric"))
+    return out.select(*key, "pairs", "rmse", correlation().alias("r"), (1 - F.col("rmse") / F.nullif(base, F.lit(0.0))).alias("gain"))
+
+
+def finding(gain: Column, r: Column) -> Column:
+    """What a predictor's figures say, in words."""
+    worth = F.when(gain >= 0.1, "says a good deal").when(gain >= 0.02, "says a little").otherwise("says no more than the league average")
+    return F.concat(worth, F.lit(" (r "), F.coalesce(F.format_number(r, 2), F.lit("-")), F.lit(")"))
+
+
 def shrinkage(years: DataFrame, stable: DataFrame) -> DataFrame:
     """Adds shrunk, the rate drawn to the group's mean by K (see stability)."""
     k = stable.select("fgroup", "gender", "metric", "p", "k")

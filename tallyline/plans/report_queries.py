@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import get
-from tallyline.operators import ballstats, curation, derive, engine, models, resolve, study
+from tallyline.operators import ballstats, curation, derive, engine, insights, models, resolve, study
 from tallyline.sources import matches as sources
 from tallyline.streaming import feeds
 
@@ -67,11 +67,34 @@ def season_pairs_top(spark, sf_dir):
 # --- models ---------------------------------------------------------------------------------------------------
 
 
-@register("next_ball_rows", ledger.sql("""SELECT match_id, innings, seq, coalesce(sum(runs_total) OVER i, 0)::BIGINT AS score, coalesce(sum(outs) OVER i, 0)::BIGINT AS wickets, coalesce(sum(faced::INT) OVER s, 0)::BIGINT AS striker_balls, coalesce(sum(runs_batter) OVER s, 0)::BIGINT AS striker_runs,
-  coalesce(sum(legal::INT) OVER b, 0)::BIGINT AS bowler_balls, coalesce(sum(bowler_runs) OVER b, 0)::BIGINT AS bowler_conceded, CASE WHEN outs > 0 THEN 'W' ELSE runs_batter::VARCHAR END AS outcome
-FROM balls WINDOW i AS (PARTITION BY match_id, innings ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY match_id, innings, batter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY match_id, innings, bowler ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+@register("next_ball_rows", ledger.sql("""SELECT * EXCLUDE (faced) FROM (SELECT match_id, innings, seq, coalesce(sum(runs_total) OVER i, 0)::BIGINT AS score, coalesce(sum(outs) OVER i, 0)::BIGINT AS wickets, coalesce(sum(faced::INT) OVER s, 0)::BIGINT AS striker_balls, coalesce(sum(runs_batter) OVER s, 0)::BIGINT AS striker_runs,
+  coalesce(sum(legal::INT) OVER b, 0)::BIGINT AS bowler_balls, coalesce(sum(bowler_runs) OVER b, 0)::BIGINT AS bowler_conceded, CASE WHEN outs > 0 THEN 'W' ELSE runs_batter::VARCHAR END AS outcome, faced
+FROM balls WINDOW i AS (PARTITION BY match_id, innings ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY match_id, innings, batter ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY match_id, innings, bowler ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE faced"""))
 def next_ball_rows(spark, sf_dir):
-    return rounded(models.next_ball_rows(ledger.balls(spark, sf_dir)))
+    return rounded(models.next_ball_rows(ledger.balls(spark, sf_dir)).drop("batter", "bowler", "gender"))
+
+
+@register("next_ball_form", ledger.sql(f", f AS (SELECT player, gender, match_id, (coalesce(sum(runs) OVER w, 0) + 120.0 * m) / (coalesce(sum(balls) OVER w, 0) + 120.0) AS form FROM (SELECT player, gender, date, match_id, sum(runs) AS runs, sum(balls) AS balls FROM bowling GROUP BY ALL), (SELECT sum(runs)::DOUBLE / sum(balls) AS m FROM bowling) WINDOW w AS (PARTITION BY player, gender ORDER BY date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))\nSELECT bowler, count(*) AS n, {_r('avg(form)', 'form')} FROM balls LEFT JOIN f ON bowler = player AND balls.gender = f.gender AND balls.match_id = f.match_id WHERE faced GROUP BY 1", bowling=True))
+def next_ball_form(spark, sf_dir):
+    tables = ledger.tables(spark, sf_dir)
+    rows = models.next_ball_form(models.next_ball_rows(ledger.balls(spark, sf_dir)), tables["batting_innings"], tables["bowling_innings"])
+    return rounded(rows.groupBy("bowler").agg(F.count("*").alias("n"), F.avg("bowler_form").alias("form")))
+
+
+@register("win_rows", ledger.sql(f", s AS (SELECT *, sum(runs_total) OVER w AS score_after, sum(legal::INT) OVER w AS legal_after, least(sum(outs) OVER w, 10) AS gone FROM balls WHERE fgroup IN ('T20', 'ODI') WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING)), t AS (SELECT *, CASE WHEN innings = 2 THEN max(CASE WHEN innings = 1 THEN score_after END) OVER (PARTITION BY match_id) + 1 END AS target, CASE fgroup WHEN 'T20' THEN 120 ELSE 300 END AS balls_total FROM s)\nSELECT match_id, innings::BIGINT AS innings, seq::BIGINT AS seq, (10 - gone)::BIGINT AS wickets_left, greatest(balls_total - legal_after, 0)::BIGINT AS balls_left, target::BIGINT AS target, (target - score_after)::BIGINT AS needed, {_r('6.0 * (target - score_after) / greatest(balls_total - legal_after, 1)', 'required')}, (CASE result WHEN 'won' THEN 1 WHEN 'lost' THEN 0 END)::BIGINT AS won FROM t"))
+def win_rows(spark, sf_dir):
+    return rounded(models.win_rows(ledger.balls(spark, sf_dir)).drop("score_after", "balls_total"))
+
+
+@register("team_top3", ledger.sql("SELECT player, list(team ORDER BY n DESC, team) AS teams FROM (SELECT * FROM (SELECT player, team, count(DISTINCT match_id) AS n FROM bowling GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY player ORDER BY n DESC, team) <= 3) GROUP BY 1", bowling=True))
+def team_top3(spark, sf_dir):
+    return engine.top_teams(ledger.tables(spark, sf_dir)["bowling_innings"], ["player"])
+
+
+@register("best_and_worst", ledger.sql(f"SELECT arg_min(player, (-e, player)) AS best, arg_min(player, (e, player)) AS worst, {_r('max(e)', 'best_value')}, {_r('min(e)', 'worst_value')} FROM (SELECT player, sum(wickets)::DOUBLE AS e FROM bowling GROUP BY 1)", bowling=True))
+def best_and_worst(spark, sf_dir):
+    rows = ledger.tables(spark, sf_dir)["bowling_innings"].groupBy("player").agg(F.sum("wickets").alias("e"))
+    return rounded(insights.best_and_worst(rows, "player", "e"))
 
 
 @register("shrunk_form", ledger.sql(f"SELECT player, gender, match_id, {_r('(coalesce(sum(runs) OVER w, 0) + 120.0 * 1.2) / (coalesce(sum(balls) OVER w, 0) + 120.0)', 'form')} FROM (SELECT player, gender, date, match_id, sum(runs) AS runs, sum(balls) AS balls FROM bowling GROUP BY ALL) WINDOW w AS (PARTITION BY player, gender ORDER BY date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", bowling=True))

@@ -192,11 +192,26 @@ def audit_orphans(spark, sf_dir):
     return insights.orphans(t(spark, sf_dir, "lineitem").select("l_orderkey"), parents, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@register("audit_frozen", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 100 = 0")
+@register("audit_frozen", ledger.sql(", old AS (SELECT bowler AS k, sum(bowler_runs) AS runs, sum(credited) AS wickets FROM balls WHERE yr < 1998 GROUP BY 1)\nSELECT k FROM old LEFT JOIN (SELECT bowler AS k, sum(bowler_runs) AS runs, sum(credited) AS wickets FROM balls GROUP BY 1) r USING (k) WHERE old.runs IS DISTINCT FROM r.runs OR old.wickets IS DISTINCT FROM r.wickets"))
 def audit_frozen(spark, sf_dir):
-    counts = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
-    derived = counts.withColumn("n", F.when(F.col("k") % 100 == 0, F.col("n") + 1).otherwise(F.col("n")))
-    return insights.frozen(counts, counts, derived, "k", ["n"]).select("k")
+    """The record was frozen before 1998; careers that went on since show up. Recomputed from the balls and
+    taken from the innings tables, which must agree."""
+    totals = lambda df, who, runs, wickets: df.groupBy(F.col(who).alias("k")).agg(F.sum(runs).alias("runs"), F.sum(wickets).alias("wickets"))
+    balls = ledger.balls(spark, sf_dir)
+    derived = totals(ledger.tables(spark, sf_dir)["bowling_innings"], "player", "runs", "wickets")
+    return insights.frozen(totals(balls.filter("yr < 1998"), "bowler", "bowler_runs", "credited"), totals(balls, "bowler", "bowler_runs", "credited"), derived, "k", ["runs", "wickets"]).select("k")
+
+
+@register("audit_gate", "SELECT 'columns lost' AS name, 1.0::DOUBLE AS observed, 0.0::DOUBLE AS expected, false AS ok UNION ALL SELECT 'rows', (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P')::DOUBLE, (SELECT ceil(count(*) * 0.995) FROM orders)::DOUBLE, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') >= (SELECT ceil(count(*) * 0.995) FROM orders)")
+def audit_gate(spark, sf_dir):
+    old = t(spark, sf_dir, "orders")
+    return insights.gate(old.filter("o_orderstatus <> 'P'").drop("o_totalprice"), old)
+
+
+@register("overlap_copies", "WITH n AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id FROM n WHERE doc_id % 2 = 1 AND t IN (SELECT t FROM n WHERE doc_id % 2 = 0)")
+def overlap_copies(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    return curation.overlapping(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")).select("doc_id")
 
 
 # --- resolution and text --------------------------------------------------------------------------------------------
@@ -250,10 +265,14 @@ def chat_structure(spark, sf_dir):
     return curation.conversation_faults(t(spark, sf_dir, "conversations"))
 
 
-@register("grounding_numbers", r"""WITH n AS (SELECT conv_id, turn, role, unnest(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS x FROM conversations)
+@register("grounding_numbers", r"""WITH said AS (SELECT l_orderkey AS conv_id, l_linenumber AS turn, CASE WHEN l_linenumber % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, 'sold ' || CAST(max(l_quantity) AS INT) || ' at ' || max(l_suppkey) || '.5' AS text FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    n AS (SELECT conv_id, turn, role, unnest(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS x FROM said)
     SELECT conv_id, turn, list_sort(list(x)) AS loose FROM n a WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND b.x = a.x) GROUP BY ALL""")
 def grounding_numbers(spark, sf_dir):
-    return curation.ungrounded_numbers(t(spark, sf_dir, "conversations"))
+    said = F.concat(F.lit("sold "), F.max("l_quantity").cast("int").cast("string"), F.lit(" at "), F.max("l_suppkey").cast("string"), F.lit(".5"))
+    role = F.when(F.col("turn") % 2 == 0, "assistant").otherwise("user")
+    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("conv_id"), F.col("l_linenumber").alias("turn")).agg(said.alias("text")).withColumn("role", role)
+    return curation.ungrounded_numbers(rows)
 
 
 @register("length_stats", f"SELECT lang, count(*) AS n, {_r('quantile_cont(length(text) / 4.0, 0.5)', 'median')}, {_r('quantile_cont(length(text) / 4.0, 0.95)', 'p95')}, {_r('max(length(text) / 4.0)', 'longest')} FROM documents GROUP BY 1")

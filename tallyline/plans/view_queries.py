@@ -279,11 +279,11 @@ def situation_lookup(spark, sf_dir):
     return rounded(models.situation_lookup(ledger.balls(spark, sf_dir), ["fgroup", "innings"], "runs_batter"))
 
 
-@register("model_evaluation", ledger.sql(f", s AS (SELECT least(greatest(1 / (1 + exp(-(-1.0 + 0.3 * (runs_batter - 3.0) / 2.0 + 0.2 * (ovr - 3.0)))), 0.001), 0.999) AS p, (outs > 0)::INT AS y FROM balls), v AS (SELECT round(p, 6) AS v, count(*) AS m, sum(y) AS k FROM s GROUP BY 1), w AS (SELECT sum(k * (zb + (m - k) / 2)) AS wins FROM (SELECT *, coalesce(sum(m - k) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS zb FROM v))\nSELECT count(*) AS n, {_r('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')}, {_r('avg((p - y) ** 2)', 'brier')}, {_r('any_value(wins) / (sum(y) * (count(*) - sum(y)))', 'auc')}, {_r('(SELECT sum(m * gap) / sum(m) FROM (SELECT count(*) AS m, abs(avg(p) - avg(y)) AS gap FROM s GROUP BY least(floor(p * 20), 19)))', 'ece')} FROM s, w"))
+@register("model_evaluation", ledger.sql(f", s AS (SELECT round(least(greatest(1 / (1 + exp(-(-1.0 + 0.3 * (runs_batter - 3.0) / 2.0 + 0.2 * (ovr - 3.0)))), 0.001), 0.999), 9) AS p, (outs > 0)::INT AS y FROM balls), v AS (SELECT p AS v, count(*) AS m, sum(y) AS k FROM s GROUP BY 1), w AS (SELECT sum(k * (zb + (m - k) / 2)) AS wins FROM (SELECT *, coalesce(sum(m - k) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS zb FROM v))\nSELECT count(*) AS n, {_r('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))', 'log_loss')}, {_r('avg((p - y) ** 2)', 'brier')}, {_r('any_value(wins) / (sum(y) * (count(*) - sum(y)))', 'auc')}, {_r('(SELECT sum(m * gap) / sum(m) FROM (SELECT count(*) AS m, abs(avg(p) - avg(y)) AS gap FROM s GROUP BY least(floor(p * 20), 19)))', 'ece')} FROM s, w"))
 def model_evaluation(spark, sf_dir):
     rows = ledger.balls(spark, sf_dir)
     odds = models.logistic(["runs_batter", "over"], [3.0, 3.0], [2.0, 1.0], [0.3, 0.2], -1.0)
-    return rounded(models.evaluation(rows.select(models.probability(odds).alias("p"), (F.col("outs") > 0).cast("int").alias("y"))))
+    return rounded(models.evaluation(rows.select(F.round(models.probability(odds), 9).alias("p"), (F.col("outs") > 0).cast("int").alias("y"))))
 
 
 @register("elo_fold")
@@ -339,6 +339,13 @@ def study_year_pairs(spark, sf_dir):
     return rounded(_MINE(study.year_to_year(_bowl(spark, sf_dir), "bowling", 5)))
 
 
+@register("study_predictors", (ledger.sql(_SEASONS + _YEARS + ", v AS (SELECT fgroup, gender, metric, yr % 2 AS half, rate2, w, 'league average' AS predictor, 0.0::DOUBLE AS x FROM pairs UNION ALL SELECT fgroup, gender, metric, yr % 2, rate2, w, 'this season', rate FROM pairs UNION ALL SELECT fgroup, gender, metric, yr % 2, rate2, w, 'regressed', (x + 4.0) / (n + 40.0) FROM pairs), ln AS (SELECT fgroup, gender, metric, predictor, 1 - half AS half, coalesce(CASE WHEN " + f"{_VX} <> 0 THEN {_COV} / {_VX} END" + ", 0) AS b, sx / sw AS mx, sy / sw AS my FROM (SELECT fgroup, gender, metric, predictor, half, " + _SUMS("x", "rate2") + " FROM v GROUP BY ALL))\n" + f"SELECT fgroup, gender, metric, predictor, count(*) AS pairs, {_r('sqrt(sum(w * (rate2 - (my + b * (x - mx))) ** 2) / sum(w))', 'rmse')} FROM v JOIN ln USING (fgroup, gender, metric, predictor, half) GROUP BY ALL", bowling=True)))
+def study_predictors(spark, sf_dir):
+    pairs = _MINE(study.next_year(study.yearly(study.seasons(_bowl(spark, sf_dir), "bowling"), 5)))
+    candidates = {"this season": F.col("rate"), "regressed": (F.col("x") + 4.0) / (F.col("n") + 40.0)}
+    return rounded(study.predictors(pairs, candidates).select("fgroup", "gender", "metric", "predictor", "pairs", "rmse"))
+
+
 @register("study_prediction", (ledger.sql(_SEASONS + _YEARS + ", ln AS (SELECT fgroup, gender, metric, 1 - yr % 2 AS fold, coalesce(" + f"{_COV} / nullif({_VX}, 0)" + ", 0) AS b, sx / sw AS mx, sy / sw AS my FROM (SELECT fgroup, gender, metric, yr % 2 AS yr, " + _SUMS("rate", "rate2") + " FROM pairs GROUP BY fgroup, gender, metric, yr % 2))\n" + f"SELECT p.fgroup, p.gender, p.metric, count(*) AS pairs, {_r('sqrt(sum(w * (rate2 - (my + b * (rate - mx))) ** 2) / sum(w))', 'rmse')} FROM pairs p JOIN ln ON p.fgroup = ln.fgroup AND p.gender = ln.gender AND p.metric = ln.metric AND p.yr % 2 = ln.fold GROUP BY ALL", bowling=True)))
 def study_prediction(spark, sf_dir):
     pairs = _MINE(study.next_year(study.yearly(study.seasons(_bowl(spark, sf_dir), "bowling"), 5)))

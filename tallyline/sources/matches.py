@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,5 +122,6 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def from_pandas(spark: SparkSession, pdf, schema: str) -> DataFrame:
-    return spark.createDataFrame(pdf, schema)
+def build_info(spark: SparkSession, facts: dict) -> DataFrame:
+    """key, value (as JSON): what a build was made of, to be written beside its tables."""
+    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(facts.items())], "key string, value string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyline.functions import flags, scope
 from tallyline.functions.metrics import REGISTRY, get, search
 from tallyline.functions.text import norm
-from tallyline.operators import ballstats, curation, derive, engine, insights, models, resolve, study
+from tallyline.operators import ballstats, curation, derive, engine, insights, models, resolve, results, study
 from tallyline.plans import ledger
 from tallyline.sources import matches as sources
 from tallyline.sources import pages, sqlguard
@@ -252,6 +252,49 @@ def test_resolution(spark):
         resolve.word("x", resolve.FORMATS, "format")
 
 
+def test_entities_by_name_alias_words_and_spelling(spark):
+    names = spark.createDataFrame([("Royal Oaks", 90), ("Royal Elms", 20), ("Green Ashes", 50), ("Grey Ashes", 40), ("Old Oaks", 5), (None, 3)], "name string, weight long")
+    asked = spark.createDataFrame([("royal  oaks",), ("RO",), ("royal",), ("ashes",), ("Gren Ashes",), ("Old Oaks",), ("nobody at all",), (None,)], "request string")
+    got = rows(resolve.entities(names, asked, {"ro": "Royal Oaks"}, [("Royal Oaks", "Old Oaks")]), "request")
+    assert {k: (r.name, r.how) for k, r in got.items()} == {"royal  oaks": ("Royal Oaks", "exact"), "RO": ("Royal Oaks", "alias"), "royal": ("Royal Oaks", "words"), "ashes": (None, "words"), "Gren Ashes": (None, "close"), "Old Oaks": ("Old Oaks", "exact"), "nobody at all": (None, None), None: (None, None)}
+    assert got["royal"].names == ["Royal Oaks", "Old Oaks"] and got["ashes"].candidates == ["Green Ashes", "Grey Ashes"]
+
+
+def test_ambiguity_depends_on_how_well_players_are_known(spark):
+    names = spark.createDataFrame([("John Smith", 100, False), ("Jane Smith", 40, False), ("Adam Hill", 100, False), ("Anna Hill", 10, False)], "player string, matches long, international boolean")
+    got = rows(resolve.lookup(resolve.catalog(names), ["Smith", "Hill", "J Smith"]), "request")
+    assert (got["Smith"].player, got["Hill"].player, got["J Smith"].player) == (None, "Adam Hill", "John Smith")
+
+
+def test_results_for_readers(spark):
+    df = spark.range(40).select(F.concat(F.lit("p"), "id").alias("player"), F.col("id").alias("season"), (F.col("id") / 2).alias("runs")).orderBy("season")
+    shown = results.records(df)
+    assert len(shown["rows"]) == 25 and shown["rows"][3] == {"player": "p3", "season": 3, "runs": 1.5} and shown["rows_not_shown"] == "15 more rows not shown"
+    assert results.records(df, 5, last=True)["rows"][-1]["season"] == 39 and results.records(df.limit(0)) == {"rows": [], "empty": True}
+    kind, points = results.series(df, "season", ["runs"])
+    assert kind == "line" and points.columns == ["x", "runs"] and points.first() == ("0", 0.0)
+    for x, ys in (("nothing", ["runs"]), ("season", ["player"]), ("season", [])):
+        with pytest.raises(ValueError):
+            results.series(df, x, ys)
+    own, filters = {"metric", "limit", "min_balls"}, {"team", "season", "ground"}
+    assert results.repaired({"metric": "runs", "team": "A", "venue": "", "filters": {"limit": 5, "season": "2024", "ground": None}, "sort": "x"}, own, filters) == {"metric": "runs", "limit": 5, "filters": {"season": "2024", "team": "A"}}
+
+
+def test_win_rows_chase_a_target(tables):
+    got = {(r.innings, r.seq): r for r in models.win_rows(tables["balls"]).collect()}
+    first = max(r.score_after for (i, _), r in got.items() if i == 1)
+    assert got[1, 1].target is None and got[1, 1].won == 1 and got[2, 1].won == 0 and got[2, 1].target == first + 1
+    assert (got[2, 1].balls_left, got[2, 1].wickets_left, got[2, 2].wickets_left) == (119, 10, 8)
+    assert got[2, 1].required == pytest.approx(6 * got[2, 1].needed / 119)
+
+
+def test_gate_and_split_names(spark):
+    old = spark.range(1000).withColumn("x", F.lit(1))
+    assert [r.ok for r in insights.gate(old.filter("id >= 5"), old).collect()] == [True, True]
+    assert [r.ok for r in insights.gate(old.filter("id >= 6").drop("x"), old).collect()] == [False, False] and [r.ok for r in insights.gate(old.limit(0), old.limit(0)).collect()] == [True, False]
+    assert engine.named_split(spark.createDataFrame([(1, 2)], "k long, innings long"), "innings").columns == ["innings_no", "innings"]
+
+
 def test_guarded_sql(spark):
     spark.range(500).createOrReplaceTempView("guarded_numbers")
     run = lambda q: sqlguard.run_sql(spark, q, views=["guarded_numbers"])
