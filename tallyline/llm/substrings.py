@@ -36,7 +36,7 @@ WINDOW = 13
 GRAM = 4
 HOT = 2000
 #: Words in one shard's index, about.
-SHARD = 400_000
+SHARD = 300_000
 _SEARCH = 1 << 15
 NOWHERE = np.iinfo(np.int64).max
 _MASK = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)

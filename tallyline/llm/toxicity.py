@@ -168,7 +168,7 @@ def telling_pairs(sets: list[np.ndarray], labels: np.ndarray, alone: np.ndarray,
             held.append((own << 20 | s)[own < s])
             ones.append(np.full(len(held[-1]), label, bool))
             size += len(held[-1])
-            if size > 1 << 21:
+            if size > 1 << 18:
                 yield np.concatenate(held), np.concatenate(ones)
                 held, ones, size = [], [], 0
         yield np.concatenate([*held, np.zeros(0, np.int64)]), np.concatenate([*ones, np.zeros(0, bool)])
