@@ -55,6 +55,16 @@ def identities(players: DataFrame, register: DataFrame) -> DataFrame:
     return listed.join(register.select("identifier", "unique_name"), "identifier", "left").select("match_id", "name", F.coalesce("unique_name", "name").alias("person"))
 
 
+def with_persons(balls: DataFrame, identities: DataFrame) -> DataFrame:
+    """Flagged balls with the names of identities() in place of the match's own, in the wickets too. A
+    match lists some two dozen names, which travel as a map; unlisted names stay."""
+    names = identities.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "person"))).alias("_names"))
+    person = lambda c: F.coalesce(F.try_element_at("_names", c), c)
+    wicket = lambda w: F.struct(w["kind"].alias("kind"), F.when(w["player_out"].isNotNull(), person(w["player_out"])).alias("player_out"), F.transform(w["fielders"], person).alias("fielders"), w["keeper_catch"].alias("keeper_catch"))
+    renamed = balls.join(names, "match_id", "left").withColumns({c: F.when(F.col(c).isNotNull(), person(F.col(c))) for c in ("batter", "non_striker", "bowler")} | {"wickets": F.transform("wickets", wicket)})
+    return renamed.drop("_names").withColumns(flags.wicket_columns())
+
+
 def keepers(players: DataFrame, wickets: DataFrame) -> DataFrame:
     """(match_id, team, keeper): of a side's players the one who stumped in the match, else the one
     with most stumpings overall; ties to the smaller name; sides without any have no row."""

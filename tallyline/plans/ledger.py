@@ -188,7 +188,7 @@ _DERIVED = {
 
 def tables(spark: SparkSession, sf_dir: str) -> Stored:
     """The derived tables of a data set, each built on first use and stored."""
-    return Stored(spark, f"{sf_dir} thin={THIN} k={K}", {"balls": lambda _: states(spark, sf_dir)} | _DERIVED, [f"{sf_dir}/{t}.parquet" for t in _INPUTS])
+    return Stored(spark, f"{sf_dir} thin={THIN} k={K}", {"balls": lambda _: states(spark, sf_dir)} | _DERIVED, [f"{sf_dir}/{t}.parquet" for t in _INPUTS], {n: "player" for n in _DERIVED if n.startswith(("batting", "bowling"))})
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyline.functions import metrics
 from tallyline.functions.text import norm
-from tallyline.operators import curation, insights, resolve
+from tallyline.operators import curation, derive, engine, insights, resolve, study
 from tallyline.sources import matches as sources
 from tallyline.sources import pages as html
 from tallyline.sources import sqlguard
@@ -37,8 +37,8 @@ def null_dropping_join(spark, sf_dir):
 
 @register("scope_anti", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) GROUP BY 1")
 def scope_anti(spark, sf_dir):
-    big = t(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
-    return t(spark, sf_dir, "customer").join(big, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    big = t(spark, sf_dir, "orders").filter("o_totalprice > 200000")
+    return insights.orphans(t(spark, sf_dir, "customer"), big, "c_custkey", "o_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @register("scope_ilike", "SELECT p_partkey, p_brand, total FROM (SELECT *, count(*) OVER () AS total FROM part WHERE p_brand ILIKE '%RAND#1%' OR p_type ILIKE '%RAND#1%') ORDER BY p_brand, p_partkey LIMIT 50")
@@ -48,13 +48,15 @@ def scope_ilike(spark, sf_dir):
 
 @register("shifted_self_join", "WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) SELECT a.k, a.y::BIGINT AS y, a.n AS n, b.n AS n2 FROM y a JOIN y b ON a.k = b.k AND b.y = a.y + 1")
 def shifted_self_join(spark, sf_dir):
-    y = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"))
-    return y.join(y.select("k", (F.col("y") - 1).alias("y"), F.col("n").alias("n2")), ["k", "y"])
+    years = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("player"), F.year("o_orderdate").cast("long").alias("yr")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("rate"))
+    years = years.withColumns({"fgroup": F.lit("all"), "gender": F.lit("all"), "metric": F.lit("orders")})
+    return study.next_year(years).select(F.col("player").alias("k"), F.col("yr").alias("y"), "n", "n2")
 
 
 @register("leave_one_out", f"SELECT o_orderkey, {_r('sum(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice', 'others')} FROM orders")
 def leave_one_out(spark, sf_dir):
-    return rounded(t(spark, sf_dir, "orders").select("o_orderkey", (F.sum("o_totalprice").over(Window.partitionBy("o_custkey")) - F.col("o_totalprice")).alias("others")))
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("match_id"), F.col("o_orderkey").alias("player"), F.lit(1).alias("position"), F.col("o_totalprice").alias("runs"), F.lit(1).alias("out"))
+    return rounded(derive.match_context(rows, "batting").select("o_orderkey", F.col("mc_runs").alias("others")))
 
 
 @register("phase_grid", "SELECT s_suppkey, p AS phase, count(l_orderkey) AS n FROM supplier CROSS JOIN (VALUES ('early'), ('middle'), ('late')) v(p) LEFT JOIN lineitem ON l_suppkey = s_suppkey AND CASE WHEN l_linenumber <= 2 THEN 'early' WHEN l_linenumber <= 5 THEN 'middle' ELSE 'late' END = p GROUP BY ALL")
@@ -82,19 +84,20 @@ def intersect_except(spark, sf_dir):
 
 @register("best_text", "SELECT l_suppkey, arg_max(l_orderkey || ':' || l_linenumber, l_extendedprice * 100000 + l_orderkey / 1e6) AS best FROM lineitem GROUP BY 1")
 def best_text(spark, sf_dir):
-    key = F.struct((F.col("l_extendedprice") * 100000 + F.col("l_orderkey") / 1e6).alias("k"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("best"))
-    return t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.max(key)["best"].alias("best"))
+    key, text = F.col("l_extendedprice") * 100000 + F.col("l_orderkey") / 1e6, F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(metrics.latest_text(key, text).alias("best"))
 
 
-@register("mode_team", "SELECT o_custkey, o_orderpriority AS mode_ FROM (SELECT o_custkey, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, o_orderpriority) = 1")
+@register("mode_team", "SELECT o_custkey, o_orderpriority AS team FROM (SELECT o_custkey, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, o_orderpriority) = 1")
 def mode_team(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.mode("o_orderpriority", True).alias("mode_"))
+    return engine.top_team(t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("team")), ["o_custkey"])
 
 
 @register("cv_median", f"SELECT o_custkey, {_r('median(o_totalprice)', 'median_')}, {_r('stddev_samp(o_totalprice) / nullif(avg(o_totalprice), 0)', 'cv')}, bool_or(o_orderstatus = 'P') AS any_open, count(DISTINCT o_orderpriority) AS kinds, {_r('var_pop(o_totalprice) / 1e6', 'variance')} FROM orders GROUP BY 1")
 def cv_median(spark, sf_dir):
-    p = F.col("o_totalprice")
-    return rounded(t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.median(p).alias("median_"), (F.stddev_samp(p) / F.nullif(F.avg(p), F.lit(0.0))).alias("cv"), F.bool_or(F.col("o_orderstatus") == "P").alias("any_open"), F.countDistinct("o_orderpriority").alias("kinds"), (F.var_pop(p) / 1e6).alias("variance")))
+    p, of = F.col("o_totalprice"), metrics.REGISTRY["batting"]
+    rows = t(spark, sf_dir, "orders").withColumn("runs", p)
+    return rounded(rows.groupBy("o_custkey").agg(of["median_score"].build().alias("median_"), of["consistency_cv"].build().alias("cv"), F.bool_or(F.col("o_orderstatus") == "P").alias("any_open"), F.countDistinct("o_orderpriority").alias("kinds"), (F.var_pop(p) / 1e6).alias("variance")))
 
 
 @register("distinct_lists", "SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS statuses, array_to_string(list(o_orderkey::VARCHAR ORDER BY o_orderdate, o_orderkey), ',') AS keys FROM orders GROUP BY 1")

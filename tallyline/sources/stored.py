@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import threading
 import uuid
@@ -9,7 +10,9 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where a local session names no checkpoint folder.
 LOCAL = "/tmp/checkpoints"
+_CLEARED: set[str] = set()
 _BUILDING = threading.RLock()
 
 
@@ -18,20 +21,34 @@ class Stored(Mapping):
     spark.checkpoint.dir. key names the parameters and inputs the paths read: a folder that was
     rewritten since is another version with tables of its own, and so is another application's.
 
+    layout: name -> column that a table is dealt and sorted by in ranges, so that a filter on it reads few
+    row groups. The application's folder goes when the driver's Python ends.
+
     Each build writes a folder of its own, which counts once its write is complete: two builders at
     the same time, or one that failed half-way, leave no rows in each other's table.
     """
 
-    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = ()):
-        shared = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
-        self.spark, self.builders = spark, builders
+    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = (), layout: Mapping[str, str] | None = None):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        self.spark, self.builders, self.layout = spark, builders, layout or {}
+        root = f"{(shared or LOCAL).rstrip('/')}/tallyline-derived/{spark.sparkContext.applicationId}"
+        if root not in _CLEARED:
+            _CLEARED.add(root)
+            atexit.register(self._remove, root)
         version = [key, *(f"{x}@{self._fs(x)[0].getFileStatus(self._fs(x)[1]).getModificationTime()}" for x in inputs)]
-        self.path = f"{shared}/tallyline-derived/{spark.sparkContext.applicationId}/{hashlib.md5(chr(10).join(version).encode()).hexdigest()}"
+        self.path = f"{root}/{hashlib.md5(chr(10).join(version).encode()).hexdigest()}"
 
     def _fs(self, where: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _remove(self, root: str) -> None:
+        if self.spark.sparkContext._jsc is not None:  # a stopped session leaves it
+            fs, p = self._fs(root)
+            fs.delete(p, True)
+
     def _written(self, name: str) -> str | None:
         fs, marks = self._fs(f"{self.path}/{name}-*/_SUCCESS")
         return min((s.getPath().getParent().toString() for s in fs.globStatus(marks) or ()), default=None)
@@ -41,7 +58,10 @@ class Stored(Mapping):
             where = self._written(name)
             if where is None:
                 where = f"{self.path}/{name}-{uuid.uuid4().hex}"
-                self.builders[name](self).write.option("compression", "zstd").parquet(where)
+                df, by = self.builders[name](self), self.layout.get(name)
+                if by:
+                    df = df.repartitionByRange(by).sortWithinPartitions(by)
+                df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.parquet(where)
 
     def __iter__(self):

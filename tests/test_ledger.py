@@ -93,6 +93,15 @@ def test_scoring_rules(tables):
     assert rows(tables["keepers"], "team")["Shrubs"].keeper == "Elm"
 
 
+def test_names_become_persons_everywhere(docs, spark):
+    d = docs[0]
+    register_ = spark.createDataFrame([("a1", "Ash the Elder")], "identifier string, unique_name string")
+    balls = derive.with_persons(derive.flag(sources.deliveries(d), sources.matches(d)), derive.identities(sources.players(d), register_))
+    bat = rows(derive.build(balls)["batting_innings"].filter("innings = 1"), "player")
+    assert "Ash" not in bat and (bat["Ash the Elder"].runs, bat["Ash the Elder"].balls) == (11, 6) and bat["Oak"].out == 1
+    assert rows(derive.bowling_innings(derive.build(balls)["states"]).filter("innings = 2"), "player")["Ash the Elder"].wickets == 1
+
+
 def test_drawn_tied_and_no_result_are_told_apart(docs):
     m, d = sources.matches(docs[0]), sources.deliveries(docs[0])
     for kind, word in (("draw", "drawn"), ("tie", "tied"), ("no result", "no result"), (None, "no result")):
@@ -380,6 +389,11 @@ def test_stored_tables_are_built_once_for_each_version(spark, tmp_path):
     time.sleep(1.1)
     spark.range(9).write.mode("overwrite").parquet(source)
     assert make()["b"].count() == 7 and len(built) == 2
+    laid = Stored(spark, "laid", {"a": lambda _: spark.range(100).select((99 - F.col("id")).alias("id"))}, [source], {"a": "id"})
+    files = {}
+    for r in laid["a"].selectExpr("id", "input_file_name() f").collect():
+        files.setdefault(r.f, []).append(r.id)
+    assert len(files) > 1 and all(ids == list(range(min(ids), max(ids) + 1)) for ids in files.values())
 
 
 def test_next_ball_rows_know_nothing_of_the_ball(tables):
