@@ -522,6 +522,18 @@ def test_wrapped_notices_are_found(columns):
     assert licenses.scan(wrapped, licenses.Index((("own", long),), {}))[5:] == ("own", 1.0)
 
 
+def test_whole_license_texts_are_labelled():
+    index = licenses.Index(licenses.TEMPLATES, {})
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+    free = "This is free and unencumbered software released into the public domain."
+    for text, label in ((mit, "mit"), (bsd, "bsd"), (isc, "isc"), (free, "unlicense")):
+        wrapped = "some words before\n" + "\n".join(textwrap.wrap(text, 50)) + "\nand after"
+        assert licenses.scan(text.encode(), index)[5] == licenses.scan(wrapped.encode(), index)[5] == label
+    assert licenses.scan(b"the software that they use is free for any purpose and they provide it with notice " * 9, index)[5] == ""
+
+
 def test_every_place_of_a_phrase_counts():
     text = ("mit license mit license " * 3000 + "x general public license").encode()
     n_words, n_base, first, last, base, *_ = licenses.scan(text, licenses.Index(licenses.TEMPLATES, {}))
