@@ -896,3 +896,45 @@ def test_packing_edges(spark):
     odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], "doc_id long, text string")
     q = run(packing.pack(odd))
     assert len(q) == 4 and q.length.sum() == q.doc_tokens.sum() and q.sequence_id.nunique() == 1
+
+
+# --- awkward tables, all operators ----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rng = np.random.default_rng(31)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 900, 40_000))
+    rows = [(1, "x" * 1_500_000), (2, " " * 1_200_000), (3, long), (4, long + " end"), (5, "\n\t" * 10), (6, None), (7, ""), (None, "no id here"), (None, "no id here"), (8, "twice " * 30), (8, "twice " * 30), (9, "é日本 " * 40)]
+    return rows, spark.createDataFrame([(*r, "en", "s", 1, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, fingerprint int").repartition(3)
+
+
+def test_awkward_rows_keep_their_places(awkward):
+    rows, d = awkward
+    ids = Counter(i for i, _ in rows)
+    named = lambda df: Counter(None if i is None or i != i else int(i) for i in run(df.select("doc_id")).doc_id.astype(object))
+    assert named(substrings.repeats_report(d)) == named(simhash.fingerprint_components(d)) == named(licenses.license_scan(d)) == ids
+    assert named(lm.pseudo_likelihood(d)) == named(fingerprints.document_fingerprints(d)) == ids
+    report = run(substrings.repeats_report(d)).dropna(subset="doc_id").set_index("doc_id")
+    assert report.n_removed[4] == 40_000 and report.n_removed[[1, 2, 3, 5, 6, 7, 9]].sum() == 0 and (report.n_removed.loc[[8]] == 0).all()
+    prints = run(simhash.fingerprint_components(d)).dropna(subset="doc_id").set_index("doc_id")
+    assert prints.fingerprint[2] == prints.fingerprint[5] == prints.fingerprint[6] == "0" * 16 and prints.component_id[7] == 2
+    assert int(prints.fingerprint[1], 16) == xxhash.xxh64_intdigest("x" * 1_500_000, 42)
+    scores = run(lm.pseudo_likelihood(d)).dropna(subset="doc_id").set_index("doc_id")
+    assert scores.n_tokens[1] == 1 and scores.n_tokens[3] == 40_000 and np.isfinite(scores.log_likelihood).all()
+
+
+def test_awkward_rows_are_packed_whole(awkward):
+    rows, d = awkward
+    pieces = run(packing.pack(d))
+    want = Counter()
+    for i, t in rows:
+        want[i] += len(packing.document_ids(t, packing.default_vocabulary()))
+    got = pieces.assign(doc_id=[None if i is None or i != i else int(i) for i in pieces.doc_id.astype(object)])
+    assert {i: got[got.doc_id == i].length.sum() if i is not None else got[got.doc_id.isna()].length.sum() for i in want} == dict(want)
+
+
+def test_pages_without_ids_and_repeated_ones(spark):
+    rows = [(None, "http://a.com/de/1")] * 3 + [(1, None)] * 2 + [(2, "x" * 100_000), (3, "http://" + "h" * 5_000 + "/" + "a/" * 3_000)]
+    got = run(urls.judge(spark.createDataFrame(rows, "page_id long, url string")))
+    assert len(got) == len(rows) and (got[got.page_id.isna()].verdict == "block").all() and got[got.page_id == 3].host.iloc[0] == "h" * 5_000
