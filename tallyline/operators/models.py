@@ -20,10 +20,22 @@ ELO_K, ELO_START, ELO_SCALE = 24.0, 1500.0, 400.0
 
 def venue_par(totals: DataFrame, ground: int = 20, least: int = 3, recent: int = 200) -> DataFrame:
     """Adds par to first-innings totals (match_id, venue, format, date, total): the mean of the last
-    `ground` earlier ones at the venue, or with fewer than `least` of them of the format's last `recent`."""
+    `ground` earlier ones at the venue, or with fewer than `least` of them of the format's last `recent`.
+
+    A format is no task of its own: its days are numbered and summed up, one row a day, its matches then
+    within their day, and the mean of the last ones is the difference of two sums that are joined by
+    the matches' numbers."""
     at = Window.partitionBy("venue", "format").orderBy("date", "match_id").rowsBetween(-ground, -1)
-    of = Window.partitionBy("format").orderBy("date", "match_id").rowsBetween(-recent, -1)
-    return totals.withColumns({"earlier": F.count("*").over(at), "par": F.when(F.count("*").over(at) >= least, F.avg("total").over(at)).otherwise(F.avg("total").over(of))})
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = totals.groupBy("format", "date").agg(F.count("*").alias("_n"), F.sum("total").alias("_sum"))
+    along, day = Window.partitionBy("format").orderBy("date"), Window.partitionBy("format", "date").orderBy("match_id")
+    days = days.select("format", "date", before("_n", along).alias("_first"), before("_sum", along).alias("_before"))
+    rows = totals.withColumns({"earlier": F.count("*").over(at), "_own": F.avg("total").over(at)}).join(days, ["format", "date"])
+    rows = rows.withColumns({"_place": F.col("_first") + F.row_number().over(day) - 1, "_sum": F.col("_before") + before("total", day)})
+    start = rows.select("format", (F.col("_place") + recent).alias("_place"), F.col("_sum").alias("_start"))
+    last = (F.col("_sum") - F.coalesce("_start", F.lit(0))) / F.nullif(F.least(F.col("_place"), F.lit(recent)), F.lit(0))
+    par = F.when(F.col("earlier") >= least, F.col("_own")).otherwise(last)
+    return rows.join(start, ["format", "_place"], "left").withColumn("par", par).select(*totals.columns, "earlier", "par")
 
 
 def ball_states(balls: DataFrame) -> DataFrame:
