@@ -11,6 +11,7 @@ included, has fingerprint zero.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from .common import map_arrow, materialize, texts
 
 PAIR_WEIGHT = 4
 RADIUS = 3
-#: The fingerprint's 128 bits as four front blocks of 32: two fingerprints within 3 bits agree in
-#: one block at least, so four tables, each led by another block, find every pair.
-BLOCKS = 4
+#: The fingerprint's 32 hex digits as five blocks (first digit, digits): two fingerprints within 3 bits
+#: agree in two blocks at least, so ten tables, each led by another two, find every pair.
+BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 _CHUNK = 1 << 15
 
 
@@ -135,23 +136,25 @@ def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each distinct fingerprint (32 hex digits) the number of rows within the radius, itself
     left out: columns fingerprint, n_near.
 
-    Equal fingerprints are counted before any pair is formed. Each of the four tables leads with
-    another block of 32 bits and holds every distinct fingerprint once; a pair is kept by the first
-    table in which its blocks agree. A null fingerprint gives no row.
+    Equal fingerprints are counted before any pair is formed. Each of the ten tables leads with
+    other two blocks and holds every distinct fingerprint once; a pair is kept by the first table in
+    which its blocks agree. A null fingerprint gives no row.
     """
-    if radius >= BLOCKS:
-        raise ValueError(f"{BLOCKS} tables find pairs within {BLOCKS - 1} bits at most")
-    block = lambda k: F.conv(F.substring("fingerprint", 8 * k + 1, 8), 16, 10).cast("long")
+    if radius > len(BLOCKS) - 2:
+        raise ValueError(f"tables led by two of {len(BLOCKS)} blocks find pairs within {len(BLOCKS) - 2} bits at most")
+    part = lambda at, n: F.conv(F.substring("fingerprint", at + 1, n), 16, 10).cast("long")
+    leads = list(combinations(range(len(BLOCKS)), 2))
     distinct = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
-    tables = distinct.select("fingerprint", "n", F.array(*map(block, range(BLOCKS))).alias("b"))
-    tables = tables.select("fingerprint", "n", "b", F.posexplode("b").alias("table", "front"))
+    tables = distinct.select("fingerprint", "n", F.array(*(part(*b) for b in BLOCKS)).alias("b"))
+    tables = tables.select("fingerprint", "n", "b", F.posexplode(F.array(*(F.shiftleft(F.col("b")[i], 28).bitwiseOR(F.col("b")[j]) for i, j in leads))).alias("table", "front"))
     a = tables.select("table", "front", *(F.col(c).alias(f"a_{c}") for c in ("fingerprint", "n", "b")))
     b = tables.select(F.col("table").alias("table2"), F.col("front").alias("front2"), *(F.col(c).alias(f"b_{c}") for c in ("fingerprint", "n", "b")))
-    differing = sum((F.bit_count(F.col("a_b")[k].bitwiseXOR(F.col("b_b")[k])) for k in range(BLOCKS)), F.lit(0))
-    first = F.lit(True)
-    for k in range(BLOCKS - 1):
-        first = first & ((F.col("table") <= k) | (F.col("a_b")[k] != F.col("b_b")[k]))
-    links = a.join(b, (F.col("table") == F.col("table2")) & (F.col("front") == F.col("front2")) & (F.col("a_fingerprint") != F.col("b_fingerprint")) & first & (differing <= radius))
+    same = [F.col("a_b")[k] == F.col("b_b")[k] for k in range(len(BLOCKS))]
+    differing = sum((F.bit_count(F.col("a_b")[k].bitwiseXOR(F.col("b_b")[k])) for k in range(len(BLOCKS))), F.lit(0))
+    first = F.lit(len(leads))
+    for t, (i, j) in reversed(list(enumerate(leads))):
+        first = F.when(same[i] & same[j], t).otherwise(first)
+    links = a.join(b, (F.col("table") == F.col("table2")) & (F.col("front") == F.col("front2")) & (F.col("a_fingerprint") != F.col("b_fingerprint")) & (differing <= radius) & (F.col("table") == first))
     linked = links.groupBy(F.col("a_fingerprint").alias("fingerprint")).agg(F.sum("b_n").alias("others"))
     return distinct.join(linked, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
 
