@@ -6,7 +6,9 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,19 @@ def map_arrow(df: DataFrame, f, schema: str, rows: int | None = SLICE) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, name: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `size` bytes in the column `name` (strings, or lists of four-byte
+    numbers), or of one row."""
+    column = batch.column(name)
+    lengths = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_nested(column.type) else pc.binary_length(column)
+    ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

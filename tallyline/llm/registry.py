@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import ann, fingerprints, licenses, lm, mixing, packing, simhash, substrings, toxicity, urls
+from . import ann, bpe, fingerprints, licenses, lm, mixing, packing, simhash, substrings, toxicity, urls
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return found | {"pipeline": run_pipeline}
