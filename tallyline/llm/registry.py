@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as run_pipeline
 
-from . import ann, bpe, fingerprints, licenses, lm, mixing, packing, ranked, simhash, substrings, toxicity, urls
+from . import ann, bpe, fingerprints, licenses, lm, mixing, packing, ranked, simhash, substrings, toxicity, trie, urls
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,31 @@ SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 """
 
 
+#: The sums over subtrees as sums over members: each node counts at its smallest member's conversation.
+#: DuckDB has no crc32: its table of 256 entries is worked out bit by bit, and read byte by byte.
+_OP11_SQL = r"""
+WITH bits AS (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS v FROM range(256) t(i)),
+tab AS (SELECT list(v ORDER BY i) AS v FROM bits),
+convs AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 5 AS giver FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, giver, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda a, b: xor(a >> 8, v[xor(a & 255, b) + 1])), 4294967295::BIGINT) % 9 AS h FROM convs, tab),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT h.conv_id, h.giver, h.h, h.own, least(h.h, coalesce(g.own, 0)) AS taken FROM h LEFT JOIN h g ON h.giver = g.conv_id),
+b AS (SELECT k.conv_id, place AS d, role, text FROM k JOIN r ON r.conv_id = k.giver AND place <= taken
+      UNION ALL SELECT k.conv_id, place - h + taken, role, text FROM k JOIN r ON r.conv_id = k.conv_id AND place > h),
+p AS (SELECT conv_id, d, strlen(text) AS bytes, string_agg(md5(md5(role) || md5(text)), '' ORDER BY d) OVER w AS seq FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY d)
+      UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+l AS (SELECT conv_id, max(d) AS len FROM p GROUP BY conv_id),
+n AS (SELECT d, seq, min(p.conv_id) AS node, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (d = len), '') AS ids, count(*) FILTER (d = len) = count(*) AS leaf
+      FROM p JOIN l USING (conv_id) GROUP BY d, seq),
+m AS (SELECT p.conv_id, p.d, p.seq, n.node, sum(CASE WHEN n.node = p.conv_id THEN (n_convs - 1) * n.bytes ELSE 0 END) OVER f AS saved, max(CASE WHEN leaf AND n.node = p.conv_id THEN 1 ELSE 0 END) OVER f AS leaves
+      FROM p JOIN n ON p.d = n.d AND p.seq = n.seq WINDOW f AS (PARTITION BY p.conv_id ORDER BY p.d DESC)),
+s AS (SELECT d, seq, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM m GROUP BY d, seq),
+c AS (SELECT d - 1 AS d, seq[:-33] AS seq, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL)
+SELECT n.node AS conv_id, n.d AS depth, u.node AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, sha256(n.ids) AS ends_sha256
+FROM n JOIN s ON n.d = s.d AND n.seq = s.seq LEFT JOIN c ON n.d = c.d AND n.seq = c.seq LEFT JOIN n u ON n.d > 0 AND u.d = n.d - 1 AND u.seq = n.seq[:-33]
+"""
 _OP13_SQL = r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
@@ -88,5 +117,5 @@ QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict:
-    found = {"op3_substrings": _OP3_SQL, "op13_ranked_search": _OP13_SQL}
+    found = {"op3_substrings": _OP3_SQL, "op11_prefix_trie": _OP11_SQL, "op13_ranked_search": _OP13_SQL}
     return found | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
