@@ -11,10 +11,16 @@ one of its first m - o + 1 words with the block (prefix filter), the block needs
 leaves at most 1 + min(what follows i, what follows j) in common with it and after it (positional
 filter). What is left is counted in full, so exactly the pairs at or over the threshold are found.
 The templates are a bounded parameter and go to the tasks whole; the corpus is not shuffled.
+
+A set of words tells nothing of their order, and licenses differ in a word. A contained template gives
+its label only if as many of its words as the threshold asks for stand in the block in its order, within
+twice its length, and if the name that NAMES has for its label stands there, should the template itself
+hold it: the plain General Public License is no Lesser one, and prose with the same words is none.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -56,6 +62,11 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 )
+#: Words that tell a label's templates from those of others, where the templates hold them.
+NAMES = {
+    "mit": ("mit",), "apache": ("apache",), "bsd": ("bsd",), "mpl": ("mozilla public",), "gpl": ("gnu general public",), "lgpl": ("lesser general public",), "agpl": ("affero general public",),
+    "cc-by": ("cc by", "commons attribution"), "cc-by-nc": ("by nc", "attribution noncommercial"), "cc-by-sa": ("by sa", "attribution sharealike"),
+}
 _SPLIT = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -79,11 +90,20 @@ def across(every: list[bytes], width: int) -> list[list[bytes]]:
     return [every[k : k + width] for k in range(0, max(len(every) - width // 2, 1), width // 2)]
 
 
+def spaced(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
 class Index:
     """Templates with their words in global order, and where each prefix word occurs."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], contained: float = CONTAINED):
-        sets = [(label, frozenset(words(t.encode()))) for label, t in templates]
+    def __init__(self, templates, frequency: dict[bytes, int], contained: float = CONTAINED, names=NAMES):
+        plain = [(label, words(t.encode())) for label, t in templates]
+        sets = [(label, frozenset(t)) for label, t in plain]
+        #: Per template, the place of each of its words among them, and the names of its label that it holds.
+        self.places = [{w: i for i, w in enumerate(dict.fromkeys(t))} for _, t in plain if t]
+        spoken = [(spaced(t), [spaced([n.encode()]) for n in names.get(label, ())]) for label, t in plain if t]
+        self.names = [[n for n in own if n in text] for text, own in spoken]
         self.order = {w: k for k, w in enumerate(sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = [(label, sorted(s, key=self.order.get)) for label, s in sets if s]
         self.sets = [frozenset(t) for _, t in self.templates]
@@ -111,10 +131,27 @@ class Index:
                     found[k] = common / size
         return found
 
+    def stands(self, block: list[bytes], k: int) -> bool:
+        """Whether template k's name is in the block, and enough of its words in its order and close by."""
+        if self.names[k] and not any(n in spaced(block) for n in self.names[k]):
+            return False
+        places, need = self.places[k], self.need[k]
+        at = [(i, places[w]) for i, w in enumerate(block) if w in places]
+        for first in range(len(at) - need + 1):
+            rising: list[int] = []
+            for i, place in at[first:]:
+                if i >= at[first][0] + 2 * len(places):
+                    break
+                j = bisect_left(rising, place)
+                rising[j : j + 1] = [place]
+            if len(rising) >= need:
+                return True
+        return False
+
     def named(self, block: list[bytes], found) -> set[str]:
-        """The labels of the contained templates, but for those whose words in the block are all
-        another one's too: a notice of CC BY-NC does not also count as one of CC BY."""
-        have = frozenset(block)
+        """The labels of the contained templates that stand in the block, but for those whose words there
+        are all another one's too: a notice of CC BY-NC does not also count as one of CC BY."""
+        have, found = frozenset(block), [k for k in found if self.stands(block, k)]
         shared = {k: self.sets[k] & have for k in found}
         return {self.templates[k][0] for k in found if not any(shared[k] < shared[o] for o in found)}
 
@@ -160,8 +197,9 @@ def frequencies(docs: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """One row for each document. n_base, first_word, last_word and base_labels tell of the places
-    where a phrase of PHRASES stands; labels adds those of the contained templates; score is 1 with
-    a base place, else the largest containment found, else 0. Null and empty texts have no words;
+    where a phrase of PHRASES stands; labels adds those of the contained templates that stand in a
+    block in their order (of templates alike all count); score is 1 with a base place, else the largest
+    containment found, in whatever order, else 0. Null and empty texts have no words;
     repeated rows each get theirs; other columns are ignored; an empty table gives no rows."""
     vocabulary = frozenset(w for _, t in templates for w in words(t.encode()))
     if len(vocabulary) > MOST_WORDS:
