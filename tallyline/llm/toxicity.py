@@ -29,9 +29,9 @@ TRAIN_ROWS = 16_000
 #: A bucket is learned if it occurs in so many sampled documents.
 MIN_DOCUMENTS = 5
 DEVIATIONS = 4
-#: Pairs beyond chance: the bound's exponent, the hashed counters, and how many of the sampled
-#: documents (a documented bound) pairs of terms that tell nothing alone are looked for in.
-CHANCE, COUNTERS, PAIR_ROWS, PAIR_PARTS = 25.0, 1 << 20, 4_000, 16
+#: Pairs beyond chance: the bound's exponent, the tasks that share the pairs, and about as many as a
+#: task holds at a time.
+CHANCE, PAIR_PARTS, PAIRS_HELD = 25.0, 32, 1 << 20
 #: The exponent for terms that change what another one tells: copies with a few words changed tempt it.
 PARTNER = 60.0
 STEPS, BATCH, RATE, SHRINK, L1 = 1200, 128, 0.03, 1e-4, 1e-3
@@ -155,36 +155,35 @@ def telling_partners(sets: list[np.ndarray], labels: np.ndarray, alone: np.ndarr
 
 def telling_pairs(sets: list[np.ndarray], labels: np.ndarray, alone: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
     """The buckets of pairs that tell of the label together, though neither does alone: all pairs whose
-    first bucket falls to this part. Pairs are counted by hash first; only those that fall to counters
-    whose share is off are then counted one by one."""
+    first bucket falls to this part. A bucket's partners are counted at a time, over all documents that
+    hold it, a bounded number of pairs in each step."""
     bucket, n = np.unique(np.concatenate(sets), return_counts=True)
     plain = np.setdiff1d(bucket[n >= MIN_DOCUMENTS], alone)
-    numbers = [np.searchsorted(plain, s[np.isin(s, plain, assume_unique=True)]).astype(np.int64) for s in sets]
-
-    def pairs():
-        held, ones, size = [], [], 0
-        for s, label in zip(numbers, labels):
-            own = s[s % parts == part][:, None]
-            held.append((own << 20 | s)[own < s])
-            ones.append(np.full(len(held[-1]), label, bool))
-            size += len(held[-1])
-            if size > 1 << 18:
-                yield np.concatenate(held), np.concatenate(ones)
-                held, ones, size = [], [], 0
-        yield np.concatenate([*held, np.zeros(0, np.int64)]), np.concatenate([*ones, np.zeros(0, bool)])
-
-    counter = lambda code: (code * np.int64(0x9E3779B97F4A7C1 | 1)) >> 40 & COUNTERS - 1
-    n, k = np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)
-    for code, one in pairs():
-        at = counter(code)
-        n += np.bincount(at, minlength=COUNTERS)
-        k += np.bincount(at[one], minlength=COUNTERS)
-    rate = labels.mean()
-    off = np.abs(k - n * rate) > 3 * np.sqrt(n * rate * (1 - rate))
-    some = [(code[keep], one[keep]) for code, one in pairs() for keep in [off[counter(code)]]]
-    code, where, n = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True, return_counts=True)
-    code = code[unlikely(np.bincount(where, np.concatenate([o for _, o in some]), len(code)), n, rate, CHANCE)]
-    return np.unique(np.append(plain[code >> 20], plain[code & (1 << 20) - 1])).astype(np.int32)
+    numbers = [np.searchsorted(plain, s[np.isin(s, plain, assume_unique=True)]) for s in sets]
+    lengths = np.array([len(s) for s in numbers])
+    flat, last = np.concatenate(numbers), np.repeat(np.cumsum(lengths), lengths)
+    one, rate = np.repeat(labels, lengths), float(labels.mean())
+    by_bucket = np.argsort(flat, kind="stable")
+    ends = np.searchsorted(flat[by_bucket], np.arange(len(plain) + 1))
+    # In fewer documents no share is beyond chance.
+    least = CHANCE / -np.log(np.clip(min(rate, 1 - rate), 1e-6, 1))
+    found = np.zeros(len(plain), bool)
+    for b in range(part, len(plain), parts):
+        places = by_bucket[ends[b] : ends[b + 1]]
+        after = last[places] - places - 1
+        if len(places) <= least or not after.any():
+            continue
+        n, ones = np.zeros(len(plain), np.int64), np.zeros(len(plain))
+        steps = np.flatnonzero(np.diff(np.cumsum(after) // PAIRS_HELD)) + 1
+        for rows in np.split(places, steps):  # each row's terms are ascending: partners come after
+            partners = np.concatenate([flat[i + 1 : to] for i, to in zip(rows, last[rows])])
+            n += np.bincount(partners, minlength=len(plain))
+            ones += np.bincount(partners, np.repeat(one[rows], last[rows] - rows - 1), len(plain))
+        some = np.flatnonzero(n > least)
+        telling = some[unlikely(ones[some], n[some], rate, CHANCE)]
+        found[telling] = True
+        found[b] |= len(telling) > 0
+    return plain[found].astype(np.int32)
 
 
 def learn(sets: list[np.ndarray], labels: np.ndarray, together=None) -> Machine:
@@ -198,8 +197,7 @@ def learn(sets: list[np.ndarray], labels: np.ndarray, together=None) -> Machine:
     one = distinct(sets)
     witnesses, seen = [sets[k] for k in one], labels[one]
     alone = telling(witnesses, seen)
-    first = slice(0, PAIR_ROWS)
-    pairs = (together or telling_pairs)(witnesses[first], seen[first], alone)
+    pairs = (together or telling_pairs)(witnesses, seen, alone)
     return Machine(np.unique(np.concatenate([alone, telling_partners(witnesses, seen, alone), pairs])).astype(np.int32)).fit(sets, labels)
 
 
@@ -229,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     spark = docs.sparkSession
 
     def together(sets, labels, alone):
-        shared = spark.sparkContext.broadcast((sets, labels, alone))  # PAIR_ROWS documents' terms
+        shared = spark.sparkContext.broadcast((sets, labels, alone))  # the terms of train_rows documents at most
 
         def count(batches):
             for batch in batches:
