@@ -7,6 +7,7 @@ counts, n_* observed ones, k_* the sample sizes at which a rate is half skill.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -30,9 +31,40 @@ class Metric:
     def column(self) -> Column:
         return self.build().alias(self.id)
 
+    def framed(self, window) -> Column:
+        """The metric over a window's frame: each aggregate in it is taken over the frame."""
+        token = _FRAME.set(window)
+        try:
+            return self.build()
+        finally:
+            _FRAME.reset(token)
+
+
+#: The window that a metric is being built for; none for a group's metric.
+_FRAME: ContextVar = ContextVar("frame", default=None)
+
+
+def over(aggregate: Column) -> Column:
+    frame = _FRAME.get()
+    return aggregate if frame is None else aggregate.over(frame)
+
+
+def distinct(name: str) -> Column:
+    """How many values a column has; frames know no DISTINCT, so there the set is counted."""
+    return F.countDistinct(name).cast("double") if _FRAME.get() is None else F.size(over(F.collect_set(name))).cast("double")
+
+
+def median(column: Column) -> Column:
+    """The median; in frames, which allow none, the mean of the two middle values of the frame's list."""
+    if _FRAME.get() is None:
+        return F.percentile(column, F.lit(0.5))
+    values = F.sort_array(over(F.collect_list(column)))
+    at = lambda k: F.get(values, F.floor((F.size(values) + k) / 2).cast("int"))
+    return F.when(F.size(values) > 0, (at(-1) + at(0)) / 2)
+
 
 def s(name: str) -> Column:
-    return F.sum(F.col(name).cast("double"))
+    return over(F.sum(F.col(name).cast("double")))
 
 
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -40,11 +72,11 @@ def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 
 def n_if(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1.0).otherwise(0.0))
+    return over(F.sum(F.when(condition, 1.0).otherwise(0.0)))
 
 
 def rows() -> Column:
-    return F.count("*").cast("double")
+    return over(F.count("*")).cast("double")
 
 
 def shrunk(x: str | tuple, e: str | tuple, n: str, k: str) -> Column:
@@ -52,7 +84,7 @@ def shrunk(x: str | tuple, e: str | tuple, n: str, k: str) -> Column:
     drawn towards the expected one."""
     names = lambda v: (v,) if isinstance(v, str) else v
     total = lambda v: sum((s(c) for c in names(v)[1:]), s(names(v)[0]))
-    big = ratio(F.sum(F.col(n).cast("double") * F.col(k)), s(n))
+    big = ratio(over(F.sum(F.col(n).cast("double") * F.col(k))), s(n))
     return (total(x) + big * ratio(total(e), s(n))) / F.nullif(s(n) + big, F.lit(0.0))
 
 
@@ -62,7 +94,7 @@ def skill(x: str, e: str, n: str, k: str) -> Column:
 
 def latest_text(key: Column, text: Column) -> Column:
     """The text at the largest key, larger texts first among equals."""
-    return F.max(F.struct(key.alias("key"), text.alias("text"))).getField("text")
+    return over(F.max(F.struct(key.alias("key"), text.alias("text")))).getField("text")
 
 
 def _batting() -> list[Metric]:
@@ -75,7 +107,7 @@ def _batting() -> list[Metric]:
     R, P = {"rate": True}, {"phase": True}
     RP = R | P
     family = "traditional"
-    m("matches", "Matches", lambda: F.countDistinct("match_id").cast("double"), **P)
+    m("matches", "Matches", lambda: distinct("match_id"), **P)
     m("innings", "Innings", rows, **P)
     m("not_outs", "Not outs", lambda: rows() - s("out"), **P)
     m("dismissals", "Dismissals", lambda: s("out"), **P)
@@ -101,8 +133,8 @@ def _batting() -> list[Metric]:
     family = "reliability"
     m("conversion_pct", "Fifties turned into hundreds %", lambda: ratio(n_if(F.col("runs") >= 100), n_if(F.col("runs") >= 50), 100))
     m("thirty_plus_pct", "Innings of 30 or more %", lambda: ratio(n_if(F.col("runs") >= 30), rows(), 100), **R)
-    m("median_score", "Median score", lambda: F.percentile(F.col("runs").cast("double"), F.lit(0.5)))
-    m("consistency_cv", "Variation of scores", lambda: F.stddev_samp(F.col("runs").cast("double")) / F.nullif(F.avg("runs"), F.lit(0.0)), up=False, **R)
+    m("median_score", "Median score", lambda: median(F.col("runs").cast("double")))
+    m("consistency_cv", "Variation of scores", lambda: over(F.stddev_samp(F.col("runs").cast("double"))) / F.nullif(over(F.avg("runs")), F.lit(0.0)), up=False, **R)
     family = "context"
     e_sr = lambda: ratio(s("e_runs"), s("balls"), 100)
     e_avg = lambda: ratio(s("e_runs"), s("e_outs"))
@@ -130,9 +162,9 @@ def _batting() -> list[Metric]:
     m("regressed_dot_pct", "Regressed dot %", lambda: 100 * shrunk("n_dot", "x_dot", "balls", "k_dot"), up=False, **R)
     m("regressed_boundary_pct", "Regressed boundary %", lambda: 100 * shrunk(("n_four", "n_six"), ("x_four", "x_six"), "balls", "k_boundary"), **R)
     family = "role"
-    m("avg_position", "Mean position", lambda: F.avg("position"), up=False)
-    m("avg_entry_over", "Mean over of arrival", lambda: F.avg("entry_over") + 1, up=False)
-    m("avg_entry_wickets", "Mean wickets at arrival", lambda: F.avg("entry_wkts"), up=False)
+    m("avg_position", "Mean position", lambda: over(F.avg("position")), up=False)
+    m("avg_entry_over", "Mean over of arrival", lambda: over(F.avg("entry_over")) + 1, up=False)
+    m("avg_entry_wickets", "Mean wickets at arrival", lambda: over(F.avg("entry_wkts")), up=False)
     m("team_win_pct", "Team wins %", lambda: ratio(n_if(F.col("result") == "won"), n_if(F.col("result").isin("won", "lost")), 100))
     return out
 
@@ -147,7 +179,7 @@ def _bowling() -> list[Metric]:
     R, P = {"rate": True}, {"phase": True}
     RP = R | P
     family = "traditional"
-    m("matches", "Matches", lambda: F.countDistinct("match_id").cast("double"), **P)
+    m("matches", "Matches", lambda: distinct("match_id"), **P)
     m("innings", "Innings", rows, **P)
     m("balls", "Balls", lambda: s("balls"), **P)
     m("runs", "Runs", lambda: s("runs"), up=False, **P)

@@ -129,16 +129,6 @@ def player_profile(tables: dict[str, DataFrame], player: str, scope: Scope | Non
 CHRONOLOGICAL = ("date", "match_id", "innings")
 
 
-def _over(metric: Metric, window) -> Column:
-    """A ratio-of-sums metric over a window instead of a group."""
-    name = {"average": ("runs", "out", 1), "strike_rate": ("runs", "balls", 100), "economy": ("runs", "balls", 6), "runs": ("runs", None, 1), "wickets": ("wickets", None, 1)}.get(metric.id)
-    if not name:
-        raise ScopeError(f"{metric.id} has no rolling form")
-    top, below, scale = name
-    total = F.sum(F.col(top)).over(window).cast("double") * scale
-    return total if below is None else total / F.nullif(F.sum(F.col(below)).over(window).cast("double"), F.lit(0.0))
-
-
 def player_form(innings: DataFrame, role: str, metric: str, window: int = 10) -> DataFrame:
     """Each player's innings in order with n, the metric over the last `window` (2 to 100) innings and
     over all so far, and whether the rolling value is the player's peak or trough among full windows."""
@@ -146,16 +136,25 @@ def player_form(innings: DataFrame, role: str, metric: str, window: int = 10) ->
     m = get(role, metric)
     order = Window.partitionBy("player").orderBy(*CHRONOLOGICAL)
     out = innings.withColumn("n", F.row_number().over(order))
-    out = out.withColumn("rolling", _over(m, order.rowsBetween(-(window - 1), 0))).withColumn("to_date", _over(m, order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("rolling", m.framed(order.rowsBetween(-(window - 1), 0))).withColumn("to_date", m.framed(order.rowsBetween(Window.unboundedPreceding, 0)))
     full, own = F.when(F.col("n") >= window, F.col("rolling")), Window.partitionBy("player")
     return out.withColumns({"is_peak": F.coalesce(full == F.max(full).over(own), F.lit(False)), "is_trough": F.coalesce(full == F.min(full).over(own), F.lit(False))})
 
 
+def rolling_metrics(innings: DataFrame, role: str, metrics: Sequence[str], window: int = 10) -> DataFrame:
+    """Each player's innings in order with n and every named metric over the last `window` innings: one
+    exchange and one sort for all of them. What places an innings gives way to a metric of its name
+    (innings_no)."""
+    order = Window.partitionBy("player").orderBy(*CHRONOLOGICAL)
+    last = order.rowsBetween(-(max(2, min(window, 100)) - 1), 0)
+    return innings.select("player", *(F.col(c).alias(f"{c}_no" if c in metrics else c) for c in CHRONOLOGICAL), F.row_number().over(order).alias("n"), *(get(role, m).framed(last).alias(m) for m in metrics))
+
+
 def career_arc(innings: DataFrame, role: str, metric: str, players: Sequence[str]) -> DataFrame:
     """Career-to-date values, a column for each player, aligned on the innings number."""
     named = innings.filter(F.col("player").isin(*players))
     order = Window.partitionBy("player").orderBy(*CHRONOLOGICAL)
-    rows = named.select("player", F.row_number().over(order).alias("n"), _over(get(role, metric), order.rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
+    rows = named.select("player", F.row_number().over(order).alias("n"), get(role, metric).framed(order.rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
     return rows.groupBy("n").pivot("player", list(players)).agg(F.min("v")).orderBy("n")
 
 
@@ -216,13 +215,19 @@ FACETS = {"competition": ("event", 150), "team": ("team", 250), "venue": ("venue
 
 
 def facets(innings: DataFrame, scope: Scope) -> DataFrame:
-    """facet, value, n: the values of each facet under all filters but its own, commonest first."""
-    out = None
-    for name, (column, most) in FACETS.items():
-        rows = scope.apply(innings, skip=name).filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.countDistinct("match_id").alias("n"))
-        rows = rows.orderBy(F.desc("n"), "value").limit(most).select(F.lit(name).alias("facet"), F.col("value").cast("string").alias("value"), "n")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """facet, value, n: the values of each facet under all filters but its own, commonest first.
+
+    One scan feeds all facets: a row that every filter takes counts in each of them, one that a single
+    filter leaves out in that filter's own facet."""
+    failed = {name: ~F.coalesce(c, F.lit(False)) for name, c in zip(scope.filters, scope.columns())}
+    failures = sum((c.cast("int") for c in failed.values()), F.lit(0))
+    one = lambda name, column: F.when((F.col("_failures") == 0) | failed.get(name, F.lit(False)), F.struct(F.lit(name).alias("facet"), F.col(column).cast("string").alias("value")))
+    fed = F.filter(F.array(*(one(name, column) for name, (column, _) in FACETS.items())), lambda x: x["value"].isNotNull())
+    rows = innings.withColumn("_failures", failures).filter("_failures <= 1").select("match_id", F.explode(fed).alias("f")).select("match_id", "f.*")
+    counted = rows.groupBy("facet", "value").agg(F.countDistinct("match_id").alias("n"))
+    most = F.create_map(*(F.lit(x) for name, (_, most) in FACETS.items() for x in (name, most)))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("place", place).filter((F.col("place") <= max(m for _, m in FACETS.values())) & (F.col("place") <= most[F.col("facet")])).drop("place")
 
 
 def by_phase(tables: dict[str, DataFrame], role: str, players: Sequence[str], metrics: Sequence[str] | None = None) -> DataFrame:

@@ -115,8 +115,8 @@ def career_snapshot(batting: DataFrame, bowling: DataFrame) -> DataFrame:
 
 def elo_shift(lead: float, points: float, k: float) -> float:
     """What the first side wins, and the other loses, by so many points (1, 0.5, 0) at a rating lead."""
-    forecast = 0.5 + 0.5 * np.tanh(lead * np.log(10) / (2 * ELO_SCALE))
-    return k * (points - float(forecast))
+    expected = 1 / (1 + 10 ** (-lead / ELO_SCALE))  # a fixed formula: the usual one of ratings
+    return k * (points - expected)
 
 
 def elo(matches: DataFrame, k: float = ELO_K) -> DataFrame:
