@@ -81,12 +81,13 @@ class Codec:
                 raise ValueError("a token with two merges has no chain of its own")
             self.rank[vocab[a] << 20 | vocab[b]], self.parts[whole], self.born[whole] = rank, (vocab[a], vocab[b]), rank
         #: Per token, the pieces at its right (left) end with the rank of the merge that ends each.
-        self.right = {k: self._chain(k, 1) for k in vocab.values()}
-        self.left = {k: self._chain(k, 0) for k in vocab.values()}
+        self.right, self.left = _Chains(self, 1), _Chains(self, 0)
         self.matches = ahocorasick.Automaton()
         for k in self._reachable(vocab.values()):
             self.matches.add_word(self.token[k].decode("latin-1"), k)
         self.matches.make_automaton()
+        self.right.clear()
+        self.left.clear()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str
@@ -95,15 +96,6 @@ class Codec:
         self.known: set[str] = set()
         self.odd: dict[int, str] = {}
 
-    def _chain(self, token: int, side: int) -> list[tuple[int, float]]:
-        pieces, ends = [token], math.inf
-        out = [(token, ends)]
-        while pieces[-1] in self.parts:
-            ends = self.born[pieces[-1]]
-            pieces.append(self.parts[pieces[-1]][side])
-            out.append((pieces[-1], ends))
-        return out[::-1]
-
     def _reachable(self, tokens) -> list[int]:
         """The tokens whose own bytes are encoded as just them."""
         good = {}
@@ -183,6 +175,21 @@ class Codec:
         return b"".join(map(self.token.__getitem__, known)).decode("utf-8", "replace")
 
 
+class _Chains(dict):
+    """The chains of one side of the tokens that have been asked for."""
+
+    def __init__(self, codec: Codec, side: int):
+        super().__init__()
+        self.codec, self.side = codec, side
+
+    def __missing__(self, token: int) -> tuple:
+        chain, parts = [(token, math.inf)], self.codec.parts
+        while (piece := chain[-1][0]) in parts:
+            chain.append((parts[piece][self.side], self.codec.born[piece]))
+        self[token] = tuple(reversed(chain))
+        return self[token]
+
+
 class _Words(dict):
     """Words and the places of their ids, which stand one after the other in `flat`."""
 
@@ -215,7 +222,7 @@ def codec(vocabulary: str) -> Codec:
 
 
 #: Bytes of text, or of ids, that a task holds as Python objects at a time, but for a longer single row.
-HELD = 8 << 20
+HELD = 4 << 20
 
 
 def _beside(df: DataFrame, name: str, kind: str, source: str, f) -> DataFrame:
