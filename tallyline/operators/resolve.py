@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.text import initials_fit, norm, tokens
 
-#: Scores by kind of agreement.
-EXACT, GIVEN, INITIALS, LAST, PART, TYPO = 100, 85, 75, 60, 50, 50
-CLOSE = 0.8
+from .groups import close_names
+
+#: Scores by kind of agreement, and what a misspelt last name costs.
+EXACT, GIVEN, INITIALS, LAST, MISSPELT = 100, 85, 75, 60, 30
+#: How close a spelling must be, and how many last names a misspelt one may mean.
+CLOSE, SPELLINGS = 0.8, 4
 
 
 def catalog(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -30,7 +33,7 @@ def catalog(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 def rank_players(cat: DataFrame, requests: DataFrame) -> DataFrame:
     """requests (request) -> request, player, score, base, matches, place: agreement of the names (base), plus 20 log10(matches
     + 1), plus 8 for internationals. Exact names, then the same last name with fitting given names or
-    initials, then close spellings (edit distance) at 30 less."""
+    initials; if there are none, last names of close spelling (matching blocks) whose given names fit, at 30 less."""
     t = tokens("request")
     asked = requests.select("request", norm("request").alias("r_norm"), F.try_element_at(t, F.lit(-1)).alias("r_last"), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))).alias("r_given"))
     bonus = 20 * F.log10(F.coalesce("matches", F.lit(0)) + 1) + F.when(F.col("international"), 8).otherwise(0)
@@ -38,9 +41,13 @@ def rank_players(cat: DataFrame, requests: DataFrame) -> DataFrame:
     whole = F.forall(F.zip_with("r_given", "given", lambda a, b: a.eqNullSafe(b)), lambda x: x)
     base = F.when(F.col("norm_name") == F.col("r_norm"), EXACT).when(F.size("r_given") == 0, LAST).when(whole, GIVEN).when(initials_fit(F.col("r_given"), F.col("given")), INITIALS)
     named = block.withColumn("base", base.cast("double")).withColumn("score", F.col("base") + bonus).filter("score is not null")
-    near = cat.join(asked, (F.substring("last", 1, 1) == F.substring("r_last", 1, 1)) & (F.col("last") != F.col("r_last")))
-    closeness = 1 - F.levenshtein("norm_name", "r_norm") / F.greatest(F.length("norm_name"), F.length("r_norm"))
-    typo = near.filter(closeness >= CLOSE).withColumn("base", TYPO * closeness).withColumn("score", F.col("base") + bonus - 30)
+    unknown = asked.join(named.select("request").distinct(), "request", "left_anti")
+    spelt = close_names(unknown.select(F.col("r_last").alias("request")), cat.select(F.col("last").alias("name")), CLOSE)
+    nearest = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("ratio"), F.desc("name")))
+    spelt = spelt.withColumn("place", nearest).filter(F.col("place") <= SPELLINGS).select(F.col("request").alias("r_last"), F.col("name").alias("last"))
+    near = unknown.join(spelt, "r_last").join(cat, "last")
+    fits = F.when(F.size("r_given") == 0, LAST).when(whole, GIVEN).when(initials_fit(F.col("r_given"), F.col("given")), INITIALS)
+    typo = near.withColumn("base", (fits - MISSPELT).cast("double")).withColumn("score", F.col("base") + bonus).filter("score is not null").select(*named.columns)
     rows = named.unionByName(typo).groupBy("request", "player").agg(F.max(F.struct("score", "base", "matches")).alias("m"))
     return rows.select("request", "player", "m.*").withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "player")))
 

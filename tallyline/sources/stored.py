@@ -16,6 +16,38 @@ _CLEARED: set[str] = set()
 _BUILDING = threading.RLock()
 
 
+def fs_path(spark: SparkSession, where: str):
+    """The file system of a path, and the path as it takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir; it goes when the driver's Python ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = f"{(shared or LOCAL).rstrip('/')}/tallyline-derived/{spark.sparkContext.applicationId}"
+    if root not in _CLEARED:
+        _CLEARED.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session leaves it
+        fs, p = fs_path(spark, root)
+        fs.delete(p, True)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what follows does not repeat what came before, and a
+    lost executor costs a reread."""
+    where = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 class Stored(Mapping):
     """Tables by name, built from one another on first use, as Parquet in the shared folder of
     spark.checkpoint.dir. key names the parameters and inputs the paths read: a folder that was
@@ -29,25 +61,13 @@ class Stored(Mapping):
     """
 
     def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = (), layout: Mapping[str, str] | None = None):
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = shared_root(spark)
         self.spark, self.builders, self.layout = spark, builders, layout or {}
-        root = f"{(shared or LOCAL).rstrip('/')}/tallyline-derived/{spark.sparkContext.applicationId}"
-        if root not in _CLEARED:
-            _CLEARED.add(root)
-            atexit.register(self._remove, root)
         version = [key, *(f"{x}@{self._fs(x)[0].getFileStatus(self._fs(x)[1]).getModificationTime()}" for x in inputs)]
         self.path = f"{root}/{hashlib.md5(chr(10).join(version).encode()).hexdigest()}"
 
     def _fs(self, where: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _remove(self, root: str) -> None:
-        if self.spark.sparkContext._jsc is not None:  # a stopped session leaves it
-            fs, p = self._fs(root)
-            fs.delete(p, True)
+        return fs_path(self.spark, where)
 
     def _written(self, name: str) -> str | None:
         fs, marks = self._fs(f"{self.path}/{name}-*/_SUCCESS")
