@@ -63,14 +63,15 @@ def upper_median(column: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
-def query_stats(tables: dict[str, DataFrame], role: str = "batting", metrics: Sequence[str] | None = None, players: Sequence[str] | None = None, split_by: str | None = None, sort_by: str | None = None, ascending: bool | None = None, min_balls: int | None = None, limit: int = 25, scope: Scope | None = None) -> DataFrame:
+def query_stats(tables: dict[str, DataFrame], role: str = "batting", metrics: Sequence[str] | None = None, players: Sequence[str] | None = None, split_by: str | None = None, sort_by: str | None = None, ascending: bool | None = None, min_balls: int | None = None, limit: int = 25, scope: Scope | None = None, named: bool = False) -> DataFrame:
     """Metrics by player, by player and split value, or, for one named player with a split, by value.
 
     A leaderboard (no players) is ordered by its metric, better first, nulls last, then by balls and
     player; one on a rate asks for the qualification. Columns: rank, player, team, k, metrics, balls,
-    first_date, last_date, as far as they apply.
+    first_date, last_date, as far as they apply. named: k bears the split's name (see named_split).
     """
     scope = scope or Scope({})
+    finish = lambda df: named_split(df, split_by) if named and split_by else df
     in_phase = bool(scope.phase) or split_by == "phase"
     if split_by in dimensions.BATTING_ONLY and role != "batting":
         raise ScopeError(f"split_by {split_by!r} is only there for batting")
@@ -98,12 +99,12 @@ def query_stats(tables: dict[str, DataFrame], role: str = "batting", metrics: Se
     shown = [m.id for m in chosen] + [m.id for m in extra]
     if players:
         order = [dimensions.order_key(split_by, F.col("k")), F.col("k")] if split_by else []
-        return out.select(*keys, "team", *shown, F.col("_balls").alias("sample"), "first_date", "last_date").orderBy(*(["player"] if by_player else []), *order)
+        return finish(out.select(*keys, "team", *shown, F.col("_balls").alias("sample"), "first_date", "last_date").orderBy(*(["player"] if by_player else []), *order))
     down = not (ascending if ascending is not None else not sort.higher_is_better)
     value = F.desc_nulls_last(sort.id) if down else F.asc_nulls_last(sort.id)
     order = [value, F.desc("_balls"), *(F.asc(k) for k in keys)]
     top = out.orderBy(*order).limit(max(1, min(limit, MOST_ROWS)))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", *keys, "team", *shown, F.col("_balls").alias("sample"), "first_date", "last_date")
+    return finish(top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", *keys, "team", *shown, F.col("_balls").alias("sample"), "first_date", "last_date"))
 
 
 def luck_leaderboard(tables: dict[str, DataFrame], role: str, unlucky: bool = False, limit: int = 25, scope: Scope | None = None) -> DataFrame:

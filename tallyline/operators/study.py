@@ -18,6 +18,8 @@ SPECS = {
 #: Least sample of a player's season: (bowling, batting) by format group. Fixed values.
 LEAST = {"T20": (120, 60), "ODI": (300, 150), "MULTI": (600, 300)}
 LEAST_HALF = 20
+#: Fewer qualified seasons, or pairs of seasons, give no estimate: a fixed value.
+FEWEST = 20
 
 
 def half(match: str = "match_id") -> Column:
@@ -33,10 +35,23 @@ def seasons(innings: DataFrame, role: str) -> DataFrame:
     return rows.groupBy("fgroup", "gender", "player", "yr", "half", "metric").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
 
 
-def halves(rows: DataFrame, least: float = LEAST_HALF) -> DataFrame:
-    """Players' seasons with both halves of at least `least` samples: na, nb, a, b (rates)."""
+def limits_of(role: str) -> dict[str, float]:
+    """The least sample of a season by format group."""
+    return {fgroup: pair[0 if role == "bowling" else 1] for fgroup, pair in LEAST.items()}
+
+
+def enough(sample: Column, limits: dict[str, float]) -> Column:
+    """Whether a sample qualifies in its format group; a group without a limit has no qualified seasons."""
+    return F.coalesce(sample >= F.create_map(*(F.lit(x) for f, n in limits.items() for x in (f, float(n))))[F.col("fgroup")], F.lit(False))
+
+
+def halves(rows: DataFrame, least: float = LEAST_HALF, limits: dict[str, float] | None = None) -> DataFrame:
+    """Players' seasons with both halves of at least `least` samples, and with limits (see limits_of) a
+    qualified sample: na, nb, a, b (rates)."""
     of = lambda k, c: F.sum(F.when(F.col("half") == k, F.col(c)))
     wide = rows.groupBy("fgroup", "gender", "player", "yr", "metric").agg(of(0, "n").alias("na"), of(1, "n").alias("nb"), of(0, "x").alias("xa"), of(1, "x").alias("xb"))
+    if limits is not None:
+        wide = wide.filter(enough(F.col("na") + F.col("nb"), limits))
     return wide.filter((F.col("na") >= least) & (F.col("nb") >= least)).withColumns({"a": F.col("xa") / F.col("na"), "b": F.col("xb") / F.col("nb")})
 
 
@@ -60,14 +75,15 @@ def slope() -> Column:
     return _cov() / F.nullif(_cov("x", "x"), F.lit(0.0))
 
 
-def stability(innings: DataFrame, role: str, least: float = LEAST_HALF, per_sample: DataFrame | None = None) -> DataFrame:
+def stability(innings: DataFrame, role: str, least: float = LEAST_HALF, per_sample: DataFrame | None = None, limits: dict[str, float] | None = None, fewest: int = 0) -> DataFrame:
     """(fgroup, gender, metric): n seasons, tau2 (variance of skill), sigma2 (per sample), k, r of a whole
     season (Spearman-Brown), typical sample and its reliability n / (n + K).
 
     sigma2 is p(1-p) for rates of 0 or 1; for others it comes from per_sample (fgroup, gender, metric,
-    sigma2). k is null where the halves do not vary together.
+    sigma2). k is null where the halves do not vary together. limits: see halves(); groups of fewer than
+    `fewest` seasons have no estimates.
     """
-    h = halves(seasons(innings, role), least).withColumn("w", F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
+    h = halves(seasons(innings, role), least, limits).withColumn("w", F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     sums = h.groupBy("fgroup", "gender", "metric").agg(*(c.alias(k) for k, c in weighted("w", "a", "b").items()), F.count("*").alias("seasons"), (F.sum(F.col("xa") + F.col("xb")) / F.sum(F.col("na") + F.col("nb"))).alias("p"), F.percentile(F.col("na") + F.col("nb"), F.lit(0.5)).alias("typical"))
     binary = [m for m, (_, _, b) in SPECS[role].items() if b]
     own = F.when(F.col("metric").isin(*binary), F.col("p") * (1 - F.col("p")))
@@ -75,11 +91,27 @@ def stability(innings: DataFrame, role: str, least: float = LEAST_HALF, per_samp
         sums = sums.join(F.broadcast(per_sample), ["fgroup", "gender", "metric"], "left").withColumn("sigma2", F.coalesce(own, "sigma2"))
     else:
         sums = sums.withColumn("sigma2", own)
-    r = correlation()
-    out = sums.withColumns({"tau2": _cov(), "r_half": r}).withColumn("k", F.when(F.col("tau2") > 0, F.col("sigma2") / F.col("tau2")))
+    some = lambda c: F.when(F.col("seasons") >= fewest, c)
+    out = sums.withColumns({"tau2": some(_cov()), "r_half": some(correlation())}).withColumn("k", F.when(F.col("tau2") > 0, F.col("sigma2") / F.col("tau2")))
     return out.select(F.lit(role).alias("role"), "fgroup", "gender", "metric", "seasons", "p", "sigma2", "tau2", "k", "r_half", (2 * F.col("r_half") / F.nullif(1 + F.col("r_half"), F.lit(0.0))).alias("r"), "typical", (F.col("typical") / (F.col("typical") + F.col("k"))).alias("reliability"))
 
 
+def report(innings: DataFrame, role: str, least: float = 1, per_sample: DataFrame | None = None, limits: dict[str, float] | None = None, fewest: int = FEWEST) -> DataFrame:
+    """stability() of the qualified seasons, with pairs and yoy (the correlation of a year's rate with the
+    next one's, both qualified) and verdict, what the figures say in words."""
+    limits = limits_of(role) if limits is None else limits
+    rows = seasons(innings, role)
+    pairs = next_year(yearly(rows, least).filter(enough(F.col("n"), limits)))
+    years = pairs.groupBy("fgroup", "gender", "metric").agg(F.count("*").alias("pairs"), *(c.alias(k) for k, c in weighted("w", "rate", "rate2").items()))
+    years = years.select("fgroup", "gender", "metric", "pairs", F.when(F.col("pairs") >= fewest, correlation()).alias("yoy"))
+    out = stability(innings, role, least, per_sample, limits, fewest).join(years, ["fgroup", "gender", "metric"], "left")
+    return out.withColumn("pairs", F.coalesce("pairs", F.lit(0))).withColumn("verdict", reliability_words(F.col("reliability")))
+
+
+def reliability_words(reliability: Column) -> Column:
+    return F.when(reliability >= 0.7, "mostly skill").when(reliability >= 0.5, "more skill than luck").when(reliability >= 0.3, "more luck than skill").when(reliability.isNotNull(), "mostly luck").otherwise("not to be told")
+
+
 def sample_variance(balls: DataFrame) -> DataFrame:
     """(fgroup, gender, metric, sigma2): variance of runs per faced ball, and of runs per shot in play."""
     from tallyline.functions.flags import in_play
