@@ -39,6 +39,59 @@ def leaks(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "n
     return words.join(names.select(F.lower(name).alias("_w"), F.col(name).alias("leaked")).distinct(), "_w").drop("_w")
 
 
+#: Signs that may stand about a word and are no part of it.
+_ABOUT = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+def leaked_names(texts: DataFrame, names: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
+    """texts with leaked, a name of one or more words that stands whole in the text: its words in a row, as
+    they are written, and no word that begins with a capital right after them ('Nepal', not 'Nepal
+    Premier League'). One row for each text row and name; null texts and names have none.
+
+    The names' lengths in words are a few; all groups of so many words of a text are joined with the
+    names by equality, so neither table need be small."""
+    known = names.select(F.trim(F.regexp_replace(name, r"\s+", " ")).alias("_name")).filter("_name != ''").distinct()
+    lengths = known.select(F.size(F.split("_name", " ")).alias("_k")).groupBy("_k").count().select("_k")
+    bare = lambda w: F.regexp_replace(w, _ABOUT, "")
+    rows = texts.withColumns({"_id": F.monotonically_increasing_id(), "_words": F.filter(F.split(text, r"\s+"), lambda w: w != "")}).filter(F.size("_words") > 0)
+    rows = rows.crossJoin(F.broadcast(lengths))  # a few lengths
+    places = F.sequence(F.lit(1), F.greatest(F.size("_words") - F.col("_k") + 1, F.lit(1)))
+    at = rows.filter(F.size("_words") >= F.col("_k")).withColumn("_at", F.explode(places))
+    last = F.element_at("_words", F.col("_at") + F.col("_k") - 1)
+    inner = F.transform(F.slice("_words", F.col("_at"), F.col("_k")), lambda w, i: F.when((i == 0) & (F.col("_k") == 1), bare(w)).when(i == 0, F.regexp_replace(w, r"^[^\p{L}\p{N}]+", "")).when(i == F.col("_k") - 1, F.regexp_replace(w, r"[^\p{L}\p{N}]+$", "")).otherwise(w))
+    goes_on = last.rlike(r"[\p{L}\p{N}]$") & F.coalesce(F.try_element_at("_words", F.col("_at") + F.col("_k")).rlike("^[A-Z]"), F.lit(False))
+    found = at.filter(~goes_on).withColumn("_name", F.array_join(inner, " ")).join(known, "_name")
+    return found.dropDuplicates(["_id", "_name"]).withColumn("leaked", F.col("_name")).select(*texts.columns, "leaked")
+
+
+def call_faults(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, kind, call_id; kind is 'call', 'result' or anything else) -> conv_id, calls, fault
+    (the first one) and ok: each result closes an open call of its id, no id is opened twice before it is
+    closed, none stays open, and a call's result is the turn right after it ('late' if not).
+
+    What is open of one id is told by that id's turns before, so the groups are those of single calls."""
+    rows = turns.withColumn("_next", F.lead("call_id").over(Window.partitionBy("conv_id").orderBy("turn")))
+    mine = rows.filter(F.col("kind").isin("call", "result"))
+    own = Window.partitionBy("conv_id", "call_id").orderBy("turn")
+    before, after = F.lag("kind").over(own), F.lead("kind").over(own)
+    fault = (
+        F.when((F.col("kind") == "result") & ~F.coalesce(before == "call", F.lit(False)), "result without call")
+        .when((F.col("kind") == "call") & (before == "call"), "call twice")
+        .when((F.col("kind") == "call") & after.isNull(), "call without result")
+        .when((F.col("kind") == "call") & ~F.coalesce(F.col("_next") == F.col("call_id"), F.lit(False)), "late")
+    )
+    found = mine.withColumn("fault", fault).groupBy("conv_id").agg(F.count_if(F.col("kind") == "call").alias("calls"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.struct("turn", "call_id"))).alias("fault"))
+    return turns.select("conv_id").distinct().join(found, "conv_id", "left").select("conv_id", F.coalesce("calls", F.lit(0)).alias("calls"), "fault", F.col("fault").isNull().alias("ok"))
+
+
+def undo_trivial(pairs: DataFrame) -> DataFrame:
+    """pairs (original, rewrite) with undone: rewrites that change only capitals, signs or spacing add no
+    variety and give way to the original. A null rewrite is the original too."""
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    same = F.coalesce(key("original") == key("rewrite"), F.col("rewrite").isNull())
+    return pairs.withColumns({"undone": same, "rewrite": F.when(same, F.col("original")).otherwise(F.col("rewrite"))})
+
+
 def conversation_faults(turns: DataFrame) -> DataFrame:
     """conv_id, turns, ok and the first fault: conversations open with system or user, have known roles,
     numbered turns without gaps, no role twice in a row, no empty text, and close with the assistant."""
