@@ -16,6 +16,8 @@ bounded by the blocks, whatever the table's size.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,13 +39,47 @@ GROUP = 32_768
 #: Components beyond this would overflow the centres' sums; such vectors are not sampled.
 LARGE = 1e100
 _CHUNK = 1 << 20
+#: Longest vectors that are turned by a matrix; block and rounds of the transform for longer ones.
+MATRIX, HADAMARD, ROUNDS = 1024, 512, 3
+#: Bytes of original vectors in a block, but for a single longer vector.
+BLOCK_BYTES = 64 << 20
 
 
-def rotation(d: int, seed: int = 7) -> np.ndarray:
+@lru_cache(maxsize=4)
+def rotation(d: int, seed: int = 7):
+    """What x @ rotation(d) rotates x by; a task makes it once. Long vectors are turned without a matrix."""
+    if d > MATRIX:
+        return Turn(d, seed)
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
     return q * np.sign(np.diag(r))
 
 
+class Turn:
+    """A random orthogonal map of long vectors, in ROUNDS of random signs, a random order and Hadamard
+    transforms of blocks (a small random rotation for what is left over): each round spreads a component over
+    a block, the order over all blocks. It takes d log d steps and no matrix."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, d: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.rounds = [(rng.choice([-1.0, 1.0], d), rng.permutation(d)) for _ in range(ROUNDS)]
+        self.whole = d // HADAMARD * HADAMARD
+
+    def __rmatmul__(self, x: np.ndarray) -> np.ndarray:
+        for signs, order in self.rounds:
+            x = (x * signs)[:, order]
+            y = x[:, : self.whole].reshape(-1, HADAMARD)
+            width = 1
+            while width < HADAMARD:
+                y = y.reshape(-1, HADAMARD // (2 * width), 2, width)
+                y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(-1, HADAMARD)
+                width *= 2
+            left = x[:, self.whole :]
+            x = np.concatenate([y.reshape(len(x), -1) / np.sqrt(HADAMARD), left @ rotation(left.shape[1]) if left.shape[1] else left], axis=1)
+        return x
+
+
 def centres(sample: np.ndarray, n: int = CENTRES, rounds: int = 10) -> np.ndarray:
     """k-means from the sample's first distinct rows; the origin for an empty sample."""
     c = np.unique(sample[: 50 * n], axis=0)
@@ -175,7 +211,7 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 
 def _blocks(rows: DataFrame, most: int, fit=None) -> DataFrame:
-    """Packs the rows of each task into blocks of at most `most` vectors of one length: d, ids, x and,
+    """Packs the rows of each task into blocks of at most `most` vectors (BLOCK_BYTES) of one length: d, ids, x and,
     with fit (a broadcast of centres by length), the codes' fields, each as binary."""
     names = ["d", "ids", "x", *(n for n, _ in Codes.FIELDS if fit)]
 
@@ -195,7 +231,7 @@ def _blocks(rows: DataFrame, most: int, fit=None) -> DataFrame:
             for i, v in zip(batch.column("vec_id").to_pylist(), _rows(batch.column("embedding"))):
                 mine = held.setdefault(len(v), [])
                 mine.append((i, v))
-                if len(mine) == most:
+                if len(mine) >= min(most, BLOCK_BYTES // (8 * len(v))):
                     yield flush(len(v))
         for d in list(held):
             yield flush(d)
@@ -203,7 +239,7 @@ def _blocks(rows: DataFrame, most: int, fit=None) -> DataFrame:
     return rows.select("vec_id", "embedding").mapInArrow(run, "d int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
-def _fitted(fit, d: int) -> tuple[np.ndarray, np.ndarray]:
+def _fitted(fit, d: int) -> tuple:
     """Centres and rotation for vectors of this length; lengths that were not sampled have the origin."""
     return fit.value.get(d, np.zeros((1, d))), rotation(d)
 
