@@ -82,21 +82,46 @@ _AT = ["host", "template"]
 _COUNTS = ("n", "labelled", "blocked")
 
 
+def _prefixes(segments: str):
+    """Hashes of the first 0, 1, .. all segments, each made of the one before."""
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.array(F.lit(0).cast("long")).alias("all"))
+    more = lambda s, x: F.struct(F.xxhash64(s["h"], x).alias("h"), F.concat(s["all"], F.array(F.xxhash64(s["h"], x))).alias("all"))
+    return F.aggregate(segments, start, more, lambda s: s["all"])
+
+
+def _forks(level: DataFrame) -> DataFrame:
+    """host, form, stop: how many segments of a form's rest come before the first fork at which anything is to
+    be decided: one with over BRANCHES children, or with two labelled ones. At all others each child
+    stays as it is, so a chain, or a path that only sheds unlabelled pages, is passed in one go. Forms
+    and their prefixes are told apart by hashes here."""
+    level = level.withColumns({"id": F.xxhash64("host", "form"), "at_id": F.xxhash64(*_AT)})
+    nodes = F.transform("rest", lambda x, i: F.struct(F.get("hashes", i).alias("node"), x.alias("child")))
+    rows = level.withColumn("hashes", _prefixes("rest")).select("id", "at_id", "labelled", F.posexplode(nodes).alias("at", "x")).select("id", "at_id", "labelled", "at", "x.node", F.xxhash64("x.child").alias("child"))
+    rows = materialize(rows, "url-nodes")
+    key = ["at_id", "at", "node"]
+    children = rows.groupBy(*key, "child").agg(F.sum("labelled").alias("labelled"))
+    forks = children.groupBy(*key).agg(F.count("*").alias("children"), F.count_if(F.col("labelled") > 0).alias("told")).filter((F.col("children") > BRANCHES) | (F.col("told") > 1))
+    stops = rows.join(forks.select(*key), key).groupBy("id").agg(F.min("at").alias("stop"))
+    return level.select("host", "form", "id").join(stops, "id").select("host", "form", "stop")
+
+
 def templates(counts: DataFrame) -> DataFrame:
-    """Adds to counts (host, form, n, labelled, blocked) the template of each form. All branches grow a
-    fork at a time: what the forms of a branch have in common goes on as it is, and at the next
-    segment they part, rare ones as one branch and similar ones as one. A form alone in its branch
-    ends there; the loop goes on while others are left."""
+    """Adds to counts (host, form, n, labelled, blocked) the template of each form. All branches grow
+    from one deciding fork to the next: there their forms part, rare ones as one branch and similar
+    ones as one. Forms that meet no further such fork end; the loop goes on while others are left, as
+    often as deciding forks lie on one path."""
     level, done = counts.withColumn("template", F.array().cast("array<string>")).withColumn("rest", F.col("form")), None
     tail = lambda rest, at: F.slice(rest, at + 1, F.greatest(F.size(rest) - at, F.lit(0)))
     while True:
-        branch = level.groupBy(*_AT).agg(F.count("*").alias("forms"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
-        # All lie between the smallest and the largest: what these two share, all do.
-        same = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
-        branch = branch.select(*_AT, "forms", F.when(same > 0, same.cast("int") - 1).otherwise(F.size("lo")).alias("common"))
-        level = level.join(branch, _AT).withColumns({"template": F.concat("template", F.slice("rest", F.lit(1), F.col("common"))), "rest": tail("rest", F.col("common"))})
-        level = level.withColumn("child", F.get("rest", F.lit(0)))
-        children = level.filter("child is not null").groupBy(*_AT, "child").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+        level = level.join(_forks(level), ["host", "form"], "left")
+        stop = F.coalesce("stop", F.size("rest"))
+        level = level.withColumns({"template": F.concat("template", F.slice("rest", F.lit(1), stop)), "rest": tail("rest", stop)}).drop("stop")
+        level = materialize(level.withColumn("child", F.get("rest", F.lit(0))), "url-forks")
+        ended = level.filter("child is null").drop("rest", "child")
+        done, level = ended if done is None else done.unionByName(ended), level.filter("child is not null")
+        if level.isEmpty():
+            return done
+        children = level.groupBy(*_AT, "child").agg(*(F.sum(c).alias(c) for c in _COUNTS))
         every = children.groupBy(*_AT).agg(F.count("*").alias("children"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         apart = (F.col("labelled") >= FEW) & F.coalesce(_apart(F.col("labelled"), F.col("blocked"), F.col("l") - F.col("labelled"), F.col("b") - F.col("blocked")), F.lit(False))
         keeps = (F.col("children") <= BRANCHES) | (F.col("n") >= ENOUGH) | (F.col("labelled") >= ENOUGH) | apart | F.col("child").isin(NUMBER, HEX)
@@ -105,13 +130,8 @@ def templates(counts: DataFrame) -> DataFrame:
         names = parted.groupBy(*_AT, "branch").agg(F.min("step").alias("least"), (F.count("*") - 1).alias("others"))
         name = F.when(F.col("others") > 0, F.concat("least", F.lit("#"), F.col("others").cast("string"))).otherwise(F.col("least"))
         steps = children.select(*_AT, "child", "step").join(parted.select(*_AT, "step", "branch"), [*_AT, "step"]).join(names, [*_AT, "branch"]).select(*_AT, "child", name.alias("name"))
-        level = level.join(steps, [*_AT, "child"], "left")
-        level = level.select("host", "form", *_COUNTS, F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))).alias("template"), tail("rest", F.lit(1)).alias("rest"))
-        level = materialize(level, "url-tree")
-        ended = level.filter("size(rest) = 0").drop("rest")
-        done, level = ended if done is None else done.unionByName(ended), level.filter("size(rest) > 0")
-        if level.isEmpty():
-            return done
+        level = level.join(steps, [*_AT, "child"])
+        level = materialize(level.select("host", "form", *_COUNTS, F.concat("template", F.array("name")).alias("template"), tail("rest", F.lit(1)).alias("rest")), "url-tree")
 
 
 _NODES = "host string, template array<string>, step string"
@@ -143,13 +163,13 @@ def _branches(nodes: DataFrame) -> DataFrame:
 
 def template_purity(counts: DataFrame) -> DataFrame:
     """From counts (host, form, n, labelled, blocked) to (host, form, template, purity)."""
-    tree = templates(counts)
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", 1, i))
-    leaves = tree.groupBy(*_AT).agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
-    paths = leaves.select(*_AT, "labelled", "blocked", F.explode(prefixes).alias("prefix"))
-    nodes = paths.groupBy("host", "prefix").agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))
-    along = paths.select(*_AT, "prefix").join(nodes, ["host", "prefix"])
-    along = along.groupBy(*_AT).agg(F.sort_array(F.collect_list(F.struct(F.size("prefix").alias("depth"), "labelled", "blocked"))).alias("steps"))
+    tree = materialize(templates(counts), "url-templates")
+    leaves = tree.groupBy(*_AT).agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked"))).withColumn("leaf", F.xxhash64(*_AT))
+    paths = leaves.select("leaf", "host", "labelled", "blocked", F.posexplode(_prefixes("template")).alias("depth", "prefix"))
+    node = ["host", "depth", "prefix"]
+    nodes = paths.groupBy(*node).agg(*(F.sum(c).cast("double").alias(c) for c in ("labelled", "blocked")))
+    along = paths.select("leaf", *node).join(nodes, node)
+    along = along.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "labelled", "blocked"))).alias("steps")).join(leaves.select("leaf", *_AT), "leaf")
     whole = tree.agg(F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("l"))
     rate = whole.select(((F.coalesce("b", F.lit(0.0)) + 1) / (F.coalesce("l", F.lit(0.0)) + 2)).alias("rate"))
     everywhere = leaves.groupBy("template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).join(F.broadcast(rate))  # rate: one row
