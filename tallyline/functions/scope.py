@@ -115,9 +115,13 @@ def _year(value) -> int:
 
 
 def _season(value) -> Column:
-    """'2024' also takes seasons like 2023/24 as far as they were played in 2024."""
+    """'2024' also takes the split seasons 2023/24 and 2024/25 as far as they were played in 2024."""
     own = F.col("season") == str(value)
-    return own | (F.col("season").contains("/") & (F.col("yr") == _year(value))) if str(value).isdecimal() else own
+    if not str(value).isdecimal():
+        return own
+    year = _year(value)
+    split = F.col("season").startswith(f"{year}/") | F.col("season").startswith(f"{year - 1}/")
+    return own | (split & (F.col("yr") == year))
 
 
 def result_of(value) -> str:

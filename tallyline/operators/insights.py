@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OUTLIER, FLAT, BANDS = 2.0, 0.05, (0.4, 0.7)
@@ -18,6 +18,74 @@ def column_facts(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_samp(c).alias("sd"), F.min(c).alias("lowest"), F.max(c).alias("highest"))
 
 
+#: How many rows a digest names at each level of detail.
+NAMED = (3, 5, 8)
+
+
+def ranked_facts(rows: DataFrame, key: str, column: str, higher_is_better: bool = True, detail: int = 2) -> DataFrame:
+    """One row: n, best and worst (key, value), median, mean, spread, ranked (the first few, with rank; of
+    three rows or more) and leader_share, the best one's part of the total where that is above 0. Nulls
+    have no say; of equal values the smaller key is better."""
+    value = F.col(column).cast("double")
+    kept = rows.filter(value.isNotNull()).select(F.col(key).cast("string").alias("key"), value.alias("value"))
+    better, worse = (F.desc("value"), F.asc("value")) if higher_is_better else (F.asc("value"), F.desc("value"))
+    top = kept.orderBy(better, "key").limit(NAMED[detail]).withColumn("rank", F.row_number().over(Window.orderBy(better, "key")))
+    ranked = top.agg(F.sort_array(F.collect_list(F.struct("rank", "key", "value"))).alias("ranked"))
+    last = kept.orderBy(worse, F.desc("key")).limit(1).select(F.struct("key", "value").alias("worst"))
+    stats = kept.agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.avg("value").alias("mean"), (F.max("value") - F.min("value")).alias("spread"), F.sum("value").alias("total"))
+    out = stats.crossJoin(F.broadcast(ranked)).join(F.broadcast(last), F.lit(True))
+    first = F.get("ranked", F.lit(0))
+    return out.select("n", F.struct(first["key"].alias("key"), first["value"].alias("value")).alias("best"), "worst", "median", "mean", "spread", F.when(F.col("n") > 2, F.col("ranked")).alias("ranked"), F.when(F.lit(higher_is_better) & (F.col("total") > 0), first["value"] / F.col("total")).alias("leader_share"))
+
+
+def quadrants(rows: DataFrame, key: str, x: str, y: str, higher_x: bool = True, higher_y: bool = True) -> DataFrame:
+    """key, x, y, quadrant ('both', 'x only', 'y only', 'neither': where the row is at least as good as the
+    median) and place, its rank in its quadrant by the sum of both over the medians' size. Rows without
+    both values are left out."""
+    X, Y = F.col(x).cast("double"), F.col(y).cast("double")
+    kept = rows.filter(X.isNotNull() & Y.isNotNull()).select(F.col(key).alias(key), X.alias("x"), Y.alias("y"))
+    middle = kept.agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
+    good = lambda v, m, up: (F.col(v) >= F.col(m)) == F.lit(up)
+    size = lambda m: F.when(F.col(m) == 0, 1.0).otherwise(F.abs(m))
+    gx, gy = good("x", "mx", higher_x), good("y", "my", higher_y)
+    where = F.when(gx & gy, "both").when(gx, "x only").when(gy, "y only").otherwise("neither")
+    merit = (1 if higher_x else -1) * F.col("x") / size("mx") + (1 if higher_y else -1) * F.col("y") / size("my")
+    found = kept.crossJoin(F.broadcast(middle)).withColumns({"quadrant": where, "_merit": merit})
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("quadrant").orderBy(F.desc("_merit"), key))).select(key, "x", "y", "quadrant", "place")
+
+
+def recurring(cards: dict[str, DataFrame], key: str = "player", most: int = 8) -> DataFrame:
+    """key, n: what stands in more than one of the cards that have such a column, commonest first."""
+    own = [df.select(F.col(key).cast("string").alias(key)).filter(F.col(key).isNotNull()).distinct() for df in cards.values() if key in df.columns]
+    every = own[0] if own else next(iter(cards.values())).select(F.lit(None).cast("string").alias(key)).limit(0)
+    for df in own[1:]:
+        every = every.unionByName(df)
+    return every.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), key).limit(most)
+
+
+def board_digest(name: str, cards: dict[str, tuple[DataFrame, str, str, bool]], budget: int = 7000) -> str:
+    """A board (title -> rows, key, column, whether higher is better) as text of at most `budget` characters: each
+    card's facts and what recurs across cards. Detail is lowered until it fits; then cards are cut
+    from the end and counted. Only facts come to the driver."""
+    facts = {title: ranked_facts(rows, key, column, up).first() for title, (rows, key, column, up) in cards.items()}
+    again = [r[0] for r in recurring({t: c[0] for t, c in cards.items()}).collect()]
+    figure = lambda v: "-" if v is None else f"{v:,.2f}".rstrip("0").rstrip(".")
+    for detail in (2, 1, 0):
+        parts = [name]
+        for title, f in facts.items():
+            if not f["n"]:
+                parts.append(f"{title}: no result")
+                continue
+            names = ", ".join(f"{r['key']} {figure(r['value'])}" for r in (f["ranked"] or [f["best"]])[: NAMED[detail]])
+            rest = f"; median {figure(f['median'])}, spread {figure(f['spread'])}" if detail else ""
+            parts.append(f"{title} ({f['n']}): {names}; last {f['worst']['key']} {figure(f['worst']['value'])}{rest}")
+        if again:
+            parts.append("in several cards: " + ", ".join(again))
+        if sum(map(len, parts)) + len(parts) <= budget:
+            return "\n".join(parts)
+    return digest(parts, budget)
+
+
 def outliers(rows: DataFrame, key: str, column: str) -> DataFrame:
     """Rows at least OUTLIER deviations off the mean: key, value, z, share of the total."""
     stats = rows.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("sd"), F.sum(column).alias("total"))

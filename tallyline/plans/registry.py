@@ -27,7 +27,7 @@ def _load() -> None:
         import_module(f"tallyline.plans.{module}")
 
 
-MODULES = ("ledger_queries", "view_queries", "table_queries", "report_queries", "model_queries", "page_queries", "replay_queries", "study_queries", "curation_queries")
+MODULES = ("ledger_queries", "view_queries", "table_queries", "report_queries", "model_queries", "page_queries", "replay_queries", "study_queries", "curation_queries", "fact_queries")
 
 
 def queries() -> dict:
