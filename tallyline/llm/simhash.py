@@ -150,7 +150,7 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), x.type) for c, x in zip(cols, arrow)], schema=arrow)
 
 
-def shard_links(shards: DataFrame, key: list[str], node: str, f, attach=lambda rows: rows, values=(), known: DataFrame | None = None) -> DataFrame:
+def shard_links(shards: DataFrame, key: list[str], node: str, f, attach=lambda rows: rows, values=(), known: DataFrame | None = None, split=None) -> DataFrame:
     """Edges (a, b) such that any two rows of a shard that f links are connected; f(list of (node,
     *values)) gives edges between the nodes of a group, attach adds the values to rows.
 
@@ -158,6 +158,10 @@ def shard_links(shards: DataFrame, key: list[str], node: str, f, attach=lambda r
     itself. What is connected then needs no further comparison: of each such shard only the rows
     outside its largest component meet all others, chunk by chunk, so a large group of copies costs
     its size, not its square. known: edges found before.
+
+    split: where over CHUNK rows lie outside the largest component, most are not alike and would meet
+    in vain; split(nodes of such shards, roots so far) deals them to finer shards instead: it gives
+    rows and their key, such that any two nodes that f would link share a finer shard or a root.
     """
     sizes = shards.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     rows = materialize(shards.join(sizes, key), "shards")
@@ -172,7 +176,15 @@ def shard_links(shards: DataFrame, key: list[str], node: str, f, attach=lambda r
     counts = large.groupBy(*key, "root").agg(F.count("*").alias("n"))
     main = counts.groupBy(*key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("all > most")
     pieces = lambda n: F.ceil(n / CHUNK).cast("int")
-    rest = large.join(main.select(*key, "main", pieces(F.col("most")).alias("inside"), pieces(F.col("all") - F.col("most")).alias("outside")), key)
+    main = main.select(*key, "main", pieces(F.col("most")).alias("inside"), pieces(F.col("all") - F.col("most")).alias("outside"))
+    found = edges
+    if split is not None:
+        main = materialize(main, "shard-mains")
+        crowded, main = main.filter("outside > 1"), main.filter("outside <= 1")
+        if not crowded.isEmpty():
+            finer, by = split(large.join(crowded, key, "left_semi").select(node).distinct(), roots)
+            found = edges.unionByName(shard_links(finer, by, node, f, attach, values, edges if known is None else edges.unionByName(known)))
+    rest = large.join(main, key)
     rest = rest.withColumn("settled", F.col("root") == F.col("main"))
     piece = F.pmod(F.xxhash64(node), F.when(F.col("settled"), F.col("inside")).otherwise(F.col("outside"))).cast("int")
     to = lambda n, g: F.transform(F.sequence(F.lit(0), F.col(n) - 1), g)
@@ -180,7 +192,7 @@ def shard_links(shards: DataFrame, key: list[str], node: str, f, attach=lambda r
     outer = F.concat(to("outside", lambda k: place(0, F.least("piece", k), F.greatest("piece", k))), to("inside", lambda k: place(1, F.col("piece"), k)))
     meets = F.when(F.col("settled"), to("outside", lambda k: place(1, k, F.col("piece")))).otherwise(outer)
     rest = rest.withColumn("piece", piece).withColumn("m", F.explode(meets)).select(*key, node, "m.kind", "m.lo", "m.hi")
-    return edges.unionByName(grouped(attach(rest), [*key, "kind", "lo", "hi"], [node, *values], f, "a long, b long"))
+    return found.unionByName(grouped(attach(rest), [*key, "kind", "lo", "hi"], [node, *values], f, "a long, b long"))
 
 
 def block_keys(column: str = "fp"):
@@ -248,6 +260,11 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
     shingles they share one of the first that either set must have in common with the other (prefix
     filter, exact). Each is then checked on the whole shingle sets, as 64-bit hashes. Rows with null
     doc_id take no part.
+
+    Many documents that share a smallest shingle, such as a footer's, but are not alike do not all
+    meet: they are dealt again by the rarest of their shingles. Sets of n and more shingles that are
+    alike must share one of the first n - ceil(similarity * n) + 1 in any common order; in the order of
+    frequency those are mostly shingles that no other document has, and these name no shard.
     """
 
     def marks(batch):
@@ -299,7 +316,23 @@ def near_links(docs: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFram
             tree.add(fp)
         return [(x, ids[forest.find(i)]) for i, x in enumerate(ids) if forest.find(i) != i]
 
-    edges = shard_links(shards, ["t", "k"], "doc_id", link, attach, ["fp", "own"], same)
+    def whole(batch):
+        return {"doc_id": batch.column("doc_id"), "own": [np.unique(hashes(shingles(x, NEAR_WIDTH))).view(np.int64) for x in texts(batch)]}
+
+    def split(nodes, roots):
+        wanted = plain.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        held = materialize(map_arrow(wanted, whole, "doc_id long, own array<long>"), "crowded-sets")
+        each = held.select("doc_id", F.size("own").alias("size"), F.explode("own").alias("x"))
+        shared = each.join(each.groupBy("x").agg(F.count("*").alias("n")).filter("n > 1"), "x")
+        ranked = shared.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
+        # The document's other shingles come before these, so that many fewer of these are in its prefix.
+        first = F.greatest(F.size("xs") + 1 - F.ceil(F.col("size") * similarity - 1e-9), F.lit(0)).cast("int")
+        finer = ranked.select("doc_id", F.explode(F.slice("xs", F.lit(1), first)["x"]).alias("x")).join(roots, "doc_id", "left")
+        finer = materialize(finer.select("doc_id", "x", F.coalesce("root", "doc_id").alias("root")), "finer-shards")
+        unsettled = finer.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        return finer.join(unsettled, "x", "left_semi").select("x", "doc_id"), ["x"]
+
+    edges = shard_links(shards, ["t", "k"], "doc_id", link, attach, ["fp", "own"], same, split)
     return components(edges.unionByName(same))
 
 
