@@ -5,7 +5,8 @@ non_striker, bowler, team, opposition, venue, event, gender, fgroup, format, sea
 faced, legal, wide, noball, four, six, dot (booleans), runs_batter, runs_total, bowler_runs,
 wickets (an array, see flags), what flags.wicket_columns() makes of it, phase.
 
-All windows of one innings share one exchange on (match_id, innings).
+All windows and sums of one match share one exchange on match_id: nothing after it is joined but small
+tables that are broadcast.
 """
 
 from __future__ import annotations
@@ -140,36 +141,78 @@ def expectation(states: DataFrame, thin: int = THIN) -> DataFrame:
     return joined.select(*CELL, "yr", "n", *(mean(k) for k in measures))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """rows with the values of a small table (a row for each key, nulls equal). The key is one struct that
+    the table is grouped by, so Spark drops the join where no value is asked for."""
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    one = F.struct(*(F.col(c).alias(c) for c in key)).cast("struct<" + ",".join(f"{c}:{types[c]}" for c in key) + ">")  # nullable on both sides
+    once = table.groupBy(one.alias("_key")).agg(*(F.first(c).alias(c) for c in values))
+    return rows.withColumn("_own", one).join(F.broadcast(once), F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
+
+
 def expected(states: DataFrame, table: DataFrame) -> DataFrame:
-    """Balls with their state's expected values; states match null-safely."""
-    t = table.drop("n").select(*(F.col(c).alias(f"_{c}") for c in (*CELL, "yr")), *_measures())
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*CELL, "yr")]
-    return states.join(t, on, "left").drop(*(f"_{c}" for c in (*CELL, "yr")))
+    """Balls with their state's expected values; states match null-safely. The table has a row for each
+    state and year, however many balls there are."""
+    return _looked_up(states, table, (*CELL, "yr"), list(_measures()))
+
+
+def by_match(balls: DataFrame) -> DataFrame:
+    """Balls dealt by match: the one exchange that the innings and phase tables need."""
+    return balls.repartition("match_id")
+
+
+#: What is kept of the ball of a player's arrival, under which name.
+_AT_ARRIVAL = {"over": "entry_over", "score": "entry_score", "wkts": "entry_wkts"} | {c: c for c in MATCH}
+
+
+def _takers(balls: DataFrame) -> DataFrame:
+    """A row for each player in each ball: player, at (the order of arrival, null for a dismissal),
+    strikes (the striker's own row), gone (seq, n and kind of a dismissal)."""
+    gone = lambda w, n: F.struct(F.col("seq").cast("long").alias("seq"), n.alias("n"), w["kind"].alias("kind"))
+    one = lambda player, at, strikes, g: F.struct(player.alias("player"), at.cast("long").alias("at"), F.lit(strikes).alias("strikes"), g.alias("gone"))
+    none = F.lit(None).cast("struct<seq:bigint,n:int,kind:string>")
+    here = [one(F.col("batter"), F.col("seq") * 2, True, none), one(F.col("non_striker"), F.col("seq") * 2 + 1, False, none)]
+    outs = F.filter(F.transform("wickets", lambda w, n: one(w["player_out"], F.lit(None), False, gone(w, n))), lambda x: x["gone"]["kind"].isNotNull() & ~x["gone"]["kind"].isin(*flags.NOT_OUT))
+    rows = balls.withColumn("_w", F.explode(F.when(F.col("outs") > 0, F.concat(F.array(*here), outs)).otherwise(F.array(*here))))
+    return rows.withColumns({c: F.col(f"_w.{c}") for c in ("player", "at", "strikes", "gone")}).drop("_w").filter("player is not null")
+
+
+def _arrival() -> dict[str, Column]:
+    return {"arrived": F.min("at")} | {f"_at_{c}": F.min_by(c, "at") for c in _AT_ARRIVAL}
+
+
+def _placed(place: Column) -> list[Column]:
+    """The columns of appearances() from those of _arrival()."""
+    return [F.col("match_id"), F.col("innings"), F.col("player"), F.col("arrived"), place.alias("position"), *(F.col(f"_at_{c}").alias(name) for c, name in _AT_ARRIVAL.items())]
+
+
+def _place() -> Column:
+    return F.row_number().over(Window.partitionBy("match_id", "innings").orderBy("arrived", "player"))
 
 
 def appearances(balls: DataFrame) -> DataFrame:
     """Who batted when: striker or partner, with position by first appearance (the striker before the
     partner on the same ball), and the state at arrival."""
-    who = F.explode(F.array(F.struct(F.col("batter").alias("player"), (F.col("seq") * 2).alias("at")), F.struct(F.col("non_striker").alias("player"), (F.col("seq") * 2 + 1).alias("at"))))
-    rows = balls.select("match_id", "innings", "over", "score", "wkts", *MATCH, who.alias("w")).select("*", "w.player", "w.at").drop("w").filter("player is not null")
-    first = rows.groupBy("match_id", "innings", "player").agg(F.min("at").alias("arrived"), F.min_by(F.struct("over", "score", "wkts", *MATCH), "at").alias("at"))
-    order = Window.partitionBy("match_id", "innings").orderBy("arrived", "player")
-    return first.select("match_id", "innings", "player", "arrived", F.row_number().over(order).alias("position"), F.col("at.over").alias("entry_over"), F.col("at.score").alias("entry_score"), F.col("at.wkts").alias("entry_wkts"), *(F.col(f"at.{c}").alias(c) for c in MATCH))
+    rows = _takers(by_match(balls)).filter("at is not null")
+    first = rows.groupBy("match_id", "innings", "player").agg(*(c.alias(k) for k, c in _arrival().items()))
+    return first.select(*_placed(_place()))
 
 
 def _sum(c: Column, kind: str = "long") -> Column:
     return F.coalesce(F.sum(c.cast(kind)), F.lit(0).cast(kind))
 
 
-def _faced(balls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    f, early = F.col("faced"), F.col("faced") & (F.col("ball_no") <= FIRST)
+def _faced() -> dict[str, Column]:
+    """Sums over the balls that a player strikes."""
+    mine, f = F.col("strikes"), F.col("strikes") & F.col("faced")
+    early = f & (F.col("ball_no") <= FIRST)
     of = lambda on, v: F.when(on, v)
-    sums = {"balls": _sum(f), "runs": _sum(F.col("runs_batter")), "fours": _sum(F.col("four")), "sixes": _sum(F.col("six")), "dots": _sum(f & (F.col("runs_batter") == 0)), "balls_first5": _sum(early), "runs_first5": _sum(of(early, F.col("runs_batter")))}
+    sums = {"balls": _sum(f), "runs": _sum(of(mine, F.col("runs_batter"))), "fours": _sum(mine & F.col("four")), "sixes": _sum(mine & F.col("six")), "dots": _sum(f & (F.col("runs_batter") == 0)), "balls_first5": _sum(early), "runs_first5": _sum(of(early, F.col("runs_batter")))}
     sums |= {"e_runs": _sum(of(f, F.col("e_runs")), "double"), "e_outs": _sum(of(f, F.col("e_outs")), "double"), "e_first5": _sum(of(early, F.col("e_runs")), "double")}
-    sums |= {"inplay_runs": _sum(of(flags.in_play(), F.col("runs_batter"))), "x_inplay_runs": _sum(of(f, F.col("x_inplay_runs")), "double")}
+    sums |= {"inplay_runs": _sum(of(mine & flags.in_play(), F.col("runs_batter"))), "x_inplay_runs": _sum(of(f, F.col("x_inplay_runs")), "double")}
     for name, c in flags.components("batting").items():
-        sums |= {f"n_{name}": _sum(c), f"x_{name}": _sum(of(f, F.col(f"x_bat_{name}")), "double")}
-    return balls.groupBy("match_id", "innings", F.col("batter").alias("player"), *keys).agg(*(c.alias(k) for k, c in sums.items()))
+        sums |= {f"n_{name}": _sum(mine & c), f"x_{name}": _sum(of(f, F.col(f"x_bat_{name}")), "double")}
+    return sums
 
 
 def dismissals(balls: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -178,27 +221,33 @@ def dismissals(balls: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select("match_id", "innings", *keep, "n", "w.kind", F.col("w.player_out").alias("player")).filter(flags.dismissal() & F.col("player").isNotNull())
 
 
-def _outs(balls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    outs = dismissals(balls, ("seq", *keys))
-    return outs.groupBy("match_id", "innings", "player", *keys).agg(F.lit(1).cast("long").alias("out"), F.min_by("kind", F.struct("seq", "n")).alias("kind"))
+def _outs() -> dict[str, Column]:
+    """Whether a player went, and how first."""
+    return {"out": F.coalesce(F.max(F.col("gone").isNotNull().cast("long")), F.lit(0).cast("long")), "_gone": F.min("gone")}
 
 
 def batting_innings(balls: DataFrame) -> DataFrame:
-    """One row for each batter and innings, those who never faced a ball included. balls: expected()."""
-    key = ["match_id", "innings", "player"]
-    out = appearances(balls).join(_faced(balls, ()), key, "left").join(_outs(balls, ()), key, "left")
-    numbers = [c for c in _faced(balls, ()).columns if c not in key]
-    return out.fillna(0, subset=[*numbers, "out"])
+    """One row for each batter and innings, those who never faced a ball included. balls: expected(),
+    dealt by_match()."""
+    sums = _faced()
+    rows = _takers(balls).groupBy("match_id", "innings", "player").agg(*(c.alias(k) for k, c in (_arrival() | sums | _outs()).items()))
+    rows = rows.filter("arrived is not null")
+    return rows.select(*_placed(_place()), *sums, "out", F.col("_gone.kind").alias("kind"))
 
 
 def batting_phases(balls: DataFrame) -> DataFrame:
     """One row for each batter, innings and phase with a ball faced or a dismissal."""
-    key = ["match_id", "innings", "player", "phase"]
-    inside = balls.filter("phase is not null")
-    faced = _faced(inside, ("phase",)).filter("balls > 0")
-    out = faced.join(_outs(inside, ("phase",)), key, "full").fillna(0)
-    who = appearances(balls).select("match_id", "innings", "player", "position", *MATCH)
-    return out.join(who, ["match_id", "innings", "player"])
+    sums = _faced()
+    rows = _takers(balls).groupBy("match_id", "innings", "player", "phase").agg(*(c.alias(k) for k, c in (_arrival() | sums | _outs()).items()))
+    own = Window.partitionBy("match_id", "innings", "player")
+    rows = rows.withColumns({f"_at_{c}": F.min_by(f"_at_{c}", "arrived").over(own) for c in MATCH} | {"arrived": F.min("arrived").over(own)}).filter("arrived is not null")
+    place = F.dense_rank().over(Window.partitionBy("match_id", "innings").orderBy("arrived", "player"))
+    kept = [k for k in sums if k != "balls"]
+    # what no ball was faced for counts as nothing, even if it was a wide's
+    plain = lambda k: F.when(F.col("balls") > 0, F.col(k)).otherwise(F.lit(0).cast("double" if k.startswith(("e_", "x_")) else "long")).alias(k)
+    rows = rows.select(*_placed(place), "phase", "balls", *(plain(k) for k in kept), "out", F.col("_gone.kind").alias("kind"))
+    rows = rows.filter("phase is not null and (balls > 0 or out > 0)")
+    return rows.select("match_id", "innings", "player", "phase", *sums, "out", "kind", "position", *MATCH)
 
 
 def maidens(balls: DataFrame) -> DataFrame:
@@ -207,19 +256,24 @@ def maidens(balls: DataFrame) -> DataFrame:
     return overs.groupBy("match_id", "innings", "bowler").agg(_sum((F.col("legal") >= 6) & (F.col("runs") == 0)).alias("maidens"))
 
 
-def _bowled(balls: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _bowled(balls: DataFrame, keys: Sequence[str], more: dict[str, Column] | None = None) -> DataFrame:
     sums = {"deliveries": F.count("*"), "balls": _sum(F.col("legal")), "runs": _sum(F.col("bowler_runs")), "wickets": _sum(F.col("credited")), "fours": _sum(F.col("four")), "sixes": _sum(F.col("six")), "dots": _sum(F.col("dot")), "e_runs": _sum(F.col("e_bowl_runs"), "double"), "e_wkts": _sum(F.col("e_bowl_wkts"), "double")}
     sums |= {"inplay_runs": _sum(F.when(flags.in_play(), F.col("runs_batter"))), "x_inplay_runs": _sum(F.when(F.col("faced"), F.col("x_inplay_runs")), "double")}
     for name, c in flags.components("bowling").items():
         sums |= {f"n_{name}": _sum(c), f"x_{name}": _sum(F.col(f"x_bowl_{name}"), "double")}
     swap = {"team": F.min("opposition"), "opposition": F.min("team"), "result": F.min(F.when(F.col("result") == "won", "lost").when(F.col("result") == "lost", "won").otherwise(F.col("result")))}
     rest = {c: F.min(c) for c in MATCH if c not in swap}
-    return balls.groupBy("match_id", "innings", F.col("bowler").alias("player"), *keys).agg(*(c.alias(k) for k, c in (sums | swap | rest).items()))
+    return balls.groupBy("match_id", "innings", F.col("bowler").alias("player"), *keys).agg(*(c.alias(k) for k, c in (sums | swap | rest | (more or {})).items()))
 
 
 def bowling_innings(balls: DataFrame) -> DataFrame:
-    """One row for each bowler and innings. balls: expected()."""
-    return _bowled(balls, ()).join(maidens(balls).withColumnRenamed("bowler", "player"), ["match_id", "innings", "player"], "left")
+    """One row for each bowler and innings. balls: expected(), by_match(). An over's totals stand on its balls, and
+    its last one tells whether it was a maiden, so that no second table is joined."""
+    balled = Window.partitionBy("match_id", "innings", "bowler", "over").orderBy("seq")
+    over = balled.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = balls.withColumns({"_legal": F.sum(F.col("legal").cast("int")).over(over), "_runs": F.sum("bowler_runs").over(over), "_ball": F.row_number().over(balled)})
+    maiden = (F.col("_ball") == 1) & (F.col("_legal") >= 6) & (F.col("_runs") == 0)
+    return _bowled(rows, (), {"maidens": _sum(maiden)}).withColumn("maidens", F.when(F.col("player").isNotNull(), F.col("maidens")))
 
 
 def bowling_phases(balls: DataFrame) -> DataFrame:
@@ -249,9 +303,7 @@ def era_baseline(batting: DataFrame, years: int = ERA_YEARS) -> DataFrame:
 
 
 def with_era(batting: DataFrame) -> DataFrame:
-    key = ["gender", "fgroup", "position", "yr"]
-    era = era_baseline(batting).select(*(F.col(c).alias(f"_{c}") for c in key), "era_runs", "era_outs")
-    return batting.join(era, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").drop(*(f"_{c}" for c in key))
+    return _looked_up(batting, era_baseline(batting), ("gender", "fgroup", "position", "yr"), ("era_runs", "era_outs"))
 
 
 def attach_k(innings: DataFrame, stability: DataFrame, role: str, default_gender: str = "male") -> DataFrame:
@@ -271,6 +323,6 @@ def constant_k(innings: DataFrame, role: str, k: float) -> DataFrame:
 def build(balls: DataFrame) -> dict[str, DataFrame]:
     """All derived tables but for the study's constants, from flagged balls."""
     states = state(balls)
-    full = expected(states, expectation(states))
+    full = expected(by_match(states), expectation(states))
     batting = with_era(match_context(batting_innings(full), "batting"))
     return {"states": full, "batting_innings": batting, "batting_phase": batting_phases(full), "bowling_innings": match_context(bowling_innings(full), "bowling"), "bowling_phase": bowling_phases(full)}

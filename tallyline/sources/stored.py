@@ -56,13 +56,15 @@ class Stored(Mapping):
     layout: name -> column that a table is dealt and sorted by in ranges, so that a filter on it reads few
     row groups. The application's folder goes when the driver's Python ends.
 
+    views: names that are not written: what is asked of them decides which columns are made at all.
+
     Each build writes a folder of its own, which counts once its write is complete: two builders at
     the same time, or one that failed half-way, leave no rows in each other's table.
     """
 
-    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = (), layout: Mapping[str, str] | None = None):
+    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = (), layout: Mapping[str, str] | None = None, views: Iterable[str] = ()):
         root = shared_root(spark)
-        self.spark, self.builders, self.layout = spark, builders, layout or {}
+        self.spark, self.builders, self.layout, self.views = spark, builders, layout or {}, frozenset(views)
         version = [key, *(f"{x}@{self._fs(x)[0].getFileStatus(self._fs(x)[1]).getModificationTime()}" for x in inputs)]
         self.path = f"{root}/{hashlib.md5(chr(10).join(version).encode()).hexdigest()}"
 
@@ -74,6 +76,8 @@ class Stored(Mapping):
         return min((s.getPath().getParent().toString() for s in fs.globStatus(marks) or ()), default=None)
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self.views:
+            return self.builders[name](self)
         with _BUILDING:
             where = self._written(name)
             if where is None:
