@@ -256,16 +256,14 @@ def swings(scored: DataFrame, p: str = "p") -> DataFrame:
 def key_moments(moments: DataFrame, least: float = 0.05, most: int = 6) -> DataFrame:
     """Of each match's moments (match_id, start, stop, swing) the largest swings that do not overlap."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        ordered = pdf.assign(size=pdf.swing.abs()).sort_values(["size", "start"], ascending=[False, True])
-        for i, r in ordered.iterrows():
-            if len(taken) < most and r["size"] >= least and all(r.stop < pdf.start[j] or r.start > pdf.stop[j] for j in taken):
-                taken.append(i)
-        return pdf.loc[taken, ["match_id", "start", "stop", "swing"]]
-
+    columns = {"match_id": "long", "start": "long", "stop": "long", "swing": "double"}
+    rows = moments.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items())).filter((F.abs("swing") >= least) & ~F.isnan("swing"))
     # a match's moments are at most its balls
-    return moments.filter(F.abs("swing") >= least).groupBy("match_id").applyInPandas(pick, "match_id long, start long, stop long, swing double")
+    found = F.array_sort(F.collect_list(F.struct((-F.abs("swing")).alias("size"), "start", "stop", "swing")))
+    apart = lambda taken, x: (F.size(taken) < most) & F.forall(taken, lambda t: (x["stop"] < t["start"]) | (x["start"] > t["stop"]))
+    none = F.array().cast("array<struct<size:double,start:bigint,stop:bigint,swing:double>>")
+    taken = F.aggregate("found", none, lambda taken, x: F.when(apart(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    return rows.groupBy("match_id").agg(found.alias("found")).select("match_id", F.explode(taken).alias("t")).select("match_id", "t.start", "t.stop", "t.swing")
 
 
 def story(scored: DataFrame, p: str = "p") -> DataFrame:

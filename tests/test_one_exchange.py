@@ -22,3 +22,12 @@ def test_an_innings_table_joins_nothing_that_is_not_asked_for(spark):
 def test_the_balls_cross_one_exchange(spark, name):
     plan = ledger.tables(spark, SF)[name].groupBy("match_id", "player").agg(F.sum("runs"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "RangePartitioning" not in plan
+
+
+def test_key_moments_are_picked_without_a_call_for_each_match(spark):
+    from tallyline.operators import models
+
+    rows = spark.createDataFrame([(1, 1, 3, 0.2), (1, 3, 4, -0.4), (1, 5, 5, 0.2), (1, 6, 6, 0.01), (2, 1, 1, float("nan"))], "match_id long, start long, stop long, swing double")
+    got = models.key_moments(rows)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 4, -0.4), (1, 5, 5, 0.2)]
