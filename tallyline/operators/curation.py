@@ -22,10 +22,13 @@ def weighted_pool(entities: DataFrame, weight: str, least: float) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.sum("root").alias("_all")))).withColumn("share", F.col("root") / F.col("_all")).drop("root", "_all")
 
 
-def overlapping(texts: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Texts that equal an evaluation item once normalised."""
-    keys = items.select(norm(text).alias("_n")).filter("_n <> ''").distinct()
-    return texts.withColumn("_n", norm(text)).join(keys, "_n", "left_semi").drop("_n")
+def overlapping(texts: DataFrame, items: DataFrame, text: str = "text", same=norm) -> DataFrame:
+    """Texts that equal an evaluation item once normalised by `same`. norm leaves nothing of many a text,
+    which tells nothing; with another one, empty texts are equal like any others."""
+    keys = items.select(same(text).alias("_n")).distinct()
+    if same is norm:
+        keys = keys.filter("_n <> ''")
+    return texts.withColumn("_n", same(text)).join(keys, "_n", "left_semi").drop("_n")
 
 
 def without_overlap(texts: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
