@@ -156,9 +156,10 @@ def expected(states: DataFrame, table: DataFrame) -> DataFrame:
     return _looked_up(states, table, (*CELL, "yr"), list(_measures()))
 
 
-def by_match(balls: DataFrame) -> DataFrame:
-    """Balls dealt by match: the one exchange that the innings and phase tables need."""
-    return balls.repartition("match_id")
+def by_match(balls: DataFrame, shares: int | None = None) -> DataFrame:
+    """Balls dealt by match: the one exchange that the innings and phase tables need. shares: over how many tasks,
+    so that what a task sorts stays small; else as many as the session's setting says."""
+    return balls.repartition("match_id") if shares is None else balls.repartition(shares, "match_id")
 
 
 #: What is kept of the ball of a player's arrival, under which name.

@@ -46,3 +46,17 @@ def test_audits_read_the_stored_balls(spark, name):
 
     files = entry.queries()[name](spark, SF).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_the_balls_are_dealt_in_bounded_shares(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "LEAST_SHARE", 1000)
+    rows = spark.range(0, 5000, 1, 2)
+    assert ledger.shares(rows) == min(5, spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(ledger, "SHARE", 500)
+    assert ledger.shares(rows) == 10 and ledger.shares(rows.limit(0)) == 2
+
+
+def test_the_state_is_sorted_on_narrow_lines(spark):
+    lines = ledger.states(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first_window = next(at for at, line in enumerate(lines) if "Window" in line)
+    assert any("Join" in line for line in lines[:first_window])  # names are looked up after the windows
