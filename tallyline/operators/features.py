@@ -30,7 +30,13 @@ def running_history(rows: DataFrame, keys: list[str], values: dict, at: str = "d
     return days.select(*keys, at, *(F.sum(n).over(along).alias(n) for n in values))
 
 
-def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting: DataFrame, overs: dict[str, int] | None = None, female: str = "female") -> DataFrame:
+def _by_match(found: DataFrame, key: list[str], value: str, name: str, shares: int | None) -> DataFrame:
+    """match_id, name: the values of a match's few keys in one map, dealt as the match's balls are."""
+    dealt = found.repartition("match_id") if shares is None else found.repartition(shares, "match_id")
+    return dealt.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*key), F.col(value)))).alias(name))
+
+
+def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting: DataFrame, overs: dict[str, int] | None = None, female: str = "female", shares: int | None = None) -> DataFrame:
     """match_id, innings, seq, batter, the FEATURES and won of every ball of win_rows().
 
     ratings (pool, team, date, rating; pool is format group and gender joined by a bar), totals
@@ -38,23 +44,27 @@ def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting:
     date, runs, balls: so far) are histories: of each the latest row before the match's day counts.
     rating_lead is the batting side's rating less the other's, ELO_START where none is known; par is
     the venue's mean total; striker_form is the striker's runs a ball, drawn to the pool's mean by
-    FORM_BALLS balls. A match has a few sides and strikers, so the as-of joins run over these; the
-    balls meet the results once, by match."""
+    FORM_BALLS balls. A match has a few sides and strikers, so the as-of joins run over these; what
+    they find goes back to the match as one map each. Balls that are bucketed by match stay where they
+    are; shares is the number of their buckets."""
     pool = F.concat_ws("|", "fgroup", "gender")
-    rows = win_rows(balls, overs=overs).withColumnRenamed("score_after", "score")
-    about = balls.select("match_id", "innings", "seq", "batter", "gender", "fgroup", "venue", "date", "team", "opposition")
-    rows = rows.join(about, ["match_id", "innings", "seq"])
-    sides = about.filter(F.col("fgroup").isin(*(overs or OVERS))).select("match_id", "date", pool.alias("pool"), F.explode(F.array("team", "opposition")).alias("team")).distinct()
-    rated = asof_join(sides, ratings, ["pool", "team"], "date", ["rating"]).select("match_id", F.col("team").alias("_team"), F.coalesce("rating", F.lit(ELO_START)).alias("_rating"))
-    places = about.select("match_id", "date", "venue", "fgroup").distinct()
-    par = asof_join(places, totals, ["venue", "fgroup"], "date", ["runs", "n"]).select("match_id", "venue", (F.col("runs") / F.nullif(F.col("n"), F.lit(0))).alias("par"))
-    strikers = about.select("match_id", "date", F.col("batter").alias("player"), "gender").distinct()
+    own = balls.filter(F.col("fgroup").isin(*(overs or OVERS)) & F.col("innings").isin(1, 2)).dropna(subset=["match_id", "seq"])
+    rows = win_rows(own, overs=overs, keep=("batter", "gender", "fgroup", "venue", "date", "team", "opposition")).withColumnRenamed("score_after", "score")
+    both = own.select("match_id", "date", pool.alias("pool"), "team", "opposition").distinct()
+    sides = both.select("match_id", "date", "pool", F.explode(F.array("team", "opposition")).alias("team")).distinct().filter("team is not null")
+    rated = asof_join(sides, ratings, ["pool", "team"], "date", ["rating"]).withColumn("rating", F.coalesce("rating", F.lit(ELO_START)))
+    places = own.select("match_id", "date", "venue", "fgroup").distinct().filter("venue is not null")
+    par = asof_join(places, totals, ["venue", "fgroup"], "date", ["runs", "n"]).withColumn("par", F.col("runs") / F.nullif(F.col("n"), F.lit(0)))
+    strikers = own.select("match_id", "date", F.col("batter").alias("player"), "gender").distinct().filter("player is not null and gender is not null")
     mean = batting.groupBy("player", "gender").agg(F.max("runs").alias("runs"), F.max("balls").alias("balls")).groupBy("gender").agg((F.sum("runs") / F.nullif(F.sum("balls"), F.lit(0))).alias("mean"))
     form = asof_join(strikers, batting, ["player", "gender"], "date", ["runs", "balls"]).join(mean, "gender", "left")
-    shrunk = (F.coalesce("runs", F.lit(0)) + FORM_BALLS * F.col("mean")) / (F.coalesce("balls", F.lit(0)) + FORM_BALLS)
-    form = form.select("match_id", F.col("player").alias("batter"), "gender", shrunk.alias("striker_form"))
-    for side in ("team", "opposition"):
-        rows = rows.join(rated.select("match_id", F.col("_team").alias(side), F.col("_rating").alias(f"_{side}")), ["match_id", side], "left")
-    rows = rows.join(par, ["match_id", "venue"], "left").join(form, ["match_id", "batter", "gender"], "left")
-    rows = rows.withColumns({"female": (F.col("gender") == female).cast("int"), "overs": F.col("balls_total") / 6, "rating_lead": F.col("_team") - F.col("_opposition")})
+    form = form.withColumn("form", (F.coalesce("runs", F.lit(0)) + FORM_BALLS * F.col("mean")) / (F.coalesce("balls", F.lit(0)) + FORM_BALLS))
+    of = lambda name, *key: F.try_element_at(name, F.struct(*(F.col(c).alias(k) for k, c in key)))
+    at = ("date", "date")
+    rows = rows.withColumn("pool", pool).join(_by_match(rated, ["team", "pool", "date"], "rating", "_ratings", shares), "match_id", "left")
+    rows = rows.withColumn("rating_lead", of("_ratings", ("team", "team"), ("pool", "pool"), at) - of("_ratings", ("team", "opposition"), ("pool", "pool"), at)).drop("_ratings", "team", "opposition", "pool")
+    rows = rows.join(_by_match(par, ["venue", "fgroup", "date"], "par", "_pars", shares), "match_id", "left")
+    rows = rows.withColumn("par", of("_pars", ("venue", "venue"), ("fgroup", "fgroup"), at)).drop("_pars", "venue", "fgroup")
+    rows = rows.join(_by_match(form, ["player", "gender", "date"], "form", "_forms", shares), "match_id", "left")
+    rows = rows.withColumns({"striker_form": of("_forms", ("player", "batter"), ("gender", "gender"), at), "female": (F.col("gender") == female).cast("int"), "overs": F.col("balls_total") / 6})
     return rows.select("match_id", "innings", "seq", "batter", *FEATURES[1:], "won")

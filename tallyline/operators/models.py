@@ -48,11 +48,11 @@ def ball_states(balls: DataFrame) -> DataFrame:
 OVERS = {"T20": 20, "ODI": 50}
 
 
-def win_rows(balls: DataFrame, par: DataFrame | None = None, overs: dict[str, int] | None = None) -> DataFrame:
+def win_rows(balls: DataFrame, par: DataFrame | None = None, overs: dict[str, int] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The state after every ball of limited-overs innings 1 and 2 with what a forecast may know: balls_left,
     wickets_left, and in a chase the target, what is needed and at which rate; null where it does not
     apply. won: whether the batting side did, null without a decision. par (match_id, par) is joined
-    if given."""
+    if given. keep: columns of the balls that come along."""
     overs = overs or OVERS
     states = ball_states(balls.filter(F.col("fgroup").isin(*overs) & F.col("innings").isin(1, 2)))
     total = F.max(F.when(F.col("innings") == 1, F.col("score_after"))).over(Window.partitionBy("match_id"))
@@ -61,7 +61,7 @@ def win_rows(balls: DataFrame, par: DataFrame | None = None, overs: dict[str, in
     out = states.withColumns({"target": target, "balls_total": length, "balls_left": F.greatest(length - F.col("legal_after"), F.lit(0)), "wickets_left": 10 - F.least("wickets_after", F.lit(10))})
     out = out.withColumns({"needed": F.col("target") - F.col("score_after"), "won": F.when(F.col("result") == "won", 1).when(F.col("result") == "lost", 0)})
     out = out.withColumn("required", 6.0 * F.col("needed") / F.greatest("balls_left", F.lit(1)))
-    columns = ("match_id", "innings", "seq", "score_after", "wickets_left", "balls_total", "balls_left", "target", "needed", "required", "won")
+    columns = ("match_id", "innings", "seq", "score_after", "wickets_left", "balls_total", "balls_left", "target", "needed", "required", "won", *keep)
     return out.select(*columns) if par is None else out.join(par.select("match_id", "par"), "match_id", "left").select(*columns, "par")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where a local session names no checkpoint folder.
 LOCAL = "/tmp/checkpoints"
 _CLEARED: set[str] = set()
+#: Tables of this application's catalog that lie in its folder.
+_TABLES: list[str] = []
 _BUILDING = threading.RLock()
 
 
@@ -36,10 +38,17 @@ def shared_root(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, root: str) -> None:
     if spark.sparkContext._jsc is not None:  # a stopped session leaves it
+        for name in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         fs, p = fs_path(spark, root)
         fs.delete(p, True)
 
 
+def _table(where: str) -> str:
+    """The catalog's name for a stored folder: only there are a table's buckets known."""
+    return "spark_catalog.default.tallyline_" + where.rsplit("/", 1)[1].replace("-", "_")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: what follows does not repeat what came before, and a
     lost executor costs a reread."""
@@ -58,13 +67,16 @@ class Stored(Mapping):
 
     views: names that are not written: what is asked of them decides which columns are made at all.
 
+    buckets: name -> what gives the column that a table is dealt by and over how many buckets: groups, windows and
+    joins by that column then need no exchange of it.
+
     Each build writes a folder of its own, which counts once its write is complete: two builders at
     the same time, or one that failed half-way, leave no rows in each other's table.
     """
 
-    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = (), layout: Mapping[str, str] | None = None, views: Iterable[str] = ()):
+    def __init__(self, spark: SparkSession, key: str, builders: dict[str, Callable[[Stored], DataFrame]], inputs: Iterable[str] = (), layout: Mapping[str, str] | None = None, views: Iterable[str] = (), buckets: Mapping[str, Callable[[Stored], tuple[str, int]]] | None = None):
         root = shared_root(spark)
-        self.spark, self.builders, self.layout, self.views = spark, builders, layout or {}, frozenset(views)
+        self.spark, self.builders, self.layout, self.views, self.buckets = spark, builders, layout or {}, frozenset(views), buckets or {}
         version = [key, *(f"{x}@{self._fs(x)[0].getFileStatus(self._fs(x)[1]).getModificationTime()}" for x in inputs)]
         self.path = f"{root}/{hashlib.md5(chr(10).join(version).encode()).hexdigest()}"
 
@@ -85,9 +97,22 @@ class Stored(Mapping):
                 df, by = self.builders[name](self), self.layout.get(name)
                 if by:
                     df = df.repartitionByRange(by).sortWithinPartitions(by)
-                df.write.option("compression", "zstd").parquet(where)
+                rows = df.write.option("compression", "zstd")
+                if name in self.buckets:
+                    column, n = self.buckets[name](self)
+                    rows.bucketBy(n, column).option("path", where).saveAsTable(_table(where), format="parquet")
+                    _TABLES.append(_table(where))
+                else:
+                    rows.parquet(where)
+            if name in self.buckets and self.spark.catalog.tableExists(_table(where)):
+                return self.spark.table(_table(where))
         return self.spark.read.parquet(where)
 
+    def flat(self, name: str) -> DataFrame:
+        """A stored table as plain files, without its buckets."""
+        self[name]  # stores it, if need be
+        return self.spark.read.parquet(self._written(name))
+
     def __iter__(self):
         return iter(self.builders)
 
