@@ -294,13 +294,13 @@ def match_context(innings: DataFrame, role: str) -> DataFrame:
 
 def era_baseline(batting: DataFrame, years: int = ERA_YEARS) -> DataFrame:
     """(gender, fgroup, position, yr) -> era_runs, era_outs per innings within +-years, positions to
-    ERA_POSITIONS. Each year's sums are sent to the years they count for, then joined by equality."""
+    ERA_POSITIONS. Each year's sums are sent to the years they count for; of those only the years that have
+    sums of their own are kept, so the innings are passed once."""
     yearly = batting.filter(F.col("position") <= ERA_POSITIONS).groupBy("gender", "fgroup", "position", "yr").agg(F.sum("runs").alias("r"), F.sum("out").alias("o"), F.count("*").alias("n"))
-    wide = yearly.withColumn("for", F.explode(F.sequence(F.col("yr") - years, F.col("yr") + years))).groupBy("gender", "fgroup", "position", F.col("for").alias("yr"))
-    means = wide.agg((F.sum("r") / F.sum("n")).alias("era_runs"), (F.sum("o") / F.sum("n")).alias("era_outs"))
-    key = ["gender", "fgroup", "position", "yr"]
-    held = yearly.select(*(F.col(c).alias(f"_{c}") for c in key))
-    return means.join(held, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
+    sent = yearly.withColumn("for", F.explode(F.sequence(F.col("yr") - years, F.col("yr") + years))).withColumn("own", F.col("for") == F.col("yr"))
+    wide = sent.groupBy("gender", "fgroup", "position", F.col("for").alias("yr"))
+    means = wide.agg((F.sum("r") / F.sum("n")).alias("era_runs"), (F.sum("o") / F.sum("n")).alias("era_outs"), F.max("own").alias("held"))
+    return means.filter("held").drop("held")
 
 
 def with_era(batting: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def maidens(spark, sf_dir):
 
 @register("era_range", ledger.sql(f"SELECT gender, fgroup, position::BIGINT AS position, yr::BIGINT AS yr, {_r('era_runs', 'era_runs')}, {_r('era_outs', 'era_outs')} FROM era", batting=True))
 def era_range(spark, sf_dir):
-    return rounded(derive.era_baseline(ledger.tables(spark, sf_dir)["batting_innings"]).select("gender", "fgroup", "position", "yr", "era_runs", "era_outs"))
+    return rounded(derive.era_baseline(ledger.tables(spark, sf_dir)["batting_in_place"]).select("gender", "fgroup", "position", "yr", "era_runs", "era_outs"))
 
 
 # --- the metric registry -----------------------------------------------------------------------------------
