@@ -125,10 +125,13 @@ def yearly(rows: DataFrame, least: float = LEAST_HALF) -> DataFrame:
 
 
 def next_year(years: DataFrame) -> DataFrame:
-    """Pairs of consecutive years of a player: n, rate, n2, rate2 and the harmonic weight. A gap makes no pair."""
+    """Pairs of consecutive years of a player: n, rate, n2, rate2 and the harmonic weight. A gap makes no pair,
+    nor does an unknown player or group. years: a row for each player, metric and year, read once."""
     key = ["fgroup", "gender", "player", "metric"]
-    later = years.select(*key, (F.col("yr") - 1).alias("yr"), F.col("n").alias("n2"), F.col("rate").alias("rate2"))
-    return years.join(later, [*key, "yr"]).withColumn("w", F.col("n") * F.col("n2") / (F.col("n") + F.col("n2")))
+    order = Window.partitionBy(*key).orderBy("yr")
+    known = years.dropna(subset=[*key, "yr"]).select(*key, "yr", *(c for c in years.columns if c not in (*key, "yr")))
+    pairs = known.withColumns({"n2": F.lead("n").over(order), "rate2": F.lead("rate").over(order), "_next": F.lead("yr").over(order)}).filter(F.col("_next") == F.col("yr") + 1).drop("_next")
+    return pairs.withColumn("w", F.col("n") * F.col("n2") / (F.col("n") + F.col("n2")))
 
 
 def year_to_year(innings: DataFrame, role: str, least: float = LEAST_HALF) -> DataFrame:

@@ -59,7 +59,7 @@ def phase_compare(spark, sf_dir):
 
 @register("season_pairs_top", ledger.sql(_SEASONS + _YEARS + f"\nSELECT fgroup, gender, player, yr::BIGINT AS yr, {_r('rate', 'rate')}, {_r('rate2', 'rate2')}, {_r('w', 'w')} FROM pairs WHERE metric = 'wickets' ORDER BY pairs.w DESC, player, yr, fgroup, gender LIMIT 20", bowling=True))
 def season_pairs_top(spark, sf_dir):
-    bowling = ledger.tables(spark, sf_dir)["bowling_innings"]
+    bowling = ledger.tables(spark, sf_dir)["bowling_in_place"]
     pairs = study.next_year(study.yearly(study.seasons(bowling, "bowling"), 5)).filter("metric = 'wickets'")
     return rounded(pairs.orderBy(F.desc("w"), "player", "yr", "fgroup", "gender").limit(20).select("fgroup", "gender", "player", "yr", "rate", "rate2", "w"))
 

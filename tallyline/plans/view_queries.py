@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.scope import build as scope_of
 from tallyline.operators import ballstats, engine, models, study
 from tallyline.sources.matches import upsert
+from tallyline.sources.stored import cut
 
 from . import ledger
 from .ledger_queries import TINY, _r, metric_sql, rounded
@@ -325,7 +326,12 @@ _MINE = lambda df: df.filter(F.col("metric").isin("dot", "wickets"))  # noqa: E7
 
 
 def _bowl(spark, sf_dir):
-    return ledger.tables(spark, sf_dir)["bowling_innings"]
+    return ledger.tables(spark, sf_dir)["bowling_in_place"]
+
+
+def _pairs(spark, sf_dir):
+    """Pairs of years, which are written once: the lines and what they miss both read them."""
+    return cut(_MINE(study.next_year(study.yearly(study.seasons(_bowl(spark, sf_dir), "bowling"), 5))), "pairs")
 
 
 @register("study_halves_k", (ledger.sql(_SEASONS + ", h AS (SELECT fgroup, gender, player, yr, metric, sum(n) FILTER (half = 0) AS na, sum(n) FILTER (half = 1) AS nb, sum(x) FILTER (half = 0) AS xa, sum(x) FILTER (half = 1) AS xb FROM seasons GROUP BY ALL HAVING na >= 4 AND nb >= 4), g AS (SELECT fgroup, gender, metric, count(*) AS seasons, sum(xa + xb) / sum(na + nb) AS p, median(na + nb) AS typical, " + _SUMS("a", "b") + " FROM (SELECT *, xa / na AS a, xb / nb AS b, na * nb / (na + nb) AS w FROM h) GROUP BY ALL)\n" + f"SELECT fgroup, gender, metric, seasons, {_r('p', 'p')}, {_r('p * (1 - p)', 'sigma2')}, round({_COV}, 6) AS tau2, {_r('typical', 'typical')}, {_r(f'CASE WHEN {_VX} * {_VY} > 0 THEN {_COV} / sqrt({_VX} * {_VY}) END', 'r_half')} FROM g", bowling=True)))
@@ -341,15 +347,14 @@ def study_year_pairs(spark, sf_dir):
 
 @register("study_predictors", (ledger.sql(_SEASONS + _YEARS + ", v AS (SELECT fgroup, gender, metric, yr % 2 AS half, rate2, w, 'league average' AS predictor, 0.0::DOUBLE AS x FROM pairs UNION ALL SELECT fgroup, gender, metric, yr % 2, rate2, w, 'this season', rate FROM pairs UNION ALL SELECT fgroup, gender, metric, yr % 2, rate2, w, 'regressed', (x + 4.0) / (n + 40.0) FROM pairs), ln AS (SELECT fgroup, gender, metric, predictor, 1 - half AS half, coalesce(CASE WHEN " + f"{_VX} <> 0 THEN {_COV} / {_VX} END" + ", 0) AS b, sx / sw AS mx, sy / sw AS my FROM (SELECT fgroup, gender, metric, predictor, half, " + _SUMS("x", "rate2") + " FROM v GROUP BY ALL))\n" + f"SELECT fgroup, gender, metric, predictor, count(*) AS pairs, {_r('sqrt(sum(w * (rate2 - (my + b * (x - mx))) ** 2) / sum(w))', 'rmse')} FROM v JOIN ln USING (fgroup, gender, metric, predictor, half) GROUP BY ALL", bowling=True)))
 def study_predictors(spark, sf_dir):
-    pairs = _MINE(study.next_year(study.yearly(study.seasons(_bowl(spark, sf_dir), "bowling"), 5)))
+    pairs = _pairs(spark, sf_dir)
     candidates = {"this season": F.col("rate"), "regressed": (F.col("x") + 4.0) / (F.col("n") + 40.0)}
     return rounded(study.predictors(pairs, candidates).select("fgroup", "gender", "metric", "predictor", "pairs", "rmse"))
 
 
 @register("study_prediction", (ledger.sql(_SEASONS + _YEARS + ", ln AS (SELECT fgroup, gender, metric, 1 - yr % 2 AS fold, coalesce(" + f"{_COV} / nullif({_VX}, 0)" + ", 0) AS b, sx / sw AS mx, sy / sw AS my FROM (SELECT fgroup, gender, metric, yr % 2 AS yr, " + _SUMS("rate", "rate2") + " FROM pairs GROUP BY fgroup, gender, metric, yr % 2))\n" + f"SELECT p.fgroup, p.gender, p.metric, count(*) AS pairs, {_r('sqrt(sum(w * (rate2 - (my + b * (rate - mx))) ** 2) / sum(w))', 'rmse')} FROM pairs p JOIN ln ON p.fgroup = ln.fgroup AND p.gender = ln.gender AND p.metric = ln.metric AND p.yr % 2 = ln.fold GROUP BY ALL", bowling=True)))
 def study_prediction(spark, sf_dir):
-    pairs = _MINE(study.next_year(study.yearly(study.seasons(_bowl(spark, sf_dir), "bowling"), 5)))
-    return rounded(study.prediction(pairs, "rate"))
+    return rounded(study.prediction(_pairs(spark, sf_dir), "rate"))
 
 
 @register("sample_variance", ledger.sql(f"SELECT fgroup, gender, 'runs' AS metric, {_r('var_pop(runs_batter) FILTER (faced)', 'sigma2')} FROM balls GROUP BY ALL UNION ALL SELECT fgroup, gender, 'inplay', {_r('var_pop(runs_batter) FILTER (in_play)', 'sigma2')} FROM balls GROUP BY ALL"))

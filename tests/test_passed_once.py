@@ -2,8 +2,12 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from tallyline.operators import derive
+from tallyline.operators import derive, study
+from tallyline.plans import view_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +41,22 @@ def test_an_era_needs_a_year_of_its_own(spark):
 def test_form_moves_innings_not_balls(spark):
     moved = _moved(entry.queries()["form_all_kinds"](spark, SF))
     assert sum("match_id#" in columns for columns in moved) == 1 and not any("seq#" in columns for columns in moved)
+
+
+def test_pairs_of_years_need_no_second_copy(spark):
+    rows = [("a", 2000, 4.0, 0.5), ("a", 2001, 12.0, 0.25), ("a", 2003, 9.0, 0.1), ("a", 2004, None, 0.2), (None, 2000, 5.0, 0.5), (None, 2001, 5.0, 0.5), ("b", None, 5.0, 0.5), ("b", 2000, 5.0, 0.5)]
+    years = spark.createDataFrame(rows, "player string, yr int, n double, rate double").withColumns({"fgroup": F.lit("f"), "gender": F.lit("g"), "metric": F.lit("m")})
+    got = study.next_year(years)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.player, r.yr, r.n, r.n2, r.rate, r.rate2, r.w) for r in got.collect()) == [("a", 2000, 4.0, 12.0, 0.5, 0.25, 3.0), ("a", 2003, 9.0, None, 0.1, 0.2, None)]
+
+
+@pytest.mark.parametrize("name", ["study_prediction", "study_predictors", "study_gain"])
+def test_lines_and_errors_read_written_pairs(spark, name):
+    files = entry.queries()[name](spark, SF).inputFiles()
+    assert files and all("/pairs-" in f for f in files)
+
+
+def test_the_study_leaves_the_balls_where_they_lie(spark):
+    moved = _moved(study.seasons(view_queries._bowl(spark, SF), "bowling"))
+    assert moved and not any("match_id#" in columns for columns in moved)
