@@ -160,7 +160,8 @@ def _registry_query(role: str, family: str) -> None:
 
     @register(f"metrics_{role}_{family.replace(' ', '_').replace('-', '_')}", ledger.sql(f"SELECT player, {metric_sql(role, names)} FROM {role} GROUP BY player", **{role: True}))
     def query(spark, sf_dir):
-        return rounded(ledger.tables(spark, sf_dir)[f"{role}_innings"].groupBy("player").agg(*(REGISTRY[role][m].column() for m in names)))
+        # Made where the balls lie: the era's means and the players' sums each pass them, and neither moves them.
+        return rounded(ledger.tables(spark, sf_dir)[f"{role}_in_place"].groupBy("player").agg(*(REGISTRY[role][m].column() for m in names)))
 
 
 for _role, _metrics in REGISTRY.items():

@@ -60,3 +60,9 @@ def test_lines_and_errors_read_written_pairs(spark, name):
 def test_the_study_leaves_the_balls_where_they_lie(spark):
     moved = _moved(study.seasons(view_queries._bowl(spark, SF), "bowling"))
     assert moved and not any("match_id#" in columns for columns in moved)
+
+
+@pytest.mark.parametrize("name", ["metrics_batting_context", "metrics_batting_role", "metrics_bowling_context"])
+def test_a_family_of_metrics_leaves_the_balls_where_they_lie(spark, name):
+    moved = _moved(entry.queries()[name](spark, SF))
+    assert moved and not any("match_id#" in columns for columns in moved)
