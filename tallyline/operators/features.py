@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def _by_match(found: DataFrame, key: list[str], value: str, name: str, shares: i
     return dealt.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*key), F.col(value)))).alias(name))
 
 
-def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting: DataFrame, overs: dict[str, int] | None = None, female: str = "female", shares: int | None = None) -> DataFrame:
-    """match_id, innings, seq, batter, the FEATURES and won of every ball of win_rows().
+def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting: DataFrame, overs: dict[str, int] | None = None, female: str = "female", shares: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """match_id, innings, seq, batter, the FEATURES and won of every ball of win_rows(); keep: columns of the balls
+    that come along.
 
     ratings (pool, team, date, rating; pool is format group and gender joined by a bar), totals
     (venue, fgroup, date, runs, n: first-innings runs and innings so far) and batting (player, gender,
@@ -46,10 +49,11 @@ def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting:
     the venue's mean total; striker_form is the striker's runs a ball, drawn to the pool's mean by
     FORM_BALLS balls. A match has a few sides and strikers, so the as-of joins run over these; what
     they find goes back to the match as one map each. Balls that are bucketed by match stay where they
-    are; shares is the number of their buckets."""
+    are; shares is the number of their buckets. A match has one row in each map, so Spark drops the join of a
+    map, and all that it is made of, where none of its features is asked for."""
     pool = F.concat_ws("|", "fgroup", "gender")
     own = balls.filter(F.col("fgroup").isin(*(overs or OVERS)) & F.col("innings").isin(1, 2)).dropna(subset=["match_id", "seq"])
-    rows = win_rows(own, overs=overs, keep=("batter", "gender", "fgroup", "venue", "date", "team", "opposition")).withColumnRenamed("score_after", "score")
+    rows = win_rows(own, overs=overs, keep=("batter", "gender", "fgroup", "venue", "date", "team", "opposition", *keep)).withColumnRenamed("score_after", "score")
     both = own.select("match_id", "date", pool.alias("pool"), "team", "opposition").distinct()
     sides = both.select("match_id", "date", "pool", F.explode(F.array("team", "opposition")).alias("team")).distinct().filter("team is not null")
     rated = asof_join(sides, ratings, ["pool", "team"], "date", ["rating"]).withColumn("rating", F.coalesce("rating", F.lit(ELO_START)))
@@ -67,4 +71,4 @@ def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting:
     rows = rows.withColumn("par", of("_pars", ("venue", "venue"), ("fgroup", "fgroup"), at)).drop("_pars", "venue", "fgroup")
     rows = rows.join(_by_match(form, ["player", "gender", "date"], "form", "_forms", shares), "match_id", "left")
     rows = rows.withColumns({"striker_form": of("_forms", ("player", "batter"), ("gender", "gender"), at), "female": (F.col("gender") == female).cast("int"), "overs": F.col("balls_total") / 6})
-    return rows.select("match_id", "innings", "seq", "batter", *FEATURES[1:], "won")
+    return rows.select("match_id", "innings", "seq", "batter", *FEATURES[1:], "won", *keep)

@@ -49,10 +49,20 @@ def _table(where: str) -> str:
     return "spark_catalog.default.tallyline_" + where.rsplit("/", 1)[1].replace("-", "_")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def _save_buckets(df: DataFrame, where: str, bucket: tuple[str, int]) -> None:
+    column, n = bucket
+    df.write.option("compression", "zstd").bucketBy(n, column).option("path", where).saveAsTable(_table(where), format="parquet")
+    _TABLES.append(_table(where))
+
+
+def cut(df: DataFrame, name: str, bucket: tuple[str, int] | None = None) -> DataFrame:
     """df written to the shared folder and read back: what follows does not repeat what came before, and a
-    lost executor costs a reread."""
+    lost executor costs a reread. bucket: a column and over how many buckets the rows are dealt by it, so that what
+    follows by that column needs no exchange."""
     where = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if bucket:
+        _save_buckets(df, where, bucket)
+        return df.sparkSession.table(_table(where))
     df.write.option("compression", "zstd").parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
@@ -97,13 +107,10 @@ class Stored(Mapping):
                 df, by = self.builders[name](self), self.layout.get(name)
                 if by:
                     df = df.repartitionByRange(by).sortWithinPartitions(by)
-                rows = df.write.option("compression", "zstd")
                 if name in self.buckets:
-                    column, n = self.buckets[name](self)
-                    rows.bucketBy(n, column).option("path", where).saveAsTable(_table(where), format="parquet")
-                    _TABLES.append(_table(where))
+                    _save_buckets(df, where, self.buckets[name](self))
                 else:
-                    rows.parquet(where)
+                    df.write.option("compression", "zstd").parquet(where)
             if name in self.buckets and self.spark.catalog.tableExists(_table(where)):
                 return self.spark.table(_table(where))
         return self.spark.read.parquet(where)

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyline.operators import derive, study
-from tallyline.plans import view_queries
+from tallyline.operators import derive, evaluate, study
+from tallyline.plans import model_queries, view_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +66,19 @@ def test_the_study_leaves_the_balls_where_they_lie(spark):
 def test_a_family_of_metrics_leaves_the_balls_where_they_lie(spark, name):
     moved = _moved(entry.queries()[name](spark, SF))
     assert moved and not any("match_id#" in columns for columns in moved)
+
+
+def test_a_forecast_makes_only_what_its_rule_reads(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(model_queries, "cut", lambda rows, *how: written.append(rows) or rows)
+    model_queries._forecasts(spark, SF)
+    moved = _moved(written[0])
+    # The matches' grounds move, and nothing of strikers, sides or balls.
+    assert moved and not any(re.search(r"\b(batter|player|team|pool|seq|outs)#", columns) for columns in moved)
+    assert _plan(written[0]).count("SortMergeJoin") + _plan(written[0]).count("ShuffledHashJoin") <= 1
+
+
+def test_swings_of_forecasts_leave_the_balls_with_their_match(spark):
+    forecasts = model_queries._forecasts(spark, SF)
+    assert not any("match_id#" in columns for columns in _moved(evaluate.swing(forecasts)))
+    assert len(_moved(evaluate.quiet_swings(forecasts))) == 1  # the mean par
