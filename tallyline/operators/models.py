@@ -192,10 +192,16 @@ def blended(log_odds: Sequence[Column]) -> Column:
     return probability(sum(log_odds[1:], log_odds[0]) / len(log_odds))
 
 
+def accuracy(scored: DataFrame, p: str = "p", label: str = "y") -> DataFrame:
+    """One row: n, log_loss, brier and ones, the rows of label 1. Sums alone: no row is ranked or moved."""
+    P, Y = F.col(p), F.col(label)
+    return scored.agg(F.count("*").alias("n"), F.avg(-(Y * F.log(P) + (1 - Y) * F.log(1 - P))).alias("log_loss"), F.avg((P - Y) ** 2).alias("brier"), F.sum(Y).alias("ones"))
+
+
 def evaluation(scored: DataFrame, p: str = "p", label: str = "y", bins: int = 20) -> DataFrame:
     """One row: n, log_loss, brier, auc (by rank sums, ties half) and ece over equal bins."""
     P, Y = F.col(p), F.col(label)
-    basic = scored.agg(F.count("*").alias("n"), F.avg(-(Y * F.log(P) + (1 - Y) * F.log(1 - P))).alias("log_loss"), F.avg((P - Y) ** 2).alias("brier"), F.sum(Y).alias("ones"))
+    basic = accuracy(scored, p, label)
     # Distinct scores lie in bands: sums over the bands before, then within the band.
     values = scored.groupBy(P.alias("v")).agg(F.count("*").alias("m"), F.sum(Y).alias("k")).withColumn("band", F.floor(F.col("v") * BANDS))
     before = lambda w: F.coalesce(F.sum("z").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallyline.operators import derive, evaluate, study
+from tallyline.operators import derive, evaluate, models, study
 from tallyline.plans import model_queries, view_queries
 
 SF = "/root/testdata/sf0.001"
@@ -78,7 +78,16 @@ def test_a_forecast_makes_only_what_its_rule_reads(spark, monkeypatch):
     assert _plan(written[0]).count("SortMergeJoin") + _plan(written[0]).count("ShuffledHashJoin") <= 1
 
 
-def test_swings_of_forecasts_leave_the_balls_with_their_match(spark):
+def test_swings_and_scores_of_forecasts_leave_the_balls_with_their_match(spark):
     forecasts = model_queries._forecasts(spark, SF)
     assert not any("match_id#" in columns for columns in _moved(evaluate.swing(forecasts)))
     assert len(_moved(evaluate.quiet_swings(forecasts))) == 1  # the mean par
+    # Only one-row sums, and no distinct forecast, cross an exchange.
+    moved = _moved(entry.queries()["par_forecast"](spark, SF))
+    assert moved and not any(re.search(r"\b(p|v|band|b)#", columns) for columns in moved)
+
+
+def test_accuracy_is_the_evaluation_without_its_ranks(spark):
+    rows = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.4, 1), (0.4, 0)], "p double, y int")
+    a, e = models.accuracy(rows).first(), models.evaluation(rows).first()
+    assert (a.n, a.log_loss, a.brier, a.ones) == (e.n, e.log_loss, e.brier, 2)
