@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof_join
-from .models import ELO_START, FORM_BALLS, OVERS, elo, win_rows
+from .models import ELO_START, FORM_BALLS, OVERS, elo, match_map, win_rows
 
 FEATURES = ("innings", "balls_left", "wickets_left", "score", "target", "needed", "required", "par", "female", "overs", "rating_lead", "striker_form")
 
@@ -32,12 +32,6 @@ def running_history(rows: DataFrame, keys: list[str], values: dict, at: str = "d
     return days.select(*keys, at, *(F.sum(n).over(along).alias(n) for n in values))
 
 
-def _by_match(found: DataFrame, key: list[str], value: str, name: str, shares: int | None) -> DataFrame:
-    """match_id, name: the values of a match's few keys in one map, dealt as the match's balls are."""
-    dealt = found.repartition("match_id") if shares is None else found.repartition(shares, "match_id")
-    return dealt.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*key), F.col(value)))).alias(name))
-
-
 def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting: DataFrame, overs: dict[str, int] | None = None, female: str = "female", shares: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """match_id, innings, seq, batter, the FEATURES and won of every ball of win_rows(); keep: columns of the balls
     that come along.
@@ -65,10 +59,10 @@ def win_matrix(balls: DataFrame, ratings: DataFrame, totals: DataFrame, batting:
     form = form.withColumn("form", (F.coalesce("runs", F.lit(0)) + FORM_BALLS * F.col("mean")) / (F.coalesce("balls", F.lit(0)) + FORM_BALLS))
     of = lambda name, *key: F.try_element_at(name, F.struct(*(F.col(c).alias(k) for k, c in key)))
     at = ("date", "date")
-    rows = rows.withColumn("pool", pool).join(_by_match(rated, ["team", "pool", "date"], "rating", "_ratings", shares), "match_id", "left")
+    rows = rows.withColumn("pool", pool).join(match_map(rated, ["team", "pool", "date"], "rating", "_ratings", shares), "match_id", "left")
     rows = rows.withColumn("rating_lead", of("_ratings", ("team", "team"), ("pool", "pool"), at) - of("_ratings", ("team", "opposition"), ("pool", "pool"), at)).drop("_ratings", "team", "opposition", "pool")
-    rows = rows.join(_by_match(par, ["venue", "fgroup", "date"], "par", "_pars", shares), "match_id", "left")
+    rows = rows.join(match_map(par, ["venue", "fgroup", "date"], "par", "_pars", shares), "match_id", "left")
     rows = rows.withColumn("par", of("_pars", ("venue", "venue"), ("fgroup", "fgroup"), at)).drop("_pars", "venue", "fgroup")
-    rows = rows.join(_by_match(form, ["player", "gender", "date"], "form", "_forms", shares), "match_id", "left")
+    rows = rows.join(match_map(form, ["player", "gender", "date"], "form", "_forms", shares), "match_id", "left")
     rows = rows.withColumns({"striker_form": of("_forms", ("player", "batter"), ("gender", "gender"), at), "female": (F.col("gender") == female).cast("int"), "overs": F.col("balls_total") / 6})
     return rows.select("match_id", "innings", "seq", "batter", *FEATURES[1:], "won", *keep)

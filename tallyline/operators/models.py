@@ -91,14 +91,22 @@ def next_ball_rows(balls: DataFrame) -> DataFrame:
     ).filter("faced").drop("faced")
 
 
-def next_ball_form(rows: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
+def match_map(found: DataFrame, key: list[str], value: str, name: str, shares: int | None) -> DataFrame:
+    """match_id, name: the values of a match's few keys in one map, dealt as the match's balls are."""
+    dealt = found.repartition("match_id") if shares is None else found.repartition(shares, "match_id")
+    return dealt.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*key), F.col(value)))).alias(name))
+
+
+def next_ball_form(rows: DataFrame, batting: DataFrame, bowling: DataFrame, shares: int | None = None) -> DataFrame:
     """next_ball_rows() with the striker's and the bowler's career runs a ball before the match, drawn to the
-    career mean of all by FORM_BALLS balls."""
+    career mean of all by FORM_BALLS balls. A match's few forms come to it as a map, so rows that are bucketed by
+    match stay where they are; shares is the number of their buckets."""
     for who, innings in (("batter", batting), ("bowler", bowling)):
-        form = form_before(innings, ["runs", "balls"])
         mean = innings.agg((F.sum("runs") / F.sum("balls")).alias("mean"))
-        form = form.crossJoin(F.broadcast(mean)).select(F.col("player").alias(who), "gender", "match_id", ((F.col("runs_before") + FORM_BALLS * F.col("mean")) / (F.col("balls_before") + FORM_BALLS)).alias(f"{who}_form"))
-        rows = rows.join(form, [who, "gender", "match_id"], "left")
+        form = (F.col("runs_before") + FORM_BALLS * F.col("mean")) / (F.col("balls_before") + FORM_BALLS)
+        found = form_before(innings, ["runs", "balls"]).dropna(subset=["player", "gender"]).crossJoin(F.broadcast(mean)).withColumn("form", form)
+        known = F.try_element_at("_forms", F.struct(F.col(who).alias("player"), F.col("gender").alias("gender")))
+        rows = rows.join(match_map(found, ["player", "gender"], "form", "_forms", shares), "match_id", "left").withColumn(f"{who}_form", known).drop("_forms")
     return rows
 
 

@@ -77,7 +77,7 @@ def next_ball_rows(spark, sf_dir):
 @register("next_ball_form", ledger.sql(f", f AS (SELECT player, gender, match_id, (coalesce(sum(runs) OVER w, 0) + 120.0 * m) / (coalesce(sum(balls) OVER w, 0) + 120.0) AS form FROM (SELECT player, gender, date, match_id, sum(runs) AS runs, sum(balls) AS balls FROM bowling GROUP BY ALL), (SELECT sum(runs)::DOUBLE / sum(balls) AS m FROM bowling) WINDOW w AS (PARTITION BY player, gender ORDER BY date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))\nSELECT bowler, count(*) AS n, {_r('avg(form)', 'form')} FROM balls LEFT JOIN f ON bowler = player AND balls.gender = f.gender AND balls.match_id = f.match_id WHERE faced GROUP BY 1", bowling=True))
 def next_ball_form(spark, sf_dir):
     tables = ledger.tables(spark, sf_dir)
-    rows = models.next_ball_form(models.next_ball_rows(ledger.balls(spark, sf_dir)), tables["batting_innings"], tables["bowling_innings"])
+    rows = models.next_ball_form(models.next_ball_rows(tables["balls"]), tables["batting_in_place"], tables["bowling_in_place"], ledger.tasks(spark, sf_dir))
     return rounded(rows.groupBy("bowler").agg(F.count("*").alias("n"), F.avg("bowler_form").alias("form")))
 
 

@@ -91,3 +91,25 @@ def test_accuracy_is_the_evaluation_without_its_ranks(spark):
     rows = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.4, 1), (0.4, 0)], "p double, y int")
     a, e = models.accuracy(rows).first(), models.evaluation(rows).first()
     assert (a.n, a.log_loss, a.brier, a.ones) == (e.n, e.log_loss, e.brier, 2)
+
+
+def test_forms_come_to_the_balls_of_a_match(spark):
+    got = entry.queries()["next_ball_form"](spark, SF)
+    assert not any("lineitem" in f for f in got.inputFiles())
+    moved = _moved(got)
+    # The bowlers' sums of a match go out and their forms come back; no ball moves, and no striker's form is made.
+    assert sum("match_id#" in columns for columns in moved) == 2 and not any(re.search(r"\b(seq|faced|batter)#", columns) for columns in moved)
+
+
+def test_forms_by_hand(spark):
+    innings = spark.createDataFrame([("a", "g", "2001", 1, 10, 20), ("a", "g", "2001", 1, 2, 4), ("a", "g", "2002", 2, 30, 10), ("b", "g", "2002", 2, 6, 6), (None, "g", "2001", 2, 9, 9), ("a", None, "2001", 2, 9, 9)], "player string, gender string, date string, match_id int, runs int, balls int")
+    balls = [(1, 1, "a", "b", "g"), (2, 1, "a", "b", "g"), (2, 2, "a", "a", "g"), (2, 3, None, None, "g"), (2, 4, "a", "a", None), (3, 1, "a", "b", "g"), (None, 1, "a", "b", "g")]
+    rows = spark.createDataFrame(balls, "match_id int, seq int, batter string, bowler string, gender string")
+    mean = 66 / 58
+    first, after = mean, (12 + 120 * mean) / (24 + 120)
+    want = {(1, 1): (first, None), (2, 1): (after, first), (2, 2): (after, after), (2, 3): (None, None), (2, 4): (None, None), (3, 1): (None, None), (None, 1): (None, None)}
+    for shares in (None, 3):
+        got = models.next_ball_form(rows, innings, innings, shares).collect()
+        assert len(got) == len(want)
+        for r in got:
+            assert (r.batter_form, r.bowler_form) == tuple(x if x is None else pytest.approx(x) for x in want[r.match_id, r.seq])
